@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import components, consensus, splits
+from notegraph.llm import components, consensus, neighbors, splits
 from notegraph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def _passes(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, f"pass{i}_relationships") for i in (1, 2)]
 
 
+@_query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.similar_pairs(table(spark, d, "embedded_claims"))
+
+
+@_query
+def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.neighbors(table(spark, d, "embedded_claims"))
+
+
+@_query
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.recall_report(table(spark, d, "embedded_claims"))
+
+
 @_query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(*_passes(spark, d))[0].select("id", "label", "direction")
