@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import components, consensus, neighbors, splits
+from notegraph.llm import components, consensus, neighbors, overlaps, splits
 from notegraph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def _passes(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, f"pass{i}_relationships") for i in (1, 2)]
 
 
+@_query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.found(table(spark, d, "v1_pilot_manifest"))
+
+
+@_query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.report(table(spark, d, "v1_pilot_manifest"))
+
+
 @_query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(table(spark, d, "embedded_claims"))
