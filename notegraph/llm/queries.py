@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import components, consensus, neighbors, overlaps, splits
+from notegraph.llm import components, consensus, neighbors, overlaps, residue, splits
 from notegraph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.claim_groups(table(spark, d, "candidate_pairs"))
+
+
+@_query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+@_query
+def p9_findings(spark: SparkSession, d: str) -> DataFrame:
+    return residue.findings(table(spark, d, "documents"))
+
+
+@_query
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean(table(spark, d, "documents")).select("doc_id", "doc_key", "n_chars")
