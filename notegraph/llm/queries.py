@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import components, consensus, neighbors, overlaps, residue, splits
+from notegraph.llm import components, consensus, mixing, neighbors, overlaps, packing, residue, sentences, splits
 from notegraph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(*_passes(spark, d))
 
 
+@_query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "scanner_events"), table(spark, d, "claims")).select("event_id", "sent_start", "sent_end")
+
+
+@_query
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.document_sentences(table(spark, d, "scanner_events"), table(spark, d, "claims"))
+
+
 @_query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.divided_groups(table(spark, d, "v1_pilot_manifest"))
@@ -89,6 +99,27 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.claim_groups(table(spark, d, "candidate_pairs"))
 
 
+@_query
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+@_query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities")))
+
+
+@_query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@_query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(documents, targets), targets, documents)
+
+
 @_query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
