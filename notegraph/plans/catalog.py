@@ -1,22 +1,6 @@
-"""Named queries of the core operators and their DuckDB counterparts."""
+"""All named queries of the core operators."""
 
-from __future__ import annotations
+from notegraph.plans import q_engine, q_evaluation, q_graph, q_relations, q_scoring, q_statistics, q_text, q_vectors  # noqa: F401
+from notegraph.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query function, with the SQL that must give the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
