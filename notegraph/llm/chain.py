@@ -33,12 +33,21 @@ def script(ch: str) -> str:
     return "O" if ch.isalpha() else "-"
 
 
+_EDGE = re.compile("[\"'" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
+_END = "[" + re.escape(MARKS) + "]+"
+_GREEK_END = "[" + re.escape(MARKS + ";;") + "]+"
+_SCAN = {(g, w): re.compile((_GREEK_END if g else _END) + (r"|\s+" if w else "")) for g in (False, True) for w in (False, True)}
+_GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
+_THAI = re.compile("[\u0e00-\u0e7f]")
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """(opening, closing) positions of matched quotations and brackets; a closing one is sought among the last 32 open ones."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     n = len(text)
-    for i, ch in enumerate(text):
+    for m in _EDGE.finditer(text):
+        i, ch = m.start(), m[0]
         if ch in "\"'":
             before = text[i - 1] if i else " "
             after = text[i + 1] if i + 1 < n else " "
@@ -58,46 +67,37 @@ def spans(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
+def candidates(text: str, held: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
     """(start of the marks, end of the sentence if it ended there, marks) in order; the block's own end is not among them.
 
     marks is "\\n" for a line break without mark and " " for a blank in Thai text.
     """
     out: list[tuple[int, int, str]] = []
     n = len(text.rstrip())
-    greek = re.search("[\u0370-\u03ff\u1f00-\u1fff]", text) is not None
-    thai = re.search("[\u0e00-\u0e7f]", text) is not None
-    closing = {c for _, c in spans(text)}
-    i = 0
-    while i < n:
-        ch = text[i]
-        if ch in MARKS or (greek and ch in ";;"):
-            j = i + 1
-            while j < n and (text[j] in MARKS or (greek and text[j] in ";;")):
-                j += 1
+    thai = _THAI.search(text) is not None
+    closing = {c for _, c in (spans(text) if held is None else held)}
+    done = 0
+    for m in _SCAN[_GREEK.search(text) is not None, thai or "\n" in text].finditer(text, 0, n):
+        i, j = m.span()
+        if i < done:
+            continue
+        if not text[i].isspace():
             k = j
             while k < n:
-                if text[k] in CLOSERS and (k in closing or text[k] in "*_" or (text[k] == "”" and k not in closing)):
+                if text[k] in CLOSERS and (k in closing or text[k] in "*_”"):
                     k += 1
-                elif text[k] in " \xa0 " and k + 1 < n and text[k + 1] in "»" and k + 1 in closing:
+                elif text[k] in " \xa0\u202f" and k + 1 < n and text[k + 1] == "»" and k + 1 in closing:
                     k += 2
                 else:
                     break
             if k < n:
-                out.append((i, k, text[i:j]))
-            i = max(k, i + 1)
-        elif ch.isspace():
-            j = i
-            while j < n and text[j].isspace():
-                j += 1
-            if i and j < n and not (out and out[-1][1] == i):
-                if "\n" in text[i:j]:
-                    out.append((i, i, "\n"))
-                elif thai and (script(text[i - 1]) == "T" or script(text[j]) == "T" or text[i - 1] in "ๆฯ"):
-                    out.append((i, i, " "))
-            i = j
-        else:
-            i += 1
+                out.append((i, k, m[0]))
+            done = k
+        elif i and j < n and not (out and out[-1][1] == i):
+            if "\n" in m[0]:
+                out.append((i, i, "\n"))
+            elif thai and (script(text[i - 1]) == "T" or script(text[j]) == "T" or text[i - 1] in "ๆฯ"):
+                out.append((i, i, " "))
     return out
 
 
@@ -127,15 +127,18 @@ def _class(ch: str) -> str:
     return "q" if ch in "\"'“«„‘「『¿¡" else "(" if ch in _BRACKETS else "," if ch in ",،،、，;；:：-–—" else "*" if ch in "*_`" else "o"
 
 
-def features(text: str) -> tuple[list[int], list[list[str]]]:
-    """(sentence ends if they are ends, features of each)."""
-    found = candidates(text)
-    if not found:
-        return [], []
+_BEFORE = re.compile(r"[^\s\"“«„‘「『(\[*`]*$")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def contexts(text: str) -> tuple[list[int], list[list[tuple]]]:
+    """(sentence ends if they are ends, context groups of each); `expand` turns a group into features."""
     held = spans(text)
+    found = candidates(text, held)
     opened: list[tuple[int, int]] = []
     seen = 0
-    ends, out = [], []
+    ends: list[int] = []
+    out: list[list[tuple]] = []
     for start, end, marks in found:
         while seen < len(held) and held[seen][0] < start:
             opened.append(held[seen])
@@ -145,48 +148,70 @@ def features(text: str) -> tuple[list[int], list[list[str]]]:
         at = _BLANK.match(text, end).end()
         after, space = text[at : at + 14], text[end : min(at, end + 80)]
         g = "n" if "\n" in space else "0" if not space else "1"
-        before = re.search(r"[^\s\"“«„‘「『(\[*`]*$", text[max(0, start - 14) : start])[0]
-        word = before.lower()
+        before = _BEFORE.search(text[max(0, start - 14) : start])[0]
         nxt = _class(after[:1])
-        nextword = (m := re.match(r"[^\W\d_]+", after)) and m[0].lower()[:8] or after[:1]
-        m_ = marks if len(marks) < 3 else marks[:1] + "+"
+        word_after = _WORD.match(after)
+        nextword = word_after[0].lower()[:8] if word_after else after[:1]
+        mark = marks if len(marks) < 3 else marks[:1] + "+"
         closed = "c" if text[start + len(marks) : end].strip("*_ ") else ""
-        inner = opened[-1] if opened else None
-        if inner is None:
-            where = "-"
-        else:
-            o, c = inner
-            kind = "b" if text[o] in _BRACKETS else "q"
+        shape = _shape(before)
+        where = "-"
+        groups: list[tuple] = [("A", mark, g, nxt, closed, shape)]
+        if opened:
+            o, c = opened[-1]
             ahead = text[max(0, o - 60) : o].rstrip()
             pre = "s" if not ahead else "f" if ahead[-1] in MARKS or (ahead[-1] in CLOSERS and len(ahead) > 1 and ahead[-2] in MARKS) else ":" if ahead[-1] in ",:،：，" else "w"
             tail = text[c + 1 : c + 61]
-            post = _class(tail.lstrip()[:1])
-            if tail[:1] and not tail[:1].isspace():
-                post += "!"
+            first = tail.lstrip()[:1]
+            post = _class(first) + ("!" if tail[:1] and not tail[:1].isspace() else "")
             last = text[max(o + 1, c - 60) : c].rstrip()[-1:]
             fin = "." if last in MARKS else "," if last in ",،，、" else "w"
-            at = "end" if c < end else "in"
-            where = f"{kind}{at}{pre}{post}{fin}"
-        f = ["b", f"m{m_}", f"mg{m_}{g}{nxt}{closed}", f"s{m_}{_shape(before)}{g}{nxt}", f"w{where}", f"wm{where}{m_}{nxt}{g}"]
-        if inner is not None:
-            f += [f"wp{where[:4]}{pre}{fin}", f"wq{where[:4]}{post}", f"wr{where[:4]}{pre}", f"wt{where[:4]}{tail.lstrip()[:1] if post[0] not in 'Ul0' else post}{fin}"]
-        if m_ == " ":
-            left, right = text[max(0, start - 6) : start], after
-            f += [f"L{left[-k:]}" for k in (1, 2, 3, 5)] + [f"R{right[:k]}" for k in (1, 2, 3, 5)]
-            f += [f"LS{script(left[-1:] or ' ')}{script(right[:1] or ' ')}", f"LR{left[-2:]}|{right[:2]}", f"LR3{left[-3:]}|{right[:3]}", f"ry{left[-1:] == 'ๆ'}{right[:1] == 'ๆ'}{right[:2]}"]
+            where = f"{'b' if text[o] in _BRACKETS else 'q'}{'end' if c < end else 'in'}{pre}{post}{fin}"
+            groups.append(("I", where[:4], pre, post, fin, first if post[0] not in "Ul0" else ""))
+        groups.append(("B", where, mark, nxt, g))
+        if mark == " ":
+            groups.append(("T", text[max(0, start - 6) : start], after[:5]))
         else:
-            if len(word) <= 7:
-                f += [f"p{m_}{word}", f"pn{m_}{word}|{nxt}{g}"]
-            else:
-                f += [f"p{m_}~{word[-3:]}"]
-            f += [f"n{m_}{nextword}", f"nw{m_}{_shape(before)}|{nextword}", f"sc{script(before[-1:] or ' ')}{m_}{nxt}{g}"]
+            groups.append(("C", mark, before.lower() if len(before) <= 7 else "~" + before.lower()[-3:], nxt, g, script(before[-1:] or " ")))
+            groups.append(("D", mark, nextword, shape, closed))
             if closed:
-                f += [f"cn{m_}{nextword}", f"cw{where}{nextword[:1]}"]
+                groups.append(("E", where, nextword[:1]))
         ends.append(end)
-        out.append(f)
+        out.append(groups)
     return ends, out
 
 
+def expand(group: tuple) -> list[str]:
+    """The features of a context group."""
+    kind = group[0]
+    if kind == "A":
+        _, m, g, nxt, closed, shape = group
+        return ["b", f"m{m}", f"mg{m}{g}{nxt}{closed}", f"s{m}{shape}{g}{nxt}"]
+    if kind == "B":
+        _, where, m, nxt, g = group
+        return [f"w{where}", f"wm{where}{m}{nxt}{g}"]
+    if kind == "I":
+        _, head, pre, post, fin, first = group
+        return [f"wp{head}{pre}{fin}", f"wq{head}{post}", f"wr{head}{pre}", f"wt{head}{first or post}{fin}"]
+    if kind == "C":
+        _, m, word, nxt, g, s = group
+        return [f"p{m}{word}", f"sc{s}{m}{nxt}{g}", *([f"pn{m}{word}|{nxt}{g}"] if word[:1] != "~" else [])]
+    if kind == "D":
+        _, m, nextword, shape, closed = group
+        return [f"n{m}{nextword}", f"nw{m}{shape}|{nextword}", *([f"cn{m}{nextword}"] if closed else [])]
+    if kind == "E":
+        return [f"cw{group[1]}{group[2]}"]
+    _, left, right = group
+    out = [f"L{left[-k:]}" for k in (1, 2, 3, 5)] + [f"R{right[:k]}" for k in (1, 2, 3, 5)]
+    return [*out, f"LS{script(left[-1:] or ' ')}{script(right[:1] or ' ')}", f"LR{left[-2:]}|{right[:2]}", f"LR3{left[-3:]}|{right[:3]}", f"ry{left[-1:] == 'ๆ'}{right[:1] == 'ๆ'}{right[:2]}"]
+
+
+def features(text: str) -> tuple[list[int], list[list[str]]]:
+    """(sentence ends if they are ends, features of each)."""
+    ends, groups = contexts(text)
+    return ends, [[f for g in gs for f in expand(g)] for gs in groups]
+
+
 def viterbi(emissions: list[float], moves: dict[str, float]) -> list[int]:
     """The best 0/1 tags of the chain, emissions being the scores of tag 1 over tag 0."""
     if not emissions:
@@ -207,17 +232,39 @@ def viterbi(emissions: list[float], moves: dict[str, float]) -> list[int]:
     return out[::-1]
 
 
+class Decoder:
+    """Splits texts with given weights; sums of weights are kept per context group."""
+
+    def __init__(self, weights: dict[str, float], keep: int = 400_000):
+        self.weights, self.keep = weights, keep
+        self.sums: dict[tuple, float] = {}
+
+    def _sum(self, group: tuple) -> float:
+        if len(self.sums) > self.keep:
+            self.sums.clear()
+        get = self.weights.get
+        value = self.sums[group] = sum(get(f, 0.0) for f in expand(group))
+        return value
+
+    def __call__(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the sentences of a text, without outer blanks."""
+        ends, contexts_ = contexts(text)
+        sums = self.sums
+        tags = viterbi([sum(sums[g] if g in sums else self._sum(g) for g in gs) for gs in contexts_], self.weights)
+        out, at = [], 0
+        for end in [*(e for e, t in zip(ends, tags, strict=True) if t), len(text)]:
+            part = text[at:end]
+            bare = part.strip()
+            if bare:
+                first = at + len(part) - len(part.lstrip())
+                out.append((first, first + len(bare)))
+            at = end
+        return out
+
+
 def decode(text: str, weights: dict[str, float]) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, without outer blanks."""
-    ends, feats = features(text)
-    tags = viterbi([sum(weights.get(x, 0.0) for x in f) for f in feats], weights)
-    out, at = [], 0
-    for end in [*(e for e, t in zip(ends, tags, strict=True) if t), len(text)]:
-        part = text[at:end]
-        if part.strip():
-            out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
-        at = end
-    return out
+    """(start, end) of the sentences of one text."""
+    return Decoder(weights)(text)
 
 
 def _group(text: str) -> str:

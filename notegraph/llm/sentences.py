@@ -34,9 +34,9 @@ def split_sentences(events: DataFrame, claims: DataFrame) -> DataFrame:
     weights = events.sparkSession.sparkContext.broadcast(train_model(claims))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = weights.value
+        decode = chain.Decoder(weights.value)
         for b in batches:
-            out = [(i, k, s, e, t[s:e]) for i, t in zip(b["event_id"], b["text"], strict=True) for k, (s, e) in enumerate(chain.decode(t, w))]
+            out = [(i, k, s, e, t[s:e]) for i, t in zip(b["event_id"], b["text"], strict=True) for k, (s, e) in enumerate(decode(t))]
             yield pd.DataFrame(out, columns=["event_id", "sent_no", "sent_start", "sent_end", "sentence"])
 
     prose = events.where(F.col("block_type").isin(*PROSE) & F.col("text").isNotNull()).select("event_id", "text").dropDuplicates(["event_id", "text"])
