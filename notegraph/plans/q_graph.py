@@ -1 +1,188 @@
-"""Queries."""
+"""Queries of the signed graph."""
+
+from pyspark.sql import functions as F
+
+from notegraph.lineage import Scratch
+from notegraph.operators import graph as G
+from notegraph.operators import pipeline
+from notegraph.operators import relations as R
+from notegraph.plans import sql
+from notegraph.plans.registry import query
+from notegraph.session import table
+
+NODES = f"(SELECT claim_id, claim_text FROM {sql.CLAIMS} UNION ALL SELECT claim_id, min(text) FROM anchor_claims WHERE claim_id NOT IN (SELECT claim_id FROM claims) GROUP BY 1)"
+EDGES = f"(SELECT edge_id, min(claim_id_a) AS source, min(claim_id_b) AS target, min(relation_type) AS relation_type, min(direction) AS direction, min(conf_ab) AS confidence FROM {sql.EDGES} GROUP BY 1)"
+
+
+def reach(name, pairs, nodes="SELECT claim_id FROM nodes"):
+    return f"""{name}e AS (SELECT source AS x, target AS y FROM ({pairs}) UNION SELECT target, source FROM ({pairs})), {name}r(x, y) AS (SELECT claim_id, claim_id FROM ({nodes}) UNION SELECT r.x, e.y FROM {name}r r JOIN {name}e e ON e.x = r.y),
+ {name}c AS (SELECT x AS claim_id, min(y) AS component FROM {name}r GROUP BY 1), {name} AS (SELECT claim_id, left(sha256(string_agg(claim_id, '|' ORDER BY claim_id) OVER (PARTITION BY component ORDER BY claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 12) AS partition_id FROM {name}c)"""
+
+
+BASE = f"nodes AS (SELECT * FROM {NODES}), edges AS (SELECT * FROM {EDGES})"
+COLOUR = """ce AS (SELECT source AS x, target AS y FROM edges WHERE relation_type = 'contradicts' UNION SELECT target, source FROM edges WHERE relation_type = 'contradicts'),
+ rp(x, y, par) AS (SELECT DISTINCT x, x, 0 FROM ce UNION SELECT rp.x, ce.y, 1 - rp.par FROM rp JOIN ce ON ce.x = rp.y), root AS (SELECT y AS claim_id, min(x) AS root FROM rp GROUP BY 1),
+ colour AS (SELECT n.claim_id, CASE WHEN r.claim_id IS NULL THEN '0' WHEN n.claim_id IN (SELECT x FROM rp WHERE x = y AND par = 1) THEN 'x:' || n.claim_id ELSE CAST((SELECT min(par) FROM rp WHERE rp.x = r.root AND rp.y = n.claim_id) AS VARCHAR) END AS colour FROM nodes n LEFT JOIN root r USING (claim_id))"""
+KEPT = "SELECT source, target FROM edges JOIN colour a ON a.claim_id = source JOIN colour b ON b.claim_id = target WHERE relation_type IN ('supports', 'refines', 'equivalent') AND a.colour = b.colour"
+PARTS = f"WITH RECURSIVE {BASE}, {COLOUR}, kept AS ({KEPT}), {reach('parts', 'SELECT * FROM kept')}"
+
+
+def base(spark, d):
+    s = Scratch(spark, "query")
+    nodes = s.table(pipeline.nodes_of(table(spark, d, "claims"), table(spark, d, "anchor_claims")))
+    edges = s.table(G.construct(R.relations(table(spark, d, "relationship_evidence"))))
+    return nodes, edges
+
+
+@query("g09_edges", f"SELECT * FROM {EDGES}")
+def g09(spark, d):
+    return base(spark, d)[1].select("edge_id", "source", "target", "relation_type", "direction", "confidence")
+
+
+@query("g10_problems", f"WITH {BASE} SELECT * FROM (SELECT 'dangling_end' AS problem, count(*) AS n FROM (SELECT source AS x FROM edges UNION ALL SELECT target FROM edges) WHERE x NOT IN (SELECT claim_id FROM nodes) UNION ALL SELECT 'empty_text', count(*) FROM nodes WHERE trim(coalesce(claim_text, '')) = '' UNION ALL SELECT 'unknown_type', count(*) FROM edges WHERE relation_type NOT IN ('supports', 'refines', 'equivalent', 'contradicts', 'neutral') UNION ALL SELECT 'confidence_out_of_range', count(*) FROM edges WHERE NOT coalesce(confidence BETWEEN 0 AND 1, false) UNION ALL SELECT 'repeated_id', count(*) FROM (SELECT claim_id FROM nodes GROUP BY 1 HAVING count(*) > 1))")
+def g10(spark, d):
+    return G.problems(*base(spark, d))
+
+
+@query("g02_partitions", f"{PARTS} SELECT claim_id, colour, partition_id FROM parts JOIN colour USING (claim_id)")
+def g02(spark, d):
+    return G.partitions(*base(spark, d)).select("claim_id", "colour", "partition_id")
+
+
+@query("g03_naive_partitions", f"WITH RECURSIVE {BASE}, {reach('parts', 'SELECT source, target FROM edges')} SELECT claim_id, partition_id FROM parts")
+def g03(spark, d):
+    return G.naive_partitions(*base(spark, d))
+
+
+@query("g03_deletion_partitions", f"WITH RECURSIVE {BASE}, {reach('parts', chr(39).join(['SELECT source, target FROM edges WHERE relation_type <> ', 'contradicts', '']))} SELECT claim_id, partition_id FROM parts")
+def g03d(spark, d):
+    return G.deletion_partitions(*base(spark, d))
+
+
+@query("g03_weighted_partitions")
+def g03w(spark, d):
+    return G.weighted_partitions(*base(spark, d))
+
+
+QUALITY = """SELECT (SELECT count(*) FROM s) AS n_partitions, (SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) FROM s) AS singleton_rate, (SELECT round(avg(n), 6) FROM s) AS avg_size, (SELECT max(n) FROM s) AS max_size,
+ count(*) FILTER (WHERE a.partition_id = b.partition_id AND relation_type = 'contradicts') AS violations, count(*) FILTER (WHERE a.partition_id = b.partition_id AND relation_type <> 'contradicts') AS retained, count(*) FILTER (WHERE a.partition_id <> b.partition_id AND relation_type <> 'contradicts') AS cut
+ FROM edges JOIN parts a ON a.claim_id = source JOIN parts b ON b.claim_id = target"""
+
+
+@query("a31_quality_naive", f"WITH RECURSIVE {BASE}, {reach('parts', 'SELECT source, target FROM edges')}, s AS (SELECT partition_id, count(*) AS n FROM parts GROUP BY 1) {QUALITY}")
+def a31n(spark, d):
+    nodes, edges = base(spark, d)
+    return G.quality(edges, G.naive_partitions(nodes, edges))
+
+
+@query("a31_quality_signed", f"{PARTS}, s AS (SELECT partition_id, count(*) AS n FROM parts GROUP BY 1) {QUALITY}")
+def a31(spark, d):
+    nodes, edges = base(spark, d)
+    return G.quality(edges, G.partitions(nodes, edges))
+
+
+@query("g02_partition_table")
+def g02t(spark, d):
+    nodes, edges = base(spark, d)
+    return G.partition_table(edges, G.partitions(nodes, edges))
+
+
+INNER = "inn AS (SELECT e.*, a.partition_id FROM edges e JOIN parts a ON a.claim_id = source JOIN parts b ON b.claim_id = target WHERE a.partition_id = b.partition_id AND relation_type <> 'contradicts'), two AS (SELECT source, target FROM inn UNION ALL SELECT target, source FROM inn WHERE relation_type = 'equivalent')"
+
+
+@query("g04_topology", f"""{PARTS}, {INNER}, deg AS (SELECT p.claim_id, p.partition_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM parts p LEFT JOIN (SELECT target AS claim_id, count(*) AS n FROM two GROUP BY 1) i USING (claim_id) LEFT JOIN (SELECT source AS claim_id, count(*) AS n FROM two GROUP BY 1) o USING (claim_id))
+ SELECT claim_id, in_degree + out_degree AS degree, in_degree, out_degree, CASE WHEN n > 1 THEN round(in_degree::DOUBLE / (n - 1), 6) ELSE 0.0 END AS centrality, in_degree + out_degree > greatest(1.0, 2 * mean) AS is_hub FROM deg JOIN (SELECT partition_id, count(*) AS n, avg(in_degree + out_degree) AS mean FROM deg GROUP BY 1) USING (partition_id)""")
+def g04(spark, d):
+    nodes, edges = base(spark, d)
+    return G.topology(edges, G.partitions(nodes, edges)).select("claim_id", "degree", "in_degree", "out_degree", "centrality", "is_hub")
+
+
+@query("g05_articulation_points", f"""{PARTS}, {INNER}, und AS (SELECT source AS x, target AS y FROM inn WHERE source <> target UNION SELECT target, source FROM inn WHERE source <> target), cut(c, s, y) AS (SELECT DISTINCT a.x, b.y, b.y FROM und a JOIN und b ON b.x = a.x
+  UNION SELECT cut.c, cut.s, und.y FROM cut JOIN und ON und.x = cut.y WHERE und.y <> cut.c) SELECT DISTINCT a.x AS claim_id FROM und a JOIN und b ON b.x = a.x AND b.y <> a.y WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.c = a.x AND cut.s = a.y AND cut.y = b.y)""")
+def g05(spark, d):
+    nodes, edges = base(spark, d)
+    inner = G.placed(edges, G.partitions(nodes, edges)).where("p_source = p_target and relation_type != 'contradicts'")
+    return G.articulation_points(inner)
+
+
+@query("g06_support", f"""{PARTS}, {INNER}, se AS (SELECT source AS x, target AS y FROM inn WHERE relation_type IN ('supports', 'equivalent') UNION SELECT target, source FROM inn WHERE relation_type = 'equivalent'),
+ sr(node, s) AS (SELECT y, x FROM se UNION SELECT sr.node, se.x FROM sr JOIN se ON se.y = sr.s) SELECT n.claim_id, count(s.s) AS support_count, coalesce(string_agg(s.s, ',' ORDER BY s.s), '') AS supporters FROM nodes n LEFT JOIN (SELECT * FROM sr WHERE node <> s) s ON s.node = n.claim_id GROUP BY 1""")
+def g06(spark, d):
+    nodes, edges = base(spark, d)
+    return G.support(edges, G.partitions(nodes, edges)).select("claim_id", "support_count", F.array_join("supporting_ids", ",").alias("supporters"))
+
+
+@query("g07_contradiction_times", f"SELECT edge_id, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0, 6) AS days FROM {EDGES} e LEFT JOIN (SELECT claim_id, min(claim_ts) AS ts FROM claims GROUP BY 1) a ON a.claim_id = source LEFT JOIN (SELECT claim_id, min(claim_ts) AS ts FROM claims GROUP BY 1) b ON b.claim_id = target WHERE relation_type = 'contradicts'")
+def g07p(spark, d):
+    _, edges = base(spark, d)
+    t = table(spark, d, "claims").groupBy("claim_id").agg(F.unix_micros(F.min(F.col("claim_ts").cast("timestamp"))).alias("ts"))
+    e = edges.where("relation_type = 'contradicts'").join(t.select(F.col("claim_id").alias("source"), F.col("ts").alias("a")), "source", "left").join(t.select(F.col("claim_id").alias("target"), F.col("ts").alias("b")), "target", "left")
+    return e.select("edge_id", F.round(F.abs(F.col("a") - F.col("b")) / 86_400_000_000.0, 6).alias("days"))
+
+
+@query("g07_temporal")
+def g07(spark, d):
+    nodes, edges = base(spark, d)
+    times = table(spark, d, "claims").select("claim_id", F.col("claim_ts").alias("ts"))
+    return G.temporal(nodes, edges, G.partitions(nodes, edges), times)
+
+
+@query("g08_roles")
+def g08(spark, d):
+    nodes, edges = base(spark, d)
+    return G.roles(G.topology(edges, G.partitions(nodes, edges)), edges).groupBy("semantic_role").agg(F.count("*").alias("n"))
+
+
+START = "(SELECT source FROM (SELECT source, count(*) AS n FROM edges GROUP BY 1) ORDER BY n DESC, source LIMIT 1)"
+WALK = f"WITH RECURSIVE {BASE}, adj AS (SELECT source AS x, target AS y, edge_id FROM edges UNION ALL SELECT target, source, edge_id FROM edges WHERE direction = 'symmetric'), w(claim_id, depth) AS (SELECT {START}, 0 UNION SELECT y, depth + 1 FROM w JOIN adj ON x = claim_id WHERE depth < 3)"
+
+
+def start(edges):
+    return edges.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()[0]
+
+
+@query("g01_traverse_nodes", f"{WALK} SELECT claim_id, min(depth) AS depth FROM w GROUP BY 1")
+def g01(spark, d):
+    nodes, edges = base(spark, d)
+    return G.traverse(nodes, edges, start(edges), 3)[0]
+
+
+@query("g01_traverse_edges", f"{WALK} SELECT DISTINCT edge_id FROM (SELECT claim_id, min(depth) AS depth FROM w GROUP BY 1) JOIN adj ON x = claim_id WHERE depth < 3")
+def g01e(spark, d):
+    nodes, edges = base(spark, d)
+    return G.traverse(nodes, edges, start(edges), 3)[1].select("edge_id")
+
+
+@query("g11_neighbors", f"WITH {BASE} SELECT claim_id, count(DISTINCT other) AS n_neighbors FROM (SELECT source AS claim_id, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY 1")
+def g11(spark, d):
+    _, e = base(spark, d)
+    both = e.select(F.col("source").alias("claim_id"), F.col("target").alias("other")).unionByName(e.select(F.col("target").alias("claim_id"), F.col("source").alias("other")))
+    return both.groupBy("claim_id").agg(F.count_distinct("other").alias("n_neighbors"))
+
+
+@query("j10_support_contradict_support", f"WITH {BASE} SELECT edge_id FROM edges WHERE relation_type = 'contradicts' AND source IN (SELECT target FROM edges WHERE relation_type = 'supports') AND target IN (SELECT target FROM edges WHERE relation_type = 'supports')")
+def j10(spark, d):
+    _, e = base(spark, d)
+    supported = e.where("relation_type = 'supports'").select("target").distinct()
+    c = e.where("relation_type = 'contradicts'")
+    return c.join(supported.withColumnRenamed("target", "source"), "source", "left_semi").join(supported, "target", "left_semi").select("edge_id")
+
+
+@query("a05_edge_counts", f"WITH {BASE} SELECT relation_type, count(*) AS n, (SELECT count(*) FROM nodes WHERE claim_id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS n_isolated FROM edges GROUP BY 1")
+def a05(spark, d):
+    nodes, e = base(spark, d)
+    lonely = nodes.join(G.endpoints(e), "claim_id", "left_anti").agg(F.count("*").alias("n_isolated"))
+    return e.groupBy("relation_type").agg(F.count("*").alias("n")).crossJoin(lonely)
+
+
+@query("a05_graph_statistics")
+def a05s(spark, d):
+    nodes, e = base(spark, d)
+    parts = G.partitions(nodes, e)
+    times = table(spark, d, "claims").select("claim_id", F.col("claim_ts").alias("ts"))
+    return G.statistics(nodes, e, G.topology(e, parts), G.temporal(nodes, e, parts, times))
+
+
+@query("a39_fingerprint", f"WITH {BASE}, k AS (SELECT DISTINCT 'n:' || claim_id AS k FROM nodes UNION ALL SELECT DISTINCT 'e:' || edge_id FROM edges), b AS (SELECT left(sha256(k), 3) AS b, sha256(string_agg(k, '|' ORDER BY k)) AS d FROM k GROUP BY 1) SELECT left(sha256(string_agg(b || d, '|' ORDER BY b || d) || '|7.0'), 16) AS fingerprint FROM b")
+def a39(spark, d):
+    return G.fingerprint(*base(spark, d))
