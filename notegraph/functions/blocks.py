@@ -134,7 +134,7 @@ def split_sentences(text: str) -> list[tuple[int, int]]:
         if mark.startswith("..") and set(mark) <= {"."}:
             continue
         word = re.search(r"[A-Za-z.]*$", text[max(0, m.start() - 12) : m.start()])[0].lower().lstrip(".")
-        if mark[0] == "." and (word in ABBREVIATIONS or len(word) == 1 and word.isalpha()):
+        if mark[0] == "." and word in ABBREVIATIONS:
             continue
         part = text[at:end]
         out.append((at + len(part) - len(part.lstrip()), end))

@@ -1 +1,196 @@
-"""Queries."""
+"""Queries of the evaluation analytics."""
+
+from pyspark.sql import functions as F
+
+from notegraph.operators import evaluation as E
+from notegraph.operators import relations as R
+from notegraph.plans import sql
+from notegraph.plans.registry import query
+from notegraph.session import table
+
+VALID = "upper(trim(label)) IN ('NEUTRAL', 'SUPPORTS', 'REFINES', 'CONTRADICTS', 'EQUIVALENT')"
+BOTH = f"(SELECT a.id, a.label AS gold, b.label AS predicted FROM (SELECT id, min(upper(trim(label))) AS label FROM pass1_relationships WHERE {VALID} GROUP BY 1) a JOIN (SELECT id, min(upper(trim(label))) AS label FROM pass2_relationships WHERE {VALID} GROUP BY 1) b USING (id))"
+
+
+def both(spark, d):
+    def one(i, name):
+        label = F.upper(F.trim("label"))
+        t = table(spark, d, f"pass{i}_relationships").where(label.isin("NEUTRAL", "SUPPORTS", "REFINES", "CONTRADICTS", "EQUIVALENT"))
+        return t.groupBy("id").agg(F.min(label).alias(name))
+
+    return one(1, "gold").join(one(2, "predicted"), "id")
+
+
+PRF = f"""(SELECT coalesce(g.label, p.label) AS label, coalesce(tp, 0) AS tp, coalesce(said, 0) - coalesce(tp, 0) AS fp, coalesce(support, 0) - coalesce(tp, 0) AS fn, coalesce(support, 0) AS support, coalesce(said, 0) AS said
+ FROM (SELECT gold AS label, count(*) AS support, count(*) FILTER (WHERE gold = predicted) AS tp FROM {BOTH} GROUP BY 1) g FULL JOIN (SELECT predicted AS label, count(*) AS said FROM {BOTH} GROUP BY 1) p ON g.label = p.label)"""
+PR = f"(SELECT *, CASE WHEN said > 0 THEN tp::DOUBLE / said ELSE 0 END AS pp, CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END AS rr FROM {PRF})"
+F1 = f"(SELECT label, tp, fp, fn, support, round(pp, 6) AS precision, round(rr, 6) AS recall, round(CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0 END, 6) AS f1 FROM {PR})"
+
+
+@query("a17_prf", f"SELECT * FROM {F1}")
+def a17(spark, d):
+    return E.prf(both(spark, d))
+
+
+@query("a17_averages", f"SELECT round(avg(f1) FILTER (WHERE support > 0), 6) AS macro_f1, round(2.0::DOUBLE * sum(tp) / greatest(1, 2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1 FROM {F1}")
+def a17m(spark, d):
+    return E.averages(E.prf(both(spark, d)))
+
+
+@query("a17_confusion", f"SELECT gold, predicted, count(*) AS n FROM {BOTH} GROUP BY 1, 2")
+def a17c(spark, d):
+    return E.confusion(both(spark, d))
+
+
+@query("a18_kappa", f"SELECT n, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, avg(CASE WHEN gold = predicted THEN 1.0 ELSE 0.0 END::DOUBLE) AS po, (SELECT sum(x * y) FROM (SELECT gold AS l, count(*)::DOUBLE AS x FROM {BOTH} GROUP BY 1) JOIN (SELECT predicted AS l, count(*)::DOUBLE AS y FROM {BOTH} GROUP BY 1) USING (l)) / (count(*)::DOUBLE * count(*)) AS pe FROM {BOTH})")
+def a18(spark, d):
+    return E.kappa(both(spark, d), "gold", "predicted")
+
+
+@query("a19_rank_difference", "SELECT round(avg(abs(a.candidate_rank - b.candidate_rank)), 6) AS mean_abs_diff FROM (SELECT claim_id_a, claim_id_b, max(candidate_rank) AS candidate_rank FROM candidate_pairs GROUP BY 1, 2) a JOIN (SELECT DISTINCT claim_id_a, claim_id_b, candidate_rank FROM relationship_evidence) b USING (claim_id_a, claim_id_b)")
+def a19(spark, d):
+    a = table(spark, d, "candidate_pairs").groupBy("claim_id_a", "claim_id_b").agg(F.max("candidate_rank").alias("x"))
+    b = table(spark, d, "relationship_evidence").select("claim_id_a", "claim_id_b", F.col("candidate_rank").alias("y")).distinct()
+    return a.join(b, ["claim_id_a", "claim_id_b"]).agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("mean_abs_diff"))
+
+
+LAB = "CASE WHEN c_{d} = greatest(e_{d}, n_{d}, c_{d}) THEN 'c' WHEN e_{d} = greatest(e_{d}, n_{d}, c_{d}) THEN 'e' ELSE 'n' END"
+CAL = f"(SELECT relationship_id, conf_ab, e_ab, n_ab, c_ab, {LAB.format(d='ab')} = {LAB.format(d='ba')} AS correct FROM {sql.FLAT} WHERE e_ba IS NOT NULL AND conf_ab IS NOT NULL)"
+
+
+def cal(spark, d):
+    r = R.flat_evidence(table(spark, d, "relationship_evidence")).where("e_ba is not null and conf_ab is not null")
+    x, y = (R.predicted_label(*[F.col(f"{k}_{w}") for k in "enc"]) for w in ("ab", "ba"))
+    return r.withColumn("correct", x == y)
+
+
+@query("a20_calibration", f"SELECT round(sum(n * abs(mc - ma)) / sum(n), 6) AS ece, round(sum(b) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll FROM (SELECT least(floor(conf_ab * 10), 9) AS bin, count(*) AS n, avg(conf_ab) AS mc, avg(y) AS ma, sum((conf_ab - y) * (conf_ab - y)) AS b, sum(-(y * ln(greatest(conf_ab, 1e-12)) + (1 - y) * ln(greatest(1 - conf_ab, 1e-12)))) AS l FROM (SELECT *, CASE WHEN correct THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM {CAL}) GROUP BY 1)")
+def a20(spark, d):
+    return E.calibration(cal(spark, d), "conf_ab", "correct")
+
+
+@query("a20_reliability_diagram", f"SELECT least(floor(conf_ab * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(conf_ab), 6) AS mean_confidence, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS accuracy FROM {CAL} GROUP BY 1")
+def a20d(spark, d):
+    return E.reliability_diagram(cal(spark, d), "conf_ab", "correct")
+
+
+@query("a21_temperature", f"SELECT t AS temperature, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS nll FROM (SELECT t, y, least(greatest(greatest(pe, pn, pc) / (pe + pn + pc), 1e-12), 1 - 1e-12) AS p FROM (SELECT round(0.5::DOUBLE + i * 0.5::DOUBLE, 6) AS t, CASE WHEN correct THEN 1.0 ELSE 0.0 END::DOUBLE AS y, exp(ln(greatest(e_ab, 1e-12)) / round(0.5::DOUBLE + i * 0.5::DOUBLE, 6)) AS pe, exp(ln(greatest(n_ab, 1e-12)) / round(0.5::DOUBLE + i * 0.5::DOUBLE, 6)) AS pn, exp(ln(greatest(c_ab, 1e-12)) / round(0.5::DOUBLE + i * 0.5::DOUBLE, 6)) AS pc FROM {CAL} CROSS JOIN generate_series(0, 9) s(i))) GROUP BY 1")
+def a21(spark, d):
+    return E.temperature_grid(cal(spark, d), "e_ab", "n_ab", "c_ab", "correct", 0.5, 0.5, 5.0)
+
+
+@query("a21_fitted")
+def a21f(spark, d):
+    return E.fit_temperature(E.temperature_grid(cal(spark, d), "e_ab", "n_ab", "c_ab", "correct"))
+
+
+RC = f"(SELECT p AS point, round(r::DOUBLE / n, 6) AS coverage, round(err::DOUBLE / r, 6) AS risk FROM (SELECT row_number() OVER w AS r, sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER (ORDER BY conf_ab DESC, relationship_id ROWS UNBOUNDED PRECEDING) AS err, count(*) OVER () AS n FROM {CAL} WINDOW w AS (ORDER BY conf_ab DESC, relationship_id)) JOIN (SELECT p::INTEGER AS p, greatest(1, round_even(p * (SELECT count(*) FROM {CAL})::DOUBLE / 20, 0))::BIGINT AS q FROM generate_series(1, 20) s(p)) ON q = r)"
+
+
+@query("w07_risk_coverage", f"SELECT * FROM {RC}")
+def w07(spark, d):
+    return E.risk_coverage(cal(spark, d), "conf_ab", "correct", "relationship_id")
+
+
+@query("w07_aurc", f"SELECT round(sum(dx * y), 6) AS aurc FROM (SELECT coverage - lag(coverage) OVER (ORDER BY coverage, point) AS dx, (risk + lag(risk) OVER (ORDER BY coverage, point)) / 2 AS y FROM {RC})")
+def w07a(spark, d):
+    return E.aurc(E.risk_coverage(cal(spark, d), "conf_ab", "correct", "relationship_id"))
+
+
+@query("a25_bootstrap")
+def a25(spark, d):
+    return E.bootstrap(cal(spark, d), "correct")
+
+
+@query("a25_bootstrap_clustered")
+def a25c(spark, d):
+    return E.bootstrap(cal(spark, d), "correct", "claim_id_a")
+
+
+@query("a32_direction", "SELECT round(avg(CASE WHEN up = 'A_TO_B' THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS share_forward, count(*) AS n FROM (SELECT upper(trim(direction)) AS up FROM pass1_relationships WHERE upper(trim(direction)) IN ('A_TO_B', 'B_TO_A'))")
+def a32(spark, d):
+    up = F.upper(F.trim("direction"))
+    return table(spark, d, "pass1_relationships").where(up.isin("A_TO_B", "B_TO_A")).agg(F.round(F.avg((up == "A_TO_B").cast("double")), 6).alias("share_forward"), F.count("*").alias("n"))
+
+
+@query("a33_error_taxonomy", f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN gold = predicted THEN NULL WHEN predicted = 'NEUTRAL' THEN 'missed_relation' WHEN gold = 'NEUTRAL' THEN 'false_relation' WHEN gold IN ('SUPPORTS', 'REFINES') AND predicted IN ('SUPPORTS', 'REFINES') THEN 'specificity' ELSE 'wrong_type' END AS reason FROM {BOTH}) GROUP BY 1")
+def a33(spark, d):
+    g, p = F.col("gold"), F.col("predicted")
+    reason = F.when(g == p, None).when(p == "NEUTRAL", "missed_relation").when(g == "NEUTRAL", "false_relation").when(g.isin("SUPPORTS", "REFINES") & p.isin("SUPPORTS", "REFINES"), "specificity").otherwise("wrong_type")
+    return both(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def term(x):
+    return f"CASE WHEN {x} > 0 THEN -{x} * ln({x}) / ln(3.0::DOUBLE) ELSE 0 END"
+
+
+@query("a34_entropy", f"SELECT relation_type, round(avg({term('e_ab')} + {term('n_ab')} + {term('c_ab')}), 4) AS mean_entropy, round(avg(n_ab - greatest(e_ab, c_ab)), 4) AS neutral_margin FROM {sql.RESOLVED} GROUP BY 1")
+def a34(spark, d):
+    r = R.resolve(R.flat_evidence(table(spark, d, "relationship_evidence")))
+    return r.groupBy("relation_type").agg(F.round(F.avg(E.entropy3(F.col("e_ab"), F.col("n_ab"), F.col("c_ab"))), 4).alias("mean_entropy"), F.round(F.avg(F.col("n_ab") - F.greatest("e_ab", "c_ab")), 4).alias("neutral_margin"))
+
+
+@query("a36_verification_index", "SELECT round(v, 6) AS \"index\", CASE WHEN v >= 95 THEN 'exemplary' WHEN v >= 85 THEN 'strong' WHEN v >= 75 THEN 'adequate' WHEN v >= 60 THEN 'partial' WHEN v >= 40 THEN 'weak' ELSE 'insufficient' END AS level FROM (SELECT 100 * sum(rate * w) / sum(w) AS v FROM (SELECT category, avg(CASE WHEN gold_relationship = 'CONTRADICTS' THEN 1.0 ELSE 0.0 END::DOUBLE) AS rate FROM v1_pilot_manifest WHERE gold_relationship IS NOT NULL GROUP BY 1) JOIN (SELECT * FROM (VALUES ('direct', 0.5::DOUBLE), ('numeric', 0.3), ('refines', 0.2)) t(category, w)) USING (category))")
+def a36(spark, d):
+    r = table(spark, d, "v1_pilot_manifest").select(F.col("category").alias("dimension"), (F.col("gold_relationship") == "CONTRADICTS").alias("passed"))
+    return E.verification_index(r, {"direct": 0.5, "numeric": 0.3, "refines": 0.2})
+
+
+@query("a37_evidence_conflicts", f"SELECT claim_id_a AS claim, up * down AS n_conflicts, round(least(1.0, 0.1::DOUBLE * up * down), 6) AS penalty FROM (SELECT claim_id_a, count(*) FILTER (WHERE conf_ab >= 0.5) AS up, count(*) FILTER (WHERE conf_ab < 0.5) AS down FROM {sql.FLAT} GROUP BY 1) WHERE up * down > 0")
+def a37(spark, d):
+    return E.evidence_conflicts(R.flat_evidence(table(spark, d, "relationship_evidence")), "claim_id_a", "conf_ab")
+
+
+@query("a41_gate_evaluation", "SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS accuracy, count(*) FILTER (WHERE hit AND gold) AS tp, count(*) FILTER (WHERE NOT gold AND NOT hit) AS leaked FROM (SELECT block_type IN ('paragraph', 'bullet_item', 'ordered_item', 'block_quote') AS gold, (coalesce(regexp_matches(text, '[.!?。！？।؟።]'), false)) = (block_type IN ('paragraph', 'bullet_item', 'ordered_item', 'block_quote')) AS hit FROM (SELECT DISTINCT * FROM scanner_events))")
+def a41(spark, d):
+    e = table(spark, d, "scanner_events").distinct()
+    gold = F.col("block_type").isin("paragraph", "bullet_item", "ordered_item", "block_quote")
+    hit = F.coalesce(F.col("text").rlike("[.!?。！？।؟።]"), F.lit(False)) == gold
+    return e.agg(F.round(F.avg(hit.cast("double")), 6).alias("accuracy"), F.count_if(hit & gold).alias("tp"), F.count_if(~gold & ~hit).alias("leaked"))
+
+
+@query("a45_coverage_by_category", "SELECT category, round(avg(CASE WHEN gold_relationship IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 6) AS coverage, count(*) FILTER (WHERE gold_relationship = 'NEUTRAL') AS n_neutral FROM v1_pilot_manifest GROUP BY 1")
+def a45(spark, d):
+    m = table(spark, d, "v1_pilot_manifest")
+    return m.groupBy("category").agg(F.round(F.avg(F.col("gold_relationship").isNotNull().cast("double")), 6).alias("coverage"), F.count_if(F.col("gold_relationship") == "NEUTRAL").alias("n_neutral"))
+
+
+@query("a44_model_comparison", f"SELECT model_name, count(*) AS n, round(avg(conf_ab), 6) AS mean_confidence, round(avg(CASE WHEN relation_type IN ('unknown') THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS abstention FROM {sql.RESOLVED} GROUP BY 1")
+def a44(spark, d):
+    r = R.resolve(R.flat_evidence(table(spark, d, "relationship_evidence")))
+    return r.groupBy("model_name").agg(F.count("*").alias("n"), F.round(F.avg("conf_ab"), 6).alias("mean_confidence"), F.round(F.avg((F.col("relation_type") == "unknown").cast("double")), 6).alias("abstention"))
+
+
+@query("a46_gate_ladder", "SELECT gate, position, CASE WHEN failed = 0 THEN 'passed' WHEN failed = 1 AND NOT passed THEN 'blocked' ELSE 'not reached' END AS state FROM (SELECT *, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (ORDER BY position) AS failed FROM (SELECT category AS gate, row_number() OVER (ORDER BY category)::INTEGER AS position, count(*) >= 40 AS passed FROM v1_pilot_manifest WHERE category IS NOT NULL GROUP BY 1))")
+def a46(spark, d):
+    from pyspark.sql import Window
+
+    g = table(spark, d, "v1_pilot_manifest").where("category is not null").groupBy(F.col("category").alias("gate")).agg((F.count("*") >= 40).alias("passed"))
+    return E.gate_ladder(g.withColumn("position", F.row_number().over(Window.orderBy("gate"))))
+
+
+@query("w08_family_split", "SELECT category, family, CASE WHEN r <= greatest(1, round_even(0.35::DOUBLE * n, 0)) THEN 'test' ELSE 'dev' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256(family), family) AS r, count(*) OVER (PARTITION BY category) AS n FROM (SELECT DISTINCT category, template_family_id AS family FROM v1_pilot_manifest WHERE category IS NOT NULL AND template_family_id IS NOT NULL))")
+def w08(spark, d):
+    return E.family_split(table(spark, d, "v1_pilot_manifest"), "category", "template_family_id")
+
+
+@query("w09_quotas", "SELECT stratum, n, least(n, base + CASE WHEN r <= 100 - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM (SELECT *, row_number() OVER (ORDER BY exact - base DESC, stratum) AS r FROM (SELECT stratum, n, 100.0::DOUBLE * n / sum(n) OVER () AS exact, floor(100.0::DOUBLE * n / sum(n) OVER ())::BIGINT AS base FROM (SELECT category AS stratum, count(*) AS n FROM v1_pilot_manifest GROUP BY 1)))")
+def w09(spark, d):
+    return E.quotas(table(spark, d, "v1_pilot_manifest"), "category", 100)
+
+
+@query("w09_stratified_sample")
+def w09s(spark, d):
+    return E.stratified_sample(table(spark, d, "v1_pilot_manifest"), "category", "row_id", 100).select("row_id", "category")
+
+
+@query("j09_gold_prediction", f"SELECT m.row_id, m.gold_relationship, e.relation_type FROM v1_pilot_manifest m LEFT JOIN (SELECT least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y, min(relation_type) AS relation_type FROM {sql.EDGES} GROUP BY 1, 2) e ON e.x = least(m.doc_a, m.doc_b) AND e.y = greatest(m.doc_a, m.doc_b)")
+def j09(spark, d):
+    e = R.relations(table(spark, d, "relationship_evidence")).groupBy(F.least("claim_id_a", "claim_id_b").alias("x"), F.greatest("claim_id_a", "claim_id_b").alias("y")).agg(F.min("relation_type").alias("relation_type"))
+    m = table(spark, d, "v1_pilot_manifest").select("row_id", "gold_relationship", F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y"))
+    return m.join(e, ["x", "y"], "left").select("row_id", "gold_relationship", "relation_type")
+
+
+@query("j13_common_annotations", f"SELECT id, gold, predicted FROM {BOTH}")
+def j13(spark, d):
+    return both(spark, d).select("id", "gold", "predicted")

@@ -30,7 +30,8 @@ def validate_roots(roots: list[str]) -> list[str]:
 def discover(spark: SparkSession, roots: list[str], ignored: list[str] | None = None) -> DataFrame:
     """path, relative_path, source_root, format, size_bytes, modified_at, hash, content, rejection_reason of all files below the roots.
 
-    Hidden and ignored path parts are left out; rejected are unknown extensions, empty files and files above the size limit.
+    Hidden and ignored path parts are left out; rejected are unknown extensions and files above the size
+    limit.  The reader lists no empty files, so they have no row.
     """
     rules = DEFAULTS["discovery"]
     out = None
