@@ -133,3 +133,26 @@ def p9_findings(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "documents")).select("doc_id", "doc_key", "n_chars")
+
+
+_KNOWN = ", ".join("'" + x + "'" for x in splits.NOT_KNOWN)
+_KEYS = " UNION ALL ".join(f"SELECT row_id, '{i}:' || v AS k FROM (SELECT row_id, lower(trim({c})) AS v FROM v1_pilot_manifest) WHERE v IS NOT NULL AND v NOT IN ({_KNOWN})" for i, c in enumerate(splits.KEYS))
+_LINKS = "SELECT DISTINCT claim_id_a AS a, claim_id_b AS b FROM candidate_pairs WHERE below_threshold = false AND claim_id_a <> claim_id_b"
+_GROUPS = f"WITH RECURSIVE e AS (SELECT a AS x, b AS y FROM ({_LINKS}) UNION SELECT b, a FROM ({_LINKS})), r(x, y) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), g AS (SELECT min(y) AS group_id, x AS claim_id FROM r GROUP BY x)"
+_VOTES = """(SELECT id, annotator_id, label FROM (SELECT id, annotator_id, upper(trim(label)) AS label, row_number() OVER (PARTITION BY id, annotator_id ORDER BY annotated_at DESC NULLS LAST, upper(trim(label)) DESC NULLS LAST) AS o
+ FROM (SELECT * FROM pass1_relationships UNION ALL SELECT * FROM pass2_relationships) WHERE id IS NOT NULL AND annotator_id IS NOT NULL) WHERE o = 1 AND label IN ('NEUTRAL', 'SUPPORTS', 'REFINES', 'CONTRADICTS', 'EQUIVALENT'))"""
+
+ORACLE_SQL |= {
+    "p2_found": """WITH u AS (SELECT claim_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM (SELECT claim_id, vector::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY embedded_at DESC NULLS LAST) AS o FROM embedded_claims)
+  WHERE o = 1 AND len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)),
+ s AS (SELECT a.claim_id AS a, b.claim_id AS b, list_inner_product(a.v, b.v) AS c FROM u a JOIN u b ON a.claim_id <> b.claim_id), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS o FROM s)
+ SELECT DISTINCT least(a, b) AS claim_id_a, greatest(a, b) AS claim_id_b FROM t WHERE o <= 10 AND c >= 0.75""",
+    "p3_agreement": f"""WITH n AS (SELECT id, label, count(*) AS n FROM {_VOTES} GROUP BY 1, 2), m AS (SELECT id, sum(n) AS m FROM n GROUP BY 1 HAVING sum(n) > 1), c AS (SELECT * FROM n JOIN m USING (id)),
+ s AS (SELECT count(DISTINCT id) AS n_ids, sum(n)::BIGINT AS total, sum(n * (n - 1)::DOUBLE / (m - 1)) AS same FROM c), p AS (SELECT sum(n * (n - 1)) AS pairs FROM (SELECT label, sum(n)::DOUBLE AS n FROM c GROUP BY 1))
+ SELECT n_ids, total AS n_votes, round(1 - same / total, 6) AS observed_disagreement, round(1 - pairs / (total::DOUBLE * (total - 1)), 6) AS expected_disagreement, round(1 - (1 - same / total) / (1 - pairs / (total::DOUBLE * (total - 1))), 6) AS alpha FROM s, p""",
+    "p5_found": f"""WITH RECURSIVE k AS ({_KEYS}), h AS (SELECT k, min(row_id) AS y FROM k GROUP BY 1), e AS (SELECT row_id AS x, y FROM k JOIN h USING (k) UNION SELECT y, row_id FROM k JOIN h USING (k)),
+ r(x, y) AS (SELECT row_id, row_id FROM v1_pilot_manifest UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), g AS (SELECT min(y) AS group_id, x AS row_id FROM r GROUP BY x), d AS (SELECT group_id FROM g JOIN v1_pilot_manifest USING (row_id) WHERE trim(split) <> '' GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1)
+ SELECT group_id, row_id FROM g WHERE group_id IN (SELECT group_id FROM d)""",
+    "p6_found": f"{_GROUPS} SELECT group_id, claim_id FROM g WHERE group_id <> claim_id",
+    "p6_groups": f"{_GROUPS} SELECT group_id, claim_id FROM g",
+}
