@@ -99,6 +99,7 @@ ASKS = re.compile(
     r"\b(?:enabled?|enabling|turn(?:ed)? on|switch(?:ed)? on|requires?|required|needs? to|needs? |must|does not support|doesn't support|blocked|disabled|turned off|switched off|checking|verify(?:ing)?|confirm|allow|accept|activate|support(?:s|ed)?|update your|upgrade your|please|only works?|not work)\b",
     re.I,
 )
+_SLOTTY = re.compile(r"[{\[<$@#«%_]|X{4}|\?{4}|\.{6}|:[a-z]+_")
 _FENCE = re.compile(r"^(?:```|~~~).*?(?:^(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
 _FRONT = re.compile(r"\A---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|‘[^’\n]{2,400}’(?!\w)|(?<!\w)'[^'\n]{3,400}'(?!\w)|「[^」\n]{1,400}」|『[^』\n]{1,400}』|«[^»\n]{1,400}»")
@@ -142,25 +143,44 @@ def core(s: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" \t.!?…。！？।؟።:;,-–—|_#\"'“”()")
 
 
-def filler(s: str) -> bool:
-    c = core(s)
-    words = re.findall(r"[^\W\d_]+", c)
-    if len(words) >= 4 and sum(w in FILLER_LATIN for w in words) >= 0.7 * len(words) and len({*words}) > 1 and ("lorem" in words or "ipsum" in words or len(words) >= 5):
-        return True
-    if len(words) >= 2 and len({*words}) == 1 and len(words[0]) > 2 and not has_name(s) and words[0].isascii() and (len(words) >= 3 or {*words[0]} == {"x"}):
-        return True
-    if re.fullmatch(r"([\w/]{2,12})(?: \1){2,}", c) and not has_name(s):
-        return True
-    return bool(c) and not has_name(s) and FILLER.fullmatch(c) is not None
+def latin_filler(lower: str) -> bool:
+    """Whether a statement, in lower case, is made of the printers' filler words."""
+    if sum(w.strip(",.") in FILLER_LATIN for w in lower.split(None, 8)[:8]) < 3:
+        return False
+    words = re.findall(r"[^\W\d_]+", lower)
+    return len(words) >= 4 and sum(w in FILLER_LATIN for w in words) >= 0.7 * len(words) and len({*words}) > 1 and ("lorem" in words or "ipsum" in words or len(words) >= 5)
 
 
-def error(s: str) -> bool:
-    c = core(s)
-    return bool(c) and "“”" not in s and not has_name(s) and not c.isdigit() and ERROR.fullmatch(c) is not None
+def filler(s: str, named: bool | None = None, c: str | None = None) -> bool:
+    """Whether a statement stands for missing text; named and c are has_name(s) and core(s), if known."""
+    if latin_filler(s.lower()):
+        return True
+    if has_name(s) if named is None else named:
+        return False
+    c = core(s) if c is None else c
+    if not c:
+        return False
+    first, _, rest = c.partition(" ")
+    if rest.startswith(first) and len(first) > 1:
+        words = re.findall(r"[^\W\d_]+", c)
+        if len(words) >= 2 and len({*words}) == 1 and len(words[0]) > 2 and words[0].isascii() and (len(words) >= 3 or {*words[0]} == {"x"}):
+            return True
+        if re.fullmatch(r"([\w/]{2,12})(?: \1){2,}", c):
+            return True
+    return FILLER.fullmatch(c) is not None
+
+
+def error(s: str, named: bool | None = None, c: str | None = None) -> bool:
+    """Whether a statement is an error message as a whole."""
+    if "“”" in s or (has_name(s) if named is None else named):
+        return False
+    c = core(s) if c is None else c
+    return bool(c) and not c.isdigit() and ERROR.fullmatch(c) is not None
 
 
-def demand(s: str) -> bool:
-    if has_name(s) or "“”" in s or not SCRIPTS.search(s):
+def demand(s: str, named: bool | None = None) -> bool:
+    """Whether a statement asks for scripts, cookies or a browser check."""
+    if "“”" in s or (has_name(s) if named is None else named) or not SCRIPTS.search(s):
         return False
     return not s.isascii() or ASKS.search(s) is not None or re.search(r"\b(?:bitte|aktivieren|activez|active|requiere|habilite|activa|nécessite|veuillez|erfordert|benötigt|requiert|abilita)\b", s, re.I) is not None
 
@@ -171,6 +191,8 @@ def _variable(m: re.Match) -> str:
 
 def slots(s: str) -> tuple[list[str], list[str], bool, str]:
     """(variables in clear slots, variables in doubtful ones, whether a blank stands in s, the template of s)."""
+    if not _SLOTTY.search(s):
+        return [], [], False, ""
     clear = [_variable(m) for m in CLEAR_SLOTS.finditer(s)]
     t = CLEAR_SLOTS.sub("␟", s)
     doubtful = [_variable(m) for m in DOUBTFUL_SLOTS.finditer(t)]
@@ -199,11 +221,13 @@ def evidence(documents: DataFrame, scratch: Scratch) -> DataFrame:
                         seen.add(("blank", ""))
                     bare = s.replace("**", "")
                     if len(bare) < 400:
-                        kind = "filler" if filler(bare) else "error" if error(bare) else "demand" if demand(bare) else None
+                        named = has_name(bare)
+                        c = "" if named else core(bare)
+                        kind = "filler" if filler(bare, named, c) else "error" if error(bare, named, c) else "demand" if demand(bare, named) else None
                         if kind:
-                            seen.add((kind, core(bare)[:200]))
-                        elif not has_name(bare) and "␟" not in template and len(core(bare)) > 3 and not re.search(r"\d", bare):
-                            seen.add(("plain", core(bare)))
+                            seen.add((kind, (c or core(bare))[:200]))
+                        elif not named and "␟" not in template and len(c) > 3 and not re.search(r"\d", bare):
+                            seen.add(("plain", c))
                     elif filler(bare):
                         seen.add(("filler", ""))
                 out += [(i, k, w) for k, w in seen]
