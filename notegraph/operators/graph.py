@@ -62,13 +62,13 @@ def validate(nodes: DataFrame, edges: DataFrame) -> None:
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, label: str = "component") -> DataFrame:
     """claim_id, label: the smallest id reachable over the edges taken undirected; nodes without edges stand alone.
 
-    Per round every node takes the smallest label around it and then its label's own label, so
-    rounds grow with the logarithm of the diameter.
+    Per round every linked node takes the smallest label around it and then its label's own label,
+    so rounds grow with the logarithm of the diameter.  Nodes without edges join in at the end only.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).where("x != y")
     both = scratch.table(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    state = scratch.table(nodes.select("claim_id").distinct().select("claim_id", F.col("claim_id").alias("l"), F.lit(True).alias("moved")))
-    while True:
+    state = scratch.table(both.select(F.col("x").alias("claim_id")).distinct().select("claim_id", F.col("claim_id").alias("l"), F.lit(True).alias("moved")))
+    while not both.isEmpty():
         around = both.join(state.select(F.col("claim_id").alias("y"), "l"), "y").groupBy(F.col("x").alias("claim_id")).agg(F.min("l").alias("m"))
         step = scratch.table(state.join(around, "claim_id", "left").select("claim_id", F.col("l").alias("old"), F.least("l", "m").alias("l")))
         jump = step.select(F.col("claim_id").alias("l"), F.col("l").alias("ll"))
@@ -76,7 +76,9 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, label: str
         scratch.drop(state, step)
         state = after
         if state.where("moved").isEmpty():
-            return state.select("claim_id", F.col("l").alias(label))
+            break
+    found = state.select("claim_id", "l")
+    return nodes.select("claim_id").distinct().join(found, "claim_id", "left").select("claim_id", F.coalesce("l", "claim_id").alias(label))
 
 
 def distances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
