@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegraph.operators import pipeline, records
 from notegraph.operators import predicates as P
-from notegraph.operators import records
 from notegraph.operators import relations as R
 from notegraph.plans import sql
 from notegraph.plans.registry import query
@@ -12,16 +12,34 @@ from notegraph.session import table
 
 
 def claim_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of direct relations only, as sql.RECORDS has them."""
     return records.evidence_records(table(spark, d, "claims"), table(spark, d, "relationship_evidence"))
 
 
+def scored_graph(spark: SparkSession, d: str) -> pipeline.ScoredGraph:
+    """The graph of all claims and anchors with their eight signals."""
+    docs = table(spark, d, "documents").select(F.col("doc_key").alias("document_id"), F.lower("source").alias("publisher"), F.col("notebook_id").alias("source_id"))
+    return pipeline.build(table(spark, d, "claims"), table(spark, d, "relationship_evidence"), table(spark, d, "anchor_claims"), sources=docs.dropDuplicates(["document_id"]))
+
+
+def record_query(name: str, sql_text: str):
+    """Registers f(spark, d, records) as NAME over the records of direct relations, which the SQL follows, and as NAME_scored over the scored graph."""
+
+    def add(f):
+        query(name, sql_text)(lambda spark, d: f(spark, d, claim_records(spark, d)))
+        query(f"{name}_scored")(lambda spark, d: f(spark, d, scored_graph(spark, d).records))
+        return f
+
+    return add
+
+
 COLS = "claim_id, claim_text, reliability_index, calibration_label"
 
 
-@query("f01_predicates", f"SELECT claim_id, extraction_mode, modality, support_count FROM {sql.RECORDS} WHERE coalesce(support_count >= 1, false) AND modality IS DISTINCT FROM 'certain' AND coalesce(extraction_mode IN ('STRUCTURED', 'PARTIAL'), false)")
-def f01(spark, d):
+@record_query("f01_predicates", f"SELECT claim_id, extraction_mode, modality, support_count FROM {sql.RECORDS} WHERE coalesce(support_count >= 1, false) AND modality IS DISTINCT FROM 'certain' AND coalesce(extraction_mode IN ('STRUCTURED', 'PARTIAL'), false)")
+def f01(spark, d, rows):
     tests = [P.Predicate("support_count", "gte", 1), P.Predicate("modality", "neq", "certain"), P.Predicate("extraction_mode", "in", ["STRUCTURED", "PARTIAL"])]
-    return P.where_all(claim_records(spark, d), tests).select("claim_id", "extraction_mode", "modality", "support_count")
+    return P.where_all(rows, tests).select("claim_id", "extraction_mode", "modality", "support_count")
 
 
 @query("f01_null_equals_null", f"SELECT claim_id, context FROM {sql.RECORDS} WHERE context IS NULL")
@@ -47,56 +65,56 @@ def f04(spark, d):
     return P.where_all(records.distinct_claims(claims), [P.Predicate("claim_id", "eq", first)]).select("claim_id", "claim_text", "context")
 
 
-@query("f05_search_page", f"SELECT {COLS} FROM {sql.RECORDS} WHERE reliability_index >= 1 AND contains(lower(claim_text), 'the') ORDER BY reliability_index DESC, claim_id LIMIT 50")
-def f05(spark, d):
-    page, _ = P.scan(claim_records(spark, d), [P.Predicate("reliability_index", "gte", 1)], P.Sort("reliability_index", True), P.Page(50), "THE")
+@record_query("f05_search_page", f"SELECT {COLS} FROM {sql.RECORDS} WHERE reliability_index >= 1 AND contains(lower(claim_text), 'the') ORDER BY reliability_index DESC, claim_id LIMIT 50")
+def f05(spark, d, rows):
+    page, _ = P.scan(rows, [P.Predicate("reliability_index", "gte", 1)], P.Sort("reliability_index", True), P.Page(50), "THE")
     return page.select(*COLS.split(", "))
 
 
-@query("f05_total", f"SELECT count(*) AS total FROM {sql.RECORDS} WHERE support_count >= 1")
-def f05t(spark, d):
-    return P.scan(claim_records(spark, d), [P.Predicate("support_count", "gte", 1)])[1]
+@record_query("f05_total", f"SELECT count(*) AS total FROM {sql.RECORDS} WHERE support_count >= 1")
+def f05t(spark, d, rows):
+    return P.scan(rows, [P.Predicate("support_count", "gte", 1)])[1]
 
 
-@query("f07_fetch_reliability", f"SELECT c.claim_id, coalesce(r.reliability_index, 0) AS reliability_index, coalesce(r.uncertainty_score, 100) AS uncertainty_score, coalesce(r.calibration_label, 'very_low') AS calibration_label FROM {sql.CLAIMS} c LEFT JOIN (SELECT * FROM {sql.RECORDS} WHERE support_count >= 1) r USING (claim_id)")
-def f07(spark, d):
-    rel = claim_records(spark, d).where("support_count >= 1").select("claim_id", "reliability_index", "uncertainty_score", "calibration_label")
+@record_query("f07_fetch_reliability", f"SELECT c.claim_id, coalesce(r.reliability_index, 0) AS reliability_index, coalesce(r.uncertainty_score, 100) AS uncertainty_score, coalesce(r.calibration_label, 'very_low') AS calibration_label FROM {sql.CLAIMS} c LEFT JOIN (SELECT * FROM {sql.RECORDS} WHERE support_count >= 1) r USING (claim_id)")
+def f07(spark, d, rows):
+    rel = rows.where("support_count >= 1").select("claim_id", "reliability_index", "uncertainty_score", "calibration_label")
     return P.claim_view(records.distinct_claims(table(spark, d, "claims")), rel).select("claim_id", "reliability_index", "uncertainty_score", "calibration_label")
 
 
-@query("f08_projection_standard", f"SELECT claim_id, claim_text, reliability_index, calibration_label, context, document_id, uncertainty_score, support_count FROM {sql.RECORDS}")
-def f08(spark, d):
-    return P.project(claim_records(spark, d), "standard")
+@record_query("f08_projection_standard", f"SELECT claim_id, claim_text, reliability_index, calibration_label, context, document_id, uncertainty_score, support_count FROM {sql.RECORDS}")
+def f08(spark, d, rows):
+    return P.project(rows, "standard")
 
 
-@query("f10_rounded", f"SELECT claim_id, round(reliability_index, 2) AS reliability_index, round(weighted_confidence, 3) AS weighted_confidence FROM {sql.RECORDS}")
-def f10(spark, d):
-    return P.rounded(claim_records(spark, d)).select("claim_id", "reliability_index", "weighted_confidence")
+@record_query("f10_rounded", f"SELECT claim_id, round(reliability_index, 2) AS reliability_index, round(weighted_confidence, 3) AS weighted_confidence FROM {sql.RECORDS}")
+def f10(spark, d, rows):
+    return P.rounded(rows).select("claim_id", "reliability_index", "weighted_confidence")
 
 
-@query("f14_contradictions", f"SELECT claim_id, conflict_pressure, reliability_index FROM {sql.RECORDS} WHERE conflict_pressure > 0 ORDER BY conflict_pressure DESC, claim_id LIMIT 50")
-def f14(spark, d):
-    return P.scan(claim_records(spark, d), [P.Predicate("conflict_pressure", "gt", 0)], P.Sort("conflict_pressure", True), P.Page(50))[0].select("claim_id", "conflict_pressure", "reliability_index")
+@record_query("f14_contradictions", f"SELECT claim_id, conflict_pressure, reliability_index FROM {sql.RECORDS} WHERE conflict_pressure > 0 ORDER BY conflict_pressure DESC, claim_id LIMIT 50")
+def f14(spark, d, rows):
+    return P.scan(rows, [P.Predicate("conflict_pressure", "gt", 0)], P.Sort("conflict_pressure", True), P.Page(50))[0].select("claim_id", "conflict_pressure", "reliability_index")
 
 
-@query("f14_provenance", f"SELECT claim_id, source_path, support_count FROM {sql.RECORDS} ORDER BY support_count DESC, claim_id LIMIT 25")
-def f14p(spark, d):
-    return P.scan(claim_records(spark, d), [], P.Sort("support_count", True), P.Page(25))[0].select("claim_id", "source_path", "support_count")
+@record_query("f14_provenance", f"SELECT claim_id, source_path, support_count FROM {sql.RECORDS} ORDER BY support_count DESC, claim_id LIMIT 25")
+def f14p(spark, d, rows):
+    return P.scan(rows, [], P.Sort("support_count", True), P.Page(25))[0].select("claim_id", "source_path", "support_count")
 
 
-@query("o01_sort_null_as_zero", f"SELECT claim_id, weighted_confidence FROM {sql.RECORDS} ORDER BY coalesce(weighted_confidence, 0) DESC, claim_id LIMIT 100")
-def o01(spark, d):
-    return P.scan(claim_records(spark, d), [], P.Sort("weighted_confidence", True), P.Page(100))[0].select("claim_id", "weighted_confidence")
+@record_query("o01_sort_null_as_zero", f"SELECT claim_id, weighted_confidence FROM {sql.RECORDS} ORDER BY coalesce(weighted_confidence, 0) DESC, claim_id LIMIT 100")
+def o01(spark, d, rows):
+    return P.scan(rows, [], P.Sort("weighted_confidence", True), P.Page(100))[0].select("claim_id", "weighted_confidence")
 
 
-@query("o02_offset_page", f"SELECT claim_id, degree FROM {sql.RECORDS} ORDER BY degree, claim_id LIMIT 40 OFFSET 80")
-def o02(spark, d):
-    return P.scan(claim_records(spark, d), [], P.Sort("degree"), P.Page(40, 80))[0].select("claim_id", "degree")
+@record_query("o02_offset_page", f"SELECT claim_id, degree FROM {sql.RECORDS} ORDER BY degree, claim_id LIMIT 40 OFFSET 80")
+def o02(spark, d, rows):
+    return P.scan(rows, [], P.Sort("degree"), P.Page(40, 80))[0].select("claim_id", "degree")
 
 
-@query("o03_least_reliable", f"SELECT claim_id, reliability_index FROM {sql.RECORDS} ORDER BY reliability_index, claim_id LIMIT 20")
-def o03(spark, d):
-    return claim_records(spark, d).orderBy("reliability_index", "claim_id").limit(20).select("claim_id", "reliability_index")
+@record_query("o03_least_reliable", f"SELECT claim_id, reliability_index FROM {sql.RECORDS} ORDER BY reliability_index, claim_id LIMIT 20")
+def o03(spark, d, rows):
+    return rows.orderBy("reliability_index", "claim_id").limit(20).select("claim_id", "reliability_index")
 
 
 @query("o04_pair_limit", "SELECT claim_id_a, claim_id_b, cosine_similarity FROM (SELECT DISTINCT claim_id_a, claim_id_b, cosine_similarity FROM candidate_pairs) ORDER BY cosine_similarity DESC NULLS LAST, claim_id_a, claim_id_b NULLS LAST LIMIT 500")
@@ -143,10 +161,10 @@ def j12(spark, d):
     return invalidate(R.flat_evidence(table(spark, d, "relationship_evidence")), table(spark, d, "anchor_claims")).select("relationship_id")
 
 
-@query("s16_export_csv", f"SELECT claim_id || ',' || replace(calibration_label, ',', ' ') || ',' || cast(support_count AS VARCHAR) AS line FROM {sql.RECORDS} WHERE support_count >= 1")
-def s16(spark, d):
-    rows = P.where_all(claim_records(spark, d), [P.Predicate("support_count", "gte", 1)])
-    return rows.select(F.concat_ws(",", "claim_id", F.regexp_replace("calibration_label", ",", " "), F.col("support_count").cast("string")).alias("line"))
+@record_query("s16_export_csv", f"SELECT claim_id || ',' || replace(calibration_label, ',', ' ') || ',' || cast(support_count AS VARCHAR) AS line FROM {sql.RECORDS} WHERE support_count >= 1")
+def s16(spark, d, rows):
+    kept = P.where_all(rows, [P.Predicate("support_count", "gte", 1)])
+    return kept.select(F.concat_ws(",", "claim_id", F.regexp_replace("calibration_label", ",", " "), F.col("support_count").cast("string")).alias("line"))
 
 
 @query("s17_export_graphml", f"""SELECT '<node id="' || claim_id || '"><data key="label">' || left(replace(replace(replace(claim_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 80) || '</data></node>' AS line FROM {sql.CLAIMS} UNION ALL

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from notegraph.operators import pipeline
 from notegraph.operators import relations as R
 from notegraph.operators import scoring as S
 from notegraph.plans import sql
+from notegraph.plans.q_engine import scored_graph
 from notegraph.plans.registry import query
 from notegraph.session import table
 
@@ -102,6 +102,4 @@ def a28(spark, d):
 
 @query("k00_scored_graph")
 def k00(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_key").alias("document_id"), F.lower("source").alias("publisher"), F.col("notebook_id").alias("source_id"))
-    g = pipeline.build(table(spark, d, "claims"), table(spark, d, "relationship_evidence"), table(spark, d, "anchor_claims"), sources=docs.dropDuplicates(["document_id"]))
-    return g.records.drop("supporting_ids")
+    return scored_graph(spark, d).records.drop("supporting_ids")

@@ -5,34 +5,34 @@ from pyspark.sql import functions as F
 from notegraph.operators import relations as R
 from notegraph.operators import statistics as A
 from notegraph.plans import sql
-from notegraph.plans.q_engine import claim_records
+from notegraph.plans.q_engine import record_query
 from notegraph.plans.registry import query
 from notegraph.session import table
 
 
-@query("a01_overview", f"SELECT count(*) AS n_claims, round(avg(reliability_index), 2) AS mean_reliability, round(median(reliability_index), 2) AS median_reliability, count(*) FILTER (WHERE reliability_index >= 65) AS n_high, count(*) FILTER (WHERE reliability_index < 45) AS n_low, round(avg(uncertainty_score), 2) AS mean_uncertainty FROM {sql.RECORDS}")
-def a01(spark, d):
-    return A.overview(claim_records(spark, d))
+@record_query("a01_overview", f"SELECT count(*) AS n_claims, round(avg(reliability_index), 2) AS mean_reliability, round(median(reliability_index), 2) AS median_reliability, count(*) FILTER (WHERE reliability_index >= 65) AS n_high, count(*) FILTER (WHERE reliability_index < 45) AS n_low, round(avg(uncertainty_score), 2) AS mean_uncertainty FROM {sql.RECORDS}")
+def a01(spark, d, rows):
+    return A.overview(rows)
 
 
-@query("a02_labels", f"SELECT calibration_label, count(*) AS n FROM {sql.RECORDS} GROUP BY 1")
-def a02(spark, d):
-    return claim_records(spark, d).groupBy("calibration_label").agg(F.count("*").alias("n"))
+@record_query("a02_labels", f"SELECT calibration_label, count(*) AS n FROM {sql.RECORDS} GROUP BY 1")
+def a02(spark, d, rows):
+    return rows.groupBy("calibration_label").agg(F.count("*").alias("n"))
 
 
-@query("a03_histogram", f"SELECT b::INTEGER AS bucket, CAST(b * 10 AS VARCHAR) || '-' || CAST((b + 1) * 10 AS VARCHAR) AS label, count(r.claim_id) AS n FROM generate_series(0, 9) s(b) LEFT JOIN {sql.RECORDS} r ON least(floor(reliability_index / 10), 9) = b GROUP BY b")
-def a03(spark, d):
-    return A.histogram(claim_records(spark, d), F.col("reliability_index"))
+@record_query("a03_histogram", f"SELECT b::INTEGER AS bucket, CAST(b * 10 AS VARCHAR) || '-' || CAST((b + 1) * 10 AS VARCHAR) AS label, count(r.claim_id) AS n FROM generate_series(0, 9) s(b) LEFT JOIN {sql.RECORDS} r ON least(floor(reliability_index / 10), 9) = b GROUP BY b")
+def a03(spark, d, rows):
+    return A.histogram(rows, F.col("reliability_index"))
 
 
-@query("a04_document_summary", f"SELECT document_id, count(*) AS n_claims, round(avg(reliability_index), 6) AS mean_reliability, sum(support_count)::BIGINT AS n_supports FROM {sql.RECORDS} GROUP BY 1")
-def a04(spark, d):
-    return claim_records(spark, d).groupBy("document_id").agg(F.count("*").alias("n_claims"), F.round(F.avg("reliability_index"), 6).alias("mean_reliability"), F.sum("support_count").alias("n_supports"))
+@record_query("a04_document_summary", f"SELECT document_id, count(*) AS n_claims, round(avg(reliability_index), 6) AS mean_reliability, sum(support_count)::BIGINT AS n_supports FROM {sql.RECORDS} GROUP BY 1")
+def a04(spark, d, rows):
+    return rows.groupBy("document_id").agg(F.count("*").alias("n_claims"), F.round(F.avg("reliability_index"), 6).alias("mean_reliability"), F.sum("support_count").alias("n_supports"))
 
 
-@query("a06_scoring_maxima", f"SELECT greatest(1, max(support_count)) AS max_support, round(avg(support_count), 6) AS avg_support, max(in_degree) AS max_in_degree, max(degree) AS max_degree FROM {sql.RECORDS}")
-def a06(spark, d):
-    return claim_records(spark, d).agg(F.greatest(F.lit(1), F.max("support_count")).alias("max_support"), F.round(F.avg("support_count"), 6).alias("avg_support"), F.max("in_degree").alias("max_in_degree"), F.max("degree").alias("max_degree"))
+@record_query("a06_scoring_maxima", f"SELECT greatest(1, max(support_count)) AS max_support, round(avg(support_count), 6) AS avg_support, max(in_degree) AS max_in_degree, max(degree) AS max_degree FROM {sql.RECORDS}")
+def a06(spark, d, rows):
+    return rows.agg(F.greatest(F.lit(1), F.max("support_count")).alias("max_support"), F.round(F.avg("support_count"), 6).alias("avg_support"), F.max("in_degree").alias("max_in_degree"), F.max("degree").alias("max_degree"))
 
 
 @query("a10_embedding_statistics", "SELECT count(*) AS n, count(DISTINCT claim_id) AS n_claims, count(*) FILTER (WHERE cache_used) AS n_cached, round(avg(CASE WHEN cache_used THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS hit_rate, count(*) FILTER (WHERE NOT finite) AS n_not_finite FROM embedded_claims")
@@ -47,10 +47,10 @@ def a11(spark, d):
     return e.groupBy(F.least(F.floor(F.col("decision_confidence") * 10), F.lit(9)).cast("int").alias("bin"), "relation_type").agg(F.count("*").alias("n"))
 
 
-@query("a12_telemetry", f"SELECT round(avg(reliability_index), 6) AS avg_index, round(avg(uncertainty_score), 6) AS avg_uncertainty, count(*) FILTER (WHERE calibration_label IN ('high', 'very_high')) AS n_high, count(*) FILTER (WHERE calibration_label IN ('low', 'very_low')) AS n_low FROM {sql.RECORDS}")
-def a12(spark, d):
+@record_query("a12_telemetry", f"SELECT round(avg(reliability_index), 6) AS avg_index, round(avg(uncertainty_score), 6) AS avg_uncertainty, count(*) FILTER (WHERE calibration_label IN ('high', 'very_high')) AS n_high, count(*) FILTER (WHERE calibration_label IN ('low', 'very_low')) AS n_low FROM {sql.RECORDS}")
+def a12(spark, d, rows):
     x = F.col("calibration_label")
-    return claim_records(spark, d).agg(F.round(F.avg("reliability_index"), 6).alias("avg_index"), F.round(F.avg("uncertainty_score"), 6).alias("avg_uncertainty"), F.count_if(x.isin("high", "very_high")).alias("n_high"), F.count_if(x.isin("low", "very_low")).alias("n_low"))
+    return rows.agg(F.round(F.avg("reliability_index"), 6).alias("avg_index"), F.round(F.avg("uncertainty_score"), 6).alias("avg_uncertainty"), F.count_if(x.isin("high", "very_high")).alias("n_high"), F.count_if(x.isin("low", "very_low")).alias("n_low"))
 
 
 @query("a13_index_statistics", " UNION ALL ".join(f"SELECT '{f}' AS field, count(DISTINCT {f}) AS n_values, count({f}) AS n_entries, round(count({f})::DOUBLE / greatest(1, count(DISTINCT {f})), 6) AS entries_per_value FROM {sql.CLAIMS}" for f in ("document_id", "modality", "extraction_mode")))
