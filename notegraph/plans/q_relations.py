@@ -98,6 +98,12 @@ def r09(spark, d):
     return c.select("claim_id", lexicon.specificity(F.col("claim_text")).alias("specificity"))
 
 
+@query("r09_specificity_all")
+def r09a(spark, d):
+    c = records.distinct_claims(table(spark, d, "claims"))
+    return c.select("claim_id", lexicon.specificity(F.col("claim_text")).alias("specificity"))
+
+
 @query("r10_rejections", f"SELECT rejection_reason, count(*) AS n FROM {sql.DECIDED} GROUP BY 1")
 def r10(spark, d):
     out = R.resolve(flat(spark, d)).withColumn("decision_confidence", R.decision_confidence())

@@ -313,3 +313,14 @@ def test_record_queries_over_the_scored_graph(spark, tmp_path):
     want = {"a": 100 * (0.15 * 1 + 0.05 * 0.5) / 0.8, "c": 100 * (0.25 * strength + 0.15 * independence + 0.15 * 1 - 0.20 * conflict) / 0.8, "e": 0.0}
     assert {x: round(records[x]["reliability_index"], 6) for x in want} == {x: round(v, 6) for x, v in want.items()}
     assert records["e"]["calibration_label"] == "very_low" and {n for n in QUERIES if n.endswith("_scored")}.isdisjoint(ORACLE_SQL)
+
+
+def test_specificity_of_all_claims(spark, tmp_path):
+    from notegraph.plans.registry import QUERIES
+
+    rows = [("a", "The relay failed 3 times"), ("b", "The relay in Zürich failed 3 times"), ("c", "“Relay” failed in Mai 1999"), ("d", None)]
+    full = [(i, t, None, "d", "p", "STRUCTURED", False, "certain") for i, t in rows]
+    spark.createDataFrame(full, "claim_id string, text string, context string, document_id string, source_path string, extraction_mode string, is_negated boolean, modality string").write.parquet(str(tmp_path / "claims.parquet"))
+    got = {r[0]: r[1] for r in QUERIES["r09_specificity_all"](spark, str(tmp_path)).collect()}
+    # a: relay, failed, times + one number; b: also "rich" of Zürich and its capital Z; c: relay, failed, 1999 + number + year + Mai
+    assert got == {"a": 5.0, "b": 7.5, "c": 8.5, "d": 0.0}
