@@ -21,6 +21,17 @@ def raw(spark, d):
     )
 
 
+def signal_query(name, sql_text):
+    """Registers f(spark, d, signals) as NAME over relabelled score columns, which the SQL follows, and as NAME_signals over the eight signals of the scored graph."""
+
+    def add(f):
+        query(name, sql_text)(lambda spark, d: f(spark, d, raw(spark, d)))
+        query(f"{name}_signals")(lambda spark, d: f(spark, d, scored_graph(spark, d).scored.select("claim_id", *S.SIGNALS)))
+        return f
+
+    return add
+
+
 def g(s):
     return f"CASE WHEN {s} IS NULL OR isnan({s}) OR isinf({s}) THEN 0.0 ELSE least(1.0, greatest(0.0, {s})) END::DOUBLE"
 
@@ -48,9 +59,9 @@ def scored_sql(profile):
 
 
 def _profile(profile):
-    @query(f"k11_fusion_{profile}", f"SELECT *, {sql.LABEL.format(x='reliability_index')} AS calibration_label FROM {scored_sql(profile)}")
-    def run(spark, d):
-        out = S.score(raw(spark, d), profile)
+    @signal_query(f"k11_fusion_{profile}", f"SELECT *, {sql.LABEL.format(x='reliability_index')} AS calibration_label FROM {scored_sql(profile)}")
+    def run(spark, d, signals):
+        out = S.score(signals, profile)
         return out.select("claim_id", *[F.round(c, 6).alias(c) for c in ("reliability_index", "importance_index", "evidence_completeness", "uncertainty_score")], "calibration_label")
 
 
@@ -58,46 +69,46 @@ for _p in S.PROFILES:
     _profile(_p)
 
 
-@query("k08_signal_status", f"SELECT claim_id, CASE WHEN conflict_pressure IS NULL THEN 'unavailable' ELSE 'measured' END AS conflict_status, {g('conflict_pressure')} AS conflict_value FROM {RAW}")
-def k08(spark, d):
-    return raw(spark, d).select("claim_id", S.status(F.col("conflict_pressure")).alias("conflict_status"), S.guard(F.col("conflict_pressure")).alias("conflict_value"))
+@signal_query("k08_signal_status", f"SELECT claim_id, CASE WHEN conflict_pressure IS NULL THEN 'unavailable' ELSE 'measured' END AS conflict_status, {g('conflict_pressure')} AS conflict_value FROM {RAW}")
+def k08(spark, d, signals):
+    return signals.select("claim_id", S.status(F.col("conflict_pressure")).alias("conflict_status"), S.guard(F.col("conflict_pressure")).alias("conflict_value"))
 
 
-@query("k14_label_counts", f"SELECT {sql.LABEL.format(x='reliability_index')} AS calibration_label, count(*) AS n FROM {scored_sql('research')} GROUP BY 1")
-def k14(spark, d):
-    return S.score(raw(spark, d), "research").groupBy("calibration_label").agg(F.count("*").alias("n"))
+@signal_query("k14_label_counts", f"SELECT {sql.LABEL.format(x='reliability_index')} AS calibration_label, count(*) AS n FROM {scored_sql('research')} GROUP BY 1")
+def k14(spark, d, signals):
+    return S.score(signals, "research").groupBy("calibration_label").agg(F.count("*").alias("n"))
 
 
 @query("k15_explanations")
 def k15(spark, d):
-    return S.explain_level(S.explain(S.score(raw(spark, d))), 3).drop("signal_statuses")
+    return S.explain_level(scored_graph(spark, d).scored, 3).drop("signal_statuses")
 
 
-@query("f12_explain_summary", f"SELECT claim_id, reliability_index, {sql.LABEL.format(x='reliability_index')} AS calibration_label, uncertainty_score, evidence_completeness FROM {scored_sql('balanced')}")
-def f12(spark, d):
-    out = S.explain_level(S.explain(S.score(raw(spark, d))), 0)
+@signal_query("f12_explain_summary", f"SELECT claim_id, reliability_index, {sql.LABEL.format(x='reliability_index')} AS calibration_label, uncertainty_score, evidence_completeness FROM {scored_sql('balanced')}")
+def f12(spark, d, signals):
+    out = S.explain_level(S.explain(S.score(signals)), 0)
     return out.withColumns({c: F.round(c, 6) for c in ("reliability_index", "uncertainty_score", "evidence_completeness")})
 
 
-@query("k18_reconstruction", f"SELECT count(*) AS n, count(*) AS n_exact FROM {RAW}")
-def k18(spark, d):
-    return S.reconstruct(S.score(raw(spark, d))).agg(F.count("*").alias("n"), F.count_if("exact").alias("n_exact"))
+@signal_query("k18_reconstruction", f"SELECT count(*) AS n, count(*) AS n_exact FROM {RAW}")
+def k18(spark, d, signals):
+    return S.reconstruct(S.score(signals)).agg(F.count("*").alias("n"), F.count_if("exact").alias("n_exact"))
 
 
 ABLATION = " UNION ALL ".join(f"SELECT '{s}' AS signal, least(100.0, greatest(0.0, {total('balanced', S.EVIDENCE)})) AS b, least(100.0, greatest(0.0, {total('balanced', S.EVIDENCE, s)})) AS v FROM {RAW}" for s in S.family_weights("balanced", S.EVIDENCE))
 
 
-@query("a27_ablation", f"SELECT signal, round(avg(v - b), 6) AS mean_shift, round(avg(abs(v - b)), 6) AS mean_abs_delta, round(corr(b, v), 6) AS correlation FROM ({ABLATION}) GROUP BY 1")
-def a27(spark, d):
-    return S.ablation(raw(spark, d))
+@signal_query("a27_ablation", f"SELECT signal, round(avg(v - b), 6) AS mean_shift, round(avg(abs(v - b)), 6) AS mean_abs_delta, round(corr(b, v), 6) AS correlation FROM ({ABLATION}) GROUP BY 1")
+def a27(spark, d, signals):
+    return S.ablation(signals)
 
 
 DIAG = " UNION ALL ".join(f"SELECT '{s}' AS signal, {s} AS x, {g(s)} AS v FROM {RAW}" for s in S.SIGNALS)
 
 
-@query("a28_diagnostic", f"SELECT signal, round(avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 6) AS availability, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS nonzero_fraction FROM ({DIAG}) GROUP BY 1")
-def a28(spark, d):
-    return S.diagnostic(raw(spark, d))
+@signal_query("a28_diagnostic", f"SELECT signal, round(avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 6) AS availability, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS nonzero_fraction FROM ({DIAG}) GROUP BY 1")
+def a28(spark, d, signals):
+    return S.diagnostic(signals)
 
 
 @query("k00_scored_graph")

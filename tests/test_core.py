@@ -324,3 +324,14 @@ def test_specificity_of_all_claims(spark, tmp_path):
     got = {r[0]: r[1] for r in QUERIES["r09_specificity_all"](spark, str(tmp_path)).collect()}
     # a: relay, failed, times + one number; b: also "rich" of Zürich and its capital Z; c: relay, failed, 1999 + number + year + Mai
     assert got == {"a": 5.0, "b": 7.5, "c": 8.5, "d": 0.0}
+
+
+def test_score_queries_over_real_signals(spark, tmp_path):
+    from notegraph.plans.registry import QUERIES
+
+    d = scored_dir(spark, tmp_path / "in")
+    got = {r["claim_id"]: r for r in QUERIES["k15_explanations"](spark, d).collect()}
+    assert set(got) == set("abcdefg")
+    assert {x: round(r["conflict_pressure"], 9) for x, r in got.items() if r["conflict_pressure"]} == {"c": 0.97, "e": 0.97}
+    status = {r["claim_id"]: round(r["conflict_value"], 9) for r in QUERIES["k08_signal_status_signals"](spark, d).collect()}
+    assert status == {x: 0.97 if x in "ce" else 0.0 for x in "abcdefg"}
