@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.functions import lexicon
+
 
 def tfidf_vectors(texts: DataFrame) -> DataFrame:
     """claim_id, w, x: tf times smoothed idf, divided by the text's length; texts: (claim_id, text), null counts as empty."""
@@ -40,3 +44,61 @@ def lint(manifest: DataFrame) -> DataFrame:
         .unionByName(one(split, "family_in_several_splits")).unionByName(one(twice, "duplicate_pair"))
     )
     return found.groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def labelled_pairs(rows: DataFrame, candidate: float, support: float, block: int = 2048) -> DataFrame:
+    """claim_id_a, claim_id_b (smaller first), similarity, label: every pair of claims whose inner product reaches `candidate`.
+
+    rows: claim_id, neg, x and, for sparse vectors, w with the words of x.  Rows are hashed into
+    n / block blocks and every two blocks meet once; a task holds two blocks and one product of
+    block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
+    """
+    sparse = "w" in rows.columns
+    blocks = max(1, -(-rows.count() // block))
+    names = ["claim_id", "neg", *(["w"] if sparse else []), "x"]
+    placed = rows.withColumn("at", F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = placed.select(other, "at", *names).select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", *names)
+
+    def dense(g: pd.DataFrame, index: dict[str, int], low: int, high: int) -> np.ndarray:
+        out = np.zeros((len(g), high - low))
+        for r, (words, xs) in enumerate(zip(g["w"], g["x"], strict=True)):
+            for w, x in zip(words, xs, strict=True):
+                if low <= (c := index.get(w, -1)) < high:
+                    out[r, c - low] = x
+        return out
+
+    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        a, b = (g[g["at"] == k].sort_values("claim_id", ignore_index=True) for k in (i, j))
+        s = np.zeros((len(a), len(b)))
+        if sparse and len(a) and len(b):
+            shared = sorted({w for ws in a["w"] for w in ws} & {w for ws in b["w"] for w in ws})
+            index = {w: c for c, w in enumerate(shared)}
+            for low in range(0, len(shared), 1024):
+                high = min(low + 1024, len(shared))
+                s += dense(a, index, low, high) @ dense(b, index, low, high).T
+        elif len(a) and len(b):
+            s = np.stack(a["x"].to_numpy()) @ np.stack(b["x"].to_numpy()).T
+        hit = s >= candidate
+        p, q = np.nonzero(np.triu(hit, 1) if i == j else hit)
+        ka, kb, sim = a["claim_id"].to_numpy()[p], b["claim_id"].to_numpy()[q], s[p, q]
+        differ = a["neg"].to_numpy()[p] != b["neg"].to_numpy()[q]
+        first = ka < kb
+        label = np.where(differ, "CONTRADICTS", np.where(sim >= support, "SUPPORTS", "NEUTRAL"))
+        return pd.DataFrame({"claim_id_a": np.where(first, ka, kb), "claim_id_b": np.where(first, kb, ka), "similarity": np.round(sim, 6), "label": label})
+
+    return met.groupBy("i", "j").applyInPandas(meet, "claim_id_a string, claim_id_b string, similarity double, label string")
+
+
+def tfidf_relations(texts: DataFrame, candidate: float = 0.20, support: float = 0.55, block: int = 2048) -> DataFrame:
+    """The TF-IDF baseline over all pairs of texts: (claim_id, text)."""
+    v = tfidf_vectors(texts).groupBy("claim_id").agg(F.collect_list(F.struct("w", "x")).alias("v"))
+    rows = v.join(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg")), "claim_id")
+    return labelled_pairs(rows.select("claim_id", "neg", F.col("v.w").alias("w"), F.col("v.x").alias("x")), candidate, support, block)
+
+
+def vector_relations(texts: DataFrame, vectors: DataFrame, candidate: float = 0.45, support: float = 0.75, block: int = 2048) -> DataFrame:
+    """The sentence-vector baseline over all pairs; vectors: (claim_id, vector), unit vectors of one length."""
+    rows = vectors.join(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg")), "claim_id")
+    return labelled_pairs(rows.select("claim_id", "neg", F.col("vector").cast("array<double>").alias("x")), candidate, support, block)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from notegraph.functions import lexicon
+from notegraph.functions import vectors as V
 from notegraph.operators import records
 from notegraph.operators import relations as R
 from notegraph.plans import sql
@@ -147,6 +148,26 @@ def r13(spark, d):
     return tfidf_similarity(c, pairs, 0.2)
 
 
+def claim_texts(spark, d):
+    return records.distinct_claims(table(spark, d, "claims")).select("claim_id", F.col("claim_text").alias("text"))
+
+
+@query("r13_tfidf_relations")
+def r13a(spark, d):
+    from notegraph.operators.baselines import tfidf_relations
+
+    return tfidf_relations(claim_texts(spark, d))
+
+
+@query("r13_vector_relations")
+def r13v(spark, d):
+    from notegraph.operators.baselines import vector_relations
+
+    usable = table(spark, d, "embedded_claims").where(V.problem(F.col("vector"), 96).isNull())
+    latest = usable.groupBy("claim_id").agg(F.max(F.struct("embedded_at", "vector"))["vector"].cast("array<double>").alias("vector"))
+    return vector_relations(claim_texts(spark, d), latest.select("claim_id", V.l2_normalize(F.col("vector")).alias("vector")))
+
+
 @query("r15_three_way", f"SELECT relationship_id, CASE relation_type WHEN 'contradicts' THEN 'REFUTES' WHEN 'neutral' THEN 'NOT ENOUGH INFO' WHEN 'unknown' THEN 'NOT ENOUGH INFO' ELSE 'SUPPORTS' END AS label FROM {sql.RESOLVED}")
 def r15(spark, d):
     t = F.col("relation_type")

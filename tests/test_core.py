@@ -335,3 +335,26 @@ def test_score_queries_over_real_signals(spark, tmp_path):
     assert {x: round(r["conflict_pressure"], 9) for x, r in got.items() if r["conflict_pressure"]} == {"c": 0.97, "e": 0.97}
     status = {r["claim_id"]: round(r["conflict_value"], 9) for r in QUERIES["k08_signal_status_signals"](spark, d).collect()}
     assert status == {x: 0.97 if x in "ce" else 0.0 for x in "abcdefg"}
+
+
+def test_baselines_over_all_pairs(spark):
+    from notegraph.operators import baselines
+
+    rng = random.Random(3)
+    texts = {f"c{i:02d}": " ".join(rng.choices(["relay", "packet", "router", "the", "is", "not", "fast", "slow", "old", "new"], k=rng.randrange(1, 7))) for i in range(40)} | {"x": "!", "y": None}
+    words = {k: T_ for k, t in texts.items() if (T_ := (t or "").split()) and t != "!"}
+    df = {w: sum(w in x for x in words.values()) for w in {w for x in words.values() for w in x}}
+    vec = {k: {w: x.count(w) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w in x} for k, x in words.items()}
+    unit = {k: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in vec.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(unit), 2):
+        s = sum(x * unit[b].get(w, 0.0) for w, x in unit[a].items())
+        if s >= 0.2:
+            want[a, b] = (s, "CONTRADICTS" if ("not" in words[a]) != ("not" in words[b]) else "SUPPORTS" if s >= 0.55 else "NEUTRAL")
+    claims = spark.createDataFrame(list(texts.items()), "claim_id string, text string")
+    for block in (7, 2048):
+        got = baselines.tfidf_relations(claims, block=block).collect()
+        assert len(got) == len(want) and {(r[0], r[1]): r[3] for r in got} == {k: v[1] for k, v in want.items()}
+        assert all(abs(r[2] - want[r[0], r[1]][0]) < 1e-6 for r in got)
+    vectors = spark.createDataFrame([("c00", [1.0, 0.0]), ("c01", [0.8, 0.6]), ("c02", [0.5, math.sqrt(0.75)]), ("c03", [-1.0, 0.0])], "claim_id string, vector array<double>")
+    assert {(r[0], r[1]): r[2] for r in baselines.vector_relations(claims, vectors, block=2).collect()} == {("c00", "c01"): 0.8, ("c00", "c02"): 0.5, ("c01", "c02"): 0.919615}
