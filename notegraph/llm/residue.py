@@ -1,269 +1,272 @@
 """Problem 9: unfilled template slots, filler text, error pages and demands for scripts.
 
-Statements of a document's own prose (code, quotations and front matter set aside) are brought
-to templates.  Records of one template are aligned over the collection: what differs between
-them is a slot, and a slot that still holds a variable name, a default or a blank marks its
-document.  Variable names are induced from unmistakable slots and then recognised in forms that
-could mean something else.  Statements without any name that repeat over documents and keep
-company with error messages or filler are whole-page templates and mark documents too.
+Nothing here knows what an error message says.  The statements of every document's own prose
+(code, quotations and front matter set aside) are aligned over the whole collection.
+
+* Slots: a statement with its marked spans, blanks, figures and names taken out is a frame.
+  Records of one frame are aligned; a place where they hold different fillings is a slot.  A
+  name that stands as a filling in several frames and under several marks is a variable name,
+  and a mark most of whose contents are variable names is a slot mark.  A slot that still holds
+  a variable name in slot marks, or a blank, flags its document.
+* Page templates: a statement that hardly ever varies (it makes up most of all statements that
+  begin or end like it) and comes back in several texts is rigid.  Texts of nothing but rigid
+  statements and slots are hollow pages; a rigid statement of which a fair share stands on
+  hollow pages is a message of an error, script or stub page and flags every document with it.
+* Defaults: statements made of the printers' filler words.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.lineage import Scratch
 
-_ID = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+){0,3}"
-#: Delimiters that are hardly anything but a slot in prose, group "v" being the variable.
-CLEAR_SLOTS = re.compile(
-    r"\{\{[#/^&>]?\s*(?P<v1>" + _ID + r")\s*\}\}|\$\{\s*(?P<v2>" + _ID + r")\s*\}|<%=?\s*(?P<v3>" + _ID + r")\s*%>|\{%-?\s*(?P<v4>" + _ID + r")\s*-?%\}"
-    r"|@@\s*(?P<v5>" + _ID + r")\s*@@|#\[\s*(?P<v6>" + _ID + r")\s*\]#|<<\s*(?P<v7>" + _ID + r")\s*>>"
-    r"|\[(?:INSERT|ENTER|YOUR|ADD|FILL IN)\s+(?P<v8>[A-Z][A-Z_ ]*?)(?:\s+HERE)?\]|\[\[ (?P<v9>[a-z][a-z_ ]*) \]\]|(?<![A-Za-z0-9])__(?P<v10>[A-Z][A-Z_]*?)__(?![A-Za-z0-9])"
-    r"|(?<![\w%])%(?P<v11>[A-Z][A-Z_]+)%(?![\w%])|(?<!\w)_{3,}\s*\((?P<v12>" + _ID + r")\)"
-)
-#: Forms that are slots only where the name is a known variable or records of the template differ there.
-DOUBTFUL_SLOTS = re.compile(
-    r"«\s?(?P<v1>[a-z][a-z_ ]*?)\s?»|(?<![\w$])\$(?P<v2>[a-z][a-z_ ]*?)\$(?![\w$])|\[(?P<v3>[A-Z][A-Z_ ]+)\]|<(?P<v4>[A-Za-z][A-Za-z_]+)>|(?<![\w{$])\{\s?(?P<v5>[a-z][a-z_ ]*?)\s?\}(?!\})"
-    r"|\[\[(?P<v6>[a-z][a-z_]*)\]\]|(?<!\w):(?P<v7>[a-z]+_[a-z_]+):(?!\w)"
-)
-BLANKS = re.compile(r"(?<![\w-])X{4,}(?![\w-])|(?<![\w_])_{4,}(?![\w_])|\?{4,}|\.{6,}")
 #: Words of the printers' filler text.
 FILLER_LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
     "veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit "
     "esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-#: Whole statements that stand for missing text, lower case, without final marks.
-FILLER = re.compile(
-    r"(?:(?:tbd|tba|tbc|todo|fixme|xxx+|n/?a|placeholder|lorem ipsum)\b[\s:.-]*(?:(?:add|write|insert|fill|complete|finish|replace)\b.*|(?:text|content|this|description|here|later)\b.*)?"
-    r"|coming soon|under construction|(?:page|content|text|article|section)?\s*(?:coming soon|to follow|to be (?:added|written|completed|announced|determined|done|defined|supplied|provided))"
-    r"|(?:sample|dummy|example|placeholder|default|filler) (?:text|content|title|paragraph|heading|description|body)\b.*"
-    r"|(?:(?:your|the|this|some|any|more|main|body)\s+)*(?:text|content|contents|description|title|heading|body|summary|name|caption|note|claim|story|paragraph|abstract)s?\s+(?:goes|go|comes|will go|will appear|will be)\s+(?:right )?here"
-    r"|(?:write|enter|type|insert|put|add|paste|describe|fill in|replace)\s+(?:(?:the|your|a|an|some|this|its|with)\s+)*[a-z]+(?:\s+(?:of|for|with|by)\s+(?:(?:the|your|this|a)\s+)?[a-z]+)?(?:\s+(?:here|below|text))?"
-    r"|(?:write|enter|type|insert|put|add|paste|describe|provide|list|fill in|replace|summari[sz]e)\b.*\b(?:here|in this (?:section|field|box|space|place|cell|part)|your (?:first|own|text|title|name|notes?|content|summary|heading|bullet|description|claim|story)\b.*)"
-    r"|hier (?:steht|kommt|folgt|erscheint) (?:ihr|der|dein|noch|bald)?\s*(?:text|inhalt)\b.*|platzhalter\w*|(?:text|inhalt) (?:folgt|einfügen|hier einfügen).*|beispieltext|blindtext|mustertext"
-    r"|texto? de (?:ejemplo|relleno|exemple|prueba)|(?:escriba|escribe|inserte|ingrese|introduzca) (?:aquí )?(?:el|su|tu) (?:texto|contenido|título).*|(?:su|tu|el) (?:texto|contenido) (?:va )?aquí|próximamente"
-    r"|texte? (?:à|a) (?:remplacer|venir|compléter|saisir|insérer)|(?:votre|le) texte (?:ici|va ici|viendra ici)|(?:saisissez|écrivez|insérez|entrez) (?:ici )?(?:le|votre) (?:texte|contenu).*|bientôt disponible|exemple de texte"
-    r"|(?:здесь|тут) (?:будет|должен быть|появится|скоро) .*(?:текст|описани|содержани|контент)\w*|(?:введите|вставьте|напишите|впишите) .*(?:текст|описание|содержание|заголовок)\w*.*|образец текста|пример текста|скоро появится"
-    r"|(?:ここ|こちら)に.*(?:入力|記入|書|挿入).*|.*(?:本文|テキスト|文章|内容)を(?:ここに)?(?:入力|記入|挿入).*|(?:サンプル|ダミー|例)(?:テキスト|文).*|準備中(?:です)?|近日公開"
-    r"|(?:此处|这里|在此|请在此(?:处)?|請在此)(?:处)?.*(?:填写|输入|插入|添加|放置).*(?:内容|文字|文本|正文|标题)?.*|(?:示例|占位|样本)(?:文字|文本|内容)|(?:内容|正文)待(?:补充|填写|定)|敬请期待"
-    r"|यहाँ.*(?:लिखें|डालें|भरें|आएगा)|(?:नमूना|उदाहरण) पाठ|जल्द आ रहा है"
-    r"|(?:اكتب|أدخل|ادخل|ضع|أضف).*(?:هنا|النص|المحتوى).*|(?:نص|النص) (?:تجريبي|بديل|نموذجي|هنا|مؤقت).*|(?:سيظهر|يوضع|يكتب) .*(?:النص|المحتوى).*|قريبا"
-    r"|یہاں.*(?:لکھیں|درج کریں|آئے گا|ڈالیں)|(?:نمونہ|مثالی) (?:متن|عبارت).*|جلد آ رہا ہے"
-    r"|(?:εδώ|γράψτε|εισάγετε|συμπληρώστε|πληκτρολογήστε).*(?:κείμενο|περιεχόμενο|τίτλο).*|(?:κείμενο|δείγμα) (?:παράδειγμα|κειμένου|υπόδειγμα).*|σύντομα"
-    r"|.*(?:ใส่|กรอก|พิมพ์|เขียน)(?:ข้อความ|เนื้อหา).*(?:ที่นี่|ตรงนี้).*|(?:ข้อความ|เนื้อหา)(?:ตัวอย่าง|จำลอง|ตรงนี้|ที่นี่).*|เร็ว ?ๆ ?นี้"
-    r"|(?:እዚህ|ጽሑፍ).*(?:ይጻፉ|ያስገቡ|ጻፍ|ይገባል|ይመጣል).*|(?:ናሙና|ምሳሌ) ጽሑፍ|በቅርቡ"
-    r"|ಇಲ್ಲಿ.*(?:ಬರೆಯಿರಿ|ನಮೂದಿಸಿ|ಸೇರಿಸಿ|ಬರುತ್ತದೆ|ಹಾಕಿ).*|(?:ಮಾದರಿ|ಉದಾಹರಣೆ) ಪಠ್ಯ.*|ಶೀಘ್ರದಲ್ಲೇ.*)"
-)
-#: Whole error messages, lower case, without final marks.
-ERROR = re.compile(
-    r"(?:(?:http |error |status |code |fehler |erreur |ошибка |エラー |错误 )*[:#]?\s*(?:4\d\d|5\d\d)\b\s*[-:–|.]*\s*(?:error|not found|page not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|internal server error|request time-?out|gone|too many requests|access denied|method not allowed|nicht gefunden|no encontrad[ao]|introuvable|не найден[ао]?)?"
-    r"|(?:error|http)\s*[:#]?\s*\d{3}\b.*"
-    r"|(?:(?:the |this |that )?(?:page|file|document|resource|note|site|url|address|content|link)s?)?\s*(?:was |is |could |can |cannot |can't |has |have )*(?:be )?(?:not found|not be found|no longer (?:available|exists?)|not available|does(?: not|n't) exist|isn't (?:working|available)|is not working|is unavailable|been (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?)"
-    r"|(?:sorry|oops|whoops|uh-oh)\b.*"
-    r"|(?:the )?(?:page|file|document|resource|note|url) you (?:requested|are looking for|were looking for|asked for|tried to (?:open|reach|visit)|followed)\b.*"
-    r"|(?:we|i)(?: can't| cannot| could not| couldn't| are unable to| were unable to|'re unable to) (?:find|locate|load|open|display|show|process|complete)\b.*"
-    r"|(?:it|this page|the page|this content) (?:may|might) have been (?:moved|deleted|removed|renamed)\b.*"
-    r"|(?:access (?:is |has been |to this (?:page|resource) (?:is|was|has been) )?(?:denied|refused|restricted|forbidden|blocked)|forbidden|unauthorized|permission denied|not authorized)"
-    r"|you (?:don't|do not|are not|aren't|have no|must|need to) (?:have )?(?:the )?(?:necessary |sufficient |required )?(?:permissions?|authori[sz]ed|allowed|access|rights|be (?:logged|signed) in|log in|sign in)\b.*"
-    r"|(?:your |the )?(?:session|login|token|link) (?:has |is |was )?(?:expired|timed out|ended|invalid)\b.*"
-    r"|please (?:sign|log) in\b.*|(?:sign|log) in (?:again )?to (?:continue|view|read|access)\b.*"
-    r"|(?:the |our |an? )?(?:upstream |web |application |internal |origin )*server (?:error|is (?:down|busy|unavailable|overloaded)|did not|could not|failed|encountered|returned|is temporarily)\b.*"
-    r"|(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|request timed out|something went wrong|an? (?:unexpected |unknown )?error (?:has )?occurred|temporarily unavailable|connection (?:refused|reset|timed out)|too many requests)\b.*"
-    r"|(?:please )?(?:try|check)(?: the (?:address|url|link))?(?: and)?(?: try)? again(?: later| in (?:a few|some) (?:minutes|moments))?"
-    r"|if (?:the|this) (?:problem|error|issue) (?:persists|continues)\b.*|(?:our|the) (?:team|administrators?|site owner) (?:has|have) been (?:notified|informed)"
-    r"|.*(?:seite|dokument|datei) (?:wurde )?(?:nicht gefunden|existiert nicht|ist nicht verfügbar).*|zugriff verweigert|.*sitzung (?:ist )?abgelaufen.*|.*serverfehler.*|.*keine berechtigung.*|.*(?:angeforderte|gesuchte|gewünschte) seite .*"
-    r"|.*página (?:solicitada|que busca|no encontrada|no existe).*|acceso denegado|.*sesión (?:ha )?(?:caducado|expirado).*|.*error del servidor.*|inténtelo de nuevo.*|vuelva a intentarlo.*"
-    r"|.*page (?:demandée|introuvable|que vous (?:cherchez|avez demandée)).*|accès (?:refusé|interdit)|.*session (?:a |est )?expiré.*|.*erreur (?:du|interne du) serveur.*|veuillez réessayer.*"
-    r"|.*страниц\w* (?:не найден|не существует|недоступн|удален).*|(?:запрошенн\w*|запрашиваем\w*) страниц\w*.*|доступ (?:запрещ[её]н|закрыт|ограничен).*|.*(?:сессия|сеанс) (?:истек|завершен|окончен).*|.*ошибка сервера.*|повторите попытку.*|попробуйте (?:ещё раз|позже|снова).*"
-    r"|.*ページ(?:が|は)(?:見つかりません|存在しません|表示できません|削除).*|.*アクセス(?:が|は)?(?:拒否|禁止).*|.*セッション(?:が|の)(?:切れ|期限|有効期限).*|.*サーバー?エラー.*|.*もう一度お試しください.*"
-    r"|.*(?:页面|网页|頁面)(?:不存在|未找到|找不到|无法显示|已(?:被)?删除).*|.*(?:找不到|无法找到)(?:您|你)?.*(?:页面|网页).*|.*(?:访问被拒绝|拒绝访问|禁止访问|没有权限|无权访问).*|.*会话(?:已)?(?:过期|失效).*|.*服务器(?:错误|出错|内部错误).*|请稍后(?:再试|重试).*"
-    r"|.*पृष्ठ (?:नहीं मिला|उपलब्ध नहीं|मौजूद नहीं).*|.*(?:पहुँच|प्रवेश) (?:अस्वीकृत|निषिद्ध|वर्जित).*|.*सत्र (?:समाप्त|की अवधि).*|.*सर्वर त्रुटि.*"
-    r"|.*(?:الصفحة|صفحة) .*(?:غير موجودة|غير متاحة|لم يتم العثور).*|.*لم يتم العثور على الصفحة.*|.*(?:تم رفض الوصول|الوصول مرفوض|ممنوع الوصول).*|.*انتهت (?:الجلسة|صلاحية الجلسة).*|.*خطأ في الخادم.*"
-    r"|.*صفحہ (?:نہیں ملا|موجود نہیں|دستیاب نہیں).*|.*رسائی (?:سے انکار|ممنوع|مسترد).*|.*(?:سیشن|نشست) (?:ختم|کی مدت).*|.*سرور کی خرابی.*"
-    r"|.*(?:η )?σελίδα (?:δεν βρέθηκε|δεν υπάρχει|που ζητήσατε).*|.*(?:άρνηση πρόσβασης|δεν επιτρέπεται η πρόσβαση|η πρόσβαση απορρίφθηκε).*|.*(?:συνεδρία|περίοδος σύνδεσης) .*(?:έληξε|λήξει).*|.*σφάλμα διακομιστή.*"
-    r"|.*(?:ไม่พบหน้า|หน้า(?:ที่.*)?ไม่(?:พบ|มีอยู่)).*|.*(?:ปฏิเสธการเข้าถึง|ไม่มีสิทธิ์เข้า).*|.*(?:เซสชัน|การเข้าสู่ระบบ)หมดอายุ.*|.*(?:เซิร์ฟเวอร์|แม่ข่าย)(?:ขัดข้อง|ผิดพลาด|ล้มเหลว).*"
-    r"|.*ገጹ? (?:አልተገኘም|የለም).*|.*(?:መዳረሻ|መግባት) (?:ተከልክሏል|አይፈቀድም).*|.*(?:ክፍለ ጊዜ|ጊዜው) .*(?:አልቋል|አብቅቷል).*|.*የአገልጋይ ስህተት.*"
-    r"|.*ಪುಟ.*(?:ಕಂಡುಬಂದಿಲ್ಲ|ಸಿಗಲಿಲ್ಲ|ಲಭ್ಯವಿಲ್ಲ).*|.*ಪ್ರವೇಶ.*(?:ನಿರಾಕರಿಸಲಾಗಿದೆ|ನಿಷೇಧ).*|.*(?:ಅಧಿವೇಶನ|ಸೆಷನ್).*(?:ಮುಗಿದಿದೆ|ಅವಧಿ).*|.*ಸರ್ವರ್ ದೋಷ.*)"
-)
-#: What a demand for scripts, cookies or a browser check speaks of, and how it asks.
-SCRIPTS = re.compile(r"java\s?script|\bscripts?\b|\bscripting\b|\bcookies?\b|\bbrowser\b|\bhuman\b|captcha|\brobot\b|クッキー|スクリプト|ブラウザ|脚本|浏览器|人机|скрипт|браузер|σενάρια|ブラウザー|ಜಾವಾಸ್ಕ್ರಿಪ್ಟ್|जावास्क्रिप्ट|जावास्क्रिप्ट|جافا ?سكريبت|جاوا ?اسکرپٹ|คุกกี้|สคริปต์|ጃቫስክሪፕት", re.I)
-ASKS = re.compile(
-    r"\b(?:enabled?|enabling|turn(?:ed)? on|switch(?:ed)? on|requires?|required|needs? to|needs? |must|does not support|doesn't support|blocked|disabled|turned off|switched off|checking|verify(?:ing)?|confirm|allow|accept|activate|support(?:s|ed)?|update your|upgrade your|please|only works?|not work)\b",
-    re.I,
+_ID = r"[^\W\d_](?:[\w .-]{0,38}?[^\W_])?"
+#: Text between two runs of symbols, or a ruled blank with its name in brackets behind it.
+_SPAN = re.compile(
+    r"(?P<o>[\[{<$%@#~^|«:&=!/+\\]{1,4}|_{2,3})(?P<b>\s?)(?P<v>" + _ID + r")\s?(?P<c>[\]}>$%@#~^|»:&=!/+\\]{1,4}|_{2,3})|(?<!\w)_{3,}\s*\((?P<n>" + _ID + r")\)"
 )
-_SLOTTY = re.compile(r"[{\[<$@#«%_]|X{4}|\?{4}|\.{6}|:[a-z]+_")
+_BLANK = re.compile(r"(?<!\w)([_?.X#~=-])\1{3,}(?!\w)")
+_MIRROR = str.maketrans("[{<«(", "]}>»)")
+_MARKS = frozenset("[{<$%@#~^«:&=!/+\\_|")
+_RUN = re.compile(r"([_?.X#~=-])\1\1\1")
+_NAME = re.compile(r"(?<=\w\s)[^\W\d_a-z]\w+|(?<=,\s)[A-Z]\w+")
+_FIGURE = re.compile(r"\d+(?:[.,:/-]\d+)*")
+_WORD = re.compile(r"[^\W\d_]+")
+_SLOT = "␟"
+_SLOT_RUN = re.compile(_SLOT + r"(?:\s*" + _SLOT + r")+")
 _FENCE = re.compile(r"^(?:```|~~~).*?(?:^(?:```|~~~)[^\n]*$|\Z)", re.S | re.M)
 _FRONT = re.compile(r"\A---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
+_CODE = re.compile(r"``[^`]*``|`[^`]*`")
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|‘[^’\n]{2,400}’(?!\w)|(?<!\w)'[^'\n]{3,400}'(?!\w)|「[^」\n]{1,400}」|『[^』\n]{1,400}』|«[^»\n]{1,400}»")
+_QUOTES = frozenset("\"“„‘'「『«")
+_ANGLED = re.compile(r"«\s?[^\W\d_A-Z]+(?:[ _][^\W\d_A-Z]+){0,3}\s?»")
 _MARK = re.compile(r"^\s*(?:#{1,6}\s+|[-*+•]\s+|\d{1,3}[.)]\s+)+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+(?=\S)|(?<=[。！？।؟።])\s*")
-_NAME = re.compile(r"(?<![\w-])[A-Z][a-z]{3,}(?![\w-])")
-_PLAIN = frozenset(
-    "JavaScript Javascript Cookies Cookie Java Script Error Page Not Found Service Unavailable Bad Gateway Timeout Time Internal Server Forbidden Access Denied "
-    "Unauthorized Request Session Expired Temporarily Search Sign Menu Please Text Ihr Ihnen Inhalt Seite Browser Sample Lorem Ipsum Still Working Gone Login Home Back Next Skip Privacy Terms Contact Help About".split()
-)
+_OUTER = " \t.!?…。！？।؟።:;,-–—|_#\"'“”()"
+SALT = 16
 
 
 def statements(text: str) -> list[str]:
-    """Statements of the document's own prose, each quotation replaced by “”."""
+    """Statements of the document's own prose, without emphasis marks, each quotation replaced by “”."""
     t = text.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", "")
-    t = _FENCE.sub("\n", _FRONT.sub("", t, count=1))
+    if t.startswith("---\n"):
+        t = _FRONT.sub("", t, count=1)
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub("\n", t)
     own = []
     for line in t.split("\n"):
-        if line.startswith(("    ", "\t")) and not line.strip().startswith(("-", "*", "+")) and CLEAR_SLOTS.search(line) and "=" in line:
+        bare = line.strip()
+        if not bare or bare[0] == ">":
             continue
-        if line.lstrip().startswith(">"):
+        if line.startswith(("    ", "\t")) and bare[0] not in "-*+" and "=" in bare:
             continue
-        line = re.sub(r"``[^`]*``|`[^`]*`", " ", line)
-        bare = _MARK.sub("", line).strip()
-        plain = _QUOTED.sub(lambda m: m[0] if m[0][0] == "«" and re.fullmatch(r"«\s?[a-z][a-z_ ]{0,30}\s?»", m[0]) and len(m[0].split()) <= 4 else " “” ", bare)
-        for s in _SENTENCE.split(plain):
+        if "`" in bare:
+            bare = _CODE.sub(" ", bare)
+        bare = _MARK.sub("", bare).replace("**", "")
+        if not _QUOTES.isdisjoint(bare):
+            bare = _QUOTED.sub(lambda m: m[0] if _ANGLED.fullmatch(m[0]) else " “” ", bare)
+        for s in _SENTENCE.split(bare):
             s = s.strip()
             if s:
                 own.append(s)
     return own
 
 
-def has_name(s: str) -> bool:
-    """Whether a capitalised word other than the opening one and the stock words of error pages stands in s."""
-    return any(m.start() > 0 and m[0] not in _PLAIN for m in _NAME.finditer(s))
-
-
 def core(s: str) -> str:
     """Lower case, without emphasis marks, outer punctuation and doubled blanks."""
-    s = unicodedata.normalize("NFKC", s).lower().replace("’", "'").replace("*", "")
-    return re.sub(r"\s+", " ", s).strip(" \t.!?…。！？।؟።:;,-–—|_#\"'“”()")
+    return " ".join(s.lower().replace("’", "'").replace("*", "").split()).strip(_OUTER)
 
 
-def latin_filler(lower: str) -> bool:
-    """Whether a statement, in lower case, is made of the printers' filler words."""
-    if sum(w.strip(",.") in FILLER_LATIN for w in lower.split(None, 8)[:8]) < 3:
+def latin_filler(c: str) -> bool:
+    """Whether a statement, in lower case, is made of the printers' filler words: four or more words, at least .7 of them."""
+    if len(FILLER_LATIN.intersection(c.replace(",", " ").split(" "))) < 2:
         return False
-    words = re.findall(r"[^\W\d_]+", lower)
-    return len(words) >= 4 and sum(w in FILLER_LATIN for w in words) >= 0.7 * len(words) and len({*words}) > 1 and ("lorem" in words or "ipsum" in words or len(words) >= 5)
+    words = _WORD.findall(c)
+    return len(words) >= 4 and sum(w in FILLER_LATIN for w in words) >= 0.7 * len(words)
 
 
-def filler(s: str, named: bool | None = None, c: str | None = None) -> bool:
-    """Whether a statement stands for missing text; named and c are has_name(s) and core(s), if known."""
-    if latin_filler(s.lower()):
-        return True
-    if has_name(s) if named is None else named:
-        return False
-    c = core(s) if c is None else c
-    if not c:
-        return False
-    first, _, rest = c.partition(" ")
-    if rest.startswith(first) and len(first) > 1:
-        words = re.findall(r"[^\W\d_]+", c)
-        if len(words) >= 2 and len({*words}) == 1 and len(words[0]) > 2 and words[0].isascii() and (len(words) >= 3 or {*words[0]} == {"x"}):
-            return True
-        if re.fullmatch(r"([\w/]{2,12})(?: \1){2,}", c):
-            return True
-    return FILLER.fullmatch(c) is not None
-
-
-def error(s: str, named: bool | None = None, c: str | None = None) -> bool:
-    """Whether a statement is an error message as a whole."""
-    if "“”" in s or (has_name(s) if named is None else named):
-        return False
-    c = core(s) if c is None else c
-    return bool(c) and not c.isdigit() and ERROR.fullmatch(c) is not None
+def ends(c: str) -> tuple[str, str]:
+    """The first and the last two words; of a statement without blanks, four characters."""
+    w = c.split(" ")
+    return (c[:4], c[-4:]) if len(w) == 1 else (" ".join(w[:2]), " ".join(w[-2:]))
 
 
-def demand(s: str, named: bool | None = None) -> bool:
-    """Whether a statement asks for scripts, cookies or a browser check."""
-    if "“”" in s or (has_name(s) if named is None else named) or not SCRIPTS.search(s):
-        return False
-    return not s.isascii() or ASKS.search(s) is not None or re.search(r"\b(?:bitte|aktivieren|activez|active|requiere|habilite|activa|nécessite|veuillez|erfordert|benötigt|requiert|abilita)\b", s, re.I) is not None
+def spans(s: str) -> list[tuple[str, str, int, int]]:
+    """(mark, contents, start, end) of the spans between two runs of symbols that mirror each other."""
+    out = []
+    for m in _SPAN.finditer(s):
+        if m["n"]:
+            out.append(("____()", m["n"], m.start(), m.end()))
+            continue
+        o, c = m["o"], m["c"]
+        mirrored = o[::-1].translate(_MIRROR)
+        if c in mirrored or len(c) >= 2 and mirrored in c:
+            out.append((o + ("_" if m["b"] else "") + c, m["v"], m.start(), m.end()))
+    return out
 
 
-def _variable(m: re.Match) -> str:
-    return re.sub(r"[\s_.-]+", " ", next((g for g in m.groups() if g), "")).strip().lower()
+def variable(v: str) -> str:
+    return re.sub(r"[\s_.-]+", " ", v).strip().lower()
 
 
-def slots(s: str) -> tuple[list[str], list[str], bool, str]:
-    """(variables in clear slots, variables in doubtful ones, whether a blank stands in s, the template of s)."""
-    if not _SLOTTY.search(s):
-        return [], [], False, ""
-    clear = [_variable(m) for m in CLEAR_SLOTS.finditer(s)]
-    t = CLEAR_SLOTS.sub("␟", s)
-    doubtful = [_variable(m) for m in DOUBTFUL_SLOTS.finditer(t)]
-    t = DOUBTFUL_SLOTS.sub("␟", t)
-    blank = BLANKS.search(t) is not None and re.search(r"[^\W_]", t.replace("␟", "").replace("X", "")) is not None
-    t = BLANKS.sub("␟", t)
-    t = re.sub(r"\d+(?:[.,]\d+)*", "␟", _NAME.sub("␟", t)) if "␟" in t else ""
-    return clear, doubtful, blank, t
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def evidence(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, kind, what: one row per finding of a document; kinds filler, error, demand, slot, blank, doubtful, template, plain."""
+def aligned_parts(s: str) -> tuple[str, list[tuple[str, str]]]:
+    """(frame, [(mark, contents)]): the statement with spans, blanks, figures and names as slots, and what marks and blanks hold."""
+    found: list[tuple[str, str]] = []
+    m = s
+    if not _MARKS.isdisjoint(s):
+        at = spans(s)
+        found += [(mark, variable(v)) for mark, v, _, _ in at]
+        for _, _, a, b in reversed(at):
+            m = m[:a] + _SLOT + m[b:]
+    if _RUN.search(m):
+        found += [("blank", x[1]) for x in _BLANK.finditer(m)]
+        m = _BLANK.sub(_SLOT, m)
+    return _SLOT_RUN.sub(_SLOT, core(_FIGURE.sub(_SLOT, _NAME.sub(_SLOT, m)))), found
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
-                if not text:
-                    continue
-                seen: set[tuple[str, str]] = set()
-                for s in statements(text):
-                    clear, doubtful, blank, template = slots(s)
-                    seen.update(("slot", v) for v in clear)
-                    seen.update(("doubtful", f"{v}␞{template}") for v in doubtful)
-                    if blank:
-                        seen.add(("blank", ""))
-                    bare = s.replace("**", "")
-                    if len(bare) < 400:
-                        named = has_name(bare)
-                        c = "" if named else core(bare)
-                        kind = "filler" if filler(bare, named, c) else "error" if error(bare, named, c) else "demand" if demand(bare, named) else None
-                        if kind:
-                            seen.add((kind, (c or core(bare))[:200]))
-                        elif not named and "␟" not in template and len(c) > 3 and not re.search(r"\d", bare):
-                            seen.add(("plain", c))
-                    elif filler(bare):
-                        seen.add(("filler", ""))
-                out += [(i, k, w) for k, w in seen]
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "what"])
-
-    return scratch.table(documents.select("doc_id", "text").mapInPandas(scan, f"doc_id {dict(documents.dtypes)['doc_id']}, kind string, what string"))
-
-
-SURE = ("filler", "error", "demand", "slot", "blank")
-
-
-def findings(documents: DataFrame, least_docs: int = 3, company: float = 0.75) -> DataFrame:
-    """doc_id, kind, n: kinds of residue of every document that holds any, with the number of findings.
-
-    Null and empty texts hold none.  Documents that only write about, quote or show such things in
-    code hold none.  A doubtful slot counts where its variable is known from clear slots of any
-    document, or where another document has the same template with another filling.  A statement
-    without names counts as page template if at least `least_docs` documents hold it and a
-    share of at least `company` of them hold an error, demand or filler as well.
+
+_ROW = "c array<bigint>, a array<bigint>, z array<bigint>, latin array<bigint>, filled array<bigint>, spans array<struct<c:bigint,f:bigint,bare:boolean,mark:string,v:string>>"
+
+
+def scan(text: str) -> tuple[list, list, list, list, list, list]:
+    """What one text gives to the alignment: statements, their beginnings, their ends, filler statements, filled frames, spans."""
+    cores: dict[int, tuple[int, int]] = {}
+    latin: set[int] = set()
+    filled: set[int] = set()
+    held: set[tuple] = set()
+    for s in statements(text):
+        c = _FIGURE.sub("0", core(s))
+        if not c:
+            continue
+        h = _hash(c)
+        if h not in cores:
+            a, z = ends(c)
+            cores[h] = (_hash(a), _hash(z))
+            if latin_filler(c):
+                latin.add(h)
+        frame, found = aligned_parts(s)
+        bare = frame == _SLOT
+        if found:
+            f = _hash(frame)
+            held.update((h, f, bare, mark, v) for mark, v in found if mark != "blank" or not bare)
+        elif _SLOT in frame and not bare:
+            filled.add(_hash(frame))
+    return list(cores), [a for a, _ in cores.values()], [z for _, z in cores.values()], list(latin), list(filled), list(held)
+
+
+def _salted(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """A join whose left side may hold a third of its rows under one key: left rows are spread by `by`, right rows repeated SALT times."""
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALT)).cast("int"))
+    right = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.join(right, [*on, "salt_"], how).drop("salt_")
+
+
+def slot_fillings(spans_: DataFrame, filled: DataFrame, least_frames: int = 2, least_marks: int = 3, purity: float = 0.5) -> DataFrame:
+    """f, mark, v, kind of every filling that is an unfilled slot.
+
+    spans_: (t, f, bare, mark, v), a span per text; filled: (f), frames with ordinary fillings.
+    A frame is aligned if another record fills it otherwise.  Variable names stand in at least
+    `least_frames` aligned frames under at least `least_marks` marks; contents that hold a variable
+    name and at most two words more are variables as well.  Slot marks hold variables in a share of
+    at least `purity` of their spans.  A blank counts in an aligned frame if its symbol is blank in
+    at least `least_frames` of them.
+    """
+    g = spans_.groupBy("f", "bare", "mark", "v").agg(F.count("*").alias("n"))
+    frames = g.where("not bare").groupBy("f").agg(F.count("*").alias("kinds"))
+    ordinary = frames.select("f").join(filled.select("f").distinct(), "f", "left_semi").withColumn("ordinary", F.lit(True))
+    aligned = frames.join(ordinary, "f", "left").where("ordinary or kinds > 1").select("f").withColumn("aligned", F.lit(True))
+    g = g.join(aligned, "f", "left")
+    seen = g.where("aligned and not bare").groupBy("v").agg(F.count_distinct("f").alias("frames"), F.count_distinct("mark").alias("marks"), F.max(F.col("mark") == "blank").alias("is_blank"))
+    names = seen.where((F.col("frames") >= least_frames) & (F.col("marks") >= least_marks) & ~F.col("is_blank")).select(F.col("v").alias("name"))
+    symbols = seen.where((F.col("frames") >= least_frames) & F.col("is_blank")).select("v").withColumn("symbol", F.lit(True))
+    # runs of words inside the contents, all but at most two of them
+    length = lambda less: F.greatest(F.lit(1), F.size("w") - less)
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda less: F.transform(
+        F.sequence(F.lit(1), F.size("w") - length(less) + 1), lambda i: F.array_join(F.slice("w", i, length(less)), " "))))
+    contents = g.where("mark != 'blank'").select("v").distinct().withColumn("w", F.split("v", " ")).select("v", F.explode(F.array_distinct(runs)).alias("name"))
+    variables = contents.join(names, "name", "left_semi").select("v").distinct().withColumn("known", F.lit(True))
+    g = g.join(variables, "v", "left")
+    marks = g.where("mark != 'blank'").groupBy("mark").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("good"))
+    marks = marks.where((F.col("good") >= purity * F.col("all")) & (F.col("good") > 1)).select("mark").withColumn("slot_mark", F.lit(True))
+    g = g.join(marks, "mark", "left").join(symbols, "v", "left")
+    kind = F.when(F.col("known") & F.col("slot_mark"), "slot").when((F.col("mark") == "blank") & F.col("aligned") & F.col("symbol"), "blank")
+    return g.withColumn("kind", kind).where("kind is not null").select("f", "mark", "v", "kind")
+
+
+def page_templates(cores: DataFrame, need: DataFrame, excused: DataFrame, least_texts: int, least_pages: int, share: float, scratch: Scratch) -> DataFrame:
+    """t, c: the statements of each text that are messages of hollow pages.
+
+    cores: (t, c, a, z) statements of distinct texts with the hashes of their beginning and end; need:
+    (t, n_statements); excused: (t, c) statements that hold slots or filler.
+    """
+    n = cores.groupBy("c").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.min("z").alias("z"))
+    n = scratch.table(n)
+    # only one statement can make up more than half of all that begin, or end, like it
+    rigid = None
+    for end in ("a", "z"):
+        top = n.groupBy(end).agg(F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("top")).where(F.col("top.n") * 2 > F.col("total"))
+        top = top.select(F.col("top.c").alias("c"), F.col("top.n").alias("n")).where(F.col("n") >= least_texts)
+        rigid = top if rigid is None else rigid.unionByName(top)
+    rigid = scratch.table(rigid.distinct())
+    held = scratch.table(_salted(cores.select("t", "c"), rigid, ["c"], "t").select("t", "c", "n"))
+    counted = held.select("t", "c").unionByName(excused.select("t", "c")).distinct().groupBy("t").agg(F.count("*").alias("m"))
+    hollow = counted.join(need, "t").where("m = n_statements").select("t")
+    pages = held.join(hollow, "t", "left_semi").groupBy("c", "n").agg(F.count("*").alias("pages"))
+    messages = pages.where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("n"))).select("c")
+    out = scratch.table(_salted(held.select("t", "c"), messages, ["c"], "t"))
+    scratch.drop(n)
+    return out
+
+
+def findings(
+    documents: DataFrame, least_texts: int = 3, least_pages: int = 2, share: float = 0.08, least_frames: int = 2, least_marks: int = 3, purity: float = 0.5,
+) -> DataFrame:
+    """doc_id, kind, n: kinds of residue (slot, blank, filler, page template) of every document that holds any, with their number.
+
+    Null and empty texts hold none, nor does what stands in code, quotations, quote blocks or front
+    matter.  Everything is counted over distinct texts, so copies of one text prove nothing about
+    its statements, but all of them are reported.  What comes but once in the collection has
+    nothing to be aligned with and is found only by slot marks and names learned elsewhere.  A null
+    doc_id is reported as null; an empty table gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "residue")
-    found = evidence(documents, scratch)
-    known = found.where("kind = 'slot'").groupBy(F.col("what").alias("variable")).agg(F.count("*").alias("n"))
-    doubtful = found.where("kind = 'doubtful'").select("doc_id", F.substring_index("what", "␞", 1).alias("variable"), F.substring_index("what", "␞", -1).alias("template"))
-    aligned = doubtful.groupBy("template").agg(F.count_distinct("variable").alias("fillings")).where("fillings > 1 and length(template) > 4")
-    doubtful = (
-        doubtful.join(known, "variable", "left").join(aligned, "template", "left").where("n is not null or fillings is not null")
-        .select("doc_id", F.lit("slot").alias("kind"))
-    )
-    sure = found.where(F.col("kind").isin(*SURE)).select("doc_id", "kind")
-    pages = sure.where(F.col("kind").isin("error", "demand", "filler")).select("doc_id").distinct().withColumn("bad", F.lit(1))
-    plain = found.where("kind = 'plain'").select("doc_id", "what")
-    repeated = plain.join(pages, "doc_id", "left").groupBy("what").agg(F.count("*").alias("docs"), F.count("bad").alias("bad"))
-    repeated = repeated.where((F.col("docs") >= least_docs) & (F.col("bad") >= company * F.col("docs"))).select("what")
-    template = plain.join(repeated, "what").select("doc_id", F.lit("page template").alias("kind"))
-    return sure.unionByName(doubtful).unionByName(template).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, xxhash.xxh3_128_hexdigest(text), *scan(text)) for i, text in zip(b["doc_id"], b["text"], strict=True) if text]
+            out = pd.DataFrame(rows, columns=["doc_id", "t", "c", "a", "z", "latin", "filled", "spans"])
+            out["doc_id"] = out["doc_id"].astype(b["doc_id"].dtype)
+            out["spans"] = [[dict(zip(("c", "f", "bare", "mark", "v"), x, strict=True)) for x in held] for held in out["spans"]]
+            yield out
+
+    scanned = scratch.table(documents.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, t string, {_ROW}"))
+    texts = scratch.table(scanned.drop("doc_id").dropDuplicates(["t"]))
+    spans_ = texts.select("t", F.explode("spans").alias("x")).select("t", "x.*")
+    fillings = scratch.table(slot_fillings(spans_, texts.select(F.explode("filled").alias("f")), least_frames, least_marks, purity))
+    slots = _salted(spans_, fillings, ["f", "mark", "v"], "t").select("t", "c", "kind")
+    filler = texts.select("t", F.explode("latin").alias("c")).withColumn("kind", F.lit("filler"))
+    marked = scratch.table(slots.unionByName(filler).distinct())
+    cores = texts.select("t", F.explode(F.arrays_zip("c", "a", "z")).alias("x")).select("t", "x.*")
+    need = texts.select("t", F.size("c").alias("n_statements"))
+    messages = page_templates(cores, need, marked, least_texts, least_pages, share, scratch).withColumn("kind", F.lit("page template"))
+    kinds = marked.unionByName(messages).groupBy("t", "kind").agg(F.count("*").alias("n"))
+    return _salted(scanned.select("doc_id", "t"), kinds, ["t"], "doc_id").select("doc_id", "kind", "n")
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -272,5 +275,5 @@ def residue(documents: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame) -> DataFrame:
-    """The documents without residue, all columns; those of null text are kept."""
+    """The documents without residue, all columns; those of null text or null doc_id are kept."""
     return documents.join(residue(documents), "doc_id", "left_anti")

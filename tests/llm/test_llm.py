@@ -377,24 +377,49 @@ def test_mixing(spark):
 
 # problem 9
 
-BAD = [
-    "# {{title}}\n\nText by {{ author }}.", "Dear [OWNER], thanks.\n\nSee {{ owner }}.", "# Note\n\nLorem ipsum dolor sit amet elit sed do.", "404 Not Found\n\nThe page you requested could not be found.", "# A\n\nPlease enable JavaScript to view this page.",
-    "Checking your browser before you continue...", "# B\n\nReal text first.\n\nYour content goes here.", "Access denied", "The value was XXXX watts.", "Включите JavaScript, чтобы увидеть страницу.", "# X\n\nここに本文を入力。", "TBD",
-]
 GOOD = [
-    "Write `{{ date }}` in the template.", "```\n404 Not Found\n{{ x }}\n```\n\nFine.", 'The importer writes "page not found" into its log.', "A gateway answers 404 Not Found when the Kelmor table is empty.", "The Tolmar dashboard requires JavaScript because its charts are drawn there.",
-    "See [[Frotem case]] and [the smaller one].", "Size XXXL costs $5 more than the $40 one.", "The set {a, b, c} has three members.", "> Access denied\n\nSo reads the sign.", "", None, "The TODO list of the Roshal crew holds 3 items.", "Typesetters paste lorem ipsum into a Quil layout to judge it.",
+    "Write `{{ date }}` in the template.", "```\n404 Not Found\n{{ owner }}\n```\n\nFine.", 'The importer writes "page not found" into its log.', "A gateway answers 404 Not Found when the Kelmor table is empty.", "The Tolmar dashboard requires JavaScript because its charts are drawn there.",
+    "See [[Frotem case]] and [the smaller one].", "Size XXXL costs $5 more than the $40 one.", "The set {a, b, c} has three members.", "> Page not found\n\nSo reads the sign.", "", None, "The TODO list of the Roshal crew holds 3 items.", "Typesetters paste lorem ipsum into a Quil layout to judge it.",
+    "The cookies need to cool before packing", "Human review is required for every batch", "Новый браузер вышел в марте", "ブラウザの歴史は長い", "Мы сравнили скрипт и таблицу", "Sorry about the delay in the harvest", "Server error rates fell last month", "Oops is the name of the boat",
+    "Write a summary of the meeting", "Add a valve",
 ]
+LONG = "Please turn on JavaScript so that this viewer, which " + "draws, scales and labels every chart by itself, " * 10 + "can open the page"
+
+
+def residue_collection():
+    """doc_id, text, bad: content pages with and without residue, stub pages, and GOOD."""
+    rng = random.Random(5)
+    names, things, marks = ("Kelmor", "Tolvan", "Roshal", "Quilor", "Barnet"), ("relay", "valve", "pump", "oven"), ("{{ %s }}", "[%s]", "<%s>", "~%s~", "[INSERT %s HERE]")
+    fields = ("owner", "date", "source name")
+    forms = ("In {0} the {1} {2} needed {3} litres.", "Dear {0}, the {2} you asked about is kept by {1} of {3}.", "Reported by {0} of {1}, the {2} was checked {3} times.")
+    own = lambda: f"The {rng.choice(things)} of {rng.choice(names)} took {rng.randrange(900)} {rng.choice(('hours', 'days', 'weeks'))} and then {rng.choice(('stopped', 'went on', 'broke', 'was sold'))} near {rng.choice(names)}."
+    fill = lambda: rng.choice(forms).format(rng.randrange(1900, 2030), rng.choice(names), rng.choice(things), rng.randrange(99))
+    page = lambda *more: "# Note on " + rng.choice(names) + "\n\n" + "\n\n".join(rng.sample([own(), fill(), own(), *more], 3 + len(more)))
+    out = [(page("And so it went."), False) for _ in range(150)]
+    for _ in range(60):
+        slot = rng.choice(marks) % rng.choice(fields)
+        out.append((page(rng.choice(forms).format(slot, rng.choice(names), rng.choice(things), rng.randrange(99))), True))
+    out += [(page(rng.choice(forms).format(1990, rng.choice(names), rng.choice(things), "XXXX")), True) for _ in range(12)]
+    stubs = ("Page not found", "It may have been moved.", "Your text goes here.", "Bitte warten, bis die Skripte laufen", LONG)
+    for i in range(40):
+        out.append(("\n\n".join([f"Error {400 + i}", stubs[i % 5], stubs[(i + 1 + i // 5) % 5]]), True))
+        out.append((page(stubs[i % 5]), True))
+    out += [(page("Lorem ipsum dolor sit amet elit, sed do."), True), ("~owner~", True), ("Page not found", True), ("Page not found", True)]
+    out += [(x, False) for x in GOOD] + [("Plain words. " * 50_000, False)]
+    return [(i, x, bad) for i, (x, bad) in enumerate(out)]
 
 
 def test_residue(spark):
-    rows = [(i, t) for i, t in enumerate(BAD)] + [(100 + i, t) for i, t in enumerate(GOOD)] + [(500, "Plain words. " * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(clash() | {"kind": F.lit(1), "what": F.lit(2)})
-    assert sorted(r[0] for r in residue.residue(df).collect()) == list(range(len(BAD)))
-    assert residue.clean(df).count() == len(GOOD) + 1 and "kind" in residue.clean(df).columns
+    rows = residue_collection()
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").withColumns(clash() | {"kind": F.lit(1), "t": F.lit(2), "spans": F.lit(3)})
+    got = {r[0] for r in residue.residue(df).collect()}
+    want = {i for i, _, bad in rows if bad}
+    assert not got - want, [rows[i][1] for i in got - want][:5]
+    assert not want - got, [rows[i][1] for i in want - got][:5]
+    assert residue.clean(df).count() == len(rows) - len(want) and "kind" in residue.clean(df).columns
     assert residue.residue(df.limit(0)).count() == 0
-    pages = [(i, "Back home now\n\nAccess denied") for i in range(4)] + [(9, "Back home now"), (10, "Slow day today"), (11, "Slow day today"), (12, "Slow day today")]
-    assert sorted(r[0] for r in residue.residue(spark.createDataFrame(pages, "doc_id bigint, text string")).collect()) == [0, 1, 2, 3, 9]
+    assert {r[0] for r in residue.residue(df.union(df.withColumn("doc_id", F.col("doc_id") + 1000))).collect()} == got | {i + 1000 for i in got}
+    assert {r["kind"] for r in residue.findings(df).collect()} == {"slot", "blank", "filler", "page template"}
 
 
 def test_queries_are_registered(spark):
