@@ -1,0 +1,19 @@
+"""Joins that bear a hot key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALT = 16
+
+
+def salted(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner", salt: int = SALT) -> DataFrame:
+    """many joined with few, of which many may hold a third of its rows under one key.
+
+    Rows of `many` are spread by the hash of the column `by` over `salt` places of their key, rows
+    of `few` are repeated in all of them, so no key has more than its part of `many` in one task.
+    """
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(salt)).cast("int"))
+    right = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return left.join(right, [*on, "salt_"], how).drop("salt_")

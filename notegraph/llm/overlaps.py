@@ -1,10 +1,13 @@
 """Problem 1: the same records, exactly or almost, in evaluation and training splits.
 
-The method is an edit-distance segment join on the key strings of records: evaluation keys
-are cut into k + 1 segments, of which a key within k edits must hold at least one unchanged
-and at one of few positions; training keys are probed for them and the pairs that meet are
-verified with banded dynamic programming.  Of the pairs that pass, figures, months, names,
-negations and words of both sides are compared exactly.
+Records that are the same hold equal figures, months and negations on both sides and at least
+one name in common, but for slips.  The names are joined by an edit-distance segment join:
+those of evaluation records are cut into k + 1 segments, of which a name within k edits must
+hold at least one unchanged and at one of few positions; names of training records are probed
+for them, and the pairs that meet are verified with banded dynamic programming.  The equal
+figures, months and negations are part of every segment's key, so no segment is common to many
+records that differ in them.  Of the pairs that pass, names and words of both sides are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from notegraph.lineage import Scratch
 from notegraph.llm import record_text as R
+from notegraph.llm.joins import salted
 from notegraph.llm.splits import normal_split
 
+#: Edits that a string of many words, the key of a record without names, may be away.
 EDITS = 3
 #: A word belongs to the shared vocabulary from this share of texts on, so it holds at most 1 / share times the words of a mean text.
 VOCABULARY_SHARE = 0.001
@@ -39,26 +44,33 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def edits_for(length: int, k: int = EDITS) -> int:
-    """Edits allowed for an evaluation key: k, less for short keys, so that every segment has five characters or more."""
-    return max(0, min(k, length // 5 - 1))
+def edits_for(s: str) -> int:
+    """Edits that may lie between a key string and a longer or shorter one: as many as two names of such lengths may differ by."""
+    if " " in s:
+        return EDITS
+    return 0 if len(s) < 4 else max(R.slips(s), R.slips("x" * (len(s) + 2)))
 
 
-def _hash(length: int, i: int, part: str) -> int:
-    return xxhash.xxh64_intdigest(f"{length}:{i}:{part}") - (1 << 63)
+def _hash(of: str, length: int, i: int, part: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{length}:{i}:{part}:{of}") - (1 << 63)
 
 
-def segment_keys(s: str, k: int = EDITS) -> set[int]:
-    e = edits_for(len(s), k)
-    return {_hash(len(s), i, s[at : at + size]) for i, (at, size) in enumerate(segments(len(s), e))}
+def segment_keys(s: str, of: str = "") -> set[int]:
+    """The segments of an evaluation string; `of` is what must be equal besides."""
+    return {_hash(of, len(s), i, s[at : at + size]) for i, (at, size) in enumerate(segments(len(s), edits_for(s)))}
 
 
-def probe_keys(t: str, k: int = EDITS) -> set[int]:
-    """Segments that an evaluation string within its edits of t could have, at the positions where t would hold them."""
+def probe_keys(t: str, of: str = "") -> set[int]:
+    """Segments that an evaluation string within its edits of t could have, at the positions where t would hold them.
+
+    A swap of neighbours across the end of a segment is one edit and must not spoil two segments:
+    a segment is therefore also probed with its last character as it was before such a swap.
+    """
     out: set[int] = set()
     m = len(t)
-    for length in range(max(0, m - k), m + k + 1):
-        e = edits_for(length, k)
+    most = EDITS if " " in t else 2
+    for length in range(max(0, m - most), m + most + 1):
+        e = EDITS if " " in t else edits_for("x" * length)
         shift = m - length
         if abs(shift) > e:
             continue
@@ -66,7 +78,9 @@ def probe_keys(t: str, k: int = EDITS) -> set[int]:
             lo = max(0, at - i, at + shift - (e - i))
             hi = min(m - size, at + i, at + shift + (e - i))
             for p in range(lo, hi + 1):
-                out.add(_hash(length, i, t[p : p + size]))
+                out.add(_hash(of, length, i, t[p : p + size]))
+                if size and p + size < m and i < e:
+                    out.add(_hash(of, length, i, t[p : p + size - 1] + t[p + size]))
     return out
 
 
@@ -104,12 +118,8 @@ def vocabulary(texts: DataFrame, share: float = VOCABULARY_SHARE) -> dict[str, b
     return {r["w"]: r["caps"] * 2 > r["trusty"] for r in rows}
 
 
-def overlaps(records: DataFrame, k: int = EDITS, row_id: str = "row_id") -> DataFrame:
-    """row_eval, row_train of every pair of an evaluation row and a train row that are the same record.
-
-    Rows with null split, another split, or null text_a or text_b take no part.  Exact copies
-    and rows of one canonical form share one comparison.  Empty tables give no rows.
-    """
+def _links(records: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, train, fid) of the rows that take part, and (fe, ft), the pairs of forms that are the same record."""
     spark = records.sparkSession
     scratch = Scratch(spark, "overlaps")
     now = normal_split(records["split"])
@@ -124,50 +134,66 @@ def overlaps(records: DataFrame, k: int = EDITS, row_id: str = "row_id") -> Data
             for i, train, ta, tb in zip(b["row_id"], b["train"], b["text_a"], b["text_b"], strict=True):
                 x, y = sorted((R.side_form(ta, v), R.side_form(tb, v)))
                 form = json.dumps([x, y], ensure_ascii=False, separators=(",", ":"))
-                out += [(i, train, key, form) for key in R.key_strings(x, y)]
-            yield pd.DataFrame(out, columns=["row_id", "train", "key", "form"])
+                out.append((i, train, R.facts(x, y), R.key_strings(x, y, v), form, xxhash.xxh3_128_hexdigest(form)))
+            yield pd.DataFrame(out, columns=["row_id", "train", "facts", "names", "form", "fid"])
 
     kind = dict(rows.dtypes)["row_id"]
-    placed = scratch.table(
-        rows.mapInPandas(canonical, f"row_id {kind}, train boolean, key string, form string")
-        .select("row_id", "train", "key", "form", F.sha2("form", 256).alias("fid"), F.sha2("key", 256).alias("kid"))
-    )
-    keys = scratch.table(placed.groupBy("kid").agg(F.min("key").alias("key"), F.min("train").alias("every"), F.max("train").alias("some")))
+    whole = rows.mapInPandas(canonical, f"row_id {kind}, train boolean, facts string, names array<string>, form string, fid string")
+    placed = scratch.table(whole.withColumn("facts_id", F.xxhash64("facts")))
+    forms = placed.groupBy("fid", "train").agg(F.min("form").alias("form"), F.min("facts").alias("facts"), F.min("facts_id").alias("facts_id"), F.min("names").alias("names"))
+    # forms whose figures, months and negations stand on the other side of the split as well
+    both = forms.groupBy("facts_id").agg(F.min("train").alias("every"), F.max("train").alias("some")).where("some and not every").select("facts_id")
+    forms = scratch.table(salted(forms, both, ["facts_id"], "fid"))
+    keys = forms.select("train", "facts", F.explode("names").alias("name")).distinct()
+    keys = scratch.table(keys.withColumn("kid", F.md5(F.concat_ws("\u0001", "facts", "name"))))
 
     def cut(f):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                ids, hashes = [], []
-                for i, s in zip(b["kid"], b["key"], strict=True):
-                    h = f(s, k)
+                ids, names, hashes = [], [], []
+                for i, s, of in zip(b["kid"], b["name"], b["facts"], strict=True):
+                    h = f(s, of)
                     ids += [i] * len(h)
+                    names += [s] * len(h)
                     hashes += h
-                yield pd.DataFrame({"kid": ids, "h": hashes})
+                yield pd.DataFrame({"kid": ids, "name": names, "h": hashes})
 
         return run
 
-    parts = keys.where(~F.col("every")).select("kid", "key").mapInPandas(cut(segment_keys), "kid string, h bigint")
-    probes = keys.where(F.col("some")).select("kid", "key").mapInPandas(cut(probe_keys), "kid string, h bigint")
-    met = parts.select(F.col("kid").alias("ke"), "h").join(probes.select(F.col("kid").alias("kt"), "h"), "h").select("ke", "kt").distinct()
-    text = keys.select("kid", "key")
-    strings = met.join(text.select(F.col("kid").alias("ke"), F.col("key").alias("se")), "ke").join(text.select(F.col("kid").alias("kt"), F.col("key").alias("st")), "kt")
+    sides = keys.select("kid", "name", "facts", "train")
+    parts = sides.where("not train").drop("train").mapInPandas(cut(segment_keys), "kid string, name string, h bigint")
+    probes = sides.where("train").drop("train").mapInPandas(cut(probe_keys), "kid string, name string, h bigint")
+    met = parts.select(F.col("kid").alias("ke"), F.col("name").alias("se"), "h").join(probes.select(F.col("kid").alias("kt"), F.col("name").alias("st"), "h"), "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[R.near(x, y, edits_for(len(x), k)) for x, y in zip(b["se"], b["st"], strict=True)], ["ke", "kt"]]
+            yield b.loc[[R.near(x, y, edits_for(x)) for x, y in zip(b["se"], b["st"], strict=True)], ["ke", "kt"]]
 
-    close = scratch.table(strings.mapInPandas(verify, "ke string, kt string"))
-    forms = placed.groupBy("fid", "kid", "train").agg(F.min("form").alias("form"))
-    fe = forms.where(~F.col("train")).select(F.col("kid").alias("ke"), F.col("fid").alias("fe"), F.col("form").alias("xe"))
-    ft = forms.where(F.col("train")).select(F.col("kid").alias("kt"), F.col("fid").alias("ft"), F.col("form").alias("xt"))
+    close = met.mapInPandas(verify, "ke string, kt string").distinct()
+    named = forms.select("fid", "train", F.explode("names").alias("name"), "facts").select("fid", "train", F.md5(F.concat_ws("\u0001", "facts", "name")).alias("k"))
+    e = named.where("not train").select(F.col("k").alias("ke"), F.col("fid").alias("fe"))
+    t = named.where("train").select(F.col("k").alias("kt"), F.col("fid").alias("ft"))
+    pairs = close.join(e, "ke").join(t, "kt").select("fe", "ft").distinct()
+    text = forms.select("fid", "form").distinct()
+    texts = pairs.join(text.select(F.col("fid").alias("fe"), F.col("form").alias("xe")), "fe").join(text.select(F.col("fid").alias("ft"), F.col("form").alias("xt")), "ft")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[[x == y or R.same_record(json.loads(x), json.loads(y)) for x, y in zip(b["xe"], b["xt"], strict=True)], ["fe", "ft"]]
 
-    same = scratch.table(close.join(fe, "ke").join(ft, "kt").select("fe", "ft", "xe", "xt").mapInPandas(compare, "fe string, ft string").distinct())
-    e = placed.where(~F.col("train")).select(F.col("fid").alias("fe"), F.col("row_id").alias("row_eval")).distinct()
-    t = placed.where(F.col("train")).select(F.col("fid").alias("ft"), F.col("row_id").alias("row_train")).distinct()
+    return placed.select("row_id", "train", "fid"), scratch.table(texts.mapInPandas(compare, "fe string, ft string"))
+
+
+def overlaps(records: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """row_eval, row_train of every pair of an evaluation row and a train row that are the same record.
+
+    Rows with null split, another split, or null text_a or text_b take no part.  Exact copies
+    and rows of one canonical form share one comparison.  A record without any name is held
+    against others by all its words as one string, up to 3 edits away.  Empty tables give no rows.
+    """
+    placed, same = _links(records, row_id)
+    e = placed.where("not train").select(F.col("fid").alias("fe"), F.col("row_id").alias("row_eval")).distinct()
+    t = placed.where("train").select(F.col("fid").alias("ft"), F.col("row_id").alias("row_train")).distinct()
     return same.join(e, "fe").join(t, "ft").select("row_eval", "row_train")
 
 
@@ -177,9 +203,15 @@ def found(records: DataFrame) -> DataFrame:
 
 
 def report(records: DataFrame) -> DataFrame:
-    """split, source, n_rows, n_overlapping, n_pairs of every evaluation split and source (trimmed, lower case; null source kept)."""
+    """split, source, n_rows, n_overlapping, n_pairs of every evaluation split and source (trimmed, lower case; null source kept).
+
+    Pairs are counted by the sizes of the classes of equal form, never listed.
+    """
+    placed, same = _links(records, "row_id")
+    size = placed.where("train").groupBy(F.col("fid").alias("ft")).agg(F.count("*").alias("m"))
+    per_form = same.join(size, "ft").groupBy("fe").agg(F.sum("m").alias("n"))
+    hits = salted(placed.where("not train").select("row_id", F.col("fid").alias("fe")), per_form, ["fe"], "row_id").select("row_id", "n")
     at = records.select("row_id", normal_split(records["split"]).alias("split"), F.lower(F.trim("source")).alias("source"))
-    hits = overlaps(records).groupBy(F.col("row_eval").alias("row_id")).agg(F.count("*").alias("n"))
     return (
         at.where(F.col("split").isin(*EVALUATION)).join(hits, "row_id", "left").groupBy("split", "source")
         .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))

@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 #: Fixed values.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -26,6 +27,7 @@ SAME = {
     "say": "agree", "same": "agree", "storage": "space", "starting": "start", "starts": "start", "requires": "need", "needs": "need",
     "older": "old", "reviewed": "review", "inspected": "review", "examined": "review", "gray": "grey", "meters": "metres",
 }
+COMMON = frozenset(SAME.values())
 _HOMOGLYPHS = str.maketrans(
     "аеосрхуіјѕԁһԛѡАВЕКМНОРСТХУІЈЅ" + "αορνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "aeocpxyijsdhqwABEKMHOPCTXYIJS" + "aopviktuxABEZHIKMNOPTYX",
@@ -78,39 +80,56 @@ def tokens(text: str) -> tuple[list[tuple[str, bool | None]], bool]:
 
 
 def near(a: str, b: str, k: int) -> bool:
-    """Whether at most k insertions, deletions, substitutions or swaps of neighbours lead from a to b (banded dynamic programming)."""
+    """Whether at most k insertions, deletions, substitutions or swaps of neighbours lead from a to b.
+
+    Dynamic programming over a band of 2k + 1 cells, after what both begin and end with is set aside.
+    """
     if a == b:
         return True
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
+    if k <= 0 or abs(len(a) - len(b)) > k:
         return False
+    at = 0
+    less = min(len(a), len(b))
+    while at < less and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < less - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[at : len(a) - end], b[at : len(b) - end]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return max(n, m) <= k
     far = k + 1
-    before: list[int] = []
-    row = [j if j <= k else far for j in range(m + 1)]
+    width = 2 * k + 1
+    # cell d of row i stands for column i + d - k; one cell more on the right for the row above
+    above: list[int] = [far] * (width + 1)
+    row = [max(0, d - k) if k <= d <= k + m else far for d in range(width)] + [far]
     for i in range(1, n + 1):
-        lo, hi = max(1, i - k), min(m, i + k)
-        now = [far] * (m + 1)
-        if i <= k:
-            now[0] = i
-        best = now[0]
-        for j in range(lo, hi + 1):
-            cost = row[j - 1] + (a[i - 1] != b[j - 1])
-            if row[j] + 1 < cost:
-                cost = row[j] + 1
-            if now[j - 1] + 1 < cost:
-                cost = now[j - 1] + 1
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and before[j - 2] + 1 < cost:
-                cost = before[j - 2] + 1
-            now[j] = cost if cost < far else far
-            if now[j] < best:
-                best = now[j]
+        now = [far] * (width + 1)
+        best = far
+        for d in range(max(0, k - i), min(width, m - i + k + 1)):
+            j = i + d - k
+            if j == 0:
+                cost = i
+            else:
+                cost = row[d] + (a[i - 1] != b[j - 1])
+                if d and now[d - 1] + 1 < cost:
+                    cost = now[d - 1] + 1
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and above[d] + 1 < cost:
+                    cost = above[d] + 1
+            if row[d + 1] + 1 < cost:
+                cost = row[d + 1] + 1
+            now[d] = cost if cost < far else far
+            if cost < best:
+                best = cost
         if best > k:
             return False
-        before, row = row, now
-    return row[m] <= k
+        above, row = row, now
+    return row[m - n + k] <= k
 
 
-def _slips(w: str) -> int:
+def slips(w: str) -> int:
+    """Edits that a word of this length may have suffered."""
     return 0 if len(w) < 4 else 1 if len(w) < 7 else 2
 
 
@@ -140,7 +159,7 @@ class Vocabulary:
             if len(w) >= 7:
                 for v in {y for x in one for y in self._shorter(x)}:
                     found.update(self.deleted.get(v, ()))
-            close = [(x, 1 if near(w, x, 1) else 2) for x in found if near(w, x, _slips(w))]
+            close = [(x, 1 if near(w, x, 1) else 2) for x in found if near(w, x, slips(w))]
             self.memo[w] = min(close, key=lambda x: (x[1], abs(len(x[0]) - len(w)), x[0]))[0] if close else None
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -148,6 +167,7 @@ class Vocabulary:
         return self.memo[w]
 
 
+@lru_cache(maxsize=1 << 16)
 def _month(w: str) -> str | None:
     if w in MONTHS:
         return w
@@ -177,7 +197,7 @@ def side_form(text: str, vocabulary: Vocabulary) -> tuple[str, str, str, int, st
             if kind is None:
                 if w in SAME:
                     kind = False
-                elif (fixed := vocabulary.correct(w)) is not None and not (trusted and capital):
+                elif not (trusted and capital) and (fixed := vocabulary.correct(w)) is not None:
                     w, kind = fixed, False
                 elif trusted and capital is None:
                     perhaps.append(w)
@@ -194,19 +214,16 @@ def side_form(text: str, vocabulary: Vocabulary) -> tuple[str, str, str, int, st
     return " ".join(sorted(figures)), " ".join(sorted(set(months))), " ".join(sorted(set(names))), no, " ".join(sorted(words)), " ".join(sorted(set(perhaps)))
 
 
-def key_strings(a: tuple, b: tuple) -> list[str]:
-    """The facts of both sides in one order, whichever way the sides and statements stand; without facts, the words.
+def facts(a: tuple, b: tuple) -> str:
+    """Figures, months and negations of both sides, whichever way the sides stand: equal in all records that are the same."""
+    return "|".join(sorted(f"{s[0]};{s[1]};{s[3]}" for s in (a, b)))
 
-    Where there are perhaps names, one string with and one without them.
-    """
-    def union(*fields: int) -> list[str]:
-        return sorted({w for i in fields for side in (a, b) for w in side[i].split()})
 
-    out = []
-    for names in ((2,), (2, 5)):
-        facts = " ".join([*union(0), *union(1), *union(*names)])
-        out.append(facts if len(facts) >= 12 else " ".join([facts, *union(4)]).strip())
-    return list(dict.fromkeys(out))
+def key_strings(a: tuple, b: tuple, vocabulary: Vocabulary) -> list[str]:
+    """The names of both sides, each for itself, with perhaps names and unknown words; without any, all words as one string."""
+    out = {w for side in (a, b) for i in (2, 5) for w in side[i].split()}
+    out.update(w for side in (a, b) for w in side[4].split() if w not in vocabulary.name and w not in COMMON)
+    return sorted(out) or [" ".join(sorted(w for side in (a, b) for w in side[4].split()))]
 
 
 def _pair_off(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
@@ -214,7 +231,7 @@ def _pair_off(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
     cx, cy = Counter(x), Counter(y)
     left, right = list((cx - cy).elements()), list((cy - cx).elements())
     for w in list(left):
-        hit = next((v for v in right if near(w, v, max(_slips(w), _slips(v)) if min(len(w), len(v)) > 3 else 0)), None)
+        hit = next((v for v in right if near(w, v, max(slips(w), slips(v)) if min(len(w), len(v)) > 3 else 0)), None)
         if hit is not None:
             left.remove(w)
             right.remove(hit)

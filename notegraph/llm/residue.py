@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.lineage import Scratch
+from notegraph.llm.joins import salted
 
 #: Words of the printers' filler text.
 FILLER_LATIN = frozenset(
@@ -56,7 +57,6 @@ _ANGLED = re.compile(r"«\s?[^\W\d_A-Z]+(?:[ _][^\W\d_A-Z]+){0,3}\s?»")
 _MARK = re.compile(r"^\s*(?:#{1,6}\s+|[-*+•]\s+|\d{1,3}[.)]\s+)+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+(?=\S)|(?<=[。！？।؟።])\s*")
 _OUTER = " \t.!?…。！？।؟።:;,-–—|_#\"'“”()"
-SALT = 16
 
 
 def statements(text: str) -> list[str]:
@@ -170,13 +170,6 @@ def scan(text: str) -> tuple[list, list, list, list, list, list]:
     return list(cores), [a for a, _ in cores.values()], [z for _, z in cores.values()], list(latin), list(filled), list(held)
 
 
-def _salted(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """A join whose left side may hold a third of its rows under one key: left rows are spread by `by`, right rows repeated SALT times."""
-    left = many.withColumn("salt_", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALT)).cast("int"))
-    right = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return left.join(right, [*on, "salt_"], how).drop("salt_")
-
-
 def slot_fillings(spans_: DataFrame, filled: DataFrame, least_frames: int = 2, least_marks: int = 3, purity: float = 0.5) -> DataFrame:
     """f, mark, v, kind of every filling that is an unfilled slot.
 
@@ -224,12 +217,12 @@ def page_templates(cores: DataFrame, need: DataFrame, excused: DataFrame, least_
         top = top.select(F.col("top.c").alias("c"), F.col("top.n").alias("n")).where(F.col("n") >= least_texts)
         rigid = top if rigid is None else rigid.unionByName(top)
     rigid = scratch.table(rigid.distinct())
-    held = scratch.table(_salted(cores.select("t", "c"), rigid, ["c"], "t").select("t", "c", "n"))
+    held = scratch.table(salted(cores.select("t", "c"), rigid, ["c"], "t").select("t", "c", "n"))
     counted = held.select("t", "c").unionByName(excused.select("t", "c")).distinct().groupBy("t").agg(F.count("*").alias("m"))
     hollow = counted.join(need, "t").where("m = n_statements").select("t")
     pages = held.join(hollow, "t", "left_semi").groupBy("c", "n").agg(F.count("*").alias("pages"))
     messages = pages.where((F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("n"))).select("c")
-    out = scratch.table(_salted(held.select("t", "c"), messages, ["c"], "t"))
+    out = scratch.table(salted(held.select("t", "c"), messages, ["c"], "t"))
     scratch.drop(n)
     return out
 
@@ -249,24 +242,24 @@ def findings(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, xxhash.xxh3_128_hexdigest(text), *scan(text)) for i, text in zip(b["doc_id"], b["text"], strict=True) if text]
+            rows = [(i, xxhash.xxh3_128_digest(text), *scan(text)) for i, text in zip(b["doc_id"], b["text"], strict=True) if text]
             out = pd.DataFrame(rows, columns=["doc_id", "t", "c", "a", "z", "latin", "filled", "spans"])
             out["doc_id"] = out["doc_id"].astype(b["doc_id"].dtype)
             out["spans"] = [[dict(zip(("c", "f", "bare", "mark", "v"), x, strict=True)) for x in held] for held in out["spans"]]
             yield out
 
-    scanned = scratch.table(documents.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, t string, {_ROW}"))
+    scanned = scratch.table(documents.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, t binary, {_ROW}"))
     texts = scratch.table(scanned.drop("doc_id").dropDuplicates(["t"]))
     spans_ = texts.select("t", F.explode("spans").alias("x")).select("t", "x.*")
     fillings = scratch.table(slot_fillings(spans_, texts.select(F.explode("filled").alias("f")), least_frames, least_marks, purity))
-    slots = _salted(spans_, fillings, ["f", "mark", "v"], "t").select("t", "c", "kind")
+    slots = salted(spans_, fillings, ["f", "mark", "v"], "t").select("t", "c", "kind")
     filler = texts.select("t", F.explode("latin").alias("c")).withColumn("kind", F.lit("filler"))
     marked = scratch.table(slots.unionByName(filler).distinct())
     cores = texts.select("t", F.explode(F.arrays_zip("c", "a", "z")).alias("x")).select("t", "x.*")
     need = texts.select("t", F.size("c").alias("n_statements"))
     messages = page_templates(cores, need, marked, least_texts, least_pages, share, scratch).withColumn("kind", F.lit("page template"))
     kinds = marked.unionByName(messages).groupBy("t", "kind").agg(F.count("*").alias("n"))
-    return _salted(scanned.select("doc_id", "t"), kinds, ["t"], "doc_id").select("doc_id", "kind", "n")
+    return salted(scanned.select("doc_id", "t"), kinds, ["t"], "doc_id").select("doc_id", "kind", "n")
 
 
 def residue(documents: DataFrame) -> DataFrame:

@@ -236,21 +236,43 @@ def edits(a, b):
     return row[-1]
 
 
+def swapped(s, t, k):
+    """Brute force: whether k edits, swaps of neighbours included, lead from s to t (optimal string alignment, whole table)."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(t) + 1)] for i in range(len(s) + 1)]
+    for i in range(1, len(s) + 1):
+        for j in range(1, len(t) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (s[i - 1] != t[j - 1]))
+            if i > 1 and j > 1 and s[i - 1] == t[j - 2] and s[i - 2] == t[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1] <= k
+
+
 def test_segment_join_misses_nothing():
     rng = random.Random(7)
-    for _ in range(400):
-        s = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 40)))
+    met = 0
+    for _ in range(4000):
+        s = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16)))
         t = list(s)
         for _ in range(rng.randrange(0, 4)):
             p = rng.randrange(len(t) + 1)
-            rng.choice([lambda: t.insert(p, "z"), lambda: t.pop(p) if p < len(t) else None, lambda: t.__setitem__(p, "y") if p < len(t) else None])()
+            rng.choice([lambda: t.insert(p, "z"), lambda: t.pop(p) if p < len(t) else None, lambda: t.__setitem__(p, "y") if p < len(t) else None, lambda: t.__setitem__(slice(p, p + 2), t[p : p + 2][::-1])])()
+        t = "".join(t)
+        for k in range(4):
+            assert R.near(s, t, k) == swapped(s, t, k), (s, t, k)
+        k = max(R.slips(s), R.slips(t)) if min(len(s), len(t)) > 3 else 0
+        if swapped(s, t, k):
+            met += 1
+            assert overlaps.segment_keys(s) & overlaps.probe_keys(t), (s, t)
+            assert not overlaps.segment_keys(s, "1") & overlaps.probe_keys(t, "2")
+    assert met > 1000
+    for _ in range(300):
+        s = " ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(6))
+        t = list(s)
+        for _ in range(3):
+            t[rng.randrange(len(t))] = "z"
         t = "".join(t)
-        k = overlaps.edits_for(len(s))
-        if edits(s, t) <= k:
+        if " " in t and swapped(s, t, overlaps.EDITS):
             assert overlaps.segment_keys(s) & overlaps.probe_keys(t)
-            assert R.near(s, t, k)
-        if not R.near(s, t, 2):
-            assert edits(s, t) > 2
 
 
 RECORD = ("The Brelvanor relay counts 1,204 working members. The Tarlion team confirmed this in March 2019.", "The Brelvanor relay counts 388 working members. Records of the Welkoris unit from March 2019 agree.")
@@ -267,7 +289,7 @@ def records(spark):
     a, b = RECORD
     same = [
         (b, a), (a.upper(), b.lower()), (a.replace("working", "wroking"), b), (". ".join(reversed(a.rstrip(".").split(". "))) + ".", b), ("<p>" + a.replace(" ", "&nbsp;", 2) + "</p>", "> " + b.replace("Brelvanor", "**Brelvanor**")),
-        (a.replace("The ", ""), b.replace("The ", "")), (a + " (source checked)", "NB: " + b), (a.replace("1,204", "1204").replace("e", "е"), b.replace(".", " - ", 1)), (a, b),
+        (a.replace("Brelvanor", "Brelvnor"), b), (a, b.replace("Tarlion", "Talrion").replace("Welkoris", "Welkors")), (a.replace("The ", ""), b.replace("The ", "")), (a + " (source checked)", "NB: " + b), (a.replace("1,204", "1204").replace("e", "е"), b.replace(".", " - ", 1)), (a, b),
     ]
     other = [(a.replace("1,204", "1,205"), b), (a.replace("Brelvanor", "Hesmorlin"), b.replace("Brelvanor", "Hesmorlin")), (a.replace("March", "April"), b), (a.replace("counts", "does not count"), b), (a, "The Brelvanor relay is named after a hill.")]
     data = [(0, *RECORD, " Train ")] + [(i + 1, x, y, "dev" if i % 2 else "TEST") for i, (x, y) in enumerate(same)] + [(100 + i, x, y, "test") for i, (x, y) in enumerate(other)] + [(200 + i, x, y, "train") for i, (x, y) in enumerate(rows)]
@@ -284,6 +306,21 @@ def test_overlaps_planted(spark, records):
     assert overlaps.found(df.limit(0)).count() == 0
 
 
+def test_overlaps_bear_slips_in_short_names(spark):
+    """A slip in the only name, also in one that stands on both sides, and records without any name."""
+    base = [(i, f"The {n} relay counts {100 + i} members.", f"The {n} unit moved in May {2000 + i}.", "train") for i, n in enumerate(("Porvaska", "Lindrom", "Hesk", "Tolvanor", "Quemarbel"))]
+    ask = [
+        (50, "The relay of Korvela has 1023 units.", "A team works for Korvela.", "train"), (51, "The relay of Korvela has 1023 units.", "A team works for Korvel.", "dev"),
+        (52, "The relay of Korvela has 1023 units.", "A team works for Korvela.", "test"), (53, "The relay of Zarmendo has 1023 units.", "A team works for Zarmendo.", "test"),
+        (60, "there are 17 of them in 2019", "nothing else was counted there", "train"), (61, "there are 17 of them in 2019", "nothing else was countd there", "dev"), (62, "there are 18 of them in 2019", "nothing else was counted there", "dev"),
+        (70, "1 2 3", "4 5", "train"), (71, "4 5", "1 2 3", "dev"), (72, "", "", "train"),
+    ]
+    df = spark.createDataFrame(base + ask, "row_id bigint, text_a string, text_b string, split string").withColumn("source", F.lit(None).cast("string"))
+    got = {tuple(r) for r in overlaps.found(df).collect()}
+    assert got == {(50, 51), (50, 52), (60, 61), (70, 71)}
+    assert overlaps.report(df).agg(F.sum("n_pairs")).first()[0] == 4
+
+
 # problem 4
 
 
