@@ -35,6 +35,7 @@ _HOMOGLYPHS = str.maketrans(
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _ASIDE = re.compile(r"\(([^()]*)\)|\[([^\[\]]*)\]")
 _TOKEN = re.compile(r"\d+(?:[,'’   ]\d{3})+(?!\d)|\d+(?:\.\d+)?|[^\W\d_]+")
+_STOP = re.compile(r"[.!?:]")
 _LISTED = re.compile(r"^(?:[\s>#*+\-•]+|\(?\d{1,2}[.)]\s+|[A-Za-z][.)]\s+)+")
 
 
@@ -67,7 +68,7 @@ def tokens(text: str) -> tuple[list[tuple[str, bool | None]], bool]:
             out.append((re.sub(r"[^\d.]", "", w), False))
             end = m.end()
             continue
-        first = not out or any(c in ".!?:" for c in clean[end : m.start()])
+        first = not out or _STOP.search(clean, end, m.start()) is not None
         end = m.end()
         if w.islower():
             low += 1
