@@ -82,8 +82,8 @@ def test_related_groups_and_splits(spark):
     want = {(g, i) for i, g in group.items() if len(now[g]) > 1}
     assert {tuple(r) for r in splits.divided_groups(df.withColumns(clash())).collect()} == want
     targets = spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1), ("none", None)], "split string, target_share double")
-    for units in (splits.FLOW_UNITS, 20):
-        got = splits.assign_splits(df.withColumns({k: v for k, v in clash().items()}), targets, flow_units=units).collect()
+    for units in (splits.MAX_BUNDLES, 20):
+        got = splits.assign_splits(df.withColumns({k: v for k, v in clash().items()}), targets, max_bundles=units).collect()
         assert sorted(r["row_id"] for r in got) == list(range(400))
         assert all(r["group_id"] == group[r["row_id"]] for r in got)
         assert len({(r["group_id"], r["new_split"]) for r in got}) == len(set(group.values()))
@@ -95,19 +95,37 @@ def test_related_groups_and_splits(spark):
     assert splits.divided_groups(df.limit(0)).count() == 0 and splits.assign_splits(df.limit(0), targets).count() == 0
 
 
-def test_quota_flow_is_near_the_best():
+def test_quota_flow_is_the_best():
+    """Against all assignments of eight components, on random cases."""
     rng = np.random.default_rng(0)
-    size = rng.integers(1, 9, 9)
-    profile = np.stack([size, size // 2, size - size // 2], axis=1).astype(float)
-    shares, totals = np.array([0.6, 0.2, 0.2]), profile.sum(0)
-
-    def cost(at):
-        load = np.stack([profile[at == s].sum(0) for s in range(3)])
-        f = splits.QuotaFlow(shares, totals, np.zeros((3, 3)))
-        return float(((load - f.quota) ** 2 * f.weight).sum())
-
-    best = min(cost(np.array([(c // 3**i) % 3 for i in range(9)])) for c in range(3**9))
-    assert cost(splits.QuotaFlow(shares, totals, np.zeros((3, 3))).place(profile)) <= best + 0.35
+    for case in range(40):
+        n, k = 8, int(rng.integers(2, 4))
+        label = rng.integers(0, 9, (n, 3))
+        label[:, 0] += 1
+        if case % 3 == 0:
+            label[0] *= 6  # one component holds much of all
+        shares = rng.dirichlet(np.ones(k) * 3)
+        flow = splits.QuotaFlow(shares, label.sum(1), label, np.ones(n))
+        x = flow.solve()
+        assert (x.sum(1) == 1).all() and (x >= 0).all()
+        every = np.eye(k, dtype=int)
+        best = min(flow.cost(every[[(c // k**i) % k for i in range(n)]]) for c in range(k**n))
+        assert flow.cost(x) <= best + 1e-9, case
+
+
+def test_quota_flow_rounds_many_bundles():
+    """Bundles of many components: counts add up, and what is left of the deviations is that of a few components."""
+    rng = np.random.default_rng(1)
+    for n in (30, 400):
+        label = rng.integers(0, 5, (n, 4)) * rng.integers(1, 6, (n, 1))
+        label[:, 1] += 1
+        counts = rng.integers(1, 50, n)
+        flow = splits.QuotaFlow(np.array([0.8, 0.1, 0.1]), label.sum(1), label, counts)
+        x = flow.solve()
+        assert (x.sum(1) == counts).all() and (x >= 0).all()
+        off = np.abs(x.T @ flow.p - flow.quota)
+        assert off.max() <= label.sum(1).max() and flow.cost(x) < 1.0
+    assert splits.QuotaFlow(np.array([1.0]), np.zeros(0), np.zeros((0, 1)), np.zeros(0)).solve().shape == (0, 1)
 
 
 # problem 3
@@ -197,6 +215,24 @@ def test_forest_search_pops_what_a_heap_pops():
     assert set(f.own(m)[0]) <= set(range(3 * f.leaves))
 
 
+def test_forest_looks_at_asked_planes_only(monkeypatch):
+    """Distances computed one by one lead to the same leaves as those computed all at once."""
+    from notegraph.llm.forest import Margins
+
+    x = np.random.default_rng(3).normal(size=(200, 6)).astype(np.float32)
+    f = Forest.fit(x, 3, 4)
+    x = x[:100] + np.float32(0.01)  # none of them lies on a plane
+    m = f.margins(x)
+    monkeypatch.setattr(Margins, "DENSE", 0)
+    lazy = f.margins(x)
+    assert lazy.dense is None and (f.own(m) == f.own(lazy)).all() and (np.sort(f.search(m, 5)) == np.sort(f.search(lazy, 5))).all()
+
+
+def test_depths_and_probes():
+    assert [neighbors.depth_for(n, 2500, 131_072) for n in (0, 5, 20, 100, 500, 40_000, 80_000, 1_000_000, 10**10)] == [1, 1, 1, 3, 4, 4, 5, 9, 14]
+    assert [neighbors.probes_for(d, 16) for d in (1, 5, 7, 9)] == [16, 16, 32, 64]
+
+
 def test_neighbors_against_brute_force(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(40, 16))
@@ -218,8 +254,9 @@ def test_neighbors_against_brute_force(spark):
     hits = sum(c >= kth[i] - 1e-5 for i, a in enumerate(ids) for _, _, c in near[a])
     assert hits / (10 * len(ids)) >= 0.9
     assert [b for _, b, _ in sorted(near["c0629"])] == [f"c{600 + i:04d}" for i in range(10)]
+    assert neighbors.depth_for(600, neighbors.LEAF, neighbors.SAMPLE) == 4  # the forest is used on small tables as well
     rep = neighbors.recall_report(df, dimension=16, queries=50).first()
-    assert rep["recall_at_k"] == 1.0  # few vectors: one leaf
+    assert 0.9 <= rep["recall_at_k"] <= 1.0 and rep["recall_similar"] >= 0.95
     assert neighbors.similar_pairs(df.limit(0)).count() == 0
 
 
@@ -389,6 +426,12 @@ def test_packing(spark):
                 assert sorted(p)[0][0] == 0
             assert sum(used.values()) / (len(used) * cap) > 0.9
     assert {r["capacity_id"] for r in got} == {1, 2}
+    many = packing.pack(docs, caps, windows=4, items=9).collect()  # several rounds of merging
+    used = Counter()
+    for r in many:
+        used[r["capacity_id"], r["container"]] += r["n_tokens"]
+    assert len({(r["capacity_id"], r["doc_id"]) for r in many}) == 2 * len(size) and all(n <= {1: 128, 2: 1024}[c] for (c, _), n in used.items())
+    assert all(sum(n for (c, _), n in used.items() if c == k) > 0.8 * cap * sum(c == k for c, _ in used) for k, cap in ((1, 128), (2, 1024)))
     assert packing.pack(docs.limit(0), caps).count() == 0
     assert packing.report(packing.pack(docs, caps)).count() == 2
 
