@@ -5,6 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
+class Margins:
+    """Signed distances of rows to planes: all at once for few planes, else only those asked for."""
+
+    DENSE = 2048
+
+    def __init__(self, x: np.ndarray, normals: np.ndarray, offsets: np.ndarray):
+        self.x, self.normals, self.offsets = x, normals, offsets
+        self.dense = x @ normals.T - offsets if len(normals) <= self.DENSE else None
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        rows, planes = at
+        if self.dense is not None:
+            return self.dense[rows, planes]
+        return (self.x[rows] * self.normals[planes]).sum(axis=-1) - self.offsets[planes]
+
+
 class Forest:
     """Complete binary trees of equal depth; node i has children 2i+1 and 2i+2.
 
@@ -54,13 +73,11 @@ class Forest:
                 w = rng.normal(size=d)
         return (w / max(np.linalg.norm(w), 1e-12)).astype(np.float32)
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        """(rows, trees * inner): signed distance to every cutting plane."""
-        if not self.inner:
-            return np.zeros((len(x), 0), dtype=np.float32)
-        return x @ self.normals.reshape(-1, self.normals.shape[2]).T - self.offsets.reshape(1, -1)
+    def margins(self, x: np.ndarray) -> Margins:
+        """The signed distance of every row of x to any cutting plane, plane number tree * inner + node."""
+        return Margins(x, self.normals.reshape(-1, self.normals.shape[2]), self.offsets.reshape(-1))
 
-    def own(self, m: np.ndarray) -> np.ndarray:
+    def own(self, m: Margins) -> np.ndarray:
         """(rows, trees): the leaf, numbered over the whole forest, that holds each row."""
         rows = np.arange(len(m))
         out = np.zeros((len(m), self.trees), dtype=np.int64)
@@ -71,7 +88,7 @@ class Forest:
             out[:, t] = t * self.leaves + node - self.inner
         return out
 
-    def search(self, m: np.ndarray, probes: int) -> np.ndarray:
+    def search(self, m: Margins, probes: int) -> np.ndarray:
         """(rows, probes): the leaves that one priority queue over all trees pops first.
 
         The queue of every row starts with all roots.  The node of the greatest priority is

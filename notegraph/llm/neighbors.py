@@ -16,9 +16,14 @@ from notegraph.llm.forest import Forest
 DIMENSION = 96
 K = 10
 THRESHOLD = 0.75
-#: Rows the trees are fitted on at most; every row is then indexed.
-SAMPLE = 65_536
-TREES, LEAF, PROBES, MAX_DEPTH = 6, 2500, 16, 12
+#: Vectors the trees are fitted on at most; every vector is then indexed.
+SAMPLE = 131_072
+#: Trees; vectors a leaf holds about; leaves asked at BASE_DEPTH, where the number of leaves of a tree is 2 ** depth.
+TREES, LEAF, PROBES, BASE_DEPTH = 6, 2500, 16, 5
+#: Members of a leaf that one task holds; a larger leaf is cut by hash and asked piece by piece.
+PIECE = 200_000
+#: How many more than k candidates, and how much lower ones, are reranked exactly, since leaves compare codes of one byte a number.
+MARGIN, SLACK = 6, 0.02
 _NEAR = "array<struct<c:double,r:bigint>>"
 
 
@@ -52,72 +57,116 @@ def _matrix(column: pd.Series, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), d)
 
 
+def depth_for(n: int, leaf: int, sample: int) -> int:
+    """Depth of the trees for n vectors: leaves of about `leaf` vectors, or sixteen leaves of fewer on smaller tables.
+
+    A leaf of the sample holds 8 vectors or more, so leaves grow beyond `leaf` where n exceeds sample * leaf / 8.
+    """
+    wanted = max(4, round(math.log2(max(n, 1) / leaf)))
+    return max(1, min(wanted, int(math.log2(max(min(n, sample) / 8, 2)))))
+
+
+def probes_for(depth: int, probes: int) -> int:
+    """Leaves asked: half as much again for every two doublings of leaves beyond BASE_DEPTH, which keeps the recall."""
+    return round(probes * 2 ** (max(0, depth - BASE_DEPTH) / 2))
+
+
+def codes(x: np.ndarray) -> np.ndarray:
+    """One signed byte a number, scaled to each row's greatest."""
+    return np.round(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30))).astype(np.int8)
+
+
+def decoded(column: pd.Series, d: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(column), dtype=np.int8).reshape(len(column), d).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
 def fit_forest(reps: DataFrame, n: int, d: int, trees: int, leaf: int, sample: int) -> Forest:
-    """Trees over at most `sample` rows drawn by the hash of their key."""
+    """Trees over at most `sample` vectors drawn by the hash of their key."""
     share = min(1.0, 0.9 * sample / max(n, 1))
     some = reps.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("key", "vec").limit(sample).toPandas()
     some = some.sort_values("key")
-    depth = max(0, min(MAX_DEPTH, round(math.log2(max(n, 1) / leaf)))) if len(some) > 1 else 0
-    return Forest.fit(_matrix(some["vec"], d), trees if depth else 1, depth)
+    return Forest.fit(_matrix(some["vec"], d), trees, depth_for(n, leaf, sample) if len(some) > 1 else 0)
 
 
 def similar_classes(reps: DataFrame, scratch: Scratch, k: int, least: float, trees: int, leaf: int, probes: int, sample: int, d: int) -> DataFrame:
-    """rid, near: for every distinct vector its k most similar other ones as (cosine, rid), best first.
+    """rid, other, cosine: for every distinct vector its k most similar other ones.
 
-    The driver fits the trees on the bounded sample; every vector is then sent to its own leaf of
-    each tree and to the leaves that its priority queue pops first, and each leaf is reranked by
-    exact inner products.  Cosines below `least` are left out already there.
+    The driver fits the trees on the bounded sample; every vector is then sent, as codes of one
+    byte a number, to its own leaf of each tree and to the leaves that its priority queue pops
+    first.  Each leaf gives the best candidates by the codes; of all leaves the k + MARGIN best are
+    reranked by exact inner products.  Cosines below `least` are left out.
     """
     spark = reps.sparkSession
     n = reps.count()
     fitted = fit_forest(reps, n, d, trees, leaf, sample)
+    asked = probes_for(fitted.depth, probes)
+    pieces = max(1, -(-n // (fitted.leaves * PIECE)))
     planes = spark.sparkContext.broadcast((fitted.normals, fitted.offsets))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Forest(*planes.value)
-        step = max(64, min(2048, 8_000_000 // max(1, f.trees * f.inner)))
+        step = max(64, min(2048, 4_000_000 // (f.trees * min(f.inner + 1, 2048) + (asked + f.trees) * (f.depth + 1))))
         for whole in batches:
             for i in range(0, len(whole), step):
                 b = whole.iloc[i : i + step]
-                m = f.margins(_matrix(b["vec"], d))
-                own, asked = f.own(m), f.search(m, probes)
+                x, rid = _matrix(b["vec"], d), b["rid"].to_numpy()
+                m = f.margins(x)
+                own, also = f.own(m), f.search(m, asked)
                 rows = np.arange(len(b))
-                at = np.concatenate([np.repeat(rows, own.shape[1]), np.repeat(rows, asked.shape[1])])
-                flags = pd.DataFrame({"at": at, "leaf": np.concatenate([own.ravel(), asked.ravel()]), "member": np.r_[np.ones(own.size, bool), np.zeros(asked.size, bool)]})
+                at = np.concatenate([np.repeat(rows, own.shape[1]), np.repeat(rows, also.shape[1])])
+                flags = pd.DataFrame({"at": at, "leaf": np.concatenate([own.ravel(), also.ravel()]), "member": np.r_[np.ones(own.size, bool), np.zeros(also.size, bool)]})
                 flags["asks"] = ~flags["member"]
                 flags = flags.groupby(["at", "leaf"], as_index=False, sort=False).max()
-                yield pd.DataFrame({"leaf": flags["leaf"], "rid": b["rid"].to_numpy()[flags["at"]], "vec": b["vec"].to_numpy()[flags["at"]], "member": flags["member"], "asks": flags["asks"]})
-
-    def rerank(group: pd.DataFrame) -> pd.DataFrame:
+                at, c = flags["at"].to_numpy(), codes(x)
+                cells = np.array([y.tobytes() for y in c], dtype=object)
+                for piece in range(pieces):
+                    # a member lies in one piece of its leaf, a question is asked in all
+                    member = flags["member"].to_numpy() & (rid[at] % pieces == piece)
+                    use = member | flags["asks"].to_numpy()
+                    yield pd.DataFrame({"leaf": flags["leaf"].to_numpy()[use] * pieces + piece, "rid": rid[at[use]], "code": cells[at[use]], "member": member[use], "asks": flags["asks"].to_numpy()[use]})
+
+    def candidates(group: pd.DataFrame) -> pd.DataFrame:
         members, asks = group[group["member"]], group[group["asks"]]
         empty = pd.DataFrame({"rid": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
         if not len(members) or not len(asks):
             return empty
-        x, ids = _matrix(members["vec"], d), members["rid"].to_numpy()
+        x, ids = decoded(members["code"], d), members["rid"].to_numpy()
         rids, nears = [], []
         block = max(1, 16_000_000 // len(ids))
         for i in range(0, len(asks), block):
             part = asks.iloc[i : i + block]
-            q, mine = _matrix(part["vec"], d), part["rid"].to_numpy()
+            q, mine = decoded(part["code"], d), part["rid"].to_numpy()
             s = q @ x.T
-            width = min(k + 1, len(ids))
+            width = min(k + MARGIN + 1, len(ids))
             top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-            near = s[np.arange(len(q))[:, None], top] >= least - 1e-5
-            for j in np.flatnonzero(near.any(axis=1)):
-                c = top[j][near[j]]
-                c = c[ids[c] != mine[j]]
-                exact = (x[c].astype(np.float64) * q[j].astype(np.float64)).sum(axis=1)
-                pairs = [{"c": float(a), "r": int(ids[b])} for a, b in zip(exact, c, strict=True) if a >= least]
-                if pairs:
-                    rids.append(int(mine[j]))
-                    nears.append(pairs)
+            value = np.take_along_axis(s, top, 1)
+            keep = (value >= least - SLACK) & (ids[top] != mine[:, None])
+            for j in np.flatnonzero(keep.any(axis=1)):
+                rids.append(int(mine[j]))
+                nears.append([{"c": float(a), "r": int(r)} for a, r in zip(value[j][keep[j]], ids[top[j][keep[j]]], strict=True)])
         return pd.DataFrame({"rid": rids, "near": nears}) if rids else empty
 
-    routed = reps.select("rid", "vec").mapInPandas(route, "leaf bigint, rid bigint, vec binary, member boolean, asks boolean")
-    found = routed.groupBy("leaf").applyInPandas(rerank, f"rid bigint, near {_NEAR}")
-    flat = F.array_distinct(F.flatten(F.collect_list("near")))
-    best = F.slice(F.sort_array(flat, asc=False), 1, k)
-    return scratch.table(found.groupBy("rid").agg(best.alias("near")))
+    routed = reps.select("rid", "vec").mapInPandas(route, "leaf bigint, rid bigint, code binary, member boolean, asks boolean")
+    found = routed.groupBy("leaf").applyInPandas(candidates, f"rid bigint, near {_NEAR}")
+    # the same pair has nearly the same cosine in every leaf: the codes are equal
+    flat = F.array_distinct(F.transform(F.flatten(F.collect_list("near")), lambda y: F.struct(F.round(y["c"], 5).alias("c"), y["r"].alias("r"))))
+    best = scratch.table(found.groupBy("rid").agg(F.slice(F.sort_array(flat, asc=False), 1, k + MARGIN).alias("near")))
+    pairs = best.select("rid", F.explode("near.r").alias("r")).select(F.least("rid", "r").alias("a"), F.greatest("rid", "r").alias("b")).distinct()
+    with_a = pairs.join(reps.select(F.col("rid").alias("a"), F.col("vec").alias("va")), "a")
+    both = with_a.join(reps.select(F.col("rid").alias("b"), F.col("vec").alias("vb")), "b")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c = (_matrix(b["va"], d).astype(np.float64) * _matrix(b["vb"], d).astype(np.float64)).sum(axis=1)
+                yield pd.DataFrame({"a": b["a"], "b": b["b"], "c": c})[c >= least]
+
+    measured = scratch.table(both.select("a", "b", "va", "vb").mapInPandas(exact, "a bigint, b bigint, c double"))
+    # both ends may list the pair, also the one whose candidates it was not among
+    ends = measured.select(F.col("a").alias("rid"), F.struct("c", F.col("b").alias("r")).alias("x")).unionByName(measured.select(F.col("b").alias("rid"), F.struct("c", F.col("a").alias("r")).alias("x")))
+    ranked = ends.withColumn("o", F.row_number().over(Window.partitionBy("rid").orderBy(F.col("x.c").desc(), F.col("x.r").desc()))).where(F.col("o") <= k)
+    return ranked.select("rid", F.col("x.r").alias("other"), F.col("x.c").alias("cosine"))
 
 
 def neighbors(
@@ -142,8 +191,7 @@ def neighbors(
         claims.select("key", "claim_id").withColumn("o", F.row_number().over(byid)).where(F.col("o") <= k + 1)
         .join(reps.select("key", "rid"), "key").select("rid", "key", F.col("claim_id").alias("claim_id_b"))
     )
-    pairs = near.select("rid", F.explode("near").alias("x")).select("rid", F.col("x.r").alias("other"), F.col("x.c").alias("cosine"))
-    others = pairs.join(firsts.select(F.col("rid").alias("other"), "claim_id_b"), "other").join(reps.select("rid", "key"), "rid").select("key", "claim_id_b", "cosine")
+    others = near.join(firsts.select(F.col("rid").alias("other"), "claim_id_b"), "other").join(reps.select("rid", "key"), "rid").select("key", "claim_id_b", "cosine")
     copies = firsts.select("key", "claim_id_b", F.lit(1.0).alias("cosine"))
     offered = others.unionByName(copies)
     # a class needs no more than its k + 1 best offers, whichever of its claims asks

@@ -54,8 +54,8 @@ def pack(
 
     Documents are spread by the hash of their id over partitions of about `items` documents and
     packed there as a stream; what is open at the end of a partition is emitted as leftovers,
-    at most `windows` per partition and capacity, which are finally packed together best-fit,
-    fullest first.  Only a document longer than the capacity is cut, into full containers and a rest.
+    at most `windows` per partition and capacity, which are packed together best-fit, fullest
+    first, in streams of the same size until one stream holds what is left.  Only a document longer than the capacity is cut, into full containers and a rest.
     Null and empty texts have no tokens and lie in some container without taking room.  A null or
     non-positive capacity packs nothing.
     """
@@ -92,22 +92,63 @@ def pack(
     columns = ["capacity_id", "container", "doc_id", "piece", "first_token", "n_tokens"]
     placed = scratch.table(spread.select("part", "doc_id", "n_tokens").mapInPandas(stream, f"capacity_id int, container string, doc_id {kind}, piece int, first_token bigint, n_tokens bigint"))
 
-    size_of = dict(caps)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "container"], ascending=[False, True])
-        c = int(group["capacity_id"].iloc[0])
-        fit = BestFit(size_of[c], len(group) + 1)
-        return pd.DataFrame({"capacity_id": c, "container": group["container"], "merged": [f"m-{fit.place(int(x))}" for x in group["n_tokens"]]})
-
-    # at most windows rows per partition and capacity
-    merged = placed.where("piece is null").select("capacity_id", "container", "n_tokens").groupBy("capacity_id").applyInPandas(merge, "capacity_id int, container string, merged string")
+    merged = _merge_leftovers(placed.where("piece is null").select("capacity_id", "container", "n_tokens"), dict(caps), windows, items, scratch)
     out = placed.where("piece is not null").join(merged, ["capacity_id", "container"], "left")
     return out.join(F.broadcast(capacities.select(F.col("capacity_id").cast("int").alias("capacity_id"), "capacity_tokens").distinct()), "capacity_id").select(
         "capacity_id", "capacity_tokens", F.coalesce("merged", "container").alias("container"), "doc_id", "piece", "first_token", "n_tokens"
     )
 
 
+def _merge_leftovers(left: DataFrame, size_of: dict[int, int], windows: int, items: int, scratch: Scratch) -> DataFrame:
+    """capacity_id, container, merged: the open containers of all partitions, packed into one another.
+
+    They are packed like items, the fullest first, in streams of about `items` rows with `windows`
+    open containers; what these leave open goes into another round.  A round leaves at most
+    `windows` rows of each `items`, and the round that fits into one stream is the last.
+    """
+    columns = ["capacity_id", "container", "merged", "n_tokens"]
+    name: DataFrame | None = None
+    left = scratch.table(left)
+    level = 0
+    while True:
+        n = left.count()
+        parts = max(1, -(-n // items))
+        last = parts == 1
+        slot = F.pmod(F.xxhash64(F.lit("merge"), "capacity_id", "container"), F.lit(parts)).cast("int")
+        spread = left.withColumn("part", slot).repartition(parts, "part").sortWithinPartitions("part", "capacity_id", F.desc("n_tokens"), "container")
+
+        def stream(batches: Iterator[pd.DataFrame], level: int = level, last: bool = last) -> Iterator[pd.DataFrame]:
+            at, fit = None, None
+
+            def opened() -> list[tuple]:
+                return [(at[1], None, f"m{level}-{at[0]}-{number}", size_of[at[1]] - room) for room, number in fit.open]
+
+            for b in batches:
+                out: list[tuple] = []
+                for p, c, container, used in zip(b["part"], b["capacity_id"], b["container"], b["n_tokens"], strict=True):
+                    if (p, c) != at:
+                        if at is not None and not last:
+                            out += opened()
+                        # in the last round nothing is emitted early: there are at most `items` rows
+                        at, fit = (p, c), BestFit(size_of[c], items + 1 if last else windows)
+                    out.append((c, container, f"m{level}-{p}-{fit.place(int(used))}", None))
+                yield pd.DataFrame(out, columns=columns)
+            if at is not None and not last:
+                yield pd.DataFrame(opened(), columns=columns)
+
+        step = scratch.table(spread.select("part", "capacity_id", "container", "n_tokens").mapInPandas(stream, "capacity_id int, container string, merged string, n_tokens bigint"))
+        into = step.where("container is not null").select("capacity_id", "container", "merged")
+        if name is None:
+            name = into
+        else:
+            next_ = into.select("capacity_id", F.col("container").alias("merged"), F.col("merged").alias("into"))
+            name = name.join(next_, ["capacity_id", "merged"], "left").select("capacity_id", "container", F.coalesce("into", "merged").alias("merged"))
+        if last:
+            return name
+        left = step.where("container is null").select("capacity_id", F.col("merged").alias("container"), "n_tokens")
+        level += 1
+
+
 def report(packed: DataFrame) -> DataFrame:
     """capacity_id, capacity_tokens, n_documents, n_containers, n_tokens, filled (share of all room in use), n_cut (documents cut)."""
     per = packed.groupBy("capacity_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"))
