@@ -139,12 +139,23 @@ def similar_classes(reps: DataFrame, scratch: Scratch, k: int, least: float, tre
             q, mine = decoded(part["code"], d), part["rid"].to_numpy()
             s = q @ x.T
             width = min(k + MARGIN + 1, len(ids))
-            top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(s, top, 1)
-            keep = (value >= least - SLACK) & (ids[top] != mine[:, None])
-            for j in np.flatnonzero(keep.any(axis=1)):
-                rids.append(int(mine[j]))
-                nears.append([{"c": float(a), "r": int(r)} for a, r in zip(value[j][keep[j]], ids[top[j][keep[j]]], strict=True)])
+            enough = s >= least - SLACK
+            if np.count_nonzero(enough) <= width * len(q):
+                r, c = np.nonzero(enough)
+            else:
+                c = np.argpartition(-s, width - 1, axis=1)[:, :width].ravel()
+                r = np.repeat(np.arange(len(q)), width)
+                r, c = r[enough[r, c]], c[enough[r, c]]
+            other = ids[c] != mine[r]
+            r, c = r[other], c[other]
+            value = s[r, c]
+            order = np.lexsort((-value, r))
+            r, c, value = r[order], c[order], value[order]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, dtype=int)
+            for lo, hi in zip(first, np.r_[first[1:], len(r)], strict=True):
+                hi = min(hi, lo + width)
+                rids.append(int(mine[r[lo]]))
+                nears.append([{"c": float(a), "r": int(b)} for a, b in zip(value[lo:hi], ids[c[lo:hi]], strict=True)])
         return pd.DataFrame({"rid": rids, "near": nears}) if rids else empty
 
     routed = reps.select("rid", "vec").mapInPandas(route, "leaf bigint, rid bigint, code binary, member boolean, asks boolean")
