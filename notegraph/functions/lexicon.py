@@ -100,10 +100,10 @@ def relatedness(a: Column, b: Column) -> Column:
 
 
 def specificity(text: Column) -> Column:
-    """Content tokens + 2 numbers + 2 years + 1.5 months + 1.5 capitalised words after the first."""
+    """Content tokens + 2 numbers + 2 years + 1.5 months + 1.5 capitalised words after the first; words are runs of ASCII letters, digits and _."""
     t = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-    months = count(r"(?i)\b(" + "|".join(MONTHS) + r")\b")
-    return (
-        F.size(content_tokens(t, ATTRIBUTION_CUES)) + 2.0 * count(r"\d+(\.\d+)?") + 2.0 * count(r"\b(18|19|20)\d{2}\b") + 1.5 * months + 1.5 * F.size(capitalized(t, skip_first=True))
-    )
+    found = F.regexp_extract_all(t, F.lit("([A-Za-z0-9_]+)"))
+    numbers = F.size(F.regexp_extract_all(t, F.lit(r"([0-9]+(\.[0-9]+)?)")))
+    years = F.size(F.filter(found, lambda w: w.rlike("^(18|19|20)[0-9]{2}$")))
+    months = F.size(F.filter(found, lambda w: F.array_contains(_list(MONTHS), F.lower(w))))
+    return F.size(content_tokens(t, ATTRIBUTION_CUES)) + 2.0 * numbers + 2.0 * years + 1.5 * months + 1.5 * F.size(capitalized(t, skip_first=True))

@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 class Scratch:
     """Written intermediate tables of one operator run.
 

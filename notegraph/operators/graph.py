@@ -200,6 +200,12 @@ def quality(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return s.crossJoin(e)  # one row each
 
 
+def quality_by_type(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """relation_type, n_inside, n_cut: edges whose ends share a partition, and others."""
+    inside = F.col("p_source") == F.col("p_target")
+    return placed(edges, parts).groupBy("relation_type").agg(F.count_if(inside).alias("n_inside"), F.count_if(~inside).alias("n_cut"))
+
+
 def partition_table(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """partition_id, n_nodes, n_edges, n_supports, density, longest_chain.
 
@@ -366,41 +372,47 @@ def support(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, empty) for c in ("supporting_ids", "group_ids", "direct", "derived", "multi_hop")})
 
 
-def temporal(nodes: DataFrame, edges: DataFrame, parts: DataFrame, times: DataFrame, min_delta: float = 1.0) -> DataFrame:
+def temporal(nodes: DataFrame, edges: DataFrame, times: DataFrame, min_delta: float = 1.0) -> DataFrame:
     """claim_id, temporal_status, temporal_confidence, time_delta_days, counterpart.
 
     Contradictions are taken in edge id order, a pair being passed over only if both its claims
-    are settled, a later pair otherwise overwriting: no_timestamp where a time is missing,
-    unresolved below `min_delta` days, else evolution with confidence min(1, days / max(30 min_delta, 30)).
-    Others are static_partition.  times: (claim_id, ts).
+    are settled, a later pair otherwise overwriting.  A claim is settled by its first pair, so a pair
+    counts if it is the first of either of its claims, and a claim takes the last pair that counts.
+    no_timestamp where a time is missing, unresolved below `min_delta` days, else evolution with
+    confidence min(1, days / max(30 min_delta, 30)).  Others are static_partition.  times: (claim_id, ts).
     """
-    scratch = Scratch(nodes.sparkSession, "temporal")
-    contra = edges.where("relation_type = 'contradicts' and source != target")
-    comp = components(endpoints(contra), contra, scratch)
+    contra = edges.where("relation_type = 'contradicts' and source != target").select("edge_id", "source", "target")
     t = times.groupBy("claim_id").agg(F.min(F.col("ts").cast("timestamp")).alias("ts")).select("claim_id", (F.unix_micros("ts") / 86_400_000_000.0).alias("day"))
-    at = contra.join(comp.withColumnRenamed("claim_id", "source"), "source").select("component", "edge_id", "source", "target")
-    at = at.join(t.select(F.col("claim_id").alias("source"), F.col("day").alias("da")), "source", "left").join(t.select(F.col("claim_id").alias("target"), F.col("day").alias("db")), "target", "left")
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, tuple] = {}
-        for e in g.sort_values("edge_id").itertuples():
-            if e.source in out and e.target in out:
-                continue
-            if pd.isna(e.da) or pd.isna(e.db):
-                status, conf, delta = "no_timestamp", 0.0, None
-            else:
-                delta = abs(e.da - e.db)
-                status, conf = ("unresolved", 0.0) if delta < min_delta else ("evolution", round(min(1.0, delta / max(30.0 * min_delta, 30.0)), 3))
-                delta = round(delta, 2)
-            out[e.source] = (status, conf, delta, e.target)
-            out[e.target] = (status, conf, delta, e.source)
-        return pd.DataFrame([(k, *v) for k, v in sorted(out.items())], columns=["claim_id", "temporal_status", "temporal_confidence", "time_delta_days", "counterpart"])
-
-    found = at.groupBy("component").applyInPandas(walk, "claim_id string, temporal_status string, temporal_confidence double, time_delta_days double, counterpart string")
+    ends = contra.select("edge_id", F.explode(F.array(F.struct(F.col("source").alias("claim_id"), F.col("target").alias("other")), F.struct(F.col("target").alias("claim_id"), F.col("source").alias("other")))).alias("x")).select("edge_id", "x.*")
+    counted = ends.groupBy("claim_id").agg(F.min("edge_id").alias("edge_id")).select("edge_id").distinct()
+    last = ends.join(counted, "edge_id", "left_semi").groupBy("claim_id").agg(F.max(F.struct("edge_id", "other")).alias("x")).select("claim_id", F.col("x.other").alias("counterpart"))
+    last = last.join(t.withColumnRenamed("day", "a"), "claim_id", "left").join(t.select(F.col("claim_id").alias("counterpart"), F.col("day").alias("b")), "counterpart", "left")
+    delta = F.abs(F.col("a") - F.col("b"))
+    found = last.select(
+        "claim_id", F.when(delta.isNull(), "no_timestamp").when(delta < min_delta, "unresolved").otherwise("evolution").alias("temporal_status"),
+        F.when(delta >= min_delta, F.round(F.least(F.lit(1.0), delta / max(30.0 * min_delta, 30.0)), 3)).otherwise(0.0).alias("temporal_confidence"), F.round(delta, 2).alias("time_delta_days"), "counterpart",
+    )
     out = nodes.select("claim_id").distinct().join(found, "claim_id", "left")
     return out.withColumns({"temporal_status": F.coalesce("temporal_status", F.lit("static_partition")), "temporal_confidence": F.coalesce("temporal_confidence", F.lit(0.0))})
 
 
+def contradiction_days(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """edge_id, days between the times of both claims of every contradiction, null where one is missing.  times: (claim_id, ts), one row per claim."""
+    t = times.select("claim_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = edges.where("relation_type = 'contradicts'").select("edge_id", "source", "target")
+    e = e.join(t.select(F.col("claim_id").alias("source"), F.col("us").alias("a")), "source", "left").join(t.select(F.col("claim_id").alias("target"), F.col("us").alias("b")), "target", "left")
+    return e.select("edge_id", F.round(F.abs(F.col("a") - F.col("b")) / 86_400_000_000.0, 6).alias("days"))
+
+
+def supported_contradictions(edges: DataFrame, by: tuple[str, ...] = ("supports",)) -> DataFrame:
+    """edge_id, source_supported, target_supported of every contradiction: whether an edge of type `by` points at its ends."""
+    supported = edges.where(F.col("relation_type").isin(*by)).select(F.col("target").alias("c")).distinct().withColumn("yes", F.lit(True))
+    out = edges.where("relation_type = 'contradicts'").select("edge_id", "source", "target")
+    for end in ("source", "target"):
+        out = out.join(supported.select(F.col("c").alias(end), F.col("yes").alias(f"{end}_yes")), end, "left")
+    return out.select("edge_id", *[F.coalesce(f"{end}_yes", F.lit(False)).alias(f"{end}_supported") for end in ("source", "target")])
+
+
 def role(is_bridge: Column, centrality: Column, in_degree: Column, out_degree: Column, degree: Column, refines_out: Column) -> Column:
     """Semantic role by the ladder bridge, foundational, evidence hub, refinement root, leaf, peripheral."""
     return (

@@ -19,12 +19,14 @@ FIELDS = (
 )
 #: Columns of the projection levels.
 LEVELS: dict[str, tuple[str, ...]] = {
-    "summary": ("claim_id", "claim_text", "reliability_index", "calibration_label", "partition_id", "semantic_role"),
-    "standard": ("claim_id", "claim_text", "reliability_index", "calibration_label", "partition_id", "semantic_role", "context", "document_id", "uncertainty_score", "evidence_completeness", "support_count", "temporal_status"),
-}
-LEVELS["detailed"] = (*LEVELS["standard"], "degree", "in_degree", "centrality", "weighted_confidence")
-LEVELS["explainability"] = (*LEVELS["detailed"], "evidence_strength", "conflict_pressure", "is_hub", "is_bridge", "source_path")
-LEVELS["full_audit"] = (*LEVELS["explainability"], "policy_version", "time_delta_days")
+    "summary": ("claim_id", "claim_text", "context", "reliability_index", "calibration_label", "uncertainty_score"),
+    "standard": (
+        "claim_id", "claim_text", "reliability_index", "calibration_label", "uncertainty_score", "document_id", "source_path", "partition_id", "semantic_role", "degree", "centrality", "support_count",
+    ),
+}
+LEVELS["detailed"] = (*LEVELS["standard"], "temporal_status", "evidence_strength", "conflict_pressure", "evidence_completeness")
+LEVELS["explainability"] = (*LEVELS["detailed"], "explanation_summary", "dominant_signal", "limiting_signal", "component_scores", "recommendations")
+LEVELS["full_audit"] = (*LEVELS["explainability"], "policy_version", "audit_run_id")
 
 
 @dataclass(frozen=True)
@@ -109,8 +111,11 @@ def scan(df: DataFrame, predicates: list[Predicate], sort: Sort | None = None, p
 
 
 def project(df: DataFrame, level: str) -> DataFrame:
-    """The columns of a projection level that the table has; Catalyst prunes the rest from the scan."""
-    return df.select(*[c for c in LEVELS[level] if c in df.columns])
+    """The columns of a projection level; Catalyst prunes the rest from the scan.  A table that lacks one is an error."""
+    missing = [c for c in LEVELS[level] if c not in df.columns]
+    if missing:
+        raise ValueError(f"no {', '.join(missing)} for the projection {level}")
+    return df.select(*LEVELS[level])
 
 
 def claim_view(records: DataFrame, reliability: DataFrame) -> DataFrame:

@@ -1,13 +1,10 @@
-"""The flat claim record table that queries run on."""
+"""One row per claim of a table of claim rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.operators import relations as R
-from notegraph.operators import scoring
-
 
 def distinct_claims(claims: DataFrame) -> DataFrame:
     """One row per claim_id of a table with exact repeats; null ids are left out."""
@@ -15,26 +12,3 @@ def distinct_claims(claims: DataFrame) -> DataFrame:
         F.min("text").alias("claim_text"), F.min("context").alias("context"), F.min("document_id").alias("document_id"), F.min("source_path").alias("source_path"),
         F.min("extraction_mode").alias("extraction_mode"), F.bool_or("is_negated").alias("is_negated"), F.min("modality").alias("modality"),
     )
-
-
-def evidence_records(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Claim records with degrees, support, conflict and a reliability index read from their direct relations.
-
-    The full index over signals and partitions is `notegraph.operators.scoring`; this one needs no graph
-    iteration: 100 * (.7 log1p(supporters)/log1p(most supporters) + .3 mean confidence), less 20 k/(1+k) for k contradictions.
-    """
-    edges = R.relations(evidence).select("claim_id_a", "claim_id_b", "relation_type", "conf_ab")
-    into = edges.groupBy(F.col("claim_id_b").alias("claim_id")).agg(
-        F.count("*").alias("in_degree"), F.count_distinct(F.when(F.col("relation_type") == "supports", F.col("claim_id_a"))).alias("support_count"),
-        F.avg(F.when(F.col("relation_type") == "supports", F.col("conf_ab"))).alias("weighted_confidence"),
-    )
-    ends = edges.select(F.explode(F.array("claim_id_a", "claim_id_b")).alias("claim_id"), "relation_type")
-    both = ends.groupBy("claim_id").agg(F.count("*").alias("degree"), F.count_if(F.col("relation_type") == "contradicts").alias("conflicts"))
-    most = into.agg(F.greatest(F.lit(1), F.coalesce(F.max("support_count"), F.lit(0))).alias("most"))
-    rows = distinct_claims(claims).join(into, "claim_id", "left").join(both, "claim_id", "left").fillna(0, ["in_degree", "support_count", "degree", "conflicts"])
-    rows = rows.crossJoin(F.broadcast(most))  # one row
-    strength = 0.7 * F.log1p("support_count") / F.log1p("most") + 0.3 * F.coalesce("weighted_confidence", F.lit(0.0))
-    pressure = F.col("conflicts") / (1 + F.col("conflicts"))
-    index = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * strength - 20 * pressure)), 6)
-    rows = rows.withColumns({"evidence_strength": F.round(strength, 6), "conflict_pressure": F.round(pressure, 6), "reliability_index": index, "uncertainty_score": F.round(100.0 / (1 + F.col("support_count")), 6)})
-    return rows.withColumns({"calibration_label": scoring.label(F.col("reliability_index")), "weighted_confidence": F.round("weighted_confidence", 6)}).drop("most", "conflicts")

@@ -87,7 +87,7 @@ def decision_confidence() -> Column:
 def apply_gates(resolved: DataFrame, texts: DataFrame, relatedness: float = 0.03, margin: float = 3.0) -> DataFrame:
     """Contradictions of unrelated texts become unknown; supports by a clearly more specific claim become refines.
 
-    texts: (claim_id, text).  Pairs with a missing text keep their type.
+    texts: (claim_id, text), one row per claim.  A missing text counts as empty, so it is related to nothing.
     """
     a = texts.select(F.col("claim_id").alias("claim_id_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("claim_id").alias("claim_id_b"), F.col("text").alias("text_b"))
@@ -116,11 +116,11 @@ def relation_id(schema_version: str = "7.0") -> Column:
     return F.substring(F.sha2(F.concat_ws(":", "claim_id_a", "claim_id_b", "relation_type", F.lit(schema_version)), 256), 1, 16)
 
 
-def relations(evidence: DataFrame, texts: DataFrame | None = None, policy: ResolverPolicy = ResolverPolicy(), least: float = 0.50) -> DataFrame:
+def relations(evidence: DataFrame, texts: DataFrame | None = None, policy: ResolverPolicy = ResolverPolicy(), least: float = 0.50, relatedness: float = 0.03) -> DataFrame:
     """Valid typed relations of an evidence table: resolve, gates where texts are given, confidence, validation, id."""
     out = resolve(flat_evidence(evidence), policy)
     if texts is not None:
-        out = apply_gates(out, texts)
+        out = apply_gates(out, texts, relatedness)
     out = out.withColumn("decision_confidence", decision_confidence()).withColumn("rejection_reason", rejection_reason(policy.nli_threshold, least))
     return out.where("rejection_reason is null").withColumn("edge_id", relation_id())
 

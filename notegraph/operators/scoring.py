@@ -63,9 +63,9 @@ def evidence_strength(strength: Column, confidence: Column, most: Column) -> Col
 
 
 def evidence_independence(documents: Column, publishers: Column, n: Column) -> Column:
-    """Blend of distinct sources and publishers per supporter, cut below one half; 1 without supporters."""
+    """Blend of distinct sources and publishers per supporter, cut below one half; null, unavailable, without supporters."""
     blend = (1 - PUBLISHER_WEIGHT) * documents / n + PUBLISHER_WEIGHT * publishers / n
-    return F.when(n == 0, 1.0).otherwise(guard(F.when(blend < ECHO_THRESHOLD, blend * (1 - ECHO_PENALTY)).otherwise(blend)))
+    return F.when(n > 0, guard(F.when(blend < ECHO_THRESHOLD, blend * (1 - ECHO_PENALTY)).otherwise(blend)))
 
 
 def source_diversity(sources: Column, most: Column) -> Column:
@@ -150,18 +150,24 @@ def explain(scored: DataFrame) -> DataFrame:
     down = F.filter("components", lambda c: c["contribution"] < 0)
     show = lambda xs: F.slice(F.transform(xs, lambda c: F.struct(c["signal"].alias("signal"), F.round(c["contribution"], 2).alias("contribution"))), 1, 3)
     first = lambda xs: F.when(F.size(xs) > 0, F.element_at(xs, 1)["signal"])
-    ri = F.col("reliability_index")
-    base = F.when(ri >= 80, "Highly reliable.").when(ri >= 65, "Reliable.").when(ri >= 45, "Moderately reliable.").when(ri >= 25, "Limited reliability.").otherwise("Very low reliability.")
-    title = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.regexp_replace(F.substring(s, 2, 99), "_", " "))
-    summary = F.concat(base, F.coalesce(F.concat(F.lit(" Primary strength: "), title(first(up)), F.lit(".")), F.lit("")), F.coalesce(F.concat(F.lit(" Main concern: "), title(first(down)), F.lit(".")), F.lit("")))
-    of = lambda s, default: F.coalesce(F.element_at(F.transform(F.filter("components", lambda c: c["signal"] == s), lambda c: c["contribution"]), 1), F.lit(default))
-    recs = F.array_compact(F.array(
-        F.when(of("conflict_pressure", 0.0) < -10, "Review contradicting claims in other partitions."), F.when(of("evidence_independence", 1.0) < 0, "Seek supporting evidence from additional independent sources."),
-        F.when(of("source_diversity", 1.0) < 0.05, "Diversify evidence across more document sources."), F.when(of("temporal_stability", 1.0) < 0.05, "Monitor for temporal evolution of this claim."),
-    ))
+    index = F.round("reliability_index", 1).cast("string")
+    words = lambda c: F.regexp_replace(c, "_", " ")
+    summary = F.concat(
+        F.lit("Index "), index, F.lit(" of 100 ("), words(F.col("calibration_label")), F.lit(")"),
+        F.coalesce(F.concat(F.lit("; raised most by "), words(first(up))), F.lit("; raised by no signal")), F.coalesce(F.concat(F.lit(", lowered most by "), words(first(down))), F.lit("")), F.lit("."),
+    )
+    # a hint per evidence signal that gives less than a fifth of what it could give or takes more than half of what it could take
+    hints = {
+        "evidence_strength": "few or weak supporting claims: look for more", "evidence_independence": "supporters share sources or publishers: look for others", "source_diversity": "support comes from few sources: widen them",
+        "conflict_pressure": "strong contradictions: read the contradicting claims", "temporal_stability": "the claim changes over time: watch its dates",
+    }
+    share = lambda c: c["contribution"] / (F.lit(100.0) * c["weight"])
+    poor = lambda c: F.when(c["signal"].isin(*NEGATIVE), share(c) < -0.5).otherwise(share(c) < 0.2)
+    hint = F.create_map(*[F.lit(x) for pair in hints.items() for x in pair])
+    recs = F.array_sort(F.transform(F.filter("components", poor), lambda c: F.element_at(hint, c["signal"])))
     return scored.withColumns({
         "summary": summary, "dominant_signal": F.coalesce(first(up), F.lit("none")), "limiting_signal": F.coalesce(first(down), F.lit("none")), "strengths": show(up), "weaknesses": show(down),
-        "recommendations": F.when(F.size(recs) == 0, F.array(F.lit("Maintain current evidence quality."))).otherwise(recs),
+        "recommendations": recs,
     })
 
 

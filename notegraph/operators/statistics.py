@@ -63,3 +63,11 @@ def index_statistics(rows: DataFrame, fields: list[str]) -> DataFrame:
     return s.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"d_{f}").alias("n_values"), F.col(f"n_{f}").alias("n_entries")) for f in fields])).alias("x")).select(
         "x.field", "x.n_values", "x.n_entries", F.round(F.col("x.n_entries") / F.greatest(F.lit(1), F.col("x.n_values")), 6).alias("entries_per_value")
     )
+
+
+def partition_summary(records: DataFrame) -> DataFrame:
+    """partition_id, n_nodes, mean_reliability, mean_uncertainty, n_supports, n_hubs, n_bridges: one partial aggregate."""
+    return records.groupBy("partition_id").agg(
+        F.count("*").alias("n_nodes"), F.round(F.avg("reliability_index"), 4).alias("mean_reliability"), F.round(F.avg("uncertainty_score"), 4).alias("mean_uncertainty"),
+        F.sum("support_count").alias("n_supports"), F.count_if("is_hub").alias("n_hubs"), F.count_if("is_bridge").alias("n_bridges"),
+    )

@@ -3,31 +3,20 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.operators import pipeline, records
+from notegraph.operators import records
 from notegraph.operators import predicates as P
 from notegraph.operators import relations as R
 from notegraph.plans import sql
+from notegraph.plans.base import claim_records, scored_graph, times, typed
 from notegraph.plans.registry import query
 from notegraph.session import table
 
 
-def claim_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of direct relations only, as sql.RECORDS has them."""
-    return records.evidence_records(table(spark, d, "claims"), table(spark, d, "relationship_evidence"))
-
-
-def scored_graph(spark: SparkSession, d: str) -> pipeline.ScoredGraph:
-    """The graph of all claims and anchors with their eight signals."""
-    docs = table(spark, d, "documents").select(F.col("doc_key").alias("document_id"), F.lower("source").alias("publisher"), F.col("notebook_id").alias("source_id"))
-    return pipeline.build(table(spark, d, "claims"), table(spark, d, "relationship_evidence"), table(spark, d, "anchor_claims"), sources=docs.dropDuplicates(["document_id"]))
-
-
-def record_query(name: str, sql_text: str):
-    """Registers f(spark, d, records) as NAME over the records of direct relations, which the SQL follows, and as NAME_scored over the scored graph."""
+def record_query(name: str, sql_text: str | None = None):
+    """Registers f(spark, d, records) over the records of the scored graph."""
 
     def add(f):
         query(name, sql_text)(lambda spark, d: f(spark, d, claim_records(spark, d)))
-        query(f"{name}_scored")(lambda spark, d: f(spark, d, scored_graph(spark, d).records))
         return f
 
     return add
@@ -47,9 +36,13 @@ def f01n(spark, d):
     return P.where_all(claim_records(spark, d), [P.Predicate("context", "eq", None), P.Predicate("claim_text", "neq", 5)]).select("claim_id", "context")
 
 
-@query("f01_type_mismatch", f"SELECT claim_id FROM {sql.RECORDS} WHERE false")
+@query("f01_type_mismatch", f"SELECT claim_id, claim_text <> '' AS has_text FROM {sql.RECORDS} WHERE claim_text IS NOT NULL AND degree >= 1")
 def f01t(spark, d):
-    return P.where_all(claim_records(spark, d), [P.Predicate("claim_text", "gt", 5)]).select("claim_id")
+    # a range over text and a number is false, inequality to a number is true
+    rows = claim_records(spark, d)
+    none = P.where_all(rows, [P.Predicate("claim_text", "gt", 5)])
+    kept = P.where_all(rows, [P.Predicate("claim_text", "neq", 5), P.Predicate("claim_text", "neq", None), P.Predicate("degree", "gte", 1)]).unionByName(none)
+    return kept.select("claim_id", (F.col("claim_text") != "").alias("has_text"))
 
 
 @query("f03_text_contains", f"SELECT claim_id, claim_text FROM {sql.CLAIMS} WHERE contains(lower(claim_text), 'protocol') OR contains(lower(claim_text), 'packet')")
@@ -82,11 +75,49 @@ def f07(spark, d, rows):
     return P.claim_view(records.distinct_claims(table(spark, d, "claims")), rel).select("claim_id", "reliability_index", "uncertainty_score", "calibration_label")
 
 
-@record_query("f08_projection_standard", f"SELECT claim_id, claim_text, reliability_index, calibration_label, context, document_id, uncertainty_score, support_count FROM {sql.RECORDS}")
+@record_query("f08_projection_summary", f"SELECT claim_id, claim_text, context, reliability_index, calibration_label, uncertainty_score FROM {sql.RECORDS}")
+def f08s(spark, d, rows):
+    return P.project(rows, "summary")
+
+
+STANDARD = "claim_id, claim_text, reliability_index, calibration_label, uncertainty_score, document_id, source_path, partition_id, semantic_role, degree, centrality, support_count"
+
+
+@record_query("f08_projection_standard", f"SELECT {STANDARD} FROM {sql.RECORDS}")
 def f08(spark, d, rows):
     return P.project(rows, "standard")
 
 
+@record_query("f08_projection_detailed", f"SELECT {STANDARD}, temporal_status, evidence_strength, conflict_pressure, evidence_completeness FROM {sql.RECORDS}")
+def f08d(spark, d, rows):
+    return P.project(rows, "detailed")
+
+
+def _explained(level):
+    def run(spark, d):
+        from notegraph.plans.requests import KnowledgeService, Search
+
+        # texts and components of the explanation as counts, the rest as it is
+        rows = KnowledgeService(scored_graph(spark, d), run_id="audit").execute(Search((P.Predicate("support_count", "gte", 1),), level=level, page=P.Page(1000)))["rows"]
+        kept = rows.withColumns({"component_scores": F.size("component_scores"), "has_summary": F.length("explanation_summary") > 0, "n_hints": F.size("recommendations")}).drop("explanation_summary", "recommendations")
+        return kept.withColumns({c: F.round(c, 2) for c in ("reliability_index", "uncertainty_score")}).withColumns({c: F.round(c, 3) for c in ("evidence_strength", "conflict_pressure", "evidence_completeness")})
+
+    return run
+
+
+_PARTS_SQL = [(s, sql.part("balanced", s)) for s in sql.S.family_weights("balanced", sql.S.EVIDENCE)]
+_TOP = "[" + ", ".join(f"{{'c': {v}, 's': '{s}'}}" for s, v in _PARTS_SQL) + "]"
+EXPLAINED = f"""(SELECT claim_id, coalesce((list_sort(list_transform(list_filter(cs, lambda x: x.c > 0), lambda x: {{'c': -x.c, 's': x.s}})))[1].s, 'none') AS dominant_signal, coalesce((list_sort(list_filter(cs, lambda x: x.c < 0)))[1].s, 'none') AS limiting_signal,
+ len(cs) AS component_scores FROM (SELECT claim_id, {_TOP} AS cs FROM {sql.SIGNALS}))"""
+query("f08_projection_explainability", None)(_explained("explainability"))
+query("f08_projection_full_audit", None)(_explained("full_audit"))
+
+
+@record_query("k15_dominant", f"SELECT claim_id, dominant_signal, limiting_signal, component_scores AS n_components FROM {EXPLAINED}")
+def k15d(spark, d, rows):
+    return rows.select("claim_id", "dominant_signal", "limiting_signal", F.size("component_scores").alias("n_components"))
+
+
 @record_query("f10_rounded", f"SELECT claim_id, round(reliability_index, 2) AS reliability_index, round(weighted_confidence, 3) AS weighted_confidence FROM {sql.RECORDS}")
 def f10(spark, d, rows):
     return P.rounded(rows).select("claim_id", "reliability_index", "weighted_confidence")
@@ -140,9 +171,7 @@ def j04(spark, d):
 
 @query("j07_claim_timestamps", "SELECT c.claim_id, coalesce(c.ts, d.modified_at) AS ts FROM (SELECT claim_id, min(claim_ts) AS ts, min(document_id) AS document_id FROM claims GROUP BY 1) c LEFT JOIN documents d ON d.doc_key = c.document_id")
 def j07(spark, d):
-    c = table(spark, d, "claims").groupBy("claim_id").agg(F.min("claim_ts").alias("ts"), F.min("document_id").alias("document_id"))
-    docs = table(spark, d, "documents").select(F.col("doc_key").alias("document_id"), "modified_at")
-    return c.join(docs, "document_id", "left").select("claim_id", F.coalesce("ts", "modified_at").alias("ts"))
+    return times(spark, d)
 
 
 @query("j11_delta", "SELECT DISTINCT claim_id FROM embedded_claims WHERE claim_id NOT IN (SELECT claim_id_a FROM candidate_pairs WHERE claim_id_a IS NOT NULL) AND claim_id NOT IN (SELECT claim_id_b FROM candidate_pairs WHERE claim_id_b IS NOT NULL)")
@@ -172,18 +201,27 @@ def s16(spark, d, rows):
 def s17(spark, d):
     from notegraph.sources.sinks import graphml_lines
 
-    return graphml_lines(records.distinct_claims(table(spark, d, "claims")), R.relations(table(spark, d, "relationship_evidence")))
+    return graphml_lines(records.distinct_claims(table(spark, d, "claims")), typed(spark, d))
 
 
 @query("u01_node_union", f"SELECT claim_id_a AS claim_id FROM {sql.EDGES} UNION SELECT claim_id_b FROM {sql.EDGES}")
 def u01(spark, d):
-    e = R.relations(table(spark, d, "relationship_evidence"))
+    e = typed(spark, d)
     return e.select(F.explode(F.array("claim_id_a", "claim_id_b")).alias("claim_id")).distinct()
 
 
-@query("u02_key_difference", "SELECT claim_id FROM (SELECT claim_id FROM anchor_claims EXCEPT SELECT claim_id_a FROM candidate_pairs)")
+@query("u02_key_difference", "SELECT claim_id FROM (SELECT claim_id FROM claims EXCEPT SELECT claim_id_a FROM candidate_pairs EXCEPT SELECT claim_id_b FROM candidate_pairs)")
 def u02(spark, d):
-    return table(spark, d, "anchor_claims").select("claim_id").subtract(table(spark, d, "candidate_pairs").select(F.col("claim_id_a").alias("claim_id")))
+    pairs = table(spark, d, "candidate_pairs")
+    used = [pairs.select(F.col(f"claim_id_{x}").alias("claim_id")) for x in "ab"]
+    return table(spark, d, "claims").select("claim_id").subtract(used[0]).subtract(used[1])
+
+
+@query("u02_key_intersection", "SELECT claim_id_a AS claim_id FROM candidate_pairs INTERSECT SELECT claim_id_b FROM candidate_pairs INTERSECT SELECT claim_id FROM claims")
+def u02i(spark, d):
+    pairs = table(spark, d, "candidate_pairs")
+    used = [pairs.select(F.col(f"claim_id_{x}").alias("claim_id")) for x in "ab"]
+    return used[0].intersect(used[1]).intersect(table(spark, d, "claims").select("claim_id"))
 
 
 @query("u04_unordered_pairs", """SELECT x AS claim_id_a, y AS claim_id_b, cosine_similarity, candidate_rank FROM (SELECT least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y, cosine_similarity, candidate_rank,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from notegraph.operators import evaluation as E
 from notegraph.operators import relations as R
 from notegraph.plans import sql
+from notegraph.plans.base import typed
 from notegraph.plans.registry import query
 from notegraph.session import table
 
@@ -186,7 +187,7 @@ def w09s(spark, d):
 
 @query("j09_gold_prediction", f"SELECT m.row_id, m.gold_relationship, e.relation_type FROM v1_pilot_manifest m LEFT JOIN (SELECT least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y, min(relation_type) AS relation_type FROM {sql.EDGES} GROUP BY 1, 2) e ON e.x = least(m.doc_a, m.doc_b) AND e.y = greatest(m.doc_a, m.doc_b)")
 def j09(spark, d):
-    e = R.relations(table(spark, d, "relationship_evidence")).groupBy(F.least("claim_id_a", "claim_id_b").alias("x"), F.greatest("claim_id_a", "claim_id_b").alias("y")).agg(F.min("relation_type").alias("relation_type"))
+    e = typed(spark, d).groupBy(F.least("claim_id_a", "claim_id_b").alias("x"), F.greatest("claim_id_a", "claim_id_b").alias("y")).agg(F.min("relation_type").alias("relation_type"))
     m = table(spark, d, "v1_pilot_manifest").select("row_id", "gold_relationship", F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y"))
     return m.join(e, ["x", "y"], "left").select("row_id", "gold_relationship", "relation_type")
 

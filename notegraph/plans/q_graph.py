@@ -2,36 +2,26 @@
 
 from pyspark.sql import functions as F
 
-from notegraph.lineage import Scratch
 from notegraph.operators import graph as G
-from notegraph.operators import pipeline
-from notegraph.operators import relations as R
 from notegraph.plans import sql
+from notegraph.plans.base import RELATEDNESS, graph, parts, times
 from notegraph.plans.registry import query
 from notegraph.session import table
 
-NODES = f"(SELECT claim_id, claim_text FROM {sql.CLAIMS} UNION ALL SELECT claim_id, min(text) FROM anchor_claims WHERE claim_id NOT IN (SELECT claim_id FROM claims) GROUP BY 1)"
-EDGES = f"(SELECT edge_id, min(claim_id_a) AS source, min(claim_id_b) AS target, min(relation_type) AS relation_type, min(direction) AS direction, min(conf_ab) AS confidence FROM {sql.EDGES} GROUP BY 1)"
+NODES, EDGES, BASE, COLOUR, KEPT, PARTS, INNER, reach = sql.NODES, sql.GRAPH_EDGES, sql.BASE, sql.COLOUR, sql.KEPT, sql.PARTS, sql.INNER, sql.reach
+TOPOLOGY = f"{PARTS}, {INNER}, {sql.TOPOLOGY}"
+base = graph
 
 
-def reach(name, pairs, nodes="SELECT claim_id FROM nodes"):
-    return f"""{name}e AS (SELECT source AS x, target AS y FROM ({pairs}) UNION SELECT target, source FROM ({pairs})), {name}r(x, y) AS (SELECT claim_id, claim_id FROM ({nodes}) UNION SELECT r.x, e.y FROM {name}r r JOIN {name}e e ON e.x = r.y),
- {name}c AS (SELECT x AS claim_id, min(y) AS component FROM {name}r GROUP BY 1), {name} AS (SELECT claim_id, left(sha256(string_agg(claim_id, '|' ORDER BY claim_id) OVER (PARTITION BY component ORDER BY claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 12) AS partition_id FROM {name}c)"""
+def twice(name, text):
+    """Registers f(spark, d, relatedness) as NAME, and as NAME_ungated with contradictions between unrelated texts kept."""
 
+    def add(f):
+        query(name, text)(lambda spark, d: f(spark, d, RELATEDNESS))
+        query(f"{name}_ungated", None if text is None else sql.ungated(text))(lambda spark, d: f(spark, d, 0.0))
+        return f
 
-BASE = f"nodes AS (SELECT * FROM {NODES}), edges AS (SELECT * FROM {EDGES})"
-COLOUR = """ce AS (SELECT source AS x, target AS y FROM edges WHERE relation_type = 'contradicts' UNION SELECT target, source FROM edges WHERE relation_type = 'contradicts'),
- rp(x, y, par) AS (SELECT DISTINCT x, x, 0 FROM ce UNION SELECT rp.x, ce.y, 1 - rp.par FROM rp JOIN ce ON ce.x = rp.y), root AS (SELECT y AS claim_id, min(x) AS root FROM rp GROUP BY 1),
- colour AS (SELECT n.claim_id, CASE WHEN r.claim_id IS NULL THEN '0' WHEN n.claim_id IN (SELECT x FROM rp WHERE x = y AND par = 1) THEN 'x:' || n.claim_id ELSE CAST((SELECT min(par) FROM rp WHERE rp.x = r.root AND rp.y = n.claim_id) AS VARCHAR) END AS colour FROM nodes n LEFT JOIN root r USING (claim_id))"""
-KEPT = "SELECT source, target FROM edges JOIN colour a ON a.claim_id = source JOIN colour b ON b.claim_id = target WHERE relation_type IN ('supports', 'refines', 'equivalent') AND a.colour = b.colour"
-PARTS = f"WITH RECURSIVE {BASE}, {COLOUR}, kept AS ({KEPT}), {reach('parts', 'SELECT * FROM kept')}"
-
-
-def base(spark, d):
-    s = Scratch(spark, "query")
-    nodes = s.table(pipeline.nodes_of(table(spark, d, "claims"), table(spark, d, "anchor_claims")))
-    edges = s.table(G.construct(R.relations(table(spark, d, "relationship_evidence"))))
-    return nodes, edges
+    return add
 
 
 @query("g09_edges", f"SELECT * FROM {EDGES}")
@@ -44,14 +34,14 @@ def g10(spark, d):
     return G.problems(*base(spark, d))
 
 
-@query("g02_partitions", f"{PARTS} SELECT claim_id, colour, partition_id FROM parts JOIN colour USING (claim_id)")
-def g02(spark, d):
-    return G.partitions(*base(spark, d)).select("claim_id", "colour", "partition_id")
+@twice("g02_partitions", f"{PARTS} SELECT claim_id, colour, partition_id FROM parts JOIN colour USING (claim_id)")
+def g02(spark, d, relatedness):
+    return parts(spark, d, relatedness).select("claim_id", "colour", "partition_id")
 
 
-@query("g03_naive_partitions", f"WITH RECURSIVE {BASE}, {reach('parts', 'SELECT source, target FROM edges')} SELECT claim_id, partition_id FROM parts")
-def g03(spark, d):
-    return G.naive_partitions(*base(spark, d))
+@twice("g03_naive_partitions", f"WITH RECURSIVE {BASE}, {reach('parts', 'SELECT source, target FROM edges')} SELECT claim_id, partition_id FROM parts")
+def g03(spark, d, relatedness):
+    return G.naive_partitions(*base(spark, d, relatedness))
 
 
 @query("g03_deletion_partitions", f"WITH RECURSIVE {BASE}, {reach('parts', chr(39).join(['SELECT source, target FROM edges WHERE relation_type <> ', 'contradicts', '']))} SELECT claim_id, partition_id FROM parts")
@@ -75,62 +65,54 @@ def a31n(spark, d):
     return G.quality(edges, G.naive_partitions(nodes, edges))
 
 
-@query("a31_quality_signed", f"{PARTS}, s AS (SELECT partition_id, count(*) AS n FROM parts GROUP BY 1) {QUALITY}")
-def a31(spark, d):
-    nodes, edges = base(spark, d)
-    return G.quality(edges, G.partitions(nodes, edges))
+@twice("a31_quality_signed", f"{PARTS}, s AS (SELECT partition_id, count(*) AS n FROM parts GROUP BY 1) {QUALITY}")
+def a31(spark, d, relatedness):
+    return G.quality(graph(spark, d, relatedness)[1], parts(spark, d, relatedness))
 
 
-@query("g02_partition_table")
-def g02t(spark, d):
-    nodes, edges = base(spark, d)
-    return G.partition_table(edges, G.partitions(nodes, edges))
+@twice("a31_quality_by_type", f"{PARTS}, both_ends AS (SELECT relation_type, a.partition_id = b.partition_id AS inside FROM edges JOIN parts a ON a.claim_id = source JOIN parts b ON b.claim_id = target) SELECT relation_type, count(*) FILTER (WHERE inside) AS n_inside, count(*) FILTER (WHERE NOT inside) AS n_cut FROM both_ends GROUP BY 1")
+def a31t(spark, d, relatedness):
+    return G.quality_by_type(graph(spark, d, relatedness)[1], parts(spark, d, relatedness))
 
 
-INNER = "inn AS (SELECT e.*, a.partition_id FROM edges e JOIN parts a ON a.claim_id = source JOIN parts b ON b.claim_id = target WHERE a.partition_id = b.partition_id AND relation_type <> 'contradicts'), two AS (SELECT source, target FROM inn UNION ALL SELECT target, source FROM inn WHERE relation_type = 'equivalent')"
+@query("g02_partition_table", f"""{PARTS}, {INNER}, sup AS (SELECT DISTINCT source, target FROM inn WHERE relation_type = 'supports' AND source <> target), walk(p, here, path) AS (SELECT partition_id, target, [source, target] FROM inn WHERE relation_type = 'supports' AND source <> target UNION ALL SELECT p, target, list_append(path, target) FROM walk JOIN sup ON source = here WHERE NOT list_contains(path, target)),
+ c AS (SELECT p AS partition_id, max(len(path)) AS longest_chain FROM walk GROUP BY 1), e AS (SELECT partition_id, count(*) AS n_edges, count(*) FILTER (WHERE relation_type = 'supports') AS n_supports FROM inn GROUP BY 1), z AS (SELECT partition_id, count(*) AS n_nodes FROM parts GROUP BY 1)
+ SELECT partition_id, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_supports, 0) AS n_supports, coalesce(longest_chain, 0) AS longest_chain, round(coalesce(n_edges, 0)::DOUBLE / CASE WHEN n_nodes = 1 THEN 1 ELSE n_nodes * (n_nodes - 1) END, 6) AS density FROM z LEFT JOIN e USING (partition_id) LEFT JOIN c USING (partition_id)""")
+def g02t(spark, d):
+    return G.partition_table(graph(spark, d)[1], parts(spark, d))
 
 
-@query("g04_topology", f"""{PARTS}, {INNER}, deg AS (SELECT p.claim_id, p.partition_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM parts p LEFT JOIN (SELECT target AS claim_id, count(*) AS n FROM two GROUP BY 1) i USING (claim_id) LEFT JOIN (SELECT source AS claim_id, count(*) AS n FROM two GROUP BY 1) o USING (claim_id))
- SELECT claim_id, in_degree + out_degree AS degree, in_degree, out_degree, CASE WHEN n > 1 THEN round(in_degree::DOUBLE / (n - 1), 6) ELSE 0.0 END AS centrality, in_degree + out_degree > greatest(1.0, 2 * mean) AS is_hub FROM deg JOIN (SELECT partition_id, count(*) AS n, avg(in_degree + out_degree) AS mean FROM deg GROUP BY 1) USING (partition_id)""")
+@query("g04_topology", f"{TOPOLOGY} SELECT claim_id, degree, in_degree, out_degree, centrality, is_hub, is_bridge FROM topo")
 def g04(spark, d):
-    nodes, edges = base(spark, d)
-    return G.topology(edges, G.partitions(nodes, edges)).select("claim_id", "degree", "in_degree", "out_degree", "centrality", "is_hub")
+    return G.topology(graph(spark, d)[1], parts(spark, d)).select("claim_id", "degree", "in_degree", "out_degree", "centrality", "is_hub", "is_bridge")
 
 
-@query("g05_articulation_points", f"""{PARTS}, {INNER}, und AS (SELECT source AS x, target AS y FROM inn WHERE source <> target UNION SELECT target, source FROM inn WHERE source <> target), cut(c, s, y) AS (SELECT DISTINCT a.x, b.y, b.y FROM und a JOIN und b ON b.x = a.x
-  UNION SELECT cut.c, cut.s, und.y FROM cut JOIN und ON und.x = cut.y WHERE und.y <> cut.c) SELECT DISTINCT a.x AS claim_id FROM und a JOIN und b ON b.x = a.x AND b.y <> a.y WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.c = a.x AND cut.s = a.y AND cut.y = b.y)""")
+@query("g05_articulation_points", f"{TOPOLOGY} SELECT claim_id FROM bridges")
 def g05(spark, d):
-    nodes, edges = base(spark, d)
-    inner = G.placed(edges, G.partitions(nodes, edges)).where("p_source = p_target and relation_type != 'contradicts'")
+    inner = G.placed(graph(spark, d)[1], parts(spark, d)).where("p_source = p_target and relation_type != 'contradicts'")
     return G.articulation_points(inner)
 
 
-@query("g06_support", f"""{PARTS}, {INNER}, se AS (SELECT source AS x, target AS y FROM inn WHERE relation_type IN ('supports', 'equivalent') UNION SELECT target, source FROM inn WHERE relation_type = 'equivalent'),
- sr(node, s) AS (SELECT y, x FROM se UNION SELECT sr.node, se.x FROM sr JOIN se ON se.y = sr.s) SELECT n.claim_id, count(s.s) AS support_count, coalesce(string_agg(s.s, ',' ORDER BY s.s), '') AS supporters FROM nodes n LEFT JOIN (SELECT * FROM sr WHERE node <> s) s ON s.node = n.claim_id GROUP BY 1""")
+@query("g06_support", f"{PARTS}, {INNER}, {sql.SUPPORT} SELECT s.* REPLACE (round(discounted_confidence, 4) AS discounted_confidence, round(weighted_confidence, 4) AS weighted_confidence), coalesce(l.supporters, '') AS supporters FROM support s LEFT JOIN (SELECT node AS claim_id, string_agg(s, ',' ORDER BY s) AS supporters FROM sup GROUP BY 1) l USING (claim_id)")
 def g06(spark, d):
-    nodes, edges = base(spark, d)
-    return G.support(edges, G.partitions(nodes, edges)).select("claim_id", "support_count", F.array_join("supporting_ids", ",").alias("supporters"))
+    found = G.support(graph(spark, d)[1], parts(spark, d))
+    return found.select("claim_id", "support_count", F.round("weighted_confidence", 4).alias("weighted_confidence"), "discounted_strength", F.round("discounted_confidence", 4).alias("discounted_confidence"), F.size("group_ids").alias("n_groups"), F.array_join("supporting_ids", ",").alias("supporters"))
 
 
-@query("g07_contradiction_times", f"SELECT edge_id, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0, 6) AS days FROM {EDGES} e LEFT JOIN (SELECT claim_id, min(claim_ts) AS ts FROM claims GROUP BY 1) a ON a.claim_id = source LEFT JOIN (SELECT claim_id, min(claim_ts) AS ts FROM claims GROUP BY 1) b ON b.claim_id = target WHERE relation_type = 'contradicts'")
-def g07p(spark, d):
-    _, edges = base(spark, d)
-    t = table(spark, d, "claims").groupBy("claim_id").agg(F.unix_micros(F.min(F.col("claim_ts").cast("timestamp"))).alias("ts"))
-    e = edges.where("relation_type = 'contradicts'").join(t.select(F.col("claim_id").alias("source"), F.col("ts").alias("a")), "source", "left").join(t.select(F.col("claim_id").alias("target"), F.col("ts").alias("b")), "target", "left")
-    return e.select("edge_id", F.round(F.abs(F.col("a") - F.col("b")) / 86_400_000_000.0, 6).alias("days"))
+@twice("g07_contradiction_times", f"SELECT edge_id, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0, 6) AS days FROM {EDGES} e LEFT JOIN {sql.TIMES} a ON a.claim_id = source LEFT JOIN {sql.TIMES} b ON b.claim_id = target WHERE relation_type = 'contradicts'")
+def g07p(spark, d, relatedness):
+    return G.contradiction_days(graph(spark, d, relatedness)[1], times(spark, d))
 
 
-@query("g07_temporal")
-def g07(spark, d):
-    nodes, edges = base(spark, d)
-    times = table(spark, d, "claims").select("claim_id", F.col("claim_ts").alias("ts"))
-    return G.temporal(nodes, edges, G.partitions(nodes, edges), times)
+@twice("g07_temporal", f"WITH {BASE}, {sql.TEMPORAL} SELECT claim_id, temporal_status, temporal_confidence, time_delta_days, counterpart FROM temporal")
+def g07(spark, d, relatedness):
+    return G.temporal(*graph(spark, d, relatedness), times(spark, d)).select("claim_id", "temporal_status", "temporal_confidence", "time_delta_days", "counterpart")
 
 
-@query("g08_roles")
+@query("g08_roles", f"{TOPOLOGY} SELECT claim_id, semantic_role FROM topo")
 def g08(spark, d):
-    nodes, edges = base(spark, d)
-    return G.roles(G.topology(edges, G.partitions(nodes, edges)), edges).groupBy("semantic_role").agg(F.count("*").alias("n"))
+    e = graph(spark, d)[1]
+    return G.roles(G.topology(e, parts(spark, d)), e).select("claim_id", "semantic_role")
 
 
 START = "(SELECT source FROM (SELECT source, count(*) AS n FROM edges GROUP BY 1) ORDER BY n DESC, source LIMIT 1)"
@@ -160,12 +142,9 @@ def g11(spark, d):
     return both.groupBy("claim_id").agg(F.count_distinct("other").alias("n_neighbors"))
 
 
-@query("j10_support_contradict_support", f"WITH {BASE} SELECT edge_id FROM edges WHERE relation_type = 'contradicts' AND source IN (SELECT target FROM edges WHERE relation_type = 'supports') AND target IN (SELECT target FROM edges WHERE relation_type = 'supports')")
+@query("j10_support_contradict_support", sql.ungated(f"WITH {BASE} SELECT edge_id, source IN (SELECT target FROM edges WHERE relation_type IN ('supports', 'refines')) AS source_supported, target IN (SELECT target FROM edges WHERE relation_type IN ('supports', 'refines')) AS target_supported FROM edges WHERE relation_type = 'contradicts'"))
 def j10(spark, d):
-    _, e = base(spark, d)
-    supported = e.where("relation_type = 'supports'").select("target").distinct()
-    c = e.where("relation_type = 'contradicts'")
-    return c.join(supported.withColumnRenamed("target", "source"), "source", "left_semi").join(supported, "target", "left_semi").select("edge_id")
+    return G.supported_contradictions(graph(spark, d, 0.0)[1], ("supports", "refines"))
 
 
 @query("a05_edge_counts", f"WITH {BASE} SELECT relation_type, count(*) AS n, (SELECT count(*) FROM nodes WHERE claim_id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS n_isolated FROM edges GROUP BY 1")
@@ -175,12 +154,11 @@ def a05(spark, d):
     return e.groupBy("relation_type").agg(F.count("*").alias("n")).crossJoin(lonely)
 
 
-@query("a05_graph_statistics")
+@query("a05_graph_statistics", f"""{TOPOLOGY}, {sql.TEMPORAL} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE claim_id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)) AS n_isolated, count(*) AS n_edges,
+ {", ".join(f"count(*) FILTER (WHERE relation_type = '{t}') AS n_{t}" for t in G.TYPES)}, (SELECT count(*) FROM topo WHERE is_bridge) AS n_bridges, (SELECT count(*) FROM topo WHERE is_hub) AS n_hubs, (SELECT count(*) FROM temporal WHERE temporal_status = 'evolution') // 2 AS n_evolution_pairs FROM edges""")
 def a05s(spark, d):
-    nodes, e = base(spark, d)
-    parts = G.partitions(nodes, e)
-    times = table(spark, d, "claims").select("claim_id", F.col("claim_ts").alias("ts"))
-    return G.statistics(nodes, e, G.topology(e, parts), G.temporal(nodes, e, parts, times))
+    nodes, e = graph(spark, d)
+    return G.statistics(nodes, e, G.topology(e, parts(spark, d)), G.temporal(nodes, e, times(spark, d)))
 
 
 @query("a39_fingerprint", f"WITH {BASE}, k AS (SELECT DISTINCT 'n:' || claim_id AS k FROM nodes UNION ALL SELECT DISTINCT 'e:' || edge_id FROM edges), b AS (SELECT left(sha256(k), 3) AS b, sha256(string_agg(k, '|' ORDER BY k)) AS d FROM k GROUP BY 1) SELECT left(sha256(string_agg(b || d, '|' ORDER BY b || d) || '|7.0'), 16) AS fingerprint FROM b")

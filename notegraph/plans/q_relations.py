@@ -7,12 +7,14 @@ from notegraph.functions import vectors as V
 from notegraph.operators import records
 from notegraph.operators import relations as R
 from notegraph.plans import sql
+from notegraph.plans.base import flat, nodes_of, typed
 from notegraph.plans.registry import query
 from notegraph.session import table
 
 
-def flat(spark, d):
-    return R.flat_evidence(table(spark, d, "relationship_evidence"))
+def gated(spark, d):
+    """Every evidence row with its type after the gates."""
+    return R.apply_gates(R.resolve(flat(spark, d)), nodes_of(spark, d).select("claim_id", F.col("claim_text").alias("text")))
 
 
 @query("r02_predicted_label", f"""SELECT relationship_id, CASE WHEN c_ab = greatest(e_ab, n_ab, c_ab) THEN 'contradiction' WHEN e_ab = greatest(e_ab, n_ab, c_ab) THEN 'entailment' WHEN n_ab = greatest(e_ab, n_ab, c_ab) THEN 'neutral' END AS predicted,
@@ -52,7 +54,7 @@ def r04n(spark, d):
 
 @query("r06_decision_confidence", f"SELECT relationship_id, round(decision_confidence, 9) AS decision_confidence FROM {sql.DECIDED}")
 def r06(spark, d):
-    return R.resolve(flat(spark, d)).select("relationship_id", F.round(R.decision_confidence(), 9).alias("decision_confidence"))
+    return gated(spark, d).select("relationship_id", F.round(R.decision_confidence(), 9).alias("decision_confidence"))
 
 
 @query("r07_decision_status", f"SELECT relationship_id, CASE WHEN relation_type = 'unknown' THEN 'abstained' ELSE 'resolved' END AS status, CASE WHEN relation_type <> 'unknown' THEN relation_type END AS relation_type FROM {sql.RESOLVED}")
@@ -61,18 +63,8 @@ def r07(spark, d):
     return R.resolve(flat(spark, d)).select("relationship_id", F.when(t == "unknown", "abstained").otherwise("resolved").alias("status"), F.when(t != "unknown", t).alias("relation_type"))
 
 
-STOP = "[" + ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS) + "]"
-CUES = "[" + ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS + lexicon.ATTRIBUTION_CUES) + "]"
-NEG = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in lexicon.NEGATION_CUES) + "]"
-MONTHS = "|".join(lexicon.MONTHS)
-
-
-def content(x, stop=STOP):
-    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda t: length(t) > 3 AND NOT list_contains({stop}, t))"
-
-
-def caps(x, skip=""):
-    return f"list_distinct(list_filter(regexp_extract_all({x}, '[A-Za-z0-9]+'){skip}, lambda t: regexp_matches(t, '^[A-Z]') AND NOT list_contains({STOP}, lower(t))))"
+NEG = sql._list(lexicon.NEGATION_CUES)
+content, caps = sql.content, sql.caps
 
 
 PAIRS = f"(SELECT e.relationship_id, a.claim_text AS ta, b.claim_text AS tb, e.cosine_similarity FROM {sql.FLAT} e JOIN {sql.CLAIMS} a ON a.claim_id = e.claim_id_a JOIN {sql.CLAIMS} b ON b.claim_id = e.claim_id_b)"
@@ -92,43 +84,41 @@ def r08(spark, d):
     return pair_texts(spark, d).select("relationship_id", F.round(lexicon.relatedness(F.col("ta"), F.col("tb")), 9).alias("relatedness"))
 
 
-@query("r09_specificity", f"""SELECT claim_id, len({content('t', CUES)}) + 2.0::DOUBLE * len(regexp_extract_all(t, '\\d+(?:\\.\\d+)?')) + 2.0 * len(regexp_extract_all(t, '\\b(?:18|19|20)\\d\\d\\b')) + 1.5 * len(regexp_extract_all(t, '(?i)\\b(?:{MONTHS})\\b'))
- + 1.5 * len({caps('t', '[2:]')}) AS specificity FROM (SELECT claim_id, coalesce(claim_text, '') AS t FROM {sql.CLAIMS}) WHERE regexp_matches(t, '^[\\x00-\\x7F]*$')""")
+@query("r09_specificity", f"SELECT claim_id, {sql.specificity('t')} AS specificity FROM (SELECT claim_id, coalesce(claim_text, '') AS t FROM {sql.CLAIMS})")
 def r09(spark, d):
-    c = records.distinct_claims(table(spark, d, "claims")).where(F.coalesce("claim_text", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    c = records.distinct_claims(table(spark, d, "claims"))
     return c.select("claim_id", lexicon.specificity(F.col("claim_text")).alias("specificity"))
 
 
-@query("r09_specificity_all")
-def r09a(spark, d):
-    c = records.distinct_claims(table(spark, d, "claims"))
-    return c.select("claim_id", lexicon.specificity(F.col("claim_text")).alias("specificity"))
+@query("r08_gated_types", f"SELECT relationship_id, relation_type FROM {sql.GATED}")
+def r08g(spark, d):
+    return gated(spark, d).select("relationship_id", "relation_type")
 
 
 @query("r10_rejections", f"SELECT rejection_reason, count(*) AS n FROM {sql.DECIDED} GROUP BY 1")
 def r10(spark, d):
-    out = R.resolve(flat(spark, d)).withColumn("decision_confidence", R.decision_confidence())
+    out = gated(spark, d).withColumn("decision_confidence", R.decision_confidence())
     return out.groupBy(R.rejection_reason().alias("rejection_reason")).agg(F.count("*").alias("n"))
 
 
 @query("r11_relations", f"SELECT edge_id, claim_id_a, claim_id_b, relation_type, direction FROM {sql.EDGES}")
 def r11(spark, d):
-    return R.relations(table(spark, d, "relationship_evidence")).select("edge_id", "claim_id_a", "claim_id_b", "relation_type", "direction")
+    return typed(spark, d).select("edge_id", "claim_id_a", "claim_id_b", "relation_type", "direction")
 
 
 @query("a16_highest_confidence", f"SELECT edge_id, relation_type FROM (SELECT *, row_number() OVER (PARTITION BY least(claim_id_a, claim_id_b), greatest(claim_id_a, claim_id_b) ORDER BY decision_confidence DESC, edge_id) AS o FROM {sql.EDGES}) WHERE o = 1")
 def a16(spark, d):
-    return R.resolve_conflicts(R.relations(table(spark, d, "relationship_evidence"))).select("edge_id", "relation_type")
+    return R.resolve_conflicts(typed(spark, d)).select("edge_id", "relation_type")
 
 
 @query("a16_most_specific", f"SELECT edge_id, candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY least(claim_id_a, claim_id_b), greatest(claim_id_a, claim_id_b) ORDER BY candidate_rank, edge_id) AS o FROM {sql.EDGES}) WHERE o = 1")
 def a16s(spark, d):
-    return R.resolve_conflicts(R.relations(table(spark, d, "relationship_evidence")), "most_specific").select("edge_id", "candidate_rank")
+    return R.resolve_conflicts(typed(spark, d), "most_specific").select("edge_id", "candidate_rank")
 
 
 @query("a16_conservative", f"SELECT edge_id FROM (SELECT *, row_number() OVER (PARTITION BY least(claim_id_a, claim_id_b), greatest(claim_id_a, claim_id_b) ORDER BY decision_confidence DESC, edge_id) AS o, min(relation_type) OVER (PARTITION BY least(claim_id_a, claim_id_b), greatest(claim_id_a, claim_id_b)) AS lo, max(relation_type) OVER (PARTITION BY least(claim_id_a, claim_id_b), greatest(claim_id_a, claim_id_b)) AS hi FROM {sql.EDGES}) WHERE o = 1 AND lo = hi")
 def a16c(spark, d):
-    return R.resolve_conflicts(R.relations(table(spark, d, "relationship_evidence")), "conservative").select("edge_id")
+    return R.resolve_conflicts(typed(spark, d), "conservative").select("edge_id")
 
 
 @query("r12_heuristic", f"""SELECT relationship_id, CASE WHEN na <> nb AND cosine_similarity >= 0.45 THEN 'CONTRADICTS' WHEN cosine_similarity >= 0.75 THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS label FROM (SELECT *, list_has_any(regexp_extract_all(lower(ta), '[a-z'']+'), {NEG}) AS na, list_has_any(regexp_extract_all(lower(tb), '[a-z'']+'), {NEG}) AS nb FROM {PAIRS})""")

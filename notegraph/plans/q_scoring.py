@@ -2,64 +2,50 @@
 
 from pyspark.sql import functions as F
 
-from notegraph.operators import relations as R
 from notegraph.operators import scoring as S
-from notegraph.plans import sql
-from notegraph.plans.q_engine import scored_graph
+from notegraph.plans import base, sql
 from notegraph.plans.registry import query
-from notegraph.session import table
 
-# signals taken from score columns, so that SQL can follow the arithmetic of fusion
-RAW = f"(SELECT relationship_id AS claim_id, e_ab AS evidence_strength, n_ab AS evidence_independence, c_ab AS source_diversity, cosine_similarity AS topology_strength, CASE WHEN candidate_rank <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS hub_score, CASE WHEN candidate_rank > 40 THEN 1.0 ELSE 0.0 END::DOUBLE AS bridge_score, c_ba AS conflict_pressure, conf_ba AS temporal_stability FROM {sql.FLAT})"
+SIGNALS = sql.SIGNALS
 
 
-def raw(spark, d):
-    rows = R.flat_evidence(table(spark, d, "relationship_evidence"))
-    return rows.select(
-        F.col("relationship_id").alias("claim_id"), F.col("e_ab").alias("evidence_strength"), F.col("n_ab").alias("evidence_independence"), F.col("c_ab").alias("source_diversity"), F.col("cosine_similarity").alias("topology_strength"),
-        F.when(F.col("candidate_rank") <= 5, 1.0).otherwise(0.0).alias("hub_score"), F.when(F.col("candidate_rank") > 40, 1.0).otherwise(0.0).alias("bridge_score"), F.col("c_ba").alias("conflict_pressure"), F.col("conf_ba").alias("temporal_stability"),
-    )
+EXPLANATION = ("supporting_ids", "explanation_summary", "dominant_signal", "limiting_signal", "component_scores", "recommendations", "audit_run_id")
 
 
-def signal_query(name, sql_text):
-    """Registers f(spark, d, signals) as NAME over relabelled score columns, which the SQL follows, and as NAME_signals over the eight signals of the scored graph."""
+def signals_of(spark, d, relatedness=base.RELATEDNESS):
+    return base.scored_graph(spark, d, relatedness).scored.select("claim_id", *S.SIGNALS)
+
+
+def signal_query(name, sql_text=None):
+    """Registers f(spark, d, signals) over the eight signals of the scored graph."""
 
     def add(f):
-        query(name, sql_text)(lambda spark, d: f(spark, d, raw(spark, d)))
-        query(f"{name}_signals")(lambda spark, d: f(spark, d, scored_graph(spark, d).scored.select("claim_id", *S.SIGNALS)))
+        query(name, sql_text)(lambda spark, d: f(spark, d, signals_of(spark, d)))
         return f
 
     return add
 
 
-def g(s):
-    return f"CASE WHEN {s} IS NULL OR isnan({s}) OR isinf({s}) THEN 0.0 ELSE least(1.0, greatest(0.0, {s})) END::DOUBLE"
+def scored_sql(profile):
+    places = ", ".join(f"round({c}, 6) AS {c}" for c in ("reliability_index", "importance_index", "evidence_completeness", "uncertainty_score"))
+    return f"(SELECT claim_id, {places}, calibration_label FROM {sql.scored(profile)})"
 
 
-def total(profile, family, without=None):
-    w = S.family_weights(profile, family)
-    parts = ["0.0::DOUBLE"]
-    for s, x in w.items():
-        if s == without:
-            continue
-        v = g(s)
-        if s == "evidence_strength" and "evidence_independence" in w and without != "evidence_independence":
-            v = f"(CASE WHEN {g('evidence_independence')} < 0.5 THEN {v} * 0.7::DOUBLE ELSE {v} END)"
-        parts.append(f"{v} * ({(-100.0 if s in S.NEGATIVE else 100.0) * x!r})::DOUBLE")
-    return " + ".join(parts)
+_SIX = ", ".join(f"round({s}, 6) AS {s}" for s in S.SIGNALS)
 
 
-def scored_sql(profile):
-    e, i = total(profile, S.EVIDENCE), total(profile, S.IMPORTANCE)
-    cap = f"CASE WHEN {g('conflict_pressure')} >= 0.9 THEN least(x, 40.0) ELSE x END"
-    complete = "(" + " + ".join(f"CASE WHEN {s} IS NULL OR isnan({s}) OR isinf({s}) THEN 0.0 ELSE 1.0 END" for s in S.SIGNALS) + ")::DOUBLE / 8"
-    return f"""(SELECT claim_id, round(least(100.0, greatest(0.0, {cap})), 6) AS reliability_index, round(least(100.0, greatest(0.0, imp)), 6) AS importance_index, round(cmpl, 6) AS evidence_completeness,
- round(least(100.0, greatest(0.0, 100 * (0.35::DOUBLE * (1 - cmpl) + 0.2::DOUBLE * (1 - {g('source_diversity')}) + 0.2::DOUBLE * (1 - {g('evidence_independence')}) + 0.25::DOUBLE * {g('conflict_pressure')}))), 6) AS uncertainty_score
- FROM (SELECT *, CASE WHEN {g('evidence_strength')} < 0.1 THEN least({e}, 60.0) ELSE {e} END AS x, {i} AS imp, {complete} AS cmpl FROM {RAW}))"""
+@signal_query("k01_signals", f"SELECT claim_id, {_SIX} FROM {sql.SIGNALS}")
+def k01(spark, d, signals):
+    return base.rounded6(signals)
+
+
+@query("k01_signals_ungated", sql.ungated(f"SELECT claim_id, {_SIX} FROM {sql.SIGNALS}"))
+def k01u(spark, d):
+    return base.rounded6(signals_of(spark, d, 0.0))
 
 
 def _profile(profile):
-    @signal_query(f"k11_fusion_{profile}", f"SELECT *, {sql.LABEL.format(x='reliability_index')} AS calibration_label FROM {scored_sql(profile)}")
+    @signal_query(f"k11_fusion_{profile}", f"SELECT * FROM {scored_sql(profile)}")
     def run(spark, d, signals):
         out = S.score(signals, profile)
         return out.select("claim_id", *[F.round(c, 6).alias(c) for c in ("reliability_index", "importance_index", "evidence_completeness", "uncertainty_score")], "calibration_label")
@@ -69,33 +55,33 @@ for _p in S.PROFILES:
     _profile(_p)
 
 
-@signal_query("k08_signal_status", f"SELECT claim_id, CASE WHEN conflict_pressure IS NULL THEN 'unavailable' ELSE 'measured' END AS conflict_status, {g('conflict_pressure')} AS conflict_value FROM {RAW}")
+@signal_query("k08_signal_status", f"SELECT claim_id, CASE WHEN conflict_pressure IS NULL THEN 'unavailable' ELSE 'measured' END AS conflict_status, round({sql.g('conflict_pressure')}, 6) AS conflict_value, CASE WHEN evidence_independence IS NULL THEN 'unavailable' ELSE 'measured' END AS independence_status FROM {SIGNALS}")
 def k08(spark, d, signals):
-    return signals.select("claim_id", S.status(F.col("conflict_pressure")).alias("conflict_status"), S.guard(F.col("conflict_pressure")).alias("conflict_value"))
+    return signals.select("claim_id", S.status(F.col("conflict_pressure")).alias("conflict_status"), F.round(S.guard(F.col("conflict_pressure")), 6).alias("conflict_value"), S.status(F.col("evidence_independence")).alias("independence_status"))
 
 
-@signal_query("k14_label_counts", f"SELECT {sql.LABEL.format(x='reliability_index')} AS calibration_label, count(*) AS n FROM {scored_sql('research')} GROUP BY 1")
+@signal_query("k14_label_counts", f"SELECT calibration_label, count(*) AS n FROM {scored_sql('research')} GROUP BY 1")
 def k14(spark, d, signals):
     return S.score(signals, "research").groupBy("calibration_label").agg(F.count("*").alias("n"))
 
 
 @query("k15_explanations")
 def k15(spark, d):
-    return S.explain_level(scored_graph(spark, d).scored, 3).drop("signal_statuses")
+    return S.explain_level(base.scored_graph(spark, d).scored, 3).drop("signal_statuses")
 
 
-@signal_query("f12_explain_summary", f"SELECT claim_id, reliability_index, {sql.LABEL.format(x='reliability_index')} AS calibration_label, uncertainty_score, evidence_completeness FROM {scored_sql('balanced')}")
+@signal_query("f12_explain_summary", f"SELECT claim_id, reliability_index, calibration_label, uncertainty_score, evidence_completeness FROM {scored_sql('balanced')}")
 def f12(spark, d, signals):
     out = S.explain_level(S.explain(S.score(signals)), 0)
     return out.withColumns({c: F.round(c, 6) for c in ("reliability_index", "uncertainty_score", "evidence_completeness")})
 
 
-@signal_query("k18_reconstruction", f"SELECT count(*) AS n, count(*) AS n_exact FROM {RAW}")
+@signal_query("k18_reconstruction", f"SELECT claim_id, round(reliability_index, 2) AS stored, round(least(100.0, greatest(0.0, CASE WHEN {sql.g('conflict_pressure')} >= 0.9 THEN least(y, 40.0) ELSE y END)), 2) AS rebuilt, true AS exact FROM (SELECT *, CASE WHEN {sql.g('evidence_strength')} < 0.1 THEN least({sql.total('balanced', S.EVIDENCE)}, 60.0) ELSE {sql.total('balanced', S.EVIDENCE)} END AS y FROM {sql.scored()})")
 def k18(spark, d, signals):
-    return S.reconstruct(S.score(signals)).agg(F.count("*").alias("n"), F.count_if("exact").alias("n_exact"))
+    return S.reconstruct(S.score(signals)).select("claim_id", F.round("stored", 2).alias("stored"), F.round("rebuilt", 2).alias("rebuilt"), "exact")
 
 
-ABLATION = " UNION ALL ".join(f"SELECT '{s}' AS signal, least(100.0, greatest(0.0, {total('balanced', S.EVIDENCE)})) AS b, least(100.0, greatest(0.0, {total('balanced', S.EVIDENCE, s)})) AS v FROM {RAW}" for s in S.family_weights("balanced", S.EVIDENCE))
+ABLATION = " UNION ALL ".join(f"SELECT '{s}' AS signal, least(100.0, greatest(0.0, {sql.total('balanced', S.EVIDENCE)})) AS b, least(100.0, greatest(0.0, {sql.total('balanced', S.EVIDENCE, s)})) AS v FROM {SIGNALS}" for s in S.family_weights("balanced", S.EVIDENCE))
 
 
 @signal_query("a27_ablation", f"SELECT signal, round(avg(v - b), 6) AS mean_shift, round(avg(abs(v - b)), 6) AS mean_abs_delta, round(corr(b, v), 6) AS correlation FROM ({ABLATION}) GROUP BY 1")
@@ -103,7 +89,7 @@ def a27(spark, d, signals):
     return S.ablation(signals)
 
 
-DIAG = " UNION ALL ".join(f"SELECT '{s}' AS signal, {s} AS x, {g(s)} AS v FROM {RAW}" for s in S.SIGNALS)
+DIAG = " UNION ALL ".join(f"SELECT '{s}' AS signal, {s} AS x, {sql.g(s)} AS v FROM {SIGNALS}" for s in S.SIGNALS)
 
 
 @signal_query("a28_diagnostic", f"SELECT signal, round(avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 6) AS availability, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS nonzero_fraction FROM ({DIAG}) GROUP BY 1")
@@ -111,6 +97,11 @@ def a28(spark, d, signals):
     return S.diagnostic(signals)
 
 
-@query("k00_scored_graph")
+@query("k00_scored_graph", f"SELECT * FROM {sql.RECORDS}")
 def k00(spark, d):
-    return scored_graph(spark, d).records.drop("supporting_ids")
+    return base.claim_records(spark, d).drop(*EXPLANATION)
+
+
+@query("k00_scored_graph_ungated", sql.ungated(f"SELECT * FROM {sql.RECORDS}"))
+def k00u(spark, d):
+    return base.claim_records(spark, d, 0.0).drop(*EXPLANATION)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from notegraph.operators import relations as R
 from notegraph.operators import statistics as A
 from notegraph.plans import sql
+from notegraph.plans.base import typed
 from notegraph.plans.q_engine import record_query
 from notegraph.plans.registry import query
 from notegraph.session import table
@@ -25,6 +26,11 @@ def a03(spark, d, rows):
     return A.histogram(rows, F.col("reliability_index"))
 
 
+@record_query("a04_partition_summary", f"SELECT partition_id, count(*) AS n_nodes, round(avg(reliability_index), 4) AS mean_reliability, round(avg(uncertainty_score), 4) AS mean_uncertainty, sum(support_count)::BIGINT AS n_supports, count(*) FILTER (WHERE is_hub) AS n_hubs, count(*) FILTER (WHERE is_bridge) AS n_bridges FROM {sql.RECORDS} GROUP BY 1")
+def a04p(spark, d, rows):
+    return A.partition_summary(rows)
+
+
 @record_query("a04_document_summary", f"SELECT document_id, count(*) AS n_claims, round(avg(reliability_index), 6) AS mean_reliability, sum(support_count)::BIGINT AS n_supports FROM {sql.RECORDS} GROUP BY 1")
 def a04(spark, d, rows):
     return rows.groupBy("document_id").agg(F.count("*").alias("n_claims"), F.round(F.avg("reliability_index"), 6).alias("mean_reliability"), F.sum("support_count").alias("n_supports"))
@@ -43,7 +49,7 @@ def a10(spark, d):
 
 @query("a11_confidence_histogram", f"SELECT least(floor(decision_confidence * 10), 9)::INTEGER AS bin, relation_type, count(*) AS n FROM {sql.EDGES} GROUP BY 1, 2")
 def a11(spark, d):
-    e = R.relations(table(spark, d, "relationship_evidence"))
+    e = typed(spark, d)
     return e.groupBy(F.least(F.floor(F.col("decision_confidence") * 10), F.lit(9)).cast("int").alias("bin"), "relation_type").agg(F.count("*").alias("n"))
 
 
