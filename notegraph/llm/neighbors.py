@@ -151,7 +151,9 @@ def similar_classes(reps: DataFrame, scratch: Scratch, k: int, least: float, tre
             value = s[r, c]
             order = np.lexsort((-value, r))
             r, c, value = r[order], c[order], value[order]
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, dtype=int)
+            if not len(r):
+                continue
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             for lo, hi in zip(first, np.r_[first[1:], len(r)], strict=True):
                 hi = min(hi, lo + width)
                 rids.append(int(mine[r[lo]]))

@@ -257,7 +257,8 @@ def test_neighbors_against_brute_force(spark):
     assert neighbors.depth_for(600, neighbors.LEAF, neighbors.SAMPLE) == 4  # the forest is used on small tables as well
     rep = neighbors.recall_report(df, dimension=16, queries=50).first()
     assert 0.9 <= rep["recall_at_k"] <= 1.0 and rep["recall_similar"] >= 0.95
-    assert neighbors.similar_pairs(df.limit(0)).count() == 0
+    far = spark.createDataFrame([(f"f{i}", [1.0 if j == i else 0.0 for j in range(96)], 1) for i in range(96)], "claim_id string, vector array<float>, embedded_at long").withColumn("embedded_at", F.timestamp_seconds("embedded_at"))
+    assert neighbors.similar_pairs(far).count() == 0 and neighbors.similar_pairs(df.limit(0)).count() == 0  # no candidate in any leaf
 
 
 # problem 1
