@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.lineage import Scratch
+from notegraph.operators.ranking import values_at
+
 
 def overview(records: DataFrame) -> DataFrame:
     """One row: count, mean, interpolated median, counts of indices >= 65 and < 45, mean uncertainty."""
@@ -50,11 +53,8 @@ def reproducibility(cv: Column) -> Column:
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """group, n, p50, p95, p99: the value of rank int(n p) (from 0) in ascending order."""
-    w = Window.partitionBy(group)
-    ranked = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("x"), (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("x")))
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """group, n, p50, p95, p99: the value of rank int(n p) (from 0) in ascending order, found in ranges of the values."""
+    return values_at(rows, group, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, Scratch(rows.sparkSession, "latency"))
 
 
 def index_statistics(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from notegraph.operators import evaluation as E
 from notegraph.operators import relations as R
 from notegraph.operators import statistics as A
 from notegraph.plans import sql
@@ -87,7 +88,7 @@ def a24(spark, d):
 
 @query("a26_pearson", f"SELECT round(corr(conf_ab, cosine_similarity), 6) AS r FROM {sql.FLAT}")
 def a26(spark, d):
-    return R.flat_evidence(table(spark, d, "relationship_evidence")).agg(F.round(F.corr("conf_ab", "cosine_similarity"), 6).alias("r"))
+    return E.pearson(R.flat_evidence(table(spark, d, "relationship_evidence")), "conf_ab", "cosine_similarity")
 
 
 @query("a38_latency", "SELECT event_type, max(n) AS n, max(CASE WHEN r = least(floor(n * 0.5), n - 1) THEN x END) AS p50, max(CASE WHEN r = least(floor(n * 0.95), n - 1) THEN x END) AS p95, max(CASE WHEN r = least(floor(n * 0.99), n - 1) THEN x END) AS p99 FROM (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1")
@@ -95,9 +96,10 @@ def a38(spark, d):
     return A.latency(table(spark, d, "events"), "event_type", "value")
 
 
-@query("a42_label_counts", "SELECT upper(trim(label)) AS label, count(*) AS n FROM pass1_relationships GROUP BY 1")
+@query("a42_label_counts", "SELECT pass, upper(trim(label)) AS label, count(*) AS n FROM (SELECT 1 AS pass, label FROM pass1_relationships UNION ALL SELECT 2, label FROM pass2_relationships) GROUP BY 1, 2")
 def a42(spark, d):
-    return table(spark, d, "pass1_relationships").groupBy(F.upper(F.trim("label")).alias("label")).agg(F.count("*").alias("n"))
+    both = [table(spark, d, f"pass{i}_relationships").select(F.lit(i).alias("pass"), "label") for i in (1, 2)]
+    return both[0].unionByName(both[1]).groupBy("pass", F.upper(F.trim("label")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("st_event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")

@@ -16,6 +16,7 @@ from notegraph.operators import pipeline, scoring
 from notegraph.operators import predicates as P
 from notegraph.operators import relations as R
 from notegraph.operators import similarity as S
+from notegraph.operators import statistics as A
 from notegraph.plans import requests as Q
 from notegraph.sources import files, sinks
 from notegraph.streaming import incremental
@@ -183,15 +184,58 @@ def test_top_k_pairs_matches_plain(spark):
     assert S.top_k_pairs(df.where("id = 40"), "id", "v").count() == 0
 
 
+def interval(values, level=0.95, resamples=2000, seed=42):
+    """The interval by drawing row by row."""
+    rng = random.Random(seed)
+    n = len(values)
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+    return means[int((1 - level) / 2 * resamples)], means[min(resamples - 1, int((1 + level) / 2 * resamples))]
+
+
 def test_bootstrap_interval_matches_the_reference_distribution(spark):
     values = [float(i % 10 < 7) for i in range(200)]
     df = spark.createDataFrame([(v, str(i // 4)) for i, v in enumerate(values)], "v double, g string")
-    lo, hi = E.bootstrap_reference(values)
+    lo, hi = interval(values)
     r = E.bootstrap(df, "v").first()
     assert abs(r["ci_low"] - lo) < 0.02 and abs(r["ci_high"] - hi) < 0.02 and r["estimate"] == 0.7
     assert E.bootstrap(df, "v", "g").first()["n"] == 200
 
 
+def test_ranks_within_one_hot_group(spark):
+    """A group and a value that hold nearly all rows are cut into slices, and ranks stay exact."""
+    rng = random.Random(4)
+    data = [(None if i % 40 == 0 else "hot" if i % 20 else "cold", None if i % 50 == 49 else 7.0 if i % 3 else rng.random() * 10, i % 7 < 5, f"k{i:04d}") for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, v double, ok boolean, k string")
+    got = {r["g"]: tuple(r)[1:] for r in A.latency(df, "g", "v").collect()}
+    for g in (None, "hot", "cold"):
+        vs = sorted(v for a, v, *_ in data if a == g and v is not None)
+        assert got[g] == (len(vs), *[vs[min(int(len(vs) * p), len(vs) - 1)] for p in (0.5, 0.95, 0.99)])
+    curve = {r["point"]: (r["coverage"], r["risk"]) for r in E.risk_coverage(df.where("v is not null"), "v", "ok", "k").collect()}
+    order = sorted((x for x in data if x[1] is not None), key=lambda x: (-x[1], x[3]))
+    for i in range(1, 21):
+        r = max(1, round(i * len(order) / 20))
+        assert curve[i] == (round(r / len(order), 6), round(sum(not x[2] for x in order[:r]) / r, 6))
+    assert E.stratified_sample(df, "g", "k", 300).groupBy("g").count().count() == 3 and E.stratified_sample(df, "g", "k", 300).count() == 300
+    assert A.latency(df.limit(0), "g", "v").count() == 0 and E.risk_coverage(df.limit(0), "v", "ok", "k").count() == 0 and E.bootstrap(df.limit(0), "v").first()["n"] == 0
+
+
+def test_assessments(spark):
+    ranked = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "a", 3), ("p", "z", 1)], "query string, item string, rank int")
+    rel = spark.createDataFrame([("q", "b"), ("q", "c"), ("p", "y"), ("p", None)], "query string, item string")
+    r = E.retrieval_benchmark(ranked, rel, 2).first()
+    assert (r["n_queries"], r["precision"], r["recall"], r["mrr"]) == (2, 0.25, 0.25, 0.25)
+    cov = E.coverage_index(spark.createDataFrame([("experiments", 5, 5), ("claims", 1, 2), ("other", 1, 1)], "component string, present long, expected long")).first()
+    assert cov["coverage"] == 42.5 and cov["n_missing"] == 5
+    a = {r["claim"]: (r["score"], r["level"]) for r in E.claim_assessment(spark.createDataFrame([("x", 0.9, 0), ("x", 0.8, 1), ("y", None, 0)], "claim string, score double, conflicts int")).collect()}
+    assert a == {"x": (0.75, "partly supported"), "y": (None, "unsupported")}
+    ready = lambda *s: E.readiness(spark.createDataFrame([(str(i), x) for i, x in enumerate(s)], "criterion string, share double")).first()["level"]
+    assert ready(1.0, 1.0) == "ready" and ready(1.0, 0.5) == "in progress" and ready(0.0, None) == "not ready"
+    dirs = spark.createDataFrame([("SUPPORTS", "A_TO_B", "SUPPORTS", "A_CONFIRMS_B"), ("REFINES", "A_TO_B", "SUPPORTS", "a_to_b "), ("NEUTRAL", None, "NEUTRAL", None), ("SUPPORTS", "B_TO_A", None, None)], "gold_label string, gold_direction string, label string, direction string")
+    assert {r["metric"]: (r["n"], r["k"]) for r in E.direction_metrics(dirs).collect()} == {"D1": (3, 1), "D2": (3, 2), "D3": (4, 2), "D4": (1, 1)}
+    flat = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "a double, b double")
+    assert E.pearson(flat, "a", "b").first()[0] == 0.0 and E.pearson(flat, "a", "a").first()[0] == 1.0
+
+
 def test_quotas_sum(spark):
     df = spark.createDataFrame([(c, i) for c, n in (("a", 7), ("b", 3), ("c", 1)) for i in range(n)], "category string, id int")
     assert E.quotas(df, "category", 5).agg(F.sum("quota")).first()[0] == 5
