@@ -137,7 +137,7 @@ def bootstrap(rows: DataFrame, value: str, group: str | None = None, level: floa
 
 def pearson(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: r; 1 if both columns are constant, 0 if one is."""
-    s = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("r"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
+    s = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("r"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"))
     flat_a, flat_b = F.col("va") <= 1e-12, F.col("vb") <= 1e-12
     return s.select(F.when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(F.round("r", 6)).alias("r"))
 
@@ -295,7 +295,7 @@ def claim_assessment(support: DataFrame, levels: tuple[tuple[float, str], ...] =
     level = F.when(F.col("n") == 0, "unsupported")
     for least, name in levels:
         level = level.when(F.col("s") >= least, name)
-    return s.select("claim", "n", F.round("s", 4).alias("score"), level.alias("level"))
+    return s.select("claim", "n", F.round("s", 9).alias("score"), level.alias("level"))
 
 
 def readiness(criteria: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def ablation(raw: DataFrame, profile: str = "balanced") -> DataFrame:
     rows = raw.select("claim_id", fused(None).alias("base"), F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), fused(s).alias("value")) for s in w])).alias("x"))
     r = rows.select("base", "x.signal", "x.value").groupBy("signal").agg(
         F.avg(F.col("value") - F.col("base")).alias("mean_shift"), F.avg(F.abs(F.col("value") - F.col("base"))).alias("mean_abs_delta"),
-        F.corr("base", "value").alias("r"), F.var_pop("base").alias("vb"), F.var_pop("value").alias("vv"),
+        F.try_divide(F.covar_pop("base", "value"), F.stddev_pop("base") * F.stddev_pop("value")).alias("r"), F.var_pop("base").alias("vb"), F.var_pop("value").alias("vv"),
     )
     return r.select("signal", F.round("mean_shift", 6).alias("mean_shift"), F.round("mean_abs_delta", 6).alias("mean_abs_delta"), F.when((F.col("vb") <= 1e-12) & (F.col("vv") <= 1e-12), 1.0).when((F.col("vb") <= 1e-12) | (F.col("vv") <= 1e-12), 0.0).otherwise(F.round("r", 6)).alias("correlation"))
 

@@ -270,7 +270,7 @@ def a43(spark, d):
     return E.three_way(gold.join(r, "relationship_id", "left"))
 
 
-@query("a47_claim_assessment", f"SELECT claim, n, round(s, 4) AS score, CASE WHEN n = 0 THEN 'unsupported' WHEN s >= 0.8 THEN 'well supported' WHEN s >= 0.5 THEN 'partly supported' WHEN s >= 0 THEN 'weakly supported' END AS level FROM (SELECT claim_id_a AS claim, count(e_ab) AS n, greatest(0.0, avg(e_ab) - 0.1::DOUBLE * count(*) FILTER (WHERE c_ab >= 0.8)) AS s FROM {sql.FLAT} GROUP BY 1)")
+@query("a47_claim_assessment", f"SELECT claim, n, round(s, 9) AS score, CASE WHEN n = 0 THEN 'unsupported' WHEN s >= 0.8 THEN 'well supported' WHEN s >= 0.5 THEN 'partly supported' WHEN s >= 0 THEN 'weakly supported' END AS level FROM (SELECT claim_id_a AS claim, count(e_ab) AS n, greatest(0.0, avg(e_ab) - 0.1::DOUBLE * count(*) FILTER (WHERE c_ab >= 0.8)) AS s FROM {sql.FLAT} GROUP BY 1)")
 def a47(spark, d):
     return E.claim_assessment(flat(spark, d).select(F.col("claim_id_a").alias("claim"), F.col("e_ab").alias("score"), F.coalesce((F.col("c_ab") >= 0.8).cast("int"), F.lit(0)).alias("conflicts")))
 
