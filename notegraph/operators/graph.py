@@ -1,12 +1,13 @@
 """The signed claim graph: construction, partitions, topology, support, temporal order, roles and traversal.
 
-Global steps (components, colours, traversal) are iterative joins whose rounds are written to the
-shared folder; steps inside a partition, which holds few claims, run grouped by partition.
+Components, colours, support and traversal are iterative joins whose rounds are written to the
+shared folder; bridges and the longest chain of a partition, and the relaxation of odd contradiction
+components, run grouped by partition or component.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,58 +61,56 @@ def validate(nodes: DataFrame, edges: DataFrame) -> None:
 
 
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, label: str = "component") -> DataFrame:
-    """claim_id, label: the smallest id reachable over the edges taken undirected; nodes without edges stand alone.
+    """claim_id, label: the smallest id reachable over the edges taken undirected; nodes without edges stand alone."""
+    found = _labels(edges, scratch).select("claim_id", "l")
+    return nodes.select("claim_id").distinct().join(found, "claim_id", "left").select("claim_id", F.coalesce("l", "claim_id").alias(label))
+
+
+def _labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """claim_id, l, par of linked nodes: the smallest id reachable and the parity of a walk to it.
 
-    Per round every linked node takes the smallest label around it and then its label's own label,
-    so rounds grow with the logarithm of the diameter.  Nodes without edges join in at the end only.
+    Per round every node takes the smallest label around it and then its label's own label, so
+    rounds grow with the logarithm of the diameter; parities add up along the walks.  Nodes
+    without edges have no row.
     """
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).where("x != y")
     both = scratch.table(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    state = scratch.table(both.select(F.col("x").alias("claim_id")).distinct().select("claim_id", F.col("claim_id").alias("l"), F.lit(True).alias("moved")))
+    state = scratch.table(both.select(F.col("x").alias("claim_id")).distinct().select("claim_id", F.col("claim_id").alias("l"), F.lit(0).alias("par"), F.lit(True).alias("moved")))
     while not both.isEmpty():
-        around = both.join(state.select(F.col("claim_id").alias("y"), "l"), "y").groupBy(F.col("x").alias("claim_id")).agg(F.min("l").alias("m"))
-        step = scratch.table(state.join(around, "claim_id", "left").select("claim_id", F.col("l").alias("old"), F.least("l", "m").alias("l")))
-        jump = step.select(F.col("claim_id").alias("l"), F.col("l").alias("ll"))
-        after = scratch.table(step.join(jump, "l", "left").select("claim_id", F.least("l", "ll").alias("l"), (F.least("l", "ll") != F.col("old")).alias("moved")))
+        around = both.join(state.select(F.col("claim_id").alias("y"), "l", "par"), "y").groupBy(F.col("x").alias("claim_id")).agg(F.min(F.struct("l", (1 - F.col("par")).alias("par"))).alias("m"))
+        better = F.col("m.l") < F.col("l")
+        step = scratch.table(state.join(around, "claim_id", "left").select(
+            "claim_id", F.col("l").alias("old"), F.when(better, F.col("m.l")).otherwise(F.col("l")).alias("l"), F.when(better, F.col("m.par")).otherwise(F.col("par")).alias("par")
+        ))
+        jump = step.select(F.col("claim_id").alias("l"), F.col("l").alias("ll"), F.col("par").alias("pp"))
+        further = F.col("ll") < F.col("l")
+        after = step.join(jump, "l", "left").select(
+            "claim_id", F.when(further, F.col("ll")).otherwise(F.col("l")).alias("l"), F.when(further, (F.col("par") + F.col("pp")) % 2).otherwise(F.col("par")).alias("par"), "old"
+        )
+        after = scratch.table(after.select("claim_id", "l", "par", (F.col("l") != F.col("old")).alias("moved")))
         scratch.drop(state, step)
         state = after
         if state.where("moved").isEmpty():
             break
-    found = state.select("claim_id", "l")
-    return nodes.select("claim_id").distinct().join(found, "claim_id", "left").select("claim_id", F.coalesce("l", "claim_id").alias(label))
-
-
-def distances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """claim_id, dist: undirected steps from the nearest root, for nodes that can be reached."""
-    both = edges.select(F.col("source").alias("claim_id"), F.col("target").alias("y"))
-    both = scratch.table(both.unionByName(both.select(F.col("y").alias("claim_id"), F.col("claim_id").alias("y"))).distinct())
-    seen = scratch.table(roots.select("claim_id").distinct().withColumn("dist", F.lit(0)))
-    step = 0
-    while True:
-        front = seen.where(F.col("dist") == step)
-        new = front.join(both, "claim_id").select(F.col("y").alias("claim_id")).distinct().join(seen, "claim_id", "left_anti").withColumn("dist", F.lit(step + 1))
-        new = scratch.table(new)
-        if new.isEmpty():
-            return seen
-        seen = scratch.table(seen.unionByName(new))
-        step += 1
+    return state
 
 
 def colours(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """claim_id, colour: two colours per contradiction component by the parity of the distance from its smallest id.
 
+    Where two colours do, the parity of every walk to the smallest id is that of the distance.
     Nodes without contradictions get 0; in a component with an odd cycle (a self contradiction
     included) every node gets a colour of its own.
     """
     contra = scratch.table(edges.where("relation_type = 'contradicts'").select("source", "target"))
-    inside = endpoints(contra)
-    comp = scratch.table(components(inside, contra, scratch))
-    dist = distances(inside, contra, comp.select(F.col("component").alias("claim_id")).distinct(), scratch)
-    parity = comp.join(dist, "claim_id").select("claim_id", "component", (F.col("dist") % 2).alias("parity"))
-    a = parity.select(F.col("claim_id").alias("source"), F.col("component"), F.col("parity").alias("pa"))
-    b = parity.select(F.col("claim_id").alias("target"), F.col("parity").alias("pb"))
+    parity = scratch.table(_labels(contra, scratch).select("claim_id", F.col("l").alias("component"), "par"))
+    loops = contra.where("source = target").select(F.col("source").alias("claim_id")).distinct()
+    alone = loops.join(parity, "claim_id", "left_anti").select("claim_id", F.col("claim_id").alias("component"), F.lit(0).alias("par"))
+    parity = parity.unionByName(alone)
+    a = parity.select(F.col("claim_id").alias("source"), F.col("component"), F.col("par").alias("pa"))
+    b = parity.select(F.col("claim_id").alias("target"), F.col("par").alias("pb"))
     odd = contra.join(a, "source").join(b, "target").where("pa = pb").select("component").distinct().withColumn("odd", F.lit(True))
-    own = parity.join(odd, "component", "left").select("claim_id", F.when(F.col("odd"), F.concat(F.lit("x:"), F.col("claim_id"))).otherwise(F.col("parity").cast("string")).alias("colour"))
+    own = parity.join(odd, "component", "left").select("claim_id", F.when(F.col("odd"), F.concat(F.lit("x:"), F.col("claim_id"))).otherwise(F.col("par").cast("string")).alias("colour"))
     return nodes.select("claim_id").distinct().join(own, "claim_id", "left").select("claim_id", F.coalesce("colour", F.lit("0")).alias("colour"))
 
 
@@ -312,64 +311,58 @@ def support(edges: DataFrame, parts: DataFrame) -> DataFrame:
     its partition, at their shortest hop.  Equivalent supporters form one group at its least hop;
     hops 1, 2 and more weigh 1, .6 and .3.  A supporter's confidence is that of its first support
     edge by edge id.  Claims without supporters have counts 0.
+
+    Pairs of claim and supporter grow by one hop a round, as joins; rounds are as many as the
+    longest shortest way, rows as many as there are supporters to report.
     """
-    inner = placed(edges, parts).where("p_source = p_target and relation_type in ('supports', 'equivalent')").select("p_source", "edge_id", "source", "target", "relation_type", "confidence")
-
-    def close(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("edge_id")
-        back = defaultdict(set)
-        same: set[tuple[str, str]] = set()
-        conf: dict[str, float] = {}
-        for e in g.itertuples():
-            ends = [(e.source, e.target)] + ([(e.target, e.source)] if e.relation_type == "equivalent" else [])
-            for a, b in ends:
-                back[b].add(a)
-                conf.setdefault(a, e.confidence)
-            if e.relation_type == "equivalent":
-                same.add((e.source, e.target))
-        out = []
-        for node in sorted(back):
-            hop = {node: 0}
-            queue = deque([node])
-            while queue:
-                at = queue.popleft()
-                for a in back.get(at, ()):
-                    if a not in hop:
-                        hop[a] = hop[at] + 1
-                        queue.append(a)
-            del hop[node]
-            if not hop:
-                continue
-            root: dict[str, str] = {}
-
-            def find(x: str) -> str:
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
-            for a, b in sorted(same):
-                if a in hop and b in hop and find(a) != find(b):
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
-            groups: dict[str, list[str]] = defaultdict(list)
-            for a in hop:
-                groups[find(a)].append(a)
-            least = {r: min(hop[a] for a in m) for r, m in groups.items()}
-            kinds = [sorted(r for r, h in least.items() if (h == 1, h == 2, h > 2)[i]) for i in range(3)]
-            weight = {r: HOP_WEIGHTS[min(h, 3) - 1] for r, h in least.items()}
-            mean = {r: sum(conf.get(a, 0.0) for a in m) / len(m) for r, m in groups.items()}
-            total = sum(weight.values())
-            out.append((
-                node, len(hop), sorted(hop), sorted(groups), *kinds, round(sum(conf.get(a, 0.0) for a in hop) / len(hop), 6), round(total, 6),
-                round(sum(weight[r] * mean[r] for r in groups) / total, 6),
-            ))
-        return pd.DataFrame(out, columns=["claim_id", "support_count", "supporting_ids", "group_ids", "direct", "derived", "multi_hop", "weighted_confidence", "discounted_strength", "discounted_confidence"])
-
-    kind = "claim_id string, support_count bigint, supporting_ids array<string>, group_ids array<string>, direct array<string>, derived array<string>, multi_hop array<string>, weighted_confidence double, discounted_strength double, discounted_confidence double"
-    found = inner.groupBy("p_source").applyInPandas(close, kind)
+    scratch = Scratch(parts.sparkSession, "support")
+    inner = scratch.table(placed(edges, parts).where("p_source = p_target and relation_type in ('supports', 'equivalent')").select("edge_id", "source", "target", "relation_type", "confidence"))
+    same = inner.where("relation_type = 'equivalent' and source != target").select("source", "target")
+    back = same.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    steps = scratch.table(inner.where("source != target").select("source", "target").unionByName(back).distinct().select(F.col("source").alias("s"), F.col("target").alias("at")))
+    reached = scratch.table(steps.select(F.col("at").alias("node"), "s", F.lit(1).alias("hop")))
+    hop = 1
+    while True:
+        front = reached.where(F.col("hop") == hop).select("node", F.col("s").alias("at"))
+        new = front.join(steps, "at").where("s != node").select("node", "s").distinct().join(reached, ["node", "s"], "left_anti")
+        new = scratch.table(new.withColumn("hop", F.lit(hop + 1)))
+        if new.isEmpty():
+            break
+        both = scratch.table(reached.unionByName(new))
+        scratch.drop(reached, new)
+        reached, hop = both, hop + 1
+    ends = inner.select("edge_id", "confidence", F.col("source").alias("s")).unionByName(inner.where("relation_type = 'equivalent'").select("edge_id", "confidence", F.col("target").alias("s")))
+    first = ends.groupBy("s").agg(F.min(F.struct("edge_id", "confidence")).alias("x")).select("s", F.col("x.confidence").alias("conf"))
+    grouped = scratch.table(_equivalent_groups(reached, same, scratch).join(first, "s", "left").withColumn("conf", F.coalesce("conf", F.lit(0.0))))
+    per_group = grouped.groupBy("node", "root").agg(F.min("hop").alias("h"), F.avg("conf").alias("mean"))
+    weight = F.when(F.col("h") == 1, HOP_WEIGHTS[0]).when(F.col("h") == 2, HOP_WEIGHTS[1]).otherwise(HOP_WEIGHTS[2])
+    ids = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("root"))))
+    groups = per_group.withColumn("w", weight).groupBy("node").agg(
+        ids(F.lit(True)).alias("group_ids"), ids(F.col("h") == 1).alias("direct"), ids(F.col("h") == 2).alias("derived"), ids(F.col("h") > 2).alias("multi_hop"),
+        F.round(F.sum("w"), 6).alias("discounted_strength"), F.round(F.sum(F.col("w") * F.col("mean")) / F.sum("w"), 6).alias("discounted_confidence"),
+    )
+    members = grouped.groupBy("node").agg(F.count("*").alias("support_count"), F.array_sort(F.collect_list("s")).alias("supporting_ids"), F.round(F.avg("conf"), 6).alias("weighted_confidence"))
+    found = members.join(groups, "node").withColumnRenamed("node", "claim_id")
     out = parts.select("claim_id").join(found, "claim_id", "left").fillna(0, ["support_count", "weighted_confidence", "discounted_strength", "discounted_confidence"])
     empty = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("supporting_ids", "group_ids", "direct", "derived", "multi_hop")})
+    out = out.withColumns({c: F.coalesce(c, empty) for c in ("supporting_ids", "group_ids", "direct", "derived", "multi_hop")})
+    return out.select("claim_id", "support_count", "supporting_ids", "group_ids", "direct", "derived", "multi_hop", "weighted_confidence", "discounted_strength", "discounted_confidence")
+
+
+def _equivalent_groups(reached: DataFrame, same: DataFrame, scratch: Scratch) -> DataFrame:
+    """reached with root: the smallest of the supporters of the same node that are equivalent, without a way over the node itself.
+
+    Supporters outside the node's own class of equivalents form whole classes, so the class's smallest
+    id is their root; only inside the node's own class, which may fall apart without it, components
+    are computed per node.
+    """
+    label = scratch.table(_labels(same, scratch).select("claim_id", "l"))
+    x = reached.join(label.select(F.col("claim_id").alias("s"), F.col("l").alias("ls")), "s", "left").join(label.select(F.col("claim_id").alias("node"), F.col("l").alias("ln")), "node", "left")
+    x = scratch.table(x.withColumn("own", F.coalesce(F.col("ls") == F.col("ln"), F.lit(False))))
+    key = lambda c: F.concat_ws("\u0001", F.col("node"), F.col(c))
+    near = x.where("own").select("node", "s").join(same.select(F.col("source").alias("s"), F.col("target").alias("t")), "s").where("t != node")
+    roots = _labels(near.select(key("s").alias("source"), key("t").alias("target")), scratch).select(F.col("claim_id").alias("k"), F.substring_index("l", "\u0001", -1).alias("r"))
+    return x.withColumn("k", F.when(F.col("own"), key("s"))).join(roots, "k", "left").select("node", "s", "hop", F.when(F.col("own"), F.coalesce("r", "s")).otherwise(F.coalesce("ls", "s")).alias("root"))
 
 
 def temporal(nodes: DataFrame, edges: DataFrame, times: DataFrame, min_delta: float = 1.0) -> DataFrame:
