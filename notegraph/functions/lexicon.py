@@ -71,7 +71,8 @@ def is_comparative(text: Column) -> Column:
 
 
 def is_quoted(text: Column) -> Column:
-    return F.coalesce(text.rlike("[\"“”«»]"), F.lit(False))
+    """Whether a straight double or single quotation mark stands in the text."""
+    return F.coalesce(text.rlike("[\"']"), F.lit(False))
 
 
 def has_negation_cue(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from notegraph.functions import blocks as B
 from notegraph.functions import lexicon as L
 from notegraph.functions import text as T
+from notegraph.operators import claims as C
 from notegraph.operators.records import distinct_claims
 from notegraph.plans import sql
 from notegraph.plans.registry import query
@@ -133,12 +134,34 @@ def has(words):
 WORDS = f"(SELECT *, list_filter(string_split_regex(lower(coalesce(claim_text, '')), '(?:{W}|[\\n\\r])+'), lambda x: x <> '') AS w FROM {sql.CLAIMS})"
 
 
-@query("c06_annotations", f"SELECT claim_id, {has(L.NEGATION_MARKERS)} AS negated, CASE WHEN {has(L.MODALITY['impossible'])} THEN 'impossible' WHEN {has(L.MODALITY['required'])} THEN 'required' WHEN {has(L.MODALITY['probable'])} THEN 'probable' WHEN {has(L.MODALITY['possible'])} THEN 'possible' ELSE 'certain' END AS modal, {has(L.CONDITIONAL_MARKERS)} AS conditional, {has(L.COMPARISON_MARKERS)} AS comparative, coalesce(regexp_matches(claim_text, '[\"“”«»]'), false) AS quoted FROM {WORDS}")
+@query("c06_annotations", f"""SELECT claim_id, {has(L.NEGATION_MARKERS)} AS negated, CASE WHEN {has(L.MODALITY['impossible'])} THEN 'impossible' WHEN {has(L.MODALITY['required'])} THEN 'required' WHEN {has(L.MODALITY['probable'])} THEN 'probable' WHEN {has(L.MODALITY['possible'])} THEN 'possible' ELSE 'certain' END AS modal, {has(L.CONDITIONAL_MARKERS)} AS conditional, {has(L.COMPARISON_MARKERS)} AS comparative, coalesce(regexp_matches(claim_text, '["'']'), false) AS quoted FROM {WORDS}""")
 def c06(spark, d):
     t = F.col("claim_text")
     return distinct_claims(table(spark, d, "claims")).select("claim_id", L.is_negated(t).alias("negated"), L.modality(t).alias("modal"), L.is_conditional(t).alias("conditional"), L.is_comparative(t).alias("comparative"), L.is_quoted(t).alias("quoted"))
 
 
+def sentences_of(spark, d):
+    """Blocks as sentences of their own, which is what their claims are without a parser."""
+    e = events(spark, d)
+    return e.select(F.concat_ws(":", "doc_id", "event_no", "event_id").alias("sentence_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.col("block_type").alias("origin_block_type"))
+
+
+_CLAIMED = f"(SELECT sid, text, kind, left(sha256(sid || ':' || text || ':0'), 16) AS claim_id FROM (SELECT concat_ws(':', doc_id, event_no, event_id) AS sid, text, {GATE} AS kind FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM {EVENTS})))"
+
+
+@query("c11_claims", f"SELECT DISTINCT sid AS sentence_id, claim_id, CASE WHEN kind <> 'declarative_assertion' THEN kind END AS discarded_as, CASE WHEN kind = 'declarative_assertion' THEN 'whole_sentence' END AS extraction_mode, CASE WHEN kind = 'declarative_assertion' THEN left(sha256(text), 16) END AS content_hash FROM (SELECT * REPLACE (CASE WHEN kind = 'declarative_assertion' THEN claim_id END AS claim_id) FROM {_CLAIMED})")
+def c11(spark, d):
+    return C.extract(sentences_of(spark, d)).select("sentence_id", "claim_id", "discarded_as", "extraction_mode", "content_hash")
+
+
+@query("a09_extraction_counts", f"""SELECT * FROM (SELECT 'mode:whole_sentence' AS kind, count(*) AS n FROM (SELECT DISTINCT sid, text FROM {_CLAIMED} WHERE kind = 'declarative_assertion') UNION ALL SELECT 'discarded:' || kind, count(*) FROM {_CLAIMED} WHERE kind <> 'declarative_assertion' GROUP BY 1
+ UNION ALL SELECT 'negated', count(*) FILTER (WHERE {has(L.NEGATION_MARKERS)}) FROM (SELECT list_filter(string_split_regex(lower(text), '(?:{W}|[\n\r])+'), lambda x: x <> '') AS w FROM {_CLAIMED} WHERE kind = 'declarative_assertion')
+ UNION ALL SELECT 'modal', count(*) FILTER (WHERE {has(sum(L.MODALITY.values(), ()))}) FROM (SELECT list_filter(string_split_regex(lower(text), '(?:{W}|[\n\r])+'), lambda x: x <> '') AS w FROM {_CLAIMED} WHERE kind = 'declarative_assertion')
+ UNION ALL SELECT 'attributed', 0 UNION ALL SELECT 'failed', 0)""")
+def a09e(spark, d):
+    return C.counts(C.extract(sentences_of(spark, d)))
+
+
 @query("c09_content_hash", "SELECT DISTINCT claim_id, content_hash = left(sha256(text), 16) AS matches FROM claims")
 def c09(spark, d):
     return table(spark, d, "claims").select("claim_id", (F.col("content_hash") == F.substring(F.sha2("text", 256), 1, 16)).alias("matches")).distinct()

@@ -420,3 +420,41 @@ def test_baselines_over_all_pairs(spark):
         assert all(abs(r[2] - want[r[0], r[1]][0]) < 1e-6 for r in got)
     vectors = spark.createDataFrame([("c00", [1.0, 0.0]), ("c01", [0.8, 0.6]), ("c02", [0.5, math.sqrt(0.75)]), ("c03", [-1.0, 0.0])], "claim_id string, vector array<double>")
     assert {(r[0], r[1]): r[2] for r in baselines.vector_relations(claims, vectors, block=2).collect()} == {("c00", "c01"): 0.8, ("c00", "c02"): 0.5, ("c01", "c02"): 0.919615}
+
+
+def parsed(words, *deps):
+    """Tokens of a sentence: (pos, dep, head) per word; offsets by single blanks."""
+    out, at = [], 0
+    for i, (w, (pos, dep, head)) in enumerate(zip(words.split(), deps, strict=True)):
+        out.append((i, w, w.lower(), pos, dep, head, at))
+        at += len(w) + 1
+    return out
+
+
+def test_claims_from_parses(spark):
+    from notegraph.operators import claims as C
+
+    pair = parsed("Python supports generators and decorators", ("PROPN", "nsubj", 1), ("VERB", "ROOT", 1), ("NOUN", "dobj", 1), ("CCONJ", "cc", 2), ("NOUN", "conj", 2))
+    both = parsed("Relays fail and pumps stop", ("NOUN", "nsubj", 1), ("VERB", "ROOT", 1), ("CCONJ", "cc", 1), ("NOUN", "nsubj", 4), ("VERB", "conj", 1))
+    said = parsed("Kelmor says valves may leak oil", ("PROPN", "nsubj", 1), ("VERB", "ROOT", 1), ("NOUN", "nsubj", 4), ("AUX", "aux", 4), ("VERB", "ccomp", 1), ("NOUN", "dobj", 4))
+    many = parsed("We " + " ".join(["see"] + ["x"] * 12), ("PRON", "nsubj", 1), ("VERB", "ROOT", 1), ("NOUN", "dobj", 1), *[("NOUN", "conj", 2)] * 11)
+    rows = [
+        ("s1", "Python supports generators and decorators", "paragraph", pair), ("s2", "Relays fail and pumps stop", "paragraph", both), ("s3", "Kelmor says valves may leak oil", "paragraph", said),
+        ("s4", "no parse was made here", "paragraph", None), ("s5", "Is it so?", "paragraph", None), ("s6", None, "paragraph", None), ("s7", "a | b", "table", None), ("s8", "We " + " ".join(["see"] + ["x"] * 12), "paragraph", many),
+    ]
+    df = spark.createDataFrame([(i, "d", t, o, p) for i, t, o, p in rows], f"sentence_id string, document_id string, text string, origin_block_type string, parse array<{C.TOKEN}>")
+    out = C.extract(df).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["sentence_id"], []).append(r)
+    assert sorted((r["claim_text"], r["extraction_mode"], r["svo"]["object"], [tuple(x) for x in r["spans"]]) for r in by["s1"]) == [
+        ("Python supports decorators", "structured", "decorators", [(0, 15), (31, 41)]), ("Python supports generators and", "structured", "generators and", [(0, 30)]),
+    ]
+    assert sorted((r["claim_text"], r["boundary_reason"], r["extraction_mode"], r["warnings"]) for r in by["s2"]) == [("Relays fail and", "independent_clause", "partial", ["CLM003"]), ("pumps stop", "independent_clause", "partial", ["CLM003"])]
+    assert by["s3"][0]["attributed_to"] == "Kelmor" and by["s3"][0]["modality"] == "possible"
+    assert by["s4"][0]["extraction_mode"] == "whole_sentence" and by["s4"][0]["warnings"] == ["CLM003", "CLM001", "CLM004"] and by["s4"][0]["claim_text"] == "no parse was made here"
+    assert [by[s][0]["discarded_as"] for s in ("s5", "s6", "s7")] == ["question", "empty", "table"] and by["s5"][0]["claim_id"] is None
+    assert len(by["s8"]) == 10 and "CLM009" in by["s8"][0]["warnings"]
+    n = {r["kind"]: r["n"] for r in C.counts(C.extract(df)).collect()}
+    assert n["mode:whole_sentence"] == 1 and n["discarded:table"] == 1 and n["attributed"] == 1 and n["failed"] == 0
+    assert C.extract(df.drop("parse").limit(0)).count() == 0
