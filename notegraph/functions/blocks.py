@@ -194,3 +194,19 @@ def sentences(events: DataFrame, key: str = "doc_id", least: int = 3) -> DataFra
     w = Window.partitionBy("key").orderBy("event_no", "n")
     sid = F.substring(F.sha2(F.concat_ws(":", F.col("key").cast("string"), "text", F.col("char_start").cast("string")), 256), 1, 16)
     return out.withColumns({"position": F.row_number().over(w) - 1, "sentence_id": sid}).drop("n").withColumnRenamed("key", key)
+
+
+def sentence_problems(sentences: DataFrame) -> DataFrame:
+    """document_id, sentence_id, problem of sentences: empty, duplicate_id, position_order, bad_offsets; several rows where several hold.
+
+    sentences: document_id, sentence_id, position, text, char_start, char_end.  Positions must grow within a document
+    as they stand by their offsets; the window holds one document.
+    """
+    w = Window.partitionBy("document_id").orderBy("char_start", "sentence_id")
+    ids = sentences.groupBy("document_id", "sentence_id").agg(F.count("*").alias("times"))
+    rows = sentences.join(ids, ["document_id", "sentence_id"]).withColumn("before", F.lag("position").over(w))
+    found = F.array_compact(F.array(
+        F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty"), F.when(F.col("times") > 1, "duplicate_id"),
+        F.when(F.col("position") <= F.col("before"), "position_order"), F.when((F.col("char_start") >= F.col("char_end")) & (F.col("char_end") > 0), "bad_offsets"),
+    ))
+    return rows.select("document_id", "sentence_id", F.explode(found).alias("problem"))

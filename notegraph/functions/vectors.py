@@ -45,3 +45,18 @@ def payload(context: Column, text: Column, prefix: str = "") -> Column:
 def cache_key(payload_: Column, model: str, config: str) -> Column:
     """Digest of the whole payload, context included, with model and configuration."""
     return F.substring(F.sha2(F.concat_ws(":", F.sha2(payload_, 256), F.lit(model), F.lit(config)), 256), 1, 32)
+
+
+def quality(v: Column, dimension: int, cached: Column) -> Column:
+    """Struct of dimension_ok, normalized (norm within 1e-3 of one), finite and cache_used; false where the vector is null."""
+    finite = F.forall(as_double(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(
+        no(F.size(v) == dimension).alias("dimension_ok"), no(finite & (F.abs(norm(v) - 1) <= 1e-3)).alias("normalized"), no(finite).alias("finite"), no(cached).alias("cache_used"),
+    )
+
+
+def cache_status(found: Column, schema: Column, model: Column, config: Column, vector: Column, want: tuple[str, str, str]) -> Column:
+    """cached, stale where the entry is of another schema, model or configuration, failed where there is no entry or no vector."""
+    same = schema.eqNullSafe(F.lit(want[0])) & model.eqNullSafe(F.lit(want[1])) & config.eqNullSafe(F.lit(want[2]))
+    return F.when(~F.coalesce(found, F.lit(False)), "failed").when(~same, "stale").when(vector.isNull(), "failed").otherwise("cached")

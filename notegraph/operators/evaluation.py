@@ -338,3 +338,13 @@ def error_reason(gold: Column, predicted: Column, text_a: Column, text_b: Column
         F.when(gold.isNull() | gold.eqNullSafe(predicted), F.lit(None).cast("string")).when(score_ab.isNull() & score_ba.isNull(), "never_scored").when(bad(text_a) | bad(text_b), "malformed_claim")
         .when(low(score_ab) & low(score_ba), "model_missed").otherwise("routing")
     )
+
+
+def acceptance(metrics: dict[str, float], criteria: dict[str, float], lower_is_better: frozenset[str] = frozenset()) -> str:
+    """failed if a metric misses its threshold, warning if one is not measured before that, else passed; criteria in their order."""
+    for name, threshold in criteria.items():
+        if name not in metrics:
+            return "warning"
+        if metrics[name] > threshold if name in lower_is_better else metrics[name] < threshold:
+            return "failed"
+    return "passed"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,11 @@ def label(index: Column) -> Column:
     return out.otherwise("very_low")
 
 
-def weights(profile: str) -> dict[str, float]:
-    """Weights of a profile; they must sum to one and name the registered signals."""
-    w = dict(zip(SIGNALS, PROFILES[profile], strict=True))
+def weights(profile: str, overrides: dict[str, float] | None = None) -> dict[str, float]:
+    """Weights of a profile with overrides; they must sum to one and name the registered signals."""
+    w = dict(zip(SIGNALS, PROFILES[profile], strict=True)) | (overrides or {})
+    if set(w) != set(SIGNALS):
+        raise ValueError(f"no signals {sorted(set(w) - set(SIGNALS))}")
     if abs(sum(w.values()) - 1) > 1e-3:
         raise ValueError(f"weights of {profile} do not sum to 1")
     return w
@@ -83,8 +87,30 @@ def temporal_stability(temporal_status: Column, confidence: Column) -> Column:
     return F.when(temporal_status == "evolution", bonus).when(temporal_status == "static_partition", 0.5).when(temporal_status == "unresolved", 0.4)
 
 
-def signals(nodes: DataFrame) -> DataFrame:
-    """claim_id and the eight raw signals; null is unavailable.
+class SignalRegistry:
+    """Signals by name, each a function of the node row's columns; read in the order of priority, then name."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, tuple[int, Callable[[], Column]]] = {}
+
+    def register(self, name: str, column: Callable[[], Column], priority: int = 100) -> None:
+        """Adds a signal; a name can be taken again only by the same function."""
+        if name in self.held and self.held[name][1] is not column:
+            raise ValueError(f"signal {name} is registered with another function")
+        self.held.setdefault(name, (priority, column))
+
+    def deregister(self, name: str) -> None:
+        self.held.pop(name, None)
+
+    def ordered(self) -> list[str]:
+        return sorted(self.held, key=lambda n: (self.held[n][0], n))
+
+    def columns(self) -> list[Column]:
+        return [self.held[n][1]().alias(n) for n in self.ordered()]
+
+
+def signals(nodes: DataFrame, extra: SignalRegistry | None = None) -> DataFrame:
+    """claim_id, the eight raw signals and those of `extra`, which are kept beside the index; null is unavailable.
 
     nodes: claim_id, support_count, discounted_strength, discounted_confidence, n_sources, n_publishers,
     n_groups, contradictions, contradiction_confidence, centrality, is_hub, is_bridge, temporal_status,
@@ -103,7 +129,7 @@ def signals(nodes: DataFrame) -> DataFrame:
         F.when(c("support_count").isNull(), F.lit(None).cast("double")).otherwise(source_diversity(c("n_sources"), c("most_sources"))).alias("source_diversity"),
         guard(c("centrality")).alias("topology_strength"), c("is_hub").cast("double").alias("hub_score"), c("is_bridge").cast("double").alias("bridge_score"),
         conflict_pressure(c("contradictions"), c("contradiction_confidence"), c("most_conflicts")).alias("conflict_pressure"),
-        temporal_stability(c("temporal_status"), c("temporal_confidence")).alias("temporal_stability"),
+        temporal_stability(c("temporal_status"), c("temporal_confidence")).alias("temporal_stability"), *(extra.columns() if extra else []),
     )
 
 

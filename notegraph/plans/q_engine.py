@@ -190,10 +190,11 @@ def j12(spark, d):
     return invalidate(R.flat_evidence(table(spark, d, "relationship_evidence")), table(spark, d, "anchor_claims")).select("relationship_id")
 
 
-@record_query("s16_export_csv", f"SELECT claim_id || ',' || replace(calibration_label, ',', ' ') || ',' || cast(support_count AS VARCHAR) AS line FROM {sql.RECORDS} WHERE support_count >= 1")
+@record_query("s16_export_csv", f"SELECT claim_id || ',' || calibration_label || ',' || cast(support_count AS VARCHAR) AS line FROM {sql.RECORDS} WHERE support_count >= 1")
 def s16(spark, d, rows):
-    kept = P.where_all(rows, [P.Predicate("support_count", "gte", 1)])
-    return kept.select(F.concat_ws(",", "claim_id", F.regexp_replace("calibration_label", ",", " "), F.col("support_count").cast("string")).alias("line"))
+    from notegraph.sources.sinks import csv_lines
+
+    return csv_lines(P.where_all(rows, [P.Predicate("support_count", "gte", 1)]), "claim_id", "calibration_label", "support_count")
 
 
 @query("s17_export_graphml", f"""SELECT '<node id="' || claim_id || '"><data key="label">' || left(replace(replace(replace(claim_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 80) || '</data></node>' AS line FROM {sql.CLAIMS} UNION ALL
@@ -230,3 +231,24 @@ def u04(spark, d):
     from notegraph.operators.similarity import unordered_pairs
 
     return unordered_pairs(table(spark, d, "candidate_pairs"))
+
+
+@record_query("f13_filter_form", f"SELECT claim_id FROM {sql.RECORDS} WHERE reliability_index >= 25 AND coalesce(semantic_role = 'leaf_claim', false)")
+def f13(spark, d, rows):
+    from notegraph.plans.requests import filter_predicates
+
+    return P.where_all(rows, list(filter_predicates({"reliability_index": 25, "semantic_role": "leaf_claim", "context": "", "document_id": None}))).select("claim_id")
+
+
+@record_query("f16_claim_cards", f"SELECT claim_id, left(claim_id, 8) AS short_id, list_aggregate(list_transform(string_split(calibration_label, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS label_display, list_aggregate(list_transform(string_split(semantic_role, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS role_display FROM {sql.RECORDS}")
+def f16(spark, d, rows):
+    from notegraph.operators.presentation import claim_cards
+
+    return claim_cards(rows).select("claim_id", "short_id", "label_display", "role_display")
+
+
+@record_query("index_entries", f"SELECT field, value, count(*) AS n FROM (SELECT claim_id, unnest([{{'field': 'calibration_label', 'value': calibration_label}}, {{'field': 'semantic_role', 'value': semantic_role}}, {{'field': 'document_id', 'value': document_id}}, {{'field': 'partition_id', 'value': partition_id}}, {{'field': 'reliability_index_bucket', 'value': CAST((floor(reliability_index / 10) * 10)::INTEGER AS VARCHAR)}}], recursive := true) FROM {sql.RECORDS}) WHERE value IS NOT NULL GROUP BY 1, 2")
+def indexed(spark, d, rows):
+    from notegraph.plans.requests import index_entries
+
+    return index_entries(rows).groupBy("field", "value").agg(F.count("*").alias("n"))

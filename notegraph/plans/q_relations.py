@@ -142,7 +142,11 @@ def claim_texts(spark, d):
     return records.distinct_claims(table(spark, d, "claims")).select("claim_id", F.col("claim_text").alias("text"))
 
 
-@query("r13_tfidf_relations")
+@query("r13_tfidf_relations", f"""WITH t AS (SELECT claim_id, w, count(*)::DOUBLE AS tf FROM (SELECT claim_id, unnest(regexp_extract_all(lower(claim_text), '[a-z0-9][a-z0-9]+')) AS w FROM {sql.CLAIMS}) GROUP BY 1, 2), n AS (SELECT count(*)::DOUBLE AS n FROM {sql.CLAIMS}),
+ i AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf, count(*) AS df FROM t GROUP BY 1), v AS (SELECT claim_id, w, tf * idf AS x FROM t JOIN i USING (w)), l AS (SELECT claim_id, sqrt(sum(x * x)) AS len FROM v GROUP BY 1),
+ neg AS (SELECT claim_id, list_has_any(regexp_extract_all(lower(coalesce(claim_text, '')), '[a-z'']+'), {NEG}) AS neg FROM {sql.CLAIMS}), p AS (SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM l a JOIN l b ON a.claim_id < b.claim_id)
+ SELECT claim_id_a, claim_id_b, round(s, 6) AS similarity, CASE WHEN na.neg <> nb.neg THEN 'CONTRADICTS' WHEN s >= 0.55 THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS label FROM (SELECT claim_id_a, claim_id_b, sum(a.x * b.x) / (min(la.len) * min(lb.len)) AS s FROM p JOIN v a ON a.claim_id = claim_id_a JOIN v b ON b.claim_id = claim_id_b AND b.w = a.w JOIN l la ON la.claim_id = claim_id_a JOIN l lb ON lb.claim_id = claim_id_b GROUP BY 1, 2)
+ JOIN neg na ON na.claim_id = claim_id_a JOIN neg nb ON nb.claim_id = claim_id_b WHERE s >= 0.2""")
 def r13a(spark, d):
     from notegraph.operators.baselines import tfidf_relations
 

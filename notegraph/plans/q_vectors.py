@@ -75,6 +75,21 @@ def v07(spark, d):
     return c.join(e, "claim_id", "full").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+@query("v06_quality_flags", "SELECT dimension_ok, normalized, finite, cache_used, count(*) AS n FROM (SELECT coalesce(len(vector) = 96, false) AS dimension_ok, coalesce(f, false) AS finite, coalesce(f AND abs(sqrt(list_sum(list_transform(vector::DOUBLE[], lambda x: x * x))) - 1) <= 1e-3, false) AS normalized, coalesce(cache_used, false) AS cache_used FROM (SELECT *, len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS f FROM embedded_claims)) GROUP BY 1, 2, 3, 4")
+def v06(spark, d):
+    return table(spark, d, "embedded_claims").select(V.quality(F.col("vector"), 96, F.col("cache_used")).alias("q")).groupBy("q.dimension_ok", "q.normalized", "q.finite", "q.cache_used").agg(F.count("*").alias("n"))
+
+
+@query("v07_cache_lookup", "SELECT CASE WHEN e.claim_id IS NULL THEN 'failed' WHEN dimension <> 96 THEN 'stale' WHEN v IS NULL THEN 'failed' ELSE 'cached' END AS status, count(*) AS n FROM (SELECT DISTINCT claim_id FROM (SELECT claim_id FROM claims UNION ALL SELECT claim_id FROM embedded_claims)) c LEFT JOIN (SELECT claim_id, arg_max(dimension, embedded_at) AS dimension, max(CASE WHEN vector IS NOT NULL THEN 1 END) AS v FROM embedded_claims GROUP BY 1) e USING (claim_id) WHERE c.claim_id IS NOT NULL GROUP BY 1")
+def v07l(spark, d):
+    # the dimension stands for the configuration that a cached vector was made with
+    e = table(spark, d, "embedded_claims").where("claim_id is not null")
+    held = e.groupBy("claim_id").agg(F.max_by("dimension", "embedded_at").cast("string").alias("config"), F.max(F.when(F.col("vector").isNotNull(), 1)).alias("vector")).withColumns({"found": F.lit(True), "schema": F.lit("1"), "model": F.lit("m")})
+    ids = table(spark, d, "claims").select("claim_id").unionByName(e.select("claim_id")).where("claim_id is not null").distinct()
+    status = V.cache_status(*[F.col(c) for c in ("found", "schema", "model", "config", "vector")], ("1", "m", "96"))
+    return ids.join(held, "claim_id", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 @query("a29_recall_sweep", f"""SELECT k::INTEGER AS k, t AS threshold, round(count(g.a)::DOUBLE / (SELECT count(*) FROM g), 6) AS recall, round(count(c.a)::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS candidates_per_query FROM
  (SELECT unnest([5, 10]) AS k) CROSS JOIN (SELECT unnest([0.25, 0.3, 0.35]::DOUBLE[]) AS t) LEFT JOIN (SELECT DISTINCT k AS ck, t AS ct, least(a, b) AS a, greatest(a, b) AS b FROM {TOPK} CROSS JOIN (SELECT unnest([5, 10]) AS k) CROSS JOIN (SELECT unnest([0.25, 0.3, 0.35]::DOUBLE[]) AS t) WHERE rank <= k AND score >= t) c ON ck = k AND ct = t LEFT JOIN g ON g.a = c.a AND g.b = c.b GROUP BY 1, 2""".replace("FROM g)", "FROM (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM T WHERE rank <= 1))").replace("LEFT JOIN g ON", "LEFT JOIN (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM T WHERE rank <= 1) g ON").replace("FROM T", f"FROM {TOPK}"))
 def a29(spark, d):

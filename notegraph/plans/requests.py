@@ -108,26 +108,120 @@ def normalize(request: Request) -> Request:
     return request
 
 
+#: Estimated milliseconds of the strategies and the share of rows an index leaves.
+COST_MS = {"point_lookup": 0.1, "indexed_filter": 2.0, "filter_scan": 10.0, "export_scan": 10.0, "graph_traversal": 10.0}
+OTHER_MS, INDEX_SELECTIVITY = 20.0, 0.2
+FAMILIES = {"Search": "filter", "Lookup": "point", "Traversal": "traversal", "Aggregation": "aggregation", "Explanation": "explainability", "Export": "aggregation"}
+
+
+@dataclass(frozen=True)
+class Cost:
+    """An estimate for display; Catalyst decides by its own."""
+
+    rows: int
+    ms: float
+    selectivity: float = 1.0
+    depth: int | None = None
+
+
 @dataclass(frozen=True)
 class Plan:
     plan_id: str
     strategy: str
     cacheable: bool
     request: Request
+    family: str
+    cost: Cost
+    index: str | None = None
 
 
-def plan(request: Request, run_id: str = "run") -> Plan:
+def plan(request: Request, run_id: str = "run", entries: dict[str, float] | None = None) -> Plan:
+    """The plan of a request.  entries: mean rows per value of the indexed fields, for the choice of an index."""
     r = normalize(validate(request))
     strategy, cacheable = STRATEGIES[type(r)]
     text = json.dumps([type(r).__name__, asdict(r)], sort_keys=True, default=str)
-    return Plan(hashlib.sha256(f"{run_id}:{text}".encode()).hexdigest()[:16], strategy, cacheable, r)
+    index = choose_index(r.predicates, entries or {}) if isinstance(r, Search) else None
+    name = type(r).__name__
+    rows = r.page.limit if isinstance(r, Search) else min(50, 2**r.depth) if isinstance(r, Traversal) else -1 if name == "Export" else 1
+    kind = "indexed_filter" if index else "point_lookup" if name == "Explanation" else strategy
+    cost = Cost(rows, COST_MS.get(kind, OTHER_MS), INDEX_SELECTIVITY if index else 1.0, r.depth if isinstance(r, Traversal) else None)
+    return Plan(hashlib.sha256(f"{run_id}:{text}".encode()).hexdigest()[:16], strategy, cacheable, r, FAMILIES[name], cost, index)
+
+
+def choose_index(predicates: tuple[Predicate, ...], entries: dict[str, float]) -> str | None:
+    """The indexed field among the predicates with the fewest rows per value, the first on ties."""
+    known = [p.field for p in predicates if p.field in entries]
+    return min(known, key=lambda f: entries[f]) if known else None
+
+
+#: Fields of the index; the last is the decile of the reliability index.
+INDEXED = ("calibration_label", "semantic_role", "document_id", "partition_id", "reliability_index_bucket")
+
+
+def index_entries(records: DataFrame, fields: tuple[str, ...] = INDEXED) -> DataFrame:
+    """field, value, claim_id of the index over records: null values have no entry, the bucket of 100 is 100."""
+    rows = records.withColumn("reliability_index_bucket", (F.floor(F.coalesce("reliability_index", F.lit(0.0)) / 10) * 10).cast("int"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    return rows.select("claim_id", F.explode(pairs).alias("x")).where("x.value is not null").select("x.field", "x.value", "claim_id")
+
+
+def entries_per_value(index: DataFrame) -> DataFrame:
+    """field, n_values, n_entries, mean entries per value: what `plan` chooses by."""
+    s = index.groupBy("field", "value").agg(F.count("*").alias("n")).groupBy("field").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_entries"))
+    return s.withColumn("per_value", F.round(F.col("n_entries") / F.col("n_values"), 6))
+
+
+def filter_predicates(filters: dict[str, Any] | None) -> tuple[Predicate, ...]:
+    """Predicates of a form's fields: equality, a number for the reliability index as a lower bound; null and empty values ask nothing."""
+    out = []
+    for name, value in (filters or {}).items():
+        if value is not None and value != "":
+            number = isinstance(value, (int, float)) and not isinstance(value, bool)
+            out.append(Predicate(name, "gte" if number and name == "reliability_index" else "eq", value))
+    return tuple(out)
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What one request may take: depth and rows are enforced on the plan, the time by cancelling the job group."""
+
+    depth: int = 5
+    rows: int = 10_000
+    seconds: float = 30.0
+
+    def rows_of(self, df: DataFrame) -> DataFrame:
+        return df.limit(self.rows)
+
+    def run(self, df: DataFrame) -> list:
+        """Collects at most `rows` rows; a job that takes longer is cancelled and raises RequestError."""
+        import threading
+
+        context, group = df.sparkSession.sparkContext, f"budget-{id(df)}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(self.seconds, stop)
+        context.setJobGroup(group, "budgeted request", interruptOnCancel=True)
+        timer.start()
+        try:
+            return self.rows_of(df).collect()
+        except Exception as x:
+            if late.is_set():
+                raise RequestError(f"took longer than {self.seconds} s") from x
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
 
 
 class ResultCache:
-    """Least-recently-used DataFrames by plan id, persisted while they are held."""
+    """Least-recently-used DataFrames by plan id; those that Catalyst takes for small are persisted while they are held."""
 
-    def __init__(self, size: int = 256):
-        self.size, self.hits, self.misses = size, 0, 0
+    def __init__(self, size: int = 256, most_bytes: int = 64 << 20):
+        self.size, self.most_bytes, self.hits, self.misses = size, most_bytes, 0, 0
         self.held: OrderedDict[str, Any] = OrderedDict()
 
     def get(self, key: str) -> Any:
@@ -141,7 +235,8 @@ class ResultCache:
     def put(self, key: str, value: Any) -> Any:
         frames = [v for v in (value.values() if isinstance(value, dict) else [value]) if isinstance(v, DataFrame)]
         for df in frames:
-            df.persist()
+            if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= self.most_bytes:
+                df.persist()
         self.held[key] = value
         while len(self.held) > self.size:
             _, old = self.held.popitem(last=False)
@@ -208,7 +303,7 @@ class KnowledgeService:
 
 
 def capabilities() -> dict[str, Any]:
-    return {"requests": {k.__name__: {"strategy": s, "cacheable": c} for k, (s, c) in STRATEGIES.items()}, "fields": FIELDS, "operators": OPERATORS, "levels": tuple(LEVELS), "export_forms": EXPORT_FORMS}
+    return {"requests": {k.__name__: {"strategy": s, "cacheable": c} for k, (s, c) in STRATEGIES.items()}, "fields": FIELDS, "operators": OPERATORS, "levels": tuple(LEVELS), "export_forms": EXPORT_FORMS, "indexed": INDEXED, "families": FAMILIES}
 
 
 @dataclass(frozen=True)

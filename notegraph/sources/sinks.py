@@ -32,6 +32,16 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def export_json(rows: DataFrame, run_id: str) -> DataFrame:
+    """value: one JSON object {run_id, claim} per row, so that no task holds the whole export."""
+    return rows.select(F.to_json(F.struct(F.lit(run_id).alias("run_id"), F.struct(*rows.columns).alias("claim")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def csv_lines(rows: DataFrame, *columns: str) -> DataFrame:
+    """line: the columns as CSV, quoted where they need it, nulls empty."""
+    return rows.select(F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path)
 

@@ -458,3 +458,45 @@ def test_claims_from_parses(spark):
     n = {r["kind"]: r["n"] for r in C.counts(C.extract(df)).collect()}
     assert n["mode:whole_sentence"] == 1 and n["discarded:table"] == 1 and n["attributed"] == 1 and n["failed"] == 0
     assert C.extract(df.drop("parse").limit(0)).count() == 0
+
+
+def test_plans_and_forms(spark):
+    records = spark.createDataFrame([("a", "low", "leaf_claim", "d", "p", 100.0), ("b", "low", None, "d", "q", 25.0), ("c", "high", None, "e", "q", None)], "claim_id string, calibration_label string, semantic_role string, document_id string, partition_id string, reliability_index double")
+    index = Q.index_entries(records)
+    assert rows(index.where("field = 'reliability_index_bucket'"), "value", "claim_id") == [("0", "c"), ("100", "a"), ("20", "b")] and index.where("field = 'semantic_role'").count() == 1
+    per = {r["field"]: r["per_value"] for r in Q.entries_per_value(index).collect()}
+    p = Q.plan(Q.Search((P.Predicate("calibration_label", "eq", "low"), P.Predicate("document_id", "eq", "d"), P.Predicate("degree", "gt", 1))), entries=per)
+    assert (p.family, p.index, p.cost.ms, p.cost.selectivity, p.cost.rows) == ("filter", "calibration_label", 2.0, 0.2, 50)
+    assert Q.plan(Q.Traversal("a", 5)).cost.rows == 32 and Q.plan(Q.Lookup("a")).cost.ms == 0.1 and Q.plan(Q.Search()).cost.ms == 10.0
+    assert [(x.field, x.op) for x in Q.filter_predicates({"reliability_index": 5, "context": "", "degree": 2, "claim_id": None, "is_hub": True})] == [("reliability_index", "gte"), ("degree", "eq"), ("is_hub", "eq")]
+    assert len(Q.Budget(rows=2).run(records)) == 2
+    with pytest.raises(Q.RequestError):
+        Q.Budget(seconds=0.5).run(spark.range(0, 4, numPartitions=4).mapInPandas(lambda b: [__import__("time").sleep(20) or x for x in b], "id bigint"))
+    assert E.acceptance({"f1": 0.9, "rate": 0.1}, {"f1": 0.8, "rate": 0.0}, frozenset({"rate"})) == "failed" and E.acceptance({"f1": 0.9}, {"f1": 0.8, "x": 1}) == "warning" and E.acceptance({"f1": 0.9}, {"f1": 0.8}) == "passed"
+
+
+def test_presentation_registry_and_cache(spark):
+    from notegraph.functions import vectors as V
+    from notegraph.operators import presentation as Pr
+
+    r = Pr.claim_cards(spark.createDataFrame([("abcdefghij", "very_low", "leaf_claim", 12.34, 0.0, 0.5, None)], "claim_id string, calibration_label string, semantic_role string, reliability_index double, uncertainty_score double, evidence_strength double, conflict_pressure double")).first()
+    assert tuple(r) == ("abcdefgh" + "ij", "abcdefgh", "Very Low", "Leaf Claim", "12.3", "100.0", "0.500", "0.000")
+    nodes = spark.createDataFrame([("m",), ("a",), ("b",)], "claim_id string")
+    assert {x["claim_id"]: (x["x"], x["y"]) for x in Pr.circle(nodes, "m").collect()} == {"m": (0.0, 0.0), "a": (2.0, 0.0), "b": (-2.0, 0.0)}
+    registry = scoring.SignalRegistry()
+    registry.register("novelty", half := lambda: F.lit(0.5), 50)
+    registry.register("age", lambda: F.lit(1.0), 50)
+    registry.register("novelty", half)
+    with pytest.raises(ValueError):
+        registry.register("novelty", lambda: F.lit(0.1))
+    assert registry.ordered() == ["age", "novelty"] and nodes.select(*registry.columns()).first()["novelty"] == 0.5
+    assert scoring.weights("balanced", {"hub_score": 0.10, "bridge_score": 0.0})["hub_score"] == 0.10
+    with pytest.raises(ValueError):
+        scoring.weights("balanced", {"hub_score": 0.5})
+    data = [(True, "1", "m", "c", [1.0]), (True, "1", "m", "x", [1.0]), (True, "1", "m", "c", None), (None, None, None, None, None)]
+    df = spark.createDataFrame(data, "f boolean, s string, m string, c string, v array<double>")
+    assert [x[0] for x in df.select(V.cache_status(*[F.col(k) for k in "fsmcv"], ("1", "m", "c"))).collect()] == ["cached", "stale", "failed", "failed"]
+    assert df.select(V.quality(F.col("v"), 1, F.col("f")).alias("q")).select("q.*").first() == (True, True, True, True)
+    bad = spark.createDataFrame([("d", "s1", 0, "a", 0, 1), ("d", "s1", 1, "b", 2, 3), ("d", "s2", 1, " ", 5, 4)], "document_id string, sentence_id string, position int, text string, char_start int, char_end int")
+    assert rows(B.sentence_problems(bad), "sentence_id", "problem") == [("s1", "duplicate_id"), ("s1", "duplicate_id"), ("s2", "bad_offsets"), ("s2", "empty"), ("s2", "position_order")]
+    assert sinks.export_json(nodes.limit(1), "r").first()[0] == '{"run_id":"r","claim":{"claim_id":"m"}}'
