@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notegraph.config import DEFAULTS
 from notegraph.functions import text as T
+from notegraph.operators.joins import salted
 
 
 class DiscoveryError(ValueError):
@@ -54,18 +55,24 @@ def discover(spark: SparkSession, roots: list[str], ignored: list[str] | None =
 
 
 def duplicates(hashed: DataFrame, key: str = "path") -> DataFrame:
-    """key, canonical_<key>, is_canonical: per hash the first key stands for all."""
-    w = Window.partitionBy("hash").orderBy(key)
+    """key, canonical_<key>, is_canonical: per hash the first key stands for all; keys are unique.
+
+    The first key is a partial aggregate, so a hash that many keys share is never gathered.
+    """
     name = "canonical_key" if key == "doc_key" else f"canonical_{key}"
-    return hashed.select(key, F.first(key).over(w).alias(name), (F.row_number().over(w) == 1).alias("is_canonical"))
+    first = hashed.groupBy("hash").agg(F.min(key).alias(name))
+    return salted(hashed.select(key, "hash"), first, ["hash"], key).select(key, name, (F.col(key) == F.col(name)).alias("is_canonical"))
 
 
 def decode_bytes(raw: bytes) -> tuple[str, str, bool]:
-    """(text, encoding, whether mixed line endings) by utf-8, utf-8-sig, utf-16 (with its mark), latin-1; NUL removed."""
+    """(text, encoding, whether mixed line endings) by utf-8, utf-8-sig, utf-16 (with its mark, or where a quarter of all bytes is NUL), latin-1; NUL removed."""
     if raw[:3] == b"\xef\xbb\xbf":
         text, used = raw.decode("utf-8-sig", errors="replace"), "utf-8-sig"
     elif raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         text, used = raw.decode("utf-16", errors="replace"), "utf-16"
+    elif len(raw) % 2 == 0 and raw.count(0) * 4 >= len(raw) > 0:
+        high = raw[::2].count(0) > raw[1::2].count(0)
+        text, used = raw.decode("utf-16-be" if high else "utf-16-le", errors="replace"), "utf-16"
     else:
         try:
             text, used = raw.decode("utf-8"), "utf-8"
@@ -75,15 +82,17 @@ def decode_bytes(raw: bytes) -> tuple[str, str, bool]:
     return text.replace("\x00", ""), used, mixed
 
 
-def read_pdf(raw: bytes) -> str:
-    """Text layer of a PDF, page by page; needs pypdf."""
+def read_pdf(raw: bytes) -> tuple[str, list[str]]:
+    """Text layer of a PDF, page by page, and warnings where it exceeds the limits of pages or characters; needs pypdf."""
     import io
 
     import pypdf
 
     limit = DEFAULTS["parsing"]
-    pages = pypdf.PdfReader(io.BytesIO(raw)).pages[: limit["pdf_pages"]]
-    return "\n\n\f\n\n".join(p.extract_text() or "" for p in pages)[: limit["pdf_chars"]]
+    pages = pypdf.PdfReader(io.BytesIO(raw)).pages
+    text = "\n\n\f\n\n".join(p.extract_text() or "" for p in pages[: limit["pdf_pages"]])
+    warnings = [w for w, on in (("pdf_pages_left_out", len(pages) > limit["pdf_pages"]), ("pdf_text_cut", len(text) > limit["pdf_chars"])) if on]
+    return text[: limit["pdf_chars"]], warnings
 
 
 def load(files: DataFrame) -> DataFrame:
@@ -95,7 +104,8 @@ def load(files: DataFrame) -> DataFrame:
             for h, p, f, raw in zip(b["hash"], b["path"], b["format"], b["content"], strict=True):
                 try:
                     if f == "pdf":
-                        out.append((h, p, f, read_pdf(raw), "pdf", [], None))
+                        text, warnings = read_pdf(raw)
+                        out.append((h, p, f, text, "pdf", warnings, None))
                     else:
                         text, used, mixed = decode_bytes(raw)
                         warnings = [w for w, on in (("encoding_fallback", used != "utf-8"), ("mixed_line_endings", mixed), ("nul_removed", b"\x00" in raw and used != "utf-16")) if on]

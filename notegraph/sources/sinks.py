@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notegraph import lineage
+
 
 def escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -49,30 +51,38 @@ def write_csv(rows: DataFrame, path: str) -> None:
 class PhaseStore:
     """Phase outputs as Parquet under `<root>/run_<id>/phase<n>` with a manifest each, and the state to resume from.
 
-    The manifest is written after the data, so a phase without one is run again.
+    The manifest is written after the data, so a phase without one is run again.  Both go
+    through the file system that the root names, so any shared store will do.
     """
 
     def __init__(self, root: str | Path, run_id: str):
-        self.root = Path(root) / f"run_{run_id}"
+        self.root = f"{str(root).rstrip('/')}/run_{run_id}"
         self.run_id = run_id
 
     def write(self, phase: int, df: DataFrame, **facts) -> None:
-        path = self.root / f"phase{phase}"
-        df.write.mode("overwrite").parquet(str(path / "dataset"))
+        path = f"{self.root}/phase{phase}"
+        df.write.mode("overwrite").parquet(f"{path}/dataset")
         fields = json.dumps(df.schema.jsonValue(), sort_keys=True)
         manifest = {"run_id": self.run_id, "phase": phase, "schema": df.schema.jsonValue(), "schema_hash": hashlib.sha256(fields.encode()).hexdigest()[:16], **facts}
-        (path / "manifest.json").write_text(json.dumps(manifest))
+        lineage.write_text(df.sparkSession, f"{path}/manifest.json", json.dumps(manifest))
 
-    def completed(self) -> list[int]:
-        return sorted(int(p.parent.name[5:]) for p in self.root.glob("phase*/manifest.json"))
+    def completed(self, spark: SparkSession) -> list[int]:
+        return sorted(int(p.rsplit("/", 2)[-2][5:]) for p in lineage.glob(spark, f"{self.root}/phase*/manifest.json"))
 
-    def resume_from(self) -> int:
-        done = self.completed()
+    def resume_from(self, spark: SparkSession) -> int:
+        done = self.completed(spark)
         return max(done) + 1 if done else 1
 
+    def replay(self, spark: SparkSession, phase: int, again) -> bool:
+        """Whether again(), run anew, gives the rows that the phase wrote (compared by counts of equal rows)."""
+        held, made = self.read(spark, phase), again()
+        counted = held.withColumn("n_", F.lit(1)).unionByName(made.select(held.columns).withColumn("n_", F.lit(-1)))
+        keys = [F.to_json(F.struct(*held.columns), {"ignoreNullFields": "false"}).alias("row")]
+        return counted.select(*keys, "n_").groupBy("row").agg(F.sum("n_").alias("d")).where("d != 0").isEmpty()
+
     def read(self, spark: SparkSession, phase: int) -> DataFrame:
         from pyspark.sql.types import StructType
 
-        path = self.root / f"phase{phase}"
-        manifest = json.loads((path / "manifest.json").read_text())
-        return spark.read.schema(StructType.fromJson(manifest["schema"])).parquet(str(path / "dataset"))
+        path = f"{self.root}/phase{phase}"
+        manifest = json.loads(lineage.read_text(spark, f"{path}/manifest.json"))
+        return spark.read.schema(StructType.fromJson(manifest["schema"])).parquet(f"{path}/dataset")

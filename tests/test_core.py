@@ -259,10 +259,27 @@ def test_files_roundtrip(spark, tmp_path):
         files.validate_roots([str(v / "nothing")])
     store = sinks.PhaseStore(tmp_path / "out", "1")
     store.write(1, found.drop("content"))
-    assert store.resume_from() == 2 and store.read(spark, 1).count() == 4
+    assert store.resume_from(spark) == 2 and store.read(spark, 1).count() == 4
+    assert store.replay(spark, 1, lambda: found.drop("content")) and not store.replay(spark, 1, lambda: found.drop("content").limit(2))
+    assert files.decode_bytes("grüß dich".encode("utf-16-le")) == ("grüß dich", "utf-16", False) and files.decode_bytes("grüß".encode("utf-16-be"))[1] == "utf-16"
+    twice = files.duplicates(found.select("path", "hash"))
+    assert twice.where("is_canonical").count() == 3 and twice.count() == 4
     assert incremental.changed_files(found.select("path", "hash"), found.where("relative_path = 'a.md'").select("path", "hash")).count() == 3
 
 
+def test_scratch_is_cleaned_up(spark):
+    from notegraph import lineage
+
+    t = lineage.Scratch(spark, "once").table(spark.range(3))
+    assert t.count() == 3 and lineage.exists(spark, t._scratch_path)
+    kept = dict(lineage._ROOTS)
+    lineage._ROOTS.clear()
+    lineage._ROOTS[t._scratch_path.rsplit("/", 1)[0]] = (spark, spark.sparkContext.applicationId)
+    lineage.clean_up(spark)
+    assert not lineage.exists(spark, t._scratch_path) and not lineage._ROOTS
+    lineage._ROOTS.update(kept)
+
+
 def test_file_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("same")
