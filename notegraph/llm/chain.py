@@ -326,7 +326,8 @@ def compose(sentences: list[str], rng: random.Random, blocks: int) -> list[tuple
         for _ in range(max(blocks // 16, blocks * len(pool) // max(total, 1))):
             text, ends = "", []
             if rng.random() < 0.05:
-                text = "**" + rng.choice(["Kel mode", "Note", "Osterin mode"]) + ":** "
+                words = [w for w in rng.choice(pool).split() if w.isalpha() and len(w) <= 12]
+                text = "**" + (" ".join(words[: rng.randint(1, 2)]) or "Note") + ":** "
             units = rng.randint(2, 6)
             for u in range(units):
                 picked = [rng.choice(pool)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.lineage import Scratch
+from notegraph.operators.joins import split_hot
 
 
 def _collapse(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def _collapse(scratch: Scratch, edges: DataFrame) -> DataFrame:
     )
     hooked = scratch.table(both.groupBy("c").agg(F.min("n").alias("p")))
     of = hooked.select(F.col("c").alias("p"), F.col("p").alias("g"))
-    rooted = hooked.join(of, "p").select(
+    rooted = split_hot(hooked, of, "p").select(
         "c",
         F.when((F.col("g") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"),
     )
@@ -29,7 +30,7 @@ def _collapse(scratch: Scratch, edges: DataFrame) -> DataFrame:
     while True:
         of = current.select(F.col("c").alias("p"), F.col("p").alias("g"))
         jumped = scratch.table(
-            current.join(of, "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+            split_hot(current, of, "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
         )
         scratch.drop(current)
         current = jumped
@@ -59,7 +60,7 @@ def consolidate(links: DataFrame, a: str, b: str, group: str = "group_id", membe
         left = step.select(F.col("c").alias("u"), F.col("p").alias("ru"))
         right = step.select(F.col("c").alias("v"), F.col("p").alias("rv"))
         fewer = scratch.table(
-            edges.join(left, "u")
+            split_hot(edges, left, "u")
             .join(right, "v")
             .where("ru != rv")
             .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
@@ -74,8 +75,9 @@ def consolidate(links: DataFrame, a: str, b: str, group: str = "group_id", membe
             members = members.join(on, "r", "left").select("m", F.coalesce("next", "r").alias("r"))
     if members is None:
         members = edges.select(F.col("u").alias("m"), F.col("v").alias("r"))
+    members = scratch.table(members)
     smallest = members.groupBy("r").agg(F.min("m").alias("g"))
-    return members.join(smallest, "r").select(F.col("g").alias(group), F.col("m").alias(member))
+    return split_hot(members, smallest, "r").select(F.col("g").alias(group), F.col("m").alias(member))
 
 
 def claim_groups(candidate_pairs: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.lineage import Scratch
+from notegraph.operators.joins import salted
 
 #: The relation labels of a vote.
 LABELS = ("NEUTRAL", "SUPPORTS", "REFINES", "CONTRADICTS", "EQUIVALENT")
@@ -47,10 +49,11 @@ class DawidSkene:
     `strength` pseudo-votes spread as the pooled confusion matrix, which itself gets one
     pseudo-vote per cell; so annotators with few votes behave as the average one.  Every
     round is one job over the votes; between rounds only the counts per annotator and label
-    are kept, in a written table, and the k x k pooled sums go to the driver.
+    are kept, in a written table, and the k x k pooled sums go to the driver.  Rounds end when no
+    pooled probability moves by `tolerance`; after `rounds` of them `converged` is false and a warning given.
     """
 
-    def __init__(self, votes: DataFrame, labels: tuple[str, ...], scratch: Scratch, strength: float = 6.0, rounds: int = 25, tolerance: float = 2e-4):
+    def __init__(self, votes: DataFrame, labels: tuple[str, ...], scratch: Scratch, strength: float = 6.0, rounds: int = 50, tolerance: float = 2e-4):
         self.labels, self.k, self.scratch, self.strength = labels, len(labels), scratch, strength
         code = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("int") - 1
         plain = votes.select("id", "annotator_id", code.alias("l"))
@@ -60,6 +63,7 @@ class DawidSkene:
         first = start.select("id", *[((F.col(f"s{k}") + 0.2) / (F.col("n") + 0.2 * self.k)).alias(f"p{k}") for k in range(self.k)])
         self.counts = self._counts(first)
         last = None
+        self.converged = False
         for _ in range(rounds):
             self._pool()
             counts = self._counts(self.posteriors())
@@ -67,8 +71,11 @@ class DawidSkene:
             self.counts = counts
             now = [x for row in self.pooled for x in row] + self.prior
             if last and max(abs(x - y) for x, y in zip(now, last, strict=True)) < tolerance:
+                self.converged = True
                 break
             last = now
+        if not self.converged:
+            warnings.warn(f"the label model still moved after {rounds} rounds", RuntimeWarning, stacklevel=2)
         self._pool()
 
     def _counts(self, posteriors: DataFrame) -> DataFrame:
@@ -105,7 +112,7 @@ class DawidSkene:
         """id, p0..: the probability of each true label."""
         k = self.k
         logs = self.confusion().select("annotator_id", "l", *[F.log(f"t{i}").alias(f"w{i}") for i in range(k)])
-        sums = self.votes.join(logs, ["annotator_id", "l"]).groupBy("id").agg(*[(F.sum(f"w{i}") + math.log(self.prior[i])).alias(f"w{i}") for i in range(k)])
+        sums = salted(self.votes, logs, ["annotator_id", "l"], "id").groupBy("id").agg(*[(F.sum(f"w{i}") + math.log(self.prior[i])).alias(f"w{i}") for i in range(k)])
         top = F.greatest(*[F.col(f"w{i}") for i in range(k)])
         odds = sums.select("id", *[F.exp(F.col(f"w{i}") - top).alias(f"e{i}") for i in range(k)])
         whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from notegraph.lineage import Scratch
 from notegraph.llm.tokens import TOKENIZER, count_tokens
 
-#: Rows that one bucket of the prefix sums holds about.
-BUCKET_ROWS = 20_000
+#: Rows that one bucket of the prefix sums holds about, and buckets whose sums are accumulated in one task at most; beyond both, buckets grow.
+BUCKET_ROWS, MOST_SLICES = 20_000, 1_000_000
 
 
 def source_key(col: Column) -> Column:
@@ -77,12 +77,12 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tok
     rates = F.broadcast(spark.createDataFrame(plan, "key string, name string, share double, repeats int, total bigint, buckets int, passes int"))
     rows = sized.join(rates, "key").withColumn("pass", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("passes"))))).withColumn("h", F.xxhash64(F.lit("mix"), "doc_id", "pass"))
     spot = F.pmod(F.shiftright("h", 20), F.col("buckets"))
-    rows = rows.withColumn("bucket", F.col("pass").cast("long") * 1_000_000 + spot)
+    rows = rows.withColumn("bucket", F.col("pass").cast("long") * F.col("buckets") + spot)
     rows = _running(rows, scratch, ["key"], "bucket", ["h", "doc_id"], "n_tokens", "used").withColumn("finish", F.col("used") / F.col("share"))
     rows = rows.where(F.col("finish") <= last + slack)
     n = sum(r["n"] * goal[k]["repeats"] for k, r in stats.items())
     wide = max(1.0, last + slack)
-    grain = max(1, min(1_000_000, n // bucket_rows))
+    grain = max(1, min(MOST_SLICES, n // bucket_rows))
     rows = rows.withColumn("slice", F.floor(F.col("finish") / F.lit(wide) * F.lit(grain)).cast("long"))
     rows = rows.select("doc_id", "key", "name", F.col("pass").alias("repeat_no"), "n_tokens", "finish", "slice")
     done = _running(rows, scratch, [], "slice", ["finish", "key", "repeat_no", "doc_id"], "n_tokens", "mixed_tokens").where(F.col("mixed_tokens") <= budget)

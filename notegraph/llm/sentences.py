@@ -13,6 +13,8 @@ from notegraph.llm import chain
 PROSE = ("paragraph", "bullet_item", "ordered_item", "block_quote")
 #: Claims, each a single sentence, that the model is trained on at most.
 TRAINING_CLAIMS = 6000
+#: Longer claims, which are rarely one sentence, do not train the model.
+LONGEST_CLAIM = 400
 
 
 def train_model(claims: DataFrame, most: int = TRAINING_CLAIMS) -> dict[str, float]:
@@ -20,7 +22,7 @@ def train_model(claims: DataFrame, most: int = TRAINING_CLAIMS) -> dict[str, flo
 
     An empty model ends sentences nowhere inside a block.
     """
-    rows = claims.where("text is not null and trim(text) != '' and length(text) <= 400").select("text", F.xxhash64("text").alias("h"))
+    rows = claims.where(f"text is not null and trim(text) != '' and length(text) <= {LONGEST_CLAIM}").select("text", F.xxhash64("text").alias("h"))
     n = rows.agg(F.approx_count_distinct("h")).first()[0]
     # the hash range is cut first, so that what all tasks send stays near `most` rows however many tasks there are
     share = min(1.0, 1.3 * most / max(1, n))
