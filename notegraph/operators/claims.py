@@ -229,3 +229,15 @@ def counts(extracted: DataFrame) -> DataFrame:
     one = extracted.agg(*[F.count_if(c).alias(k) for k, c in flags.items()])
     one = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in flags])).alias("x")).select("x.*")
     return mode.unionByName(gone).unionByName(one)
+
+
+def problems(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """claim_id, problem of claim rows: no_id, empty, unknown_document, repeated_id, no_context; several rows where several hold."""
+    known = documents.select("document_id").distinct().withColumn("known_", F.lit(True))
+    times = claims.where("claim_id is not null").groupBy("claim_id").agg(F.count("*").alias("times_"))
+    rows = claims.join(known, "document_id", "left").join(times, "claim_id", "left")
+    found = F.array_compact(F.array(
+        F.when(F.col("claim_id").isNull(), "no_id"), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty"), F.when(F.col("known_").isNull(), "unknown_document"),
+        F.when(F.col("times_") > 1, "repeated_id"), F.when(F.col("context").isNull(), "no_context"),
+    ))
+    return rows.select("claim_id", F.explode(found).alias("problem"))

@@ -340,6 +340,13 @@ def error_reason(gold: Column, predicted: Column, text_a: Column, text_b: Column
     )
 
 
+def gold_predictions(gold: DataFrame, relations: DataFrame) -> DataFrame:
+    """gold with predicted, the relation type of the same unordered pair of claims (the least of several), null without one."""
+    pair = lambda: (F.least("claim_id_a", "claim_id_b").alias("x_"), F.greatest("claim_id_a", "claim_id_b").alias("y_"))
+    p = relations.groupBy(*pair()).agg(F.min("relation_type").alias("predicted"))
+    return gold.select("*", *pair()).join(p, ["x_", "y_"], "left").drop("x_", "y_")
+
+
 def acceptance(metrics: dict[str, float], criteria: dict[str, float], lower_is_better: frozenset[str] = frozenset()) -> str:
     """failed if a metric misses its threshold, warning if one is not measured before that, else passed; criteria in their order."""
     for name, threshold in criteria.items():

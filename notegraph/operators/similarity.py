@@ -9,25 +9,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one block of the blocked join.
-BLOCK = 4096
+#: Vectors of one piece of the blocked join, and pivots at most.
+BLOCK, MOST_PIVOTS = 4096, 1024
 
 
 def top_k_pairs(vectors: DataFrame, key: str, vector: str, k: int = 50, threshold: float = 0.75, block: int = BLOCK) -> DataFrame:
-    """a, b, score, rank: every key's k most similar others by inner product in blocks, kept where score >= threshold.
-
-    Rows are hashed into n / block blocks, every pair of blocks meets once as one matrix product and
-    the k best per query and block pair are merged; no task holds more than two blocks.  Ties by
-    key.  Vectors should be unit vectors of one length; null vectors take no part.
+    """a, b, score, rank: every key's k most similar others by inner product, exact, kept where score >= threshold.
+
+    Rows go to the nearest of some pivots, a pivot with many rows being cut by hash into pieces of
+    about `block`.  Two pivots meet only if their angle, less the angles of their farthest rows,
+    leaves room for a score of `threshold`; every two pieces that may meet do so once as one
+    matrix product, and the k best of all pieces are merged.  No task holds more than two pieces.
+    Where rows do not cluster, or the threshold is low, all pieces meet: work then grows with the
+    square of the rows.  Ties by key.  Null vectors take no part; lengths need not be one.
     """
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    placed = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asks = placed.select(F.explode(numbers).alias("j"), F.col("at").alias("i"), "key", "v", F.lit(True).alias("asks"))
-    holds = placed.select(F.col("at").alias("j"), F.explode(numbers).alias("i"), "key", "v", F.lit(False).alias("asks"))
     kind = dict(rows.dtypes)["key"]
+    n = rows.count()
+    m = min(MOST_PIVOTS, -(-n // block)) if n else 0
+    # at most MOST_PIVOTS rows
+    some = np.array([r["v"] for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "key"), "key").limit(m).collect()]).reshape(m, -1)
+    pivots = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                length = np.linalg.norm(x, axis=1)
+                s = (x / np.maximum(length, 1e-300)[:, None]) @ pivots.T
+                at = s.argmax(axis=1)
+                yield pd.DataFrame({"key": b["key"], "v": b["v"], "pivot": at, "angle": np.arccos(np.clip(s[np.arange(len(at)), at], -1, 1)), "length": length})
+
+    placed = rows.mapInPandas(place, f"key {kind}, v array<double>, pivot int, angle double, length double")
+    around = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.max("angle").alias("angle"), F.max("length").alias("length"), F.count("*").alias("n")).collect()} if m else {}
+    radius, length, pieces = np.zeros(m), np.zeros(m), np.zeros(m, dtype=int)
+    for i, r in around.items():
+        radius[i], length[i], pieces[i] = r["angle"], r["length"], -(-r["n"] // block)
+    apart = np.maximum(0.0, np.arccos(np.clip(pivots @ pivots.T, -1, 1)) - radius[:, None] - radius[None, :])
+    # obtuse angles bound the product by zero, whatever the lengths
+    near = (length[:, None] * length[None, :] * np.maximum(0.0, np.cos(np.minimum(apart, np.pi))) >= threshold - 1e-9) & (pieces[:, None] > 0) & (pieces[None, :] > 0)
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    # pieces that a pivot's rows ask, and pieces that ask them: `near` is symmetric
+    meets = rows.sparkSession.createDataFrame([(i, int(first[i]), int(max(1, pieces[i])), [int(c) for j in np.flatnonzero(near[i]) for c in range(first[j], first[j + 1])]) for i in range(m)], "pivot int, first int, pieces int, others array<int>")
+    cell = F.col("first") + F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")
+    known = placed.join(F.broadcast(meets), "pivot").select("key", "v", cell.alias("cell"), "others")  # one row per pivot
+    asks = known.select(F.explode("others").alias("j"), F.col("cell").alias("i"), "key", "v", F.lit(True).alias("asks"))
+    holds = known.select(F.col("cell").alias("j"), F.explode("others").alias("i"), "key", "v", F.lit(False).alias("asks"))
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         q, h = g[g["asks"]].sort_values("key"), g[~g["asks"]].sort_values("key")

@@ -285,11 +285,13 @@ def a48(spark, d):
     return E.readiness(c.select(F.explode(F.array(*[F.struct(F.lit(x).alias("criterion"), F.col(x).alias("share")) for x in _CRITERIA])).alias("x")).select("x.*"))
 
 
-@query("j09_gold_prediction", f"SELECT m.row_id, m.gold_relationship, e.relation_type FROM v1_pilot_manifest m LEFT JOIN (SELECT least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y, min(relation_type) AS relation_type FROM {sql.EDGES} GROUP BY 1, 2) e ON e.x = least(m.doc_a, m.doc_b) AND e.y = greatest(m.doc_a, m.doc_b)")
+@query("j09_gold_prediction", f"""SELECT g.id, g.gold, p.relation_type AS predicted FROM (SELECT id, min(upper(trim(label))) AS gold FROM pass1_relationships WHERE {VALID} GROUP BY 1) g JOIN (SELECT relationship_id, least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y FROM {sql.FLAT}) e ON e.relationship_id = g.id
+ LEFT JOIN (SELECT least(claim_id_a, claim_id_b) AS x, greatest(claim_id_a, claim_id_b) AS y, min(relation_type) AS relation_type FROM {sql.EDGES} GROUP BY 1, 2) p USING (x, y)""")
 def j09(spark, d):
-    e = typed(spark, d).groupBy(F.least("claim_id_a", "claim_id_b").alias("x"), F.greatest("claim_id_a", "claim_id_b").alias("y")).agg(F.min("relation_type").alias("relation_type"))
-    m = table(spark, d, "v1_pilot_manifest").select("row_id", "gold_relationship", F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y"))
-    return m.join(e, ["x", "y"], "left").select("row_id", "gold_relationship", "relation_type")
+    label = F.upper(F.trim("label"))
+    gold = table(spark, d, "pass1_relationships").where(label.isin("NEUTRAL", "SUPPORTS", "REFINES", "CONTRADICTS", "EQUIVALENT")).groupBy("id").agg(F.min(label).alias("gold"))
+    at = flat(spark, d).select(F.col("relationship_id").alias("id"), "claim_id_a", "claim_id_b")
+    return E.gold_predictions(gold.join(at, "id"), typed(spark, d)).select("id", "gold", "predicted")
 
 
 @query("j13_common_annotations", f"SELECT id, gold, predicted FROM {BOTH}")

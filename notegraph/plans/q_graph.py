@@ -34,6 +34,14 @@ def g10(spark, d):
     return G.problems(*base(spark, d))
 
 
+@query("g10_problems_without_anchors", f"WITH {BASE}, known AS (SELECT claim_id FROM {sql.CLAIMS}) SELECT 'dangling_end' AS problem, count(*) AS n FROM (SELECT source AS x FROM edges UNION ALL SELECT target FROM edges) WHERE x NOT IN (SELECT claim_id FROM known)")
+def g10a(spark, d):
+    # the graph read without its anchor claims: their edges dangle
+    from notegraph.plans.base import claims_of
+
+    return G.problems(claims_of(spark, d), graph(spark, d)[1]).where("problem = 'dangling_end'")
+
+
 @twice("g02_partitions", f"{PARTS} SELECT claim_id, colour, partition_id FROM parts JOIN colour USING (claim_id)")
 def g02(spark, d, relatedness):
     return parts(spark, d, relatedness).select("claim_id", "colour", "partition_id")

@@ -104,11 +104,17 @@ def x06(spark, d):
     return events(spark, d).where("block_type = 'paragraph'").select("event_id", T.short_id(F.col("doc_id"), F.col("text"), F.col("char_start")).alias("sentence_id"))
 
 
-@query("x07_position_gaps", f"SELECT doc_id, count(*) AS n_gaps FROM (SELECT doc_id, event_no, lag(event_no) OVER (PARTITION BY doc_id ORDER BY event_no) AS before FROM {EVENTS}) WHERE event_no > before + 1 GROUP BY 1")
+_SENT = f"(SELECT CAST(doc_id AS VARCHAR) AS document_id, left(sha256(coalesce(text, '')), 16) AS sentence_id, event_no AS position, text, coalesce(char_start, 0) AS char_start, coalesce(char_end, 0) AS char_end, event_id FROM {EVENTS})"
+
+
+@query("x07_sentence_problems", f"""SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN times > 1 THEN 'duplicate_id' END, CASE WHEN char_start >= char_end AND char_end > 0 THEN 'bad_offsets' END]) AS problem FROM (SELECT *, count(*) OVER (PARTITION BY document_id, sentence_id) AS times FROM {_SENT})) WHERE problem IS NOT NULL GROUP BY 1""")
 def x07(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("event_no")
-    rows = events(spark, d).withColumn("before", F.lag("event_no").over(w))
-    return rows.where("event_no > before + 1").groupBy("doc_id").agg(F.count("*").alias("n_gaps"))
+    e = events(spark, d).select(
+        F.col("doc_id").cast("string").alias("document_id"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("sentence_id"), F.col("event_no").alias("position"), "text",
+        F.coalesce("char_start", F.lit(0)).alias("char_start"), F.coalesce("char_end", F.lit(0)).alias("char_end"),
+    )
+    # rows without offsets have no order among themselves
+    return B.sentence_problems(e).where("problem != 'position_order'").groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("a08_block_counts", f"SELECT block_type, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM {EVENTS} GROUP BY 1")
@@ -167,12 +173,10 @@ def c09(spark, d):
     return table(spark, d, "claims").select("claim_id", (F.col("content_hash") == F.substring(F.sha2("text", 256), 1, 16)).alias("matches")).distinct()
 
 
-@query("c10_claim_problems", "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN claim_id IS NULL THEN 'no_id' WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN document_id NOT IN (SELECT doc_key FROM documents) THEN 'unknown_document' END AS problem FROM (SELECT DISTINCT claim_id, text, document_id FROM claims)) GROUP BY 1")
+@query("c10_claim_problems", """SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN claim_id IS NULL THEN 'no_id' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN document_id IS NULL OR document_id NOT IN (SELECT doc_key FROM documents) THEN 'unknown_document' END,
+ CASE WHEN count(*) OVER (PARTITION BY claim_id) > 1 THEN 'repeated_id' END, CASE WHEN context IS NULL THEN 'no_context' END]) AS problem FROM claims) WHERE problem IS NOT NULL GROUP BY 1""")
 def c10(spark, d):
-    known = docs(spark, d).select(F.col("doc_key").alias("document_id")).withColumn("known", F.lit(True))
-    rows = table(spark, d, "claims").select("claim_id", "text", "document_id").distinct().join(known, "document_id", "left")
-    problem = F.when(F.col("claim_id").isNull(), "no_id").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(F.col("known").isNull(), "unknown_document")
-    return rows.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
+    return C.problems(table(spark, d, "claims"), docs(spark, d).select(F.col("doc_key").alias("document_id"))).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("a09_claim_counts", f"SELECT extraction_mode, count(*) AS n, count(*) FILTER (WHERE is_negated) AS n_negated, count(*) FILTER (WHERE modality <> 'certain') AS n_modal FROM {sql.CLAIMS} GROUP BY 1")

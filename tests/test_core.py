@@ -182,6 +182,36 @@ def test_top_k_pairs_matches_plain(spark):
         best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in data[:40] if j != i)[:3]
         assert [got[i, j] for _, j in best] == [1, 2, 3]
     assert S.top_k_pairs(df.where("id = 40"), "id", "v").count() == 0
+    # clusters far apart, one of which holds most rows: pruned pairs of pieces lose nothing
+    centers = [[10.0 * (i == j) for j in range(5)] for i in range(5)]
+    data = [(i, [c + rng.gauss(0, 1) for c in centers[0 if i % 3 else i % 5]]) for i in range(90)]
+    unit = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in data]
+    for scaled in (unit, data):
+        least = 0.95 if scaled is unit else 95.0
+        got = {(r["a"], r["b"]): round(r["score"], 6) for r in S.top_k_pairs(spark.createDataFrame(scaled, "id long, v array<double>"), "id", "v", 100, least, block=8).collect()}
+        want = {(i, j): round(s, 6) for i, v in scaled for j, w in scaled if i != j and (s := sum(x * y for x, y in zip(v, w, strict=True))) >= least}
+        assert got == want and want
+
+
+def test_hot_keys_are_joined_by_their_few_rows(spark):
+    from notegraph.operators.joins import salted, split_hot
+
+    many = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("k")).unionByName(spark.createDataFrame([(-1, None), (-2, "nowhere")], "id long, k string"))
+    few = many.where("k is not null and k != 'nowhere'").select("k").distinct().withColumn("v", F.length("k"))
+    want = rows(many.join(few, "k"), "id", "v")
+    assert rows(split_hot(many, few, "k", least=100), "id", "v") == want == rows(salted(many, few, ["k"], "id"), "id", "v")
+    assert split_hot(many.limit(0), few, "k").count() == 0
+
+
+def test_longest_path():
+    rng = random.Random(8)
+    for n in (3, 6, 8):
+        for _ in range(20):
+            edges = {(str(a), str(b)) for a, b in (rng.sample(range(n), 2) for _ in range(n)) if rng.random() < 0.8}
+            best = max((len(p) for k in range(2, n + 1) for p in itertools.permutations([str(i) for i in range(n)], k) if all(e in edges for e in zip(p, p[1:]))), default=0) if n < 8 else None
+            got = G._longest_path(edges)
+            assert got == best or best is None and got <= n
+    assert G._longest_path({(str(i), str(i + 1)) for i in range(3000)} | {("0", str(i)) for i in range(2, 3000)}) == 3001
 
 
 def interval(values, level=0.95, resamples=2000, seed=42):
