@@ -123,8 +123,9 @@ def _links(records: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
     spark = records.sparkSession
     scratch = Scratch(spark, "overlaps")
     now = normal_split(records["split"])
-    rows = records.select(records[row_id].alias("row_id"), "text_a", "text_b", F.when(now == "train", True).when(now.isin(*EVALUATION), False).alias("train"))
-    rows = rows.where("train is not null and text_a is not null and text_b is not null")
+    # ids travel as strings: a batch with a null would make floats of numbers
+    rows = records.select(records[row_id].cast("string").alias("row_id"), "text_a", "text_b", F.when(now == "train", True).when(now.isin(*EVALUATION), False).alias("train"))
+    rows = rows.where("row_id is not null and train is not null and text_a is not null and text_b is not null")
     known = spark.sparkContext.broadcast(vocabulary(rows))
 
     def canonical(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +138,8 @@ def _links(records: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
                 out.append((i, train, R.facts(x, y), R.key_strings(x, y, v), form, xxhash.xxh3_128_hexdigest(form)))
             yield pd.DataFrame(out, columns=["row_id", "train", "facts", "names", "form", "fid"])
 
-    kind = dict(rows.dtypes)["row_id"]
-    whole = rows.mapInPandas(canonical, f"row_id {kind}, train boolean, facts string, names array<string>, form string, fid string")
+    kind = dict(records.dtypes)[row_id]
+    whole = rows.mapInPandas(canonical, "row_id string, train boolean, facts string, names array<string>, form string, fid string").withColumn("row_id", F.col("row_id").cast(kind))
     placed = scratch.table(whole.withColumn("facts_id", F.xxhash64("facts")))
     forms = placed.groupBy("fid", "train").agg(F.min("form").alias("form"), F.min("facts").alias("facts"), F.min("facts_id").alias("facts_id"), F.min("names").alias("names"))
     # forms whose figures, months and negations stand on the other side of the split as well
@@ -187,7 +188,7 @@ def _links(records: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
 def overlaps(records: DataFrame, row_id: str = "row_id") -> DataFrame:
     """row_eval, row_train of every pair of an evaluation row and a train row that are the same record.
 
-    Rows with null split, another split, or null text_a or text_b take no part.  Exact copies
+    Rows with a null id, a null or another split, or null text_a or text_b take no part.  Exact copies
     and rows of one canonical form share one comparison.  A record without any name is held
     against others by all its words as one string, up to 3 edits away.  Empty tables give no rows.
     """

@@ -90,7 +90,9 @@ def pack(
             yield pd.DataFrame(leftovers(), columns=columns)
 
     columns = ["capacity_id", "container", "doc_id", "piece", "first_token", "n_tokens"]
-    placed = scratch.table(spread.select("part", "doc_id", "n_tokens").mapInPandas(stream, f"capacity_id int, container string, doc_id {kind}, piece int, first_token bigint, n_tokens bigint"))
+    # ids travel as strings: a batch with a null would make floats of numbers
+    streamed = spread.select("part", F.col("doc_id").cast("string").alias("doc_id"), "n_tokens").mapInPandas(stream, "capacity_id int, container string, doc_id string, piece int, first_token bigint, n_tokens bigint")
+    placed = scratch.table(streamed.withColumn("doc_id", F.col("doc_id").cast(kind)))
 
     merged = _merge_leftovers(placed.where("piece is null").select("capacity_id", "container", "n_tokens"), dict(caps), windows, items, scratch)
     out = placed.where("piece is not null").join(merged, ["capacity_id", "container"], "left")

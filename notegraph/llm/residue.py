@@ -243,12 +243,15 @@ def findings(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, xxhash.xxh3_128_digest(text), *scan(text)) for i, text in zip(b["doc_id"], b["text"], strict=True) if text]
-            out = pd.DataFrame(rows, columns=["doc_id", "t", "c", "a", "z", "latin", "filled", "spans"])
-            out["doc_id"] = out["doc_id"].astype(b["doc_id"].dtype)
-            out["spans"] = [[dict(zip(("c", "f", "bare", "mark", "v"), x, strict=True)) for x in held] for held in out["spans"]]
-            yield out
-
-    scanned = scratch.table(documents.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(documents.dtypes)['doc_id']}, t binary, {_ROW}"))
+            if rows:
+                out = pd.DataFrame(rows, columns=["doc_id", "t", "c", "a", "z", "latin", "filled", "spans"])
+                out["spans"] = pd.Series([[dict(zip(("c", "f", "bare", "mark", "v"), x, strict=True)) for x in held] for held in out["spans"]], dtype=object)
+                yield out
+
+    # ids travel as strings: a batch with a null would make floats of numbers
+    ids = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    scanned = ids.mapInPandas(run, f"doc_id string, t binary, {_ROW}")
+    scanned = scratch.table(scanned.withColumn("doc_id", F.col("doc_id").cast(dict(documents.dtypes)["doc_id"])))
     texts = scratch.table(scanned.drop("doc_id").dropDuplicates(["t"]))
     spans_ = texts.select("t", F.explode("spans").alias("x")).select("t", "x.*")
     fillings = scratch.table(slot_fillings(spans_, texts.select(F.explode("filled").alias("f")), least_frames, least_marks, purity))

@@ -46,7 +46,9 @@ def split_sentences(events: DataFrame, claims: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["event_id", "sent_no", "sent_start", "sent_end", "sentence"])
 
     prose = events.where(F.col("block_type").isin(*PROSE) & F.col("text").isNotNull()).select("event_id", "text").dropDuplicates(["event_id", "text"])
-    return prose.mapInPandas(run, f"event_id {dict(events.dtypes)['event_id']}, sent_no int, sent_start int, sent_end int, sentence string")
+    # ids travel as strings: a batch with a null would make floats of numbers
+    found = prose.withColumn("event_id", F.col("event_id").cast("string")).mapInPandas(run, "event_id string, sent_no int, sent_start int, sent_end int, sentence string")
+    return found.withColumn("event_id", F.col("event_id").cast(dict(events.dtypes)["event_id"]))
 
 
 def document_sentences(events: DataFrame, claims: DataFrame) -> DataFrame:

@@ -34,4 +34,7 @@ def count_tokens(documents: DataFrame, *keep: str, tokenizer: str = TOKENIZER) -
             yield out
 
     kinds = dict(documents.dtypes)
-    return documents.select(*keep, "text").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens bigint"]))
+    # kept columns travel as strings: a batch with a null would make floats of numbers
+    plain = documents.select(*[documents[k].cast("string").alias(k) for k in keep], "text")
+    counted = plain.mapInPandas(run, ", ".join([*(f"`{k}` string" for k in keep), "n_tokens bigint"]))
+    return counted.select(*[counted[k].cast(kinds[k]).alias(k) for k in keep], "n_tokens")

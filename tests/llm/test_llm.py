@@ -503,6 +503,23 @@ def test_residue(spark):
     assert {r["kind"] for r in residue.findings(df).collect()} == {"slot", "blank", "filler", "page template"}
 
 
+def test_null_and_large_ids(spark):
+    """Ids beyond the whole numbers of a double stay as they are, also beside null ids; tables of nulls alone do not fail."""
+    big = 2**60 + 1
+    pages = [(None, "Page gone\n\nTry later"), (big, "Page gone\n\nGo home"), (3, "Page gone\n\nTry later\n\nGo home"), (4, None), (5, ""), (6, "Try later\n\nGo home\n\nPage gone\n\nSo long")]
+    d = spark.createDataFrame(pages, "doc_id long, text string").withColumn("source", F.lit("x"))
+    assert {r[0] for r in residue.residue(d).collect()} == {None, big, 3, 6}
+    assert residue.findings(d.where("text is null")).count() == 0
+    records = [(None, "The Korvel relay has 3 units", "b 4 Korvel", "train"), (big, "The Korvel relay has 3 units", "b 4 Korvel", "dev"), (big - 1, "The Korvel relay has 3 units", "b 4 Korvel", "train"), (2, None, None, None)]
+    m = spark.createDataFrame(records, "row_id long, text_a string, text_b string, split string").withColumn("source", F.lit(None).cast("string"))
+    assert [tuple(r) for r in overlaps.found(m).collect()] == [(big - 1, big)]
+    assert {r["doc_id"] for r in packing.pack(d, spark.createDataFrame([(1, 50)], "capacity_id int, capacity_tokens int")).collect()} == {None, big, 3, 4, 5, 6}
+    goal = spark.createDataFrame([("x", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert {r["doc_id"] for r in mixing.mix(d, goal).collect()} == {None, big, 3, 4, 5, 6}
+    ev = spark.createDataFrame([(None, "One here. Two there.", "paragraph"), (big, "One here. Two there.", "paragraph"), (7, None, "paragraph")], "event_id long, text string, block_type string")
+    assert {r["event_id"] for r in sentences.split_sentences(ev, spark.createDataFrame([("One here.",), ("Two there now.",)], "text string")).collect()} == {None, big}
+
+
 def test_queries_are_registered(spark):
     from notegraph.llm import queries
 
