@@ -35,25 +35,27 @@ _HOMOGLYPHS = str.maketrans(
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _ASIDE = re.compile(r"\(([^()]*)\)|\[([^\[\]]*)\]")
 _TOKEN = re.compile(r"\d+(?:[,'’   ]\d{3})+(?!\d)|\d+(?:\.\d+)?|[^\W\d_]+")
+_NO_FIGURE = re.compile(r"[^\d.]")
 _STOP = re.compile(r"[.!?:]")
 _LISTED = re.compile(r"^(?:[\s>#*+\-•]+|\(?\d{1,2}[.)]\s+|[A-Za-z][.)]\s+)+")
 
 
 def plain(text: str) -> str:
     """The text without mark-up, entities, invisible characters, accents and look-alike letters."""
-    for _ in range(2):
-        text = html.unescape(text)
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
     if "Ã" in text or "â€" in text:
         try:
             text = text.encode("cp1252").decode("utf-8")
         except UnicodeError:
             pass
-    text = _TAG.sub(" ", text)
-    text = unicodedata.normalize("NFKD", text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").translate(_HOMOGLYPHS)
     text = _LISTED.sub("", text.replace("*", "").replace("`", ""))
-    return _ASIDE.sub(lambda m: " " if len((m[1] or m[2] or "").split()) <= 4 else m[0], text)
+    return _ASIDE.sub(lambda m: " " if len((m[1] or m[2] or "").split()) <= 4 else m[0], text) if "(" in text or "[" in text else text
 
 
 def tokens(text: str) -> tuple[list[tuple[str, bool | None]], bool]:
@@ -64,19 +66,21 @@ def tokens(text: str) -> tuple[list[tuple[str, bool | None]], bool]:
     end = 0
     for m in _TOKEN.finditer(clean):
         w = m[0]
+        before, end = end, m.end()
         if w[0].isdigit():
-            out.append((re.sub(r"[^\d.]", "", w), False))
-            end = m.end()
-            continue
-        first = not out or _STOP.search(clean, end, m.start()) is not None
-        end = m.end()
-        if w.islower():
+            out.append((_NO_FIGURE.sub("", w), False))
+        elif w.islower():
             low += 1
-        elif w[0].isupper() and (len(w) == 1 or w[1:].islower()):
-            caps += 1
-        elif len(w) > 3:
-            odd += 1
-        out.append((w.lower(), (None if first else True) if w[0].isupper() else False))
+            out.append((w, False))
+        elif w[0].isupper():
+            if len(w) == 1 or w[1:].islower():
+                caps += 1
+            elif len(w) > 3:
+                odd += 1
+            out.append((w.lower(), None if not out or _STOP.search(clean, before, m.start()) else True))
+        else:
+            odd += len(w) > 3
+            out.append((w.lower(), False))
     return out, low > caps and caps > 0 and odd == 0
 
 
