@@ -235,7 +235,7 @@ class ResultCache:
     def put(self, key: str, value: Any) -> Any:
         frames = [v for v in (value.values() if isinstance(value, dict) else [value]) if isinstance(v, DataFrame)]
         for df in frames:
-            if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= self.most_bytes:
+            if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= self.most_bytes:
                 df.persist()
         self.held[key] = value
         while len(self.held) > self.size:
