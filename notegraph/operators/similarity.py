@@ -26,7 +26,9 @@ def top_k_pairs(vectors: DataFrame, key: str, vector: str, k: int = 50, threshol
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     kind = dict(rows.dtypes)["key"]
     n = rows.count()
-    m = min(MOST_PIVOTS, -(-n // block)) if n else 0
+    if not n:
+        return rows.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
+    m = min(MOST_PIVOTS, -(-n // block))
     # at most MOST_PIVOTS rows
     some = np.array([r["v"] for r in rows.orderBy(F.xxhash64(F.lit("pivot"), "key"), "key").limit(m).collect()]).reshape(m, -1)
     pivots = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)
@@ -41,7 +43,7 @@ def top_k_pairs(vectors: DataFrame, key: str, vector: str, k: int = 50, threshol
                 yield pd.DataFrame({"key": b["key"], "v": b["v"], "pivot": at, "angle": np.arccos(np.clip(s[np.arange(len(at)), at], -1, 1)), "length": length})
 
     placed = rows.mapInPandas(place, f"key {kind}, v array<double>, pivot int, angle double, length double")
-    around = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.max("angle").alias("angle"), F.max("length").alias("length"), F.count("*").alias("n")).collect()} if m else {}
+    around = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.max("angle").alias("angle"), F.max("length").alias("length"), F.count("*").alias("n")).collect()}
     radius, length, pieces = np.zeros(m), np.zeros(m), np.zeros(m, dtype=int)
     for i, r in around.items():
         radius[i], length[i], pieces[i] = r["angle"], r["length"], -(-r["n"] // block)
