@@ -203,6 +203,15 @@ def test_hot_keys_are_joined_by_their_few_rows(spark):
     assert split_hot(many.limit(0), few, "k").count() == 0
 
 
+def test_salted_copies_are_not_broadcast(spark):
+    from notegraph.operators.joins import salted
+
+    many, few = spark.range(1000).select("id", (F.col("id") % 3).alias("k")), spark.range(3).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    joined = salted(many, few, ["k"], "id")
+    assert joined.count() == 1000
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_longest_path():
     rng = random.Random(8)
     for n in (3, 6, 8):
