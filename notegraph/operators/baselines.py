@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.functions import lexicon
+from notegraph.lineage import Scratch
 
 
 def tfidf_vectors(texts: DataFrame) -> DataFrame:
@@ -50,15 +53,20 @@ def labelled_pairs(rows: DataFrame, candidate: float, support: float, block: int
     """claim_id_a, claim_id_b (smaller first), similarity, label: every pair of claims whose inner product reaches `candidate`.
 
     rows: claim_id, neg, x and, for sparse vectors, w with the words of x.  Rows are hashed into
-    n / block blocks and every two blocks meet once; a task holds two blocks and one product of
-    block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
+    n / block blocks, each written as one row, and every two blocks meet once in a join that reads
+    these rows again and copies nothing, so the disk taken follows the rows and not their square.
+    A task holds some blocks and one product of block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
     """
     sparse = "w" in rows.columns
+    scratch = Scratch(rows.sparkSession, "pairs")
+    rows = scratch.table(rows)
     blocks = max(1, -(-rows.count() // block))
     names = ["claim_id", "neg", *(["w"] if sparse else []), "x"]
-    placed = rows.withColumn("at", F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    met = placed.select(other, "at", *names).select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", *names)
+    placed = rows.groupBy(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("at")).agg(F.collect_list(F.struct(*names)).alias("r"))
+    packed = scratch.table(placed.select("at", *[F.col(f"r.{n}").alias(n) for n in names]))
+    scratch.drop(rows)
+    left, right = (packed.select(*[F.col(n).alias(f"{n}_{side}") for n in ("at", *names)]) for side in "ab")
+    met = left.repartition(min(blocks, 32)).join(right.hint("shuffle_replicate_nl"), F.col("at_a") <= F.col("at_b"))
 
     def dense(g: pd.DataFrame, index: dict[str, int], low: int, high: int) -> np.ndarray:
         out = np.zeros((len(g), high - low))
@@ -68,9 +76,7 @@ def labelled_pairs(rows: DataFrame, candidate: float, support: float, block: int
                     out[r, c - low] = x
         return out
 
-    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        a, b = (g[g["at"] == k].sort_values("claim_id", ignore_index=True) for k in (i, j))
+    def meet(i: int, j: int, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         s = np.zeros((len(a), len(b)))
         if sparse and len(a) and len(b):
             shared = sorted({w for ws in a["w"] for w in ws} & {w for ws in b["w"] for w in ws})
@@ -88,7 +94,13 @@ def labelled_pairs(rows: DataFrame, candidate: float, support: float, block: int
         label = np.where(differ, "CONTRADICTS", np.where(sim >= support, "SUPPORTS", "NEUTRAL"))
         return pd.DataFrame({"claim_id_a": np.where(first, ka, kb), "claim_id_b": np.where(first, kb, ka), "similarity": np.round(sim, 6), "label": label})
 
-    return met.groupBy("i", "j").applyInPandas(meet, "claim_id_a string, claim_id_b string, similarity double, label string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for r in range(len(g)):
+                a, b = (pd.DataFrame({n: pd.Series(list(g[f"{n}_{side}"].iat[r])) for n in names}) for side in "ab")
+                yield meet(g["at_a"].iat[r], g["at_b"].iat[r], a, b)
+
+    return met.mapInPandas(run, "claim_id_a string, claim_id_b string, similarity double, label string")
 
 
 def tfidf_relations(texts: DataFrame, candidate: float = 0.20, support: float = 0.55, block: int = 2048) -> DataFrame:

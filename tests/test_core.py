@@ -478,6 +478,18 @@ def test_baselines_over_all_pairs(spark):
     assert {(r[0], r[1]): r[2] for r in baselines.vector_relations(claims, vectors, block=2).collect()} == {("c00", "c01"): 0.8, ("c00", "c02"): 0.5, ("c01", "c02"): 0.919615}
 
 
+def test_blocks_meet_without_copies(spark):
+    from notegraph.operators import baselines
+
+    claims = spark.createDataFrame([(f"c{i:02d}", "not fast" if i % 3 else "relay fast") for i in range(30)], "claim_id string, text string")
+    vectors = claims.select("claim_id", F.array(F.lit(0.6), F.lit(0.8)).alias("vector"))
+    for got in (baselines.vector_relations(claims, vectors, block=3), baselines.tfidf_relations(claims, block=3)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange hashpartitioning" not in plan and "CartesianProduct" in plan
+    got = baselines.vector_relations(claims, vectors, block=3).collect()
+    assert len({(r[0], r[1]) for r in got}) == len(got) == 30 * 29 // 2 and all(r[0] < r[1] and r[2] == 1.0 for r in got)
+
+
 def parsed(words, *deps):
     """Tokens of a sentence: (pos, dep, head) per word; offsets by single blanks."""
     out, at = [], 0
