@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions import lexicon
@@ -49,68 +50,140 @@ def lint(manifest: DataFrame) -> DataFrame:
     return found.groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def labelled_pairs(rows: DataFrame, candidate: float, support: float, block: int = 2048) -> DataFrame:
-    """claim_id_a, claim_id_b (smaller first), similarity, label: every pair of claims whose inner product reaches `candidate`.
+def placed(rows: DataFrame, block: int) -> DataFrame:
+    """at and one list per column of rows: the rows hashed by claim_id into n / block blocks, n being all of them."""
+    blocks = max(1, -(-rows.count() // block))
+    lists = rows.groupBy(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("at")).agg(F.collect_list(F.struct(*rows.columns)).alias("r"))
+    return lists.select("at", *[F.col(f"r.{n}").alias(n) for n in rows.columns])
+
+
+def labelled_pairs(packed: DataFrame, product: Callable[[dict, dict], np.ndarray], candidate: float, support: float) -> DataFrame:
+    """claim_id_a, claim_id_b (smaller first), similarity, label: every pair of claims whose product reaches `candidate`.
 
-    rows: claim_id, neg, x and, for sparse vectors, w with the words of x.  Rows are hashed into
-    n / block blocks, each written as one row, and every two blocks meet once in a join that reads
-    these rows again and copies nothing, so the disk taken follows the rows and not their square.
-    A task holds some blocks and one product of block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
+    packed: a written table with a row per block of claims, whose columns at, claim_id, neg and others are lists but for the
+    first; product gets the other columns of two blocks as Arrow arrays.  Every two blocks meet once in a join that reads these
+    rows again and copies nothing, so the disk taken follows the claims and not their square.  A task holds some
+    blocks and one product of block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
     """
-    sparse = "w" in rows.columns
-    scratch = Scratch(rows.sparkSession, "pairs")
-    rows = scratch.table(rows)
-    blocks = max(1, -(-rows.count() // block))
-    names = ["claim_id", "neg", *(["w"] if sparse else []), "x"]
-    placed = rows.groupBy(F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int").alias("at")).agg(F.collect_list(F.struct(*names)).alias("r"))
-    packed = scratch.table(placed.select("at", *[F.col(f"r.{n}").alias(n) for n in names]))
-    scratch.drop(rows)
-    left, right = (packed.select(*[F.col(n).alias(f"{n}_{side}") for n in ("at", *names)]) for side in "ab")
-    met = left.repartition(min(blocks, 32)).join(right.hint("shuffle_replicate_nl"), F.col("at_a") <= F.col("at_b"))
-
-    def dense(g: pd.DataFrame, index: dict[str, int], low: int, high: int) -> np.ndarray:
-        out = np.zeros((len(g), high - low))
-        for r, (words, xs) in enumerate(zip(g["w"], g["x"], strict=True)):
-            for w, x in zip(words, xs, strict=True):
-                if low <= (c := index.get(w, -1)) < high:
-                    out[r, c - low] = x
-        return out
+    left, right = (packed.select(*[F.col(n).alias(f"{n}_{side}") for n in packed.columns]) for side in "ab")
+    met = left.repartition(min(max(1, packed.count()), 32)).join(right.hint("shuffle_replicate_nl"), F.col("at_a") <= F.col("at_b"))
+    names = packed.columns[1:]
 
-    def meet(i: int, j: int, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros((len(a), len(b)))
-        if sparse and len(a) and len(b):
-            shared = sorted({w for ws in a["w"] for w in ws} & {w for ws in b["w"] for w in ws})
-            index = {w: c for c, w in enumerate(shared)}
-            for low in range(0, len(shared), 1024):
-                high = min(low + 1024, len(shared))
-                s += dense(a, index, low, high) @ dense(b, index, low, high).T
-        elif len(a) and len(b):
-            s = np.stack(a["x"].to_numpy()) @ np.stack(b["x"].to_numpy()).T
+    def meet(same: bool, a: dict, b: dict) -> Iterator[pa.RecordBatch]:
+        s = product(a, b)
         hit = s >= candidate
-        p, q = np.nonzero(np.triu(hit, 1) if i == j else hit)
-        ka, kb, sim = a["claim_id"].to_numpy()[p], b["claim_id"].to_numpy()[q], s[p, q]
-        differ = a["neg"].to_numpy()[p] != b["neg"].to_numpy()[q]
-        first = ka < kb
-        label = np.where(differ, "CONTRADICTS", np.where(sim >= support, "SUPPORTS", "NEUTRAL"))
-        return pd.DataFrame({"claim_id_a": np.where(first, ka, kb), "claim_id_b": np.where(first, kb, ka), "similarity": np.round(sim, 6), "label": label})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.flatnonzero(np.triu(hit, 1) if same else hit)
+        ids = pa.concat_arrays([a["claim_id"], b["claim_id"]])
+        neg = np.concatenate([a["neg"].to_numpy(zero_copy_only=False), b["neg"].to_numpy(zero_copy_only=False)])
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        for low in range(0, len(at), 1 << 17):
+            part = at[low : low + (1 << 17)]
+            p, q = part // len(b["claim_id"]), part % len(b["claim_id"]) + len(a["claim_id"])
+            sim, first = s.ravel()[part], rank[p] < rank[q]
+            label = np.where(neg[p] != neg[q], 0, np.where(sim >= support, 1, 2))
+            texts = pa.array(["CONTRADICTS", "SUPPORTS", "NEUTRAL"]).take(pa.array(label))
+            columns = [ids.take(pa.array(np.where(first, p, q))), ids.take(pa.array(np.where(first, q, p))), pa.array(np.round(sim, 6)), texts]
+            yield pa.RecordBatch.from_arrays(columns, ["claim_id_a", "claim_id_b", "similarity", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in batches:
-            for r in range(len(g)):
-                a, b = (pd.DataFrame({n: pd.Series(list(g[f"{n}_{side}"].iat[r])) for n in names}) for side in "ab")
-                yield meet(g["at_a"].iat[r], g["at_b"].iat[r], a, b)
+            for r in range(g.num_rows):
+                a, b = ({n: g.column(f"{n}_{side}")[r].values for n in names} for side in "ab")
+                yield from meet(g.column("at_a")[r] == g.column("at_b")[r], a, b)
+
+    return met.mapInArrow(run, "claim_id_a string, claim_id_b string, similarity double, label string")
 
-    return met.mapInPandas(run, "claim_id_a string, claim_id_b string, similarity double, label string")
+
+def tfidf_blocks(texts: DataFrame, block: int) -> DataFrame:
+    """A written table of blocks of claims with any word: at, claim_id, neg, then of each word in the block n claims, key, idf, and per word and claim row, tf.
+
+    The entries of row and tf follow the words, n to each.  key is the same number for a word in all blocks.  Words are shuffled once
+    a block and not once a claim; weights are left to the product, as idf and tf take less room.
+    """
+    scratch = Scratch(texts.sparkSession, "pairs")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9][a-z0-9]+)"))
+    rows = scratch.table(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg"), words.alias("w")))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in batches:
+            for r in range(g.num_rows):
+                claim_id, neg, w = (g.column(n)[r].values for n in ("claim_id", "neg", "w"))
+                coded = w.flatten().dictionary_encode()
+                at = np.repeat(np.arange(len(w)), pc.list_value_length(w).to_numpy())
+                entry, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(w) + at, return_counts=True)
+                n = np.bincount(entry // len(w), minlength=len(coded.dictionary))
+                columns = [claim_id, neg, pa.array((entry % len(w)).astype(np.int32)), pa.array(tf.astype(np.int32)), pa.array(n.astype(np.int32)), coded.dictionary]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
+                yield pa.RecordBatch.from_arrays([g.column("at").slice(r, 1), *lists], ["at", "claim_id", "neg", "row", "tf", "n", "w"])
+
+    some = placed(rows, block).select("at", F.filter(F.arrays_zip("claim_id", "neg", "w"), lambda x: F.size(x["w"]) > 0).alias("r")).where("size(r) > 0")
+    blocks = scratch.table(some.select("at", "r.claim_id", "r.neg", "r.w").mapInArrow(number, "at int, claim_id array<string>, neg array<boolean>, row array<int>, tf array<int>, n array<int>, w array<string>"))
+    word, total = Window.partitionBy("w"), F.lit(float(rows.count()))
+    each = blocks.select("at", F.posexplode(F.arrays_zip("w", "n")).alias("pos", "e")).select("at", "pos", "e.w", "e.n")
+    found = each.select("at", F.struct("pos", F.min(F.col("at") * F.lit(1 << 32) + F.col("pos")).over(word).alias("key"), (F.log((1 + total) / (1 + F.sum("n").over(word))) + 1).alias("idf")).alias("v"))
+    listed = found.groupBy("at").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    packed = scratch.table(blocks.join(listed, "at").select("at", "claim_id", "neg", "row", "tf", "n", "v.key", "v.idf"))
+    scratch.drop(rows, blocks)
+    return packed
+
+
+def entries(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on, n[0] of them, then those of start[1]."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def tfidf_product(a: dict, b: dict) -> np.ndarray:
+    """Cosines of two blocks of tfidf_blocks: words in many claims of both as matrices, the others claim by claim."""
+
+    def weighed(g: dict) -> tuple[np.ndarray, ...]:
+        row, tf, n, key, idf = (g[x].to_numpy() for x in ("row", "tf", "n", "key", "idf"))
+        x = tf * np.repeat(idf, n)
+        return key, n.astype(np.int64), np.cumsum(n, dtype=np.int64) - n, row.astype(np.int64), x / np.sqrt(np.bincount(row, x * x))[row]
+
+    (ka, na, sa, ra, xa), (kb, nb, sb, rb, xb) = weighed(a), weighed(b)
+    high, wide = len(a["claim_id"]), len(b["claim_id"])
+    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    na, sa, nb, sb = na[ia], sa[ia], nb[ib], sb[ib]
+    often = na * nb * 512 >= high * wide
+    s = np.zeros((high, wide))
+
+    def dense(start: np.ndarray, n: np.ndarray, row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+        out, at = np.zeros((rows, len(n))), entries(start, n)
+        out[row[at], np.repeat(np.arange(len(n)), n)] = x[at]
+        return out
+
+    which = np.flatnonzero(often)
+    for low in range(0, len(which), 1024):
+        w = which[low : low + 1024]
+        s += dense(sa[w], na[w], ra, xa, high) @ dense(sb[w], nb[w], rb, xb, wide).T
+    rare = ~often
+    ea, times, start = entries(sa[rare], na[rare]), np.repeat(nb[rare], na[rare]), np.repeat(sb[rare], na[rare])
+    upto = np.cumsum(times)
+    low = 0
+    while low < len(ea):
+        top = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + (1 << 22), "right")))
+        e, t, eb = ea[low:top], times[low:top], entries(start[low:top], times[low:top])
+        np.add.at(s.ravel(), np.repeat(ra[e] * wide, t) + rb[eb], np.repeat(xa[e], t) * xb[eb])
+        low = top
+    return s
+
+
+def vector_product(a: dict, b: dict) -> np.ndarray:
+    """Inner products of two blocks of vectors of one length."""
+    x, y = (g["x"].flatten().to_numpy().reshape(len(g["x"]), -1) for g in (a, b))
+    return x @ y.T
 
 
 def tfidf_relations(texts: DataFrame, candidate: float = 0.20, support: float = 0.55, block: int = 2048) -> DataFrame:
     """The TF-IDF baseline over all pairs of texts: (claim_id, text)."""
-    v = tfidf_vectors(texts).groupBy("claim_id").agg(F.collect_list(F.struct("w", "x")).alias("v"))
-    rows = v.join(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg")), "claim_id")
-    return labelled_pairs(rows.select("claim_id", "neg", F.col("v.w").alias("w"), F.col("v.x").alias("x")), candidate, support, block)
+    return labelled_pairs(tfidf_blocks(texts, block), tfidf_product, candidate, support)
 
 
 def vector_relations(texts: DataFrame, vectors: DataFrame, candidate: float = 0.45, support: float = 0.75, block: int = 2048) -> DataFrame:
     """The sentence-vector baseline over all pairs; vectors: (claim_id, vector), unit vectors of one length."""
-    rows = vectors.join(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg")), "claim_id")
-    return labelled_pairs(rows.select("claim_id", "neg", F.col("vector").cast("array<double>").alias("x")), candidate, support, block)
+    scratch = Scratch(vectors.sparkSession, "pairs")
+    rows = scratch.table(vectors.join(texts.select("claim_id", lexicon.has_negation_cue(F.col("text")).alias("neg")), "claim_id").select("claim_id", "neg", F.col("vector").cast("array<double>").alias("x")))
+    packed = scratch.table(placed(rows, block))
+    scratch.drop(rows)
+    return labelled_pairs(packed, vector_product, candidate, support)

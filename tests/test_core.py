@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -490,6 +491,35 @@ def test_blocks_meet_without_copies(spark):
     assert len({(r[0], r[1]) for r in got}) == len(got) == 30 * 29 // 2 and all(r[0] < r[1] and r[2] == 1.0 for r in got)
 
 
+def test_words_are_not_shuffled_claim_by_claim(spark):
+    from notegraph.operators import baselines
+
+    rng = random.Random(5)
+    common, rare = [f"common{i}" for i in range(40)], [f"rare{i}" for i in range(200)]
+    texts = [" ".join([*rng.sample(common, 18), *rng.choices(rare, k=2), *(["Not"] if i % 3 == 0 else [])]) for i in range(600)]
+    words = sorted({w for t in texts for w in t.lower().split()})
+    tf = np.array([[t.lower().split().count(w) for w in words] for t in texts], dtype=float)
+    v = tf * (np.log(601 / (1 + (tf > 0).sum(axis=0))) + 1)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    s, neg = v @ v.T, [i % 3 == 0 for i in range(600)]
+    want = {(f"c{i:03d}", f"c{j:03d}"): (s[i, j], "CONTRADICTS" if neg[i] != neg[j] else "SUPPORTS" if s[i, j] >= 0.55 else "NEUTRAL") for i in range(600) for j in range(i + 1, 600) if s[i, j] >= 0.2}
+    claims = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts)], "claim_id string, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        none = spark._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    for block, records in ((200, 4 * 600 + 4 * 3 * len(words)), (2048, 4 * 600 + 4 * len(words))):
+        before = shuffled()
+        got = baselines.tfidf_relations(claims, block=block).collect()
+        assert {(r[0], r[1]): r[3] for r in got} == {k: x[1] for k, x in want.items()} and len(got) == len(want)
+        assert all(abs(r[2] - want[r[0], r[1]][0]) < 1e-6 for r in got)
+        assert sum(n for k, n in shuffled().items() if k not in before) < records < 600 * 20
+
+
 def parsed(words, *deps):
     """Tokens of a sentence: (pos, dep, head) per word; offsets by single blanks."""
     out, at = [], 0
