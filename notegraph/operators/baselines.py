@@ -57,40 +57,65 @@ def placed(rows: DataFrame, block: int) -> DataFrame:
     return lists.select("at", *[F.col(f"r.{n}").alias(n) for n in rows.columns])
 
 
-def labelled_pairs(packed: DataFrame, product: Callable[[dict, dict], np.ndarray], candidate: float, support: float) -> DataFrame:
+def labelled_pairs(packed: DataFrame, product: Callable[[dict, dict], np.ndarray], candidate: float, support: float, held: int = 1 << 22) -> DataFrame:
     """claim_id_a, claim_id_b (smaller first), similarity, label: every pair of claims whose product reaches `candidate`.
 
     packed: a written table with a row per block of claims, whose columns at, claim_id, neg and others are lists but for the
     first; product gets the other columns of two blocks as Arrow arrays.  Every two blocks meet once in a join that reads these
-    rows again and copies nothing, so the disk taken follows the claims and not their square.  A task holds some
-    blocks and one product of block x block.  One-sided negation contradicts, a product of `support` supports, else neutral.
+    rows again and copies nothing, so the disk taken follows the claims and not their square.  One-sided negation contradicts, a product of `support` supports, else neutral.
+
+    The rows are the larger part, so they come in an order that files store in little room: a task meets a tile of up to some 8 x 8 blocks,
+    whose ids are few enough for a dictionary, and gives its rows by similarity, up to some `held` of them at a time, so that equal ones stand together.
     """
-    left, right = (packed.select(*[F.col(n).alias(f"{n}_{side}") for n in packed.columns]) for side in "ab")
-    met = left.repartition(min(max(1, packed.count()), 32)).join(right.hint("shuffle_replicate_nl"), F.col("at_a") <= F.col("at_b"))
+    n = packed.count()
+    tiles = packed.repartitionByRange(max(1, -(-n // 8), min(-(-n // 2), 12)), "at")
+    left, right = (tiles.select(*[F.col(x).alias(f"{x}_{side}") for x in packed.columns]) for side in "ab")
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("at_a") <= F.col("at_b"))
     names = packed.columns[1:]
 
-    def meet(same: bool, a: dict, b: dict) -> Iterator[pa.RecordBatch]:
+    def meet(same: bool, a: dict, b: dict) -> tuple[np.ndarray, ...]:
+        """Of each hit whether the id of a is the smaller, its rows in a and b, product and label."""
         s = product(a, b)
         hit = s >= candidate
         at = np.flatnonzero(np.triu(hit, 1) if same else hit)
-        ids = pa.concat_arrays([a["claim_id"], b["claim_id"]])
-        neg = np.concatenate([a["neg"].to_numpy(zero_copy_only=False), b["neg"].to_numpy(zero_copy_only=False)])
-        rank = np.empty(len(ids), np.int64)
-        rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        for low in range(0, len(at), 1 << 17):
-            part = at[low : low + (1 << 17)]
-            p, q = part // len(b["claim_id"]), part % len(b["claim_id"]) + len(a["claim_id"])
-            sim, first = s.ravel()[part], rank[p] < rank[q]
-            label = np.where(neg[p] != neg[q], 0, np.where(sim >= support, 1, 2))
-            texts = pa.array(["CONTRADICTS", "SUPPORTS", "NEUTRAL"]).take(pa.array(label))
-            columns = [ids.take(pa.array(np.where(first, p, q))), ids.take(pa.array(np.where(first, q, p))), pa.array(np.round(sim, 6)), texts]
+        high, wide = len(a["claim_id"]), len(b["claim_id"])
+        rank = np.empty(high + wide, np.int64)
+        rank[pc.array_sort_indices(pa.concat_arrays([a["claim_id"], b["claim_id"]])).to_numpy()] = np.arange(high + wide)
+        p, q, sim = (at // wide).astype(np.int32), (at % wide).astype(np.int32), s.ravel()[at]
+        differ = a["neg"].to_numpy(zero_copy_only=False)[p] != b["neg"].to_numpy(zero_copy_only=False)[q]
+        return rank[p] < rank[q + high], p, q, sim, np.where(differ, 0, np.where(sim >= support, 1, 2)).astype(np.int8)
+
+    def ordered(ids: pa.Array, rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        smaller, larger, sim, label = (np.concatenate(x) for x in zip(*rows, strict=True))
+        rows.clear()
+        texts, order = pa.array(["CONTRADICTS", "SUPPORTS", "NEUTRAL"]), np.argsort(sim)
+        for low in range(0, len(order), 1 << 17):
+            at = order[low : low + (1 << 17)]
+            columns = [ids.take(pa.array(smaller[at])), ids.take(pa.array(larger[at])), pa.array(sim[at]), texts.take(pa.array(label[at]))]
             yield pa.RecordBatch.from_arrays(columns, ["claim_id_a", "claim_id_b", "similarity", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts: dict[int, int] = {}
+        pool: list[pa.Array] = []
+        rows: list[tuple[np.ndarray, ...]] = []
         for g in batches:
             for r in range(g.num_rows):
-                a, b = ({n: g.column(f"{n}_{side}")[r].values for n in names} for side in "ab")
-                yield from meet(g.column("at_a")[r] == g.column("at_b")[r], a, b)
+                a, b = ({x: g.column(f"{x}_{side}")[r].values for x in names} for side in "ab")
+                blocks = [(g.column(f"at_{side}")[r].as_py(), x["claim_id"]) for side, x in (("a", a), ("b", b))]
+                for at, ids in blocks:
+                    if at not in starts:
+                        starts[at] = sum(map(len, pool))
+                        pool.append(ids)
+                (i, _), (j, _) = blocks
+                first, p, q, sim, label = meet(i == j, a, b)
+                p, q = p + np.int32(starts[i]), q + np.int32(starts[j])
+                rows.append((np.where(first, p, q), np.where(first, q, p), np.round(sim, 6), label))
+                if sum(len(x[0]) for x in rows) >= held:
+                    yield from ordered(pa.concat_arrays(pool), rows)
+        if pool:
+            yield from ordered(pa.concat_arrays(pool), rows)
 
     return met.mapInArrow(run, "claim_id_a string, claim_id_b string, similarity double, label string")
 
@@ -146,17 +171,19 @@ def tfidf_product(a: dict, b: dict) -> np.ndarray:
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     na, sa, nb, sb = na[ia], sa[ia], nb[ib], sb[ib]
     often = na * nb * 512 >= high * wide
-    s = np.zeros((high, wide))
 
     def dense(start: np.ndarray, n: np.ndarray, row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
         out, at = np.zeros((rows, len(n))), entries(start, n)
         out[row[at], np.repeat(np.arange(len(n)), n)] = x[at]
         return out
 
+    def together(w: np.ndarray) -> np.ndarray:
+        return dense(sa[w], na[w], ra, xa, high) @ dense(sb[w], nb[w], rb, xb, wide).T
+
     which = np.flatnonzero(often)
-    for low in range(0, len(which), 1024):
-        w = which[low : low + 1024]
-        s += dense(sa[w], na[w], ra, xa, high) @ dense(sb[w], nb[w], rb, xb, wide).T
+    s = together(which[:1024])
+    for low in range(1024, len(which), 1024):
+        s += together(which[low : low + 1024])
     rare = ~often
     ea, times, start = entries(sa[rare], na[rare]), np.repeat(nb[rare], na[rare]), np.repeat(sb[rare], na[rare])
     upto = np.cumsum(times)

@@ -520,6 +520,23 @@ def test_words_are_not_shuffled_claim_by_claim(spark):
         assert sum(n for k, n in shuffled().items() if k not in before) < records < 600 * 20
 
 
+def test_pairs_of_equal_similarity_stand_together(spark):
+    from notegraph.operators import baselines
+
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(12)]
+    claims = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.sample(words, 4))) for i in range(240)], "claim_id string, text string")
+    want = {tuple(r) for r in baselines.tfidf_relations(claims).collect()}
+    packed = baselines.tfidf_blocks(claims, 30)
+    for held, most in ((1 << 22, 1), (1000, 6)):
+        got = baselines.labelled_pairs(packed, baselines.tfidf_product, 0.2, 0.55, held=held)
+        rows = got.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == len(want) and {tuple(r)[:4] for r in rows} == want
+        tasks = {k: [r.similarity for r in g] for k, g in itertools.groupby(rows, lambda r: r.task)}
+        assert len(tasks) > 3 and all(sum(x > y for x, y in itertools.pairwise(s)) < most for s in tasks.values())
+    assert max(len({r.claim_id_a for r in rows if r.task == k} | {r.claim_id_b for r in rows if r.task == k}) for k in tasks) < 240
+
+
 def parsed(words, *deps):
     """Tokens of a sentence: (pos, dep, head) per word; offsets by single blanks."""
     out, at = [], 0
